@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunelore.llm.event_runs import collapse_repeats
 from tunelore.llm.packing import container_fill, pack_documents
+from tunelore.llm.subjects import composition, document_subjects
 from tunelore.llm.subsequences import frequent_patterns
 from tunelore.llm.term_frequency import melody_terms
 from tunelore.llm.tokens import decode, encode
@@ -67,6 +68,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_assigned(spark, folder).filter((F.col("piece") == 0) & (F.col("n_pieces") > 1)).select("doc_id")
 
 
+def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's subjects, with the sentences about them."""
+    return document_subjects(*(table(spark, folder, t) for t in ("documents", "subject_examples", "subjects")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_subjects(spark, folder).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus's composition by subject."""
+    return composition(p8_subjects(spark, folder))
+
+
 _P1 = """
 with s as (select distinct on (file_id) * from cluster_stats),
   e as (
@@ -115,7 +130,7 @@ with f as (select distinct file_id, corpus_id, root_pc from files),
 """
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found, "p5_patterns": p5_patterns, "p6_ids": p6_ids, "p6_texts": p6_texts, "p7_found": p7_found, "p7_assigned": p7_assigned, "p7_containers": p7_containers}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found, "p5_patterns": p5_patterns, "p6_ids": p6_ids, "p6_texts": p6_texts, "p7_found": p7_found, "p7_assigned": p7_assigned, "p7_containers": p7_containers, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
 
 SQL = {
     "p1_found": _P1 + "select corpus_id, kind, term, mark from m where mark is not null",
