@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunelore.llm.event_runs import collapse_repeats
 from tunelore.llm.packing import container_fill, pack_documents
+from tunelore.llm.similarity_clusters import describe, neighbours_in_order, similarity_clusters
 from tunelore.llm.subjects import composition, document_subjects
 from tunelore.llm.subsequences import frequent_patterns
 from tunelore.llm.term_frequency import melody_terms
@@ -24,6 +25,27 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_terms(spark, folder).filter(F.col("mark").isNotNull()).select("corpus_id", "kind", "term", "mark")
 
 
+#: Numbers of a file's feature.
+FEATURE_DIMS = 71
+
+
+def p2_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of each cluster of similar files."""
+    members = similarity_clusters(table(spark, folder, "files"), "file_id", "corpus_id", "feature", FEATURE_DIMS)
+    return members.select("corpus_id", "cluster_id", "file_id", F.round("cosine", 6).alias("cosine"))
+
+
+def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster's size and most typical files."""
+    return describe(similarity_clusters(table(spark, folder, "files"), "file_id", "corpus_id", "feature", FEATURE_DIMS), "corpus_id", "file_id")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that follow each other in their clusters."""
+    pairs = neighbours_in_order(p2_members(spark, folder), "cluster_id", "file_id")
+    return pairs.select(F.col("first").alias("file_id_a"), F.col("second").alias("file_id_b"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chains of two or more like events."""
     return collapse_repeats(table(spark, folder, "note_events"), min_count=2).select("file_id", "start_frame", "end_frame")
@@ -130,7 +152,7 @@ with f as (select distinct file_id, corpus_id, root_pc from files),
 """
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found, "p5_patterns": p5_patterns, "p6_ids": p6_ids, "p6_texts": p6_texts, "p7_found": p7_found, "p7_assigned": p7_assigned, "p7_containers": p7_containers, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_members": p2_members, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found, "p5_patterns": p5_patterns, "p6_ids": p6_ids, "p6_texts": p6_texts, "p7_found": p7_found, "p7_assigned": p7_assigned, "p7_containers": p7_containers, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
 
 SQL = {
     "p1_found": _P1 + "select corpus_id, kind, term, mark from m where mark is not null",
