@@ -27,7 +27,7 @@ from tunelore.staging import stage
 CLOSED, FIRST, LAST, WHOLE = -1, 0, 1, 2
 FAN = 512
 
-RUN_FIELDS = "key bigint, start bigint, end bigint, n bigint, first_value double, last_value double, last_end bigint, first_id bigint, last_id bigint, chunk_from int, chunk_to int"
+RUN_FIELDS = "key bigint, start bigint, end bigint, n bigint, first_value double, last_value double, last_start bigint, last_end bigint, first_id bigint, last_id bigint, chunk_from int, chunk_to int"
 RUN_COLUMNS = [x.split()[0] for x in RUN_FIELDS.split(", ")]
 
 
@@ -93,7 +93,7 @@ def encode_runs(like: Likeness, key, start, end, value, ident, chunk: int) -> tu
     runs = pd.DataFrame(
         {
             "key": key[at], "start": start[at], "end": np.maximum.reduceat(end, at) if len(at) else end, "n": last - at + 1,
-            "first_value": value[at], "last_value": value[last], "last_end": end[last], "first_id": ident[at], "last_id": ident[last],
+            "first_value": value[at], "last_value": value[last], "last_start": start[last], "last_end": end[last], "first_id": ident[at], "last_id": ident[last],
             "chunk_from": np.full(len(at), chunk, np.int32), "chunk_to": np.full(len(at), chunk, np.int32), "slot": slot.astype(np.int32),
         }
     )
@@ -102,10 +102,10 @@ def encode_runs(like: Likeness, key, start, end, value, ident, chunk: int) -> tu
 
 def join_runs(like: Likeness, a: dict, b: dict) -> dict | None:
     """The run that two neighbouring runs form across a chunk boundary, or None."""
-    copies = a["key"] == b["key"] and a["last_id"] == b["first_id"]
+    copies = (a["key"], a["last_start"], a["last_id"]) == (b["key"], b["start"], b["first_id"])
     if not copies and not like.linked(a["key"], a["last_value"], a["last_end"], b["key"], b["first_value"], b["start"]):
         return None
-    return a | {"end": max(a["end"], b["end"]), "n": a["n"] + b["n"] - copies, "chunk_to": b["chunk_to"]} | {k: b[k] for k in ("last_value", "last_end", "last_id")}
+    return a | {"end": max(a["end"], b["end"]), "n": a["n"] + b["n"] - copies, "chunk_to": b["chunk_to"]} | {k: b[k] for k in ("last_value", "last_start", "last_end", "last_id")}
 
 
 def merge_ends(like: Likeness, ends: list[dict]) -> list[dict]:

@@ -70,9 +70,9 @@ def readings(df: DataFrame, source: str, order: list[str], ident: str, fields: l
         F.col(source).cast("bigint").alias("source"), *(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(n) for c, n in zip(order, names)),
         F.col(ident).cast("bigint").alias("ident"), (season if season is not None else F.lit(0)).cast("int").alias("season"), *(F.col(f.name).cast("double").alias(f"value_{i}") for i, f in enumerate(fields)),
     )
-    schema = "field int, source bigint, season int, ident bigint, value double, wild boolean, stuck boolean, " + RUN_FIELDS.replace("start bigint, end bigint, ", "") + ", chunk int, slot int"
+    schema = "field int, source bigint, season int, ident bigint, value double, wild boolean, stuck boolean, " + RUN_FIELDS.replace("end bigint, n", "n", 1) + ", chunk int, slot int"
     like = Likeness(0.0, None)
-    run_columns = [c for c in RUN_COLUMNS if c not in ("start", "end")]
+    run_columns = [c for c in RUN_COLUMNS if c != "end"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, table = whole_chunk(batches)
@@ -82,14 +82,15 @@ def readings(df: DataFrame, source: str, order: list[str], ident: str, fields: l
         places = [column(table, n) for n in names]
         copies = np.zeros(len(key), bool)
         copies[1:] = (key[1:] == key[:-1]) & (ident[1:] == ident[:-1]) & reduce(np.logical_and, ((p[1:] == p[:-1]) for p in places), np.ones(len(key) - 1, bool))
+        # a place's number only tells copies of a row from its neighbours
+        place = reduce(lambda a, p: a * 1_000_003 + p.view(np.int64), places, np.zeros(len(key), np.int64))
         for i, field in enumerate(fields):
             values = column(table, f"value_{i}")
             there = ~np.isnan(values) & ~copies
-            k, v, x, s = key[there], values[there], ident[there], seasons[there]
+            k, v, x, s, at = key[there], values[there], ident[there], seasons[there], place[there]
             if not len(k):
                 continue
-            zero = np.zeros(len(k), np.int64)
-            found, number, kept = encode_runs(like, k, zero, zero, v, x, chunk)
+            found, number, kept = encode_runs(like, k, at, at, v, x, chunk)
             n, slot = found["n"].to_numpy()[number], found["slot"].to_numpy()[number]
             k, v, x, s = k[kept], v[kept], x[kept], s[kept]
             out = {
@@ -108,7 +109,7 @@ def readings(df: DataFrame, source: str, order: list[str], ident: str, fields: l
             yield from pa.table(summary).to_batches()
 
     table = stage(range_chunks(base, ["source", *names], "ident", chunks).mapInArrow(local, schema), "readings")
-    ends = table.filter(F.col("key").isNotNull()).select("field", *(F.lit(0).cast("bigint").alias(c) if c in ("start", "end") else F.col(c) for c in RUN_COLUMNS), "chunk", "slot")
+    ends = table.filter(F.col("key").isNotNull()).select("field", *(F.lit(0).cast("bigint").alias(c) if c == "end" else F.col(c) for c in RUN_COLUMNS), "chunk", "slot")
     limits = F.element_at(F.array(*(F.lit(f.stuck) for f in fields)), F.col("field") + 1)
     crossing = merge_boundaries(ends, like, chunks, ["field"]).filter((F.col("chunk_from") < F.col("chunk_to")) & (F.col("n") >= limits))
     # the ends of chunks that a long enough crossing run covers: of its first chunk the last run, of its last chunk the first one, of those between all
@@ -123,7 +124,7 @@ def readings(df: DataFrame, source: str, order: list[str], ident: str, fields: l
 
 def _run_types() -> dict[str, pa.DataType]:
     kinds = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}
-    return {c: kinds[t] for c, t in (x.split() for x in RUN_FIELDS.split(", ")) if c not in ("start", "end")}
+    return {c: kinds[t] for c, t in (x.split() for x in RUN_FIELDS.split(", ")) if c != "end"}
 
 
 def frequencies(values: DataFrame) -> DataFrame:
@@ -151,14 +152,20 @@ def cutoffs(freq: DataFrame, rule: TailRule = TailRule()) -> DataFrame:
     stat = stat.withColumn("u_high", F.when(F.col("mad") > 0, F.least("q_high", rule.spread * F.col("mad"))).otherwise(F.greatest(F.lit(0.0), "q_high")))
     stat = stat.withColumn("u_low", F.when(F.col("mad") > 0, F.least(-F.col("q_low"), rule.spread * F.col("mad"))).otherwise(F.greatest(F.lit(0.0), -F.col("q_low"))))
     pair = reduce(lambda x, y: x & y, (F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by))
-    far = res.alias("r").join(stat.alias("s"), pair)
+    far = res.alias("r").join(stat.alias("s"), pair).select(
+        *(F.col(f"s.{c}").alias(c) for c in by), "s.mad", "s.total", "s.u_high", "s.u_low", "r.n", (F.col("r.residual") - F.col("s.u_high")).alias("over_high"), (-F.col("r.residual") - F.col("s.u_low")).alias("over_low")
+    )
+    # a first guess of the mean excess, from the median; ten times as much is a spike for certain and would only stretch the fit
+    guess = far.groupBy(*by).agg(*(F.percentile(F.when(F.col(f"over_{side}") > 0, F.col(f"over_{side}")), F.lit(0.5), F.col("n")).alias(f"guess_{side}") for side in ("high", "low")))
+    pair = reduce(lambda x, y: x & y, (F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by))
+    far = far.alias("f").join(guess.alias("g"), pair).select("f.*", "g.guess_high", "g.guess_low")
     sums = []
-    for side, excess in (("high", F.col("r.residual") - F.col("s.u_high")), ("low", -F.col("r.residual") - F.col("s.u_low"))):
-        # peaks beyond ten thresholds are spikes for certain and would only stretch the fit
-        peak = F.when((excess > 0) & (excess <= 10 * F.greatest(F.col(f"s.u_{side}"), F.col("s.mad"))), excess)
-        w = F.when(peak.isNotNull(), F.col("r.n"))
+    for side in ("high", "low"):
+        excess = F.col(f"over_{side}")
+        peak = F.when((excess > 0) & (excess <= 10 / 0.693 * F.col(f"guess_{side}")), excess)
+        w = F.when(peak.isNotNull(), F.col("n"))
         sums += [F.coalesce(F.sum(w), F.lit(0)).alias(f"peaks_{side}"), F.coalesce(F.sum(w * peak), F.lit(0.0)).alias(f"sum_{side}"), F.coalesce(F.sum(w * peak * peak), F.lit(0.0)).alias(f"squares_{side}")]
-    fit = far.groupBy(*(F.col(f"s.{c}").alias(c) for c in by), "s.mad", "s.total", "s.u_high", "s.u_low").agg(*sums)
+    fit = far.groupBy(*by, "mad", "total", "u_high", "u_low").agg(*sums)
     for side in ("high", "low"):
         n = F.col(f"peaks_{side}")
         mean = F.when(n > 0, F.col(f"sum_{side}") / n).otherwise(F.lit(0.0))
