@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunelore.operators.runs import range_chunks, whole_chunk
+from tunelore.staging import stage
 
 ARRAY_IDS = 4096
-PART = "grp bigint, kind string, term string, high bigint, ids binary, counts binary"
+PART = "grp bigint, kind string, term string, high bigint, ids binary, counts binary, held bigint, total bigint"
 #: A kind that holds every record of a group once.
 RECORDS = ""
 
@@ -105,7 +106,7 @@ def term_containers(df: DataFrame, record: str, group: str, maps: dict[str, str]
             out = pa.table(
                 {
                     "grp": pa.array([label[g] for g in grp[at[start]].tolist()], pa.int64()), "kind": pa.array([kind] * len(start)), "term": pa.array([terms[c] for c in code[start].tolist()]),
-                    "high": high[start], "ids": pa.array(ids, pa.binary()), "counts": pa.array(_binary(count.astype("<i8"), start, end), pa.binary()),
+                    "high": high[start], "ids": pa.array(ids, pa.binary()), "counts": pa.array(_binary(count.astype("<i8"), start, end), pa.binary()), "held": end - start, "total": np.add.reduceat(count, start),
                 }
             )
             yield from out.to_batches(max_chunksize=10_000)
@@ -125,15 +126,25 @@ def term_frequencies(df: DataFrame, record: str, group: str, maps: dict[str, str
     form a group.
     """
     parts = term_containers(df, record, group, maps, normalise)
-    held = parts.groupBy("grp", "kind", "term", "high").agg(F.collect_list(F.struct("ids", "counts")).alias("parts"))
+    held = parts.groupBy("grp", "kind", "term", "high").agg(F.collect_list(F.struct("ids", "counts", "held", "total")).alias("parts"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = [union([(p["ids"], p["counts"]) for p in parts]) for parts in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grp", "kind", "term")), pa.array([n for n, _ in sizes], pa.int64()), pa.array([t for _, t in sizes], pa.int64())], ["grp", "kind", "term", "n_records", "total_count"])
+            lists = b.column("parts")
+            ends = lists.offsets.to_numpy()
+            flat = lists.values
+            first = ends[:-1]
+            held, total = flat.field("held").to_numpy()[first], flat.field("total").to_numpy()[first]
+            several = np.flatnonzero(np.diff(ends) > 1)
+            if len(several):
+                held, total = held.copy(), total.copy()
+                ids, counts = flat.field("ids"), flat.field("counts")
+            for i in several.tolist():
+                held[i], total[i] = union([(ids[n].as_py(), counts[n].as_py()) for n in range(ends[i], ends[i + 1])])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("grp", "kind", "term")), pa.array(held), pa.array(total)], ["grp", "kind", "term", "n_records", "total_count"])
 
     sized = held.mapInArrow(measure, "grp bigint, kind string, term string, n_records bigint, total_count bigint")
-    sized = sized.groupBy("grp", "kind", "term").agg(F.sum("n_records").alias("n_records"), F.sum("total_count").alias("total_count"))
+    sized = stage(sized.groupBy("grp", "kind", "term").agg(F.sum("n_records").alias("n_records"), F.sum("total_count").alias("total_count")), "terms")
     terms = sized.filter(F.col("kind") != RECORDS).alias("t")
     records = sized.filter(F.col("kind") == RECORDS).alias("g")
     mark = F.when(F.col("t.n_records") <= rare, "rare").when(F.col("t.n_records") > common * F.col("g.n_records"), "common")
