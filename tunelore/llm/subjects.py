@@ -36,6 +36,7 @@ _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}")
 _DASH = re.compile(r"\s+(?:[–—]|--?)\s+.*$", re.S)
 #: Abbreviations before which and after which no sentence ends.
 _SHORT = {"cf", "no", "nr", "vgl", "n", "nº", "bzw", "ca", "st", "dr", "mr", "mrs", "op", "vol", "p", "pp", "art", "abs", "núm"}
+_LAST_WORD = re.compile(r"[^\W_]+$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ENDS = re.compile(r"[.!?…]+[\"'»”)]*\s+")
 #: Single letters with an accidental or octave, and other tokens of note lists, are no words.
@@ -107,8 +108,8 @@ def sentences(text: str | None) -> list[str]:
 
 
 def _abbreviated(line: str, end: int) -> bool:
-    before = re.search(r"([^\W_]+)$", line[:end])
-    return bool(before) and before[1].lower() in _SHORT
+    before = _LAST_WORD.search(line, max(0, end - 8), end)
+    return bool(before) and before[0].lower() in _SHORT
 
 
 @functools.lru_cache(maxsize=200_000)
