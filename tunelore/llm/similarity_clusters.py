@@ -260,7 +260,7 @@ def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims:
         near = cos >= tight.middle
         hit = np.flatnonzero(near.any(0))
         first = [int(ids[near[:, j]].min()) for j in hit]
-        return pd.DataFrame({"id": seed[hit], "first": np.array(first, np.int64), "n": near[:, hit].sum(0).astype(np.int64), "vec": [x[near[:, j]].sum(0) for j in hit]})
+        return pd.DataFrame({"id": seed[hit], "first": np.array(first, np.int64), "n": near[:, hit].sum(0).astype(np.int64), "vec": pd.Series([x[near[:, j]].sum(0) for j in hit], dtype=object)})
 
     seeds = records
     for _ in range(ROUNDS):

@@ -194,7 +194,7 @@ def frequent_patterns(note_events: DataFrame, files: DataFrame, pattern: Pattern
     bucket = F.when(F.col("long"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("file_id"), F.ceil(F.col("corpus_files") / bucket_files)))
     placed = stage(placed.withColumn("bucket", bucket.cast("int")), "placed")
     buckets = stage(placed.groupBy("corpus_id", "bucket").agg(F.count("*").alias("bucket_files"), F.first("corpus_files").alias("corpus_files")), "buckets")
-    split = stage(buckets.groupBy("corpus_id").agg((F.count("*") > 1).alias("split"), F.first("corpus_files").alias("corpus_files")), "corpora")
+    split = stage(buckets.groupBy("corpus_id").agg(((F.count("*") > 1) | (F.min("bucket") < 0)).alias("split"), F.first("corpus_files").alias("corpus_files")), "corpora")
     table = placed.alias("p").join(pieces.alias("x"), "file_id").join(buckets.alias("b"), F.col("p.corpus_id").eqNullSafe(F.col("b.corpus_id")) & (F.col("p.bucket") == F.col("b.bucket")))
     table = stage(table.filter(F.col("p.root").isNotNull()).select("file_id", "p.corpus_id", "p.root", "p.bucket", "b.bucket_files", "x.seq", "x.lead", "x.split"), "pieces")
     schema = f"{width}, bucket int, code bigint, support bigint, n bigint"
