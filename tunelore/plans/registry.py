@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tunelore.plans import corpus, measurements
+from tunelore.plans import corpus, measurements, symbolic
 
-_PARTS = (measurements, corpus)
+_PARTS = (measurements, corpus, symbolic)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL = {name: q for part in _PARTS for name, q in part.SQL.items()}
