@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tunelore.plans import clusters, corpus, measurements, records, segments, symbolic
+from tunelore.plans import clusters, corpus, mapping, measurements, records, segments, symbolic
 
-_PARTS = (measurements, corpus, symbolic, records, segments, clusters)
+_PARTS = (measurements, corpus, symbolic, records, segments, clusters, mapping)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL = {name: q for part in _PARTS for name, q in part.SQL.items()}
