@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's workers, once; not where PYTHONPATH names its folder."""
+    home, sc = Path(__file__).resolve().parent, spark.sparkContext
+    if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _SHIPPED:
+        return
+    at = Path(tempfile.mkdtemp(prefix="tunelore-")) / f"{home.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(at))
+    _SHIPPED.add(sc.applicationId)
+
 
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int | None = None) -> SparkSession:
     """A local session: UTC, adaptive execution on, as many shuffle partitions as threads."""
