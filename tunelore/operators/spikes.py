@@ -29,6 +29,8 @@ from tunelore.staging import stage
 
 #: A table of one row per source and field is broadcast up to this many rows.
 BROADCAST_ROWS = 20_000
+#: A tail of fewer peaks isn't fitted.
+FEW_PEAKS = 10
 
 
 @dataclass(frozen=True)
@@ -137,8 +139,8 @@ def cutoffs(freq: DataFrame, rule: TailRule = TailRule()) -> DataFrame:
 
     Thresholds and fits are the source's, over its seasonal residuals. The
     generalised Pareto distribution is fitted by moments, shape at most 0.5. A
-    tail without peaks, or whose peaks are all equal, has its threshold plus
-    the exponential quantile of that mean excess. A source with one value only
+    tail of fewer than FEW_PEAKS peaks, from which no shape can be told, has
+    the exponential tail of half a robust deviation. A source with one value only
     has cutoffs at that value.
     """
     by = ["field", "source"]
@@ -172,9 +174,10 @@ def cutoffs(freq: DataFrame, rule: TailRule = TailRule()) -> DataFrame:
         variance = F.when(n > 1, F.greatest(F.col(f"squares_{side}") / n - mean * mean, F.lit(0.0))).otherwise(F.lit(0.0))
         shape = F.when(variance > 0, F.least(0.5 * (1 - mean * mean / variance), F.lit(0.5))).otherwise(F.lit(0.0))
         scale = F.when(variance > 0, 0.5 * mean * (1 + mean * mean / variance)).otherwise(mean)
-        rate = F.greatest(n / F.col("total") / F.lit(rule.risk), F.lit(1.0))
+        shape, scale = F.when(n < FEW_PEAKS, 0.0).otherwise(shape), F.when(n < FEW_PEAKS, 0.5 * F.col("mad")).otherwise(scale)
+        rate = F.greatest(F.greatest(n, F.lit(1)) / F.col("total") / F.lit(rule.risk), F.lit(1.0))
         reach = F.when(F.abs(shape) < 1e-9, scale * F.log(rate)).otherwise(scale / shape * (F.pow(rate, shape) - 1))
-        fit = fit.withColumn(f"reach_{side}", F.col(f"u_{side}") + F.when(n > 0, reach).otherwise(F.lit(0.0)))
+        fit = fit.withColumn(f"reach_{side}", F.col(f"u_{side}") + reach)
     pair = reduce(lambda x, y: x & y, (F.col(f"c.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by))
     return centre.alias("c").join(fit.alias("t"), pair).select(
         *(F.col(f"c.{c}").alias(c) for c in [*by, "season", "centre"]), "t.mad", "t.total", "t.peaks_low", "t.peaks_high",
@@ -186,12 +189,11 @@ def normal_levels(freq: DataFrame, cuts: DataFrame, sigmas: float, rounds: int =
     """Mean and standard deviation of each field and source over its faultless values.
 
     Peaks (values beyond a peak threshold) more than ``sigmas`` deviations from
-    the mean are faults; starting without all peaks beyond the cutoffs, mean
-    and deviation are taken again until the faults stay the same.
+    the mean are faults; starting without any peak, mean and deviation are taken again until the faults stay the same.
     """
     by = ["field", "source"]
     pair = reduce(lambda x, y: x & y, (F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*by, "season"]))
-    judged = stage(freq.alias("f").join(cuts.alias("k"), pair).select(*(F.col(f"f.{c}").alias(c) for c in by), F.col("f.value"), F.col("f.n"), ((F.col("f.value") > F.col("k.peak_high")) | (F.col("f.value") < F.col("k.peak_low"))).alias("peak"), ((F.col("f.value") > F.col("k.cut_high")) | (F.col("f.value") < F.col("k.cut_low"))).alias("beyond"), F.col("k.centre")), "judged")
+    judged = stage(freq.alias("f").join(cuts.alias("k"), pair).select(*(F.col(f"f.{c}").alias(c) for c in by), F.col("f.value"), F.col("f.n"), ((F.col("f.value") > F.col("k.peak_high")) | (F.col("f.value") < F.col("k.peak_low"))).alias("peak"), F.col("k.centre")), "judged")
 
     def level(good: DataFrame) -> DataFrame:
         # deviations from the centre, so that squares stay small
@@ -199,7 +201,7 @@ def normal_levels(freq: DataFrame, cuts: DataFrame, sigmas: float, rounds: int =
         total = F.sum("n")
         return good.groupBy(*by).agg((F.sum(F.col("n") * F.col("value")) / total).alias("mean"), F.sqrt(F.greatest(F.sum(F.col("n") * d * d) / total - F.pow(F.sum(F.col("n") * d) / total, F.lit(2)), F.lit(0.0))).alias("sd"), total.alias("good"))
 
-    now = stage(level(judged.filter(~F.col("beyond"))), "level")
+    now = stage(level(judged.filter(~F.col("peak"))), "level")
     pair = reduce(lambda x, y: x & y, (F.col(f"j.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by))
     for _ in range(rounds):
         good = judged.alias("j").join(now.alias("l"), pair).filter(~F.col("j.peak") | (F.abs(F.col("j.value") - F.col("l.mean")) <= sigmas * F.col("l.sd"))).select("j.*")
