@@ -5,6 +5,9 @@ Notes have song, track, start, duration, pitch and id (a tie-breaker).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,3 +136,40 @@ def without_markers(notes: DataFrame, markers: DataFrame) -> DataFrame:
 def bend_semitones(value: Column, sensitivity: Column) -> Column:
     """Pitch-wheel value -8192..8191 in semitones, under a range of ``sensitivity``."""
     return value / 8192.0 * sensitivity
+
+
+def nearest_line(notes: DataFrame) -> DataFrame:
+    """song, start, duration, pitch: of each chord the note nearest to the last choice, of equals the higher; the first chord's highest.
+
+    Each choice depends on the one before, so a song's chords pass in order
+    through one task, a batch at a time, with the last pitch as all that is
+    kept. Notes without pitch are rests and choose nothing.
+    """
+    chords = notes.filter(F.col("pitch").isNotNull()).groupBy("song", "start").agg(F.sort_array(F.collect_set(F.struct("pitch", "duration"))).alias("chord"))
+    kind = notes.schema["song"].dataType.simpleString()
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        song = last = None
+        for pdf in batches:
+            chosen = []
+            for s, chord in zip(pdf["song"], pdf["chord"]):
+                if s != song:
+                    song, last = s, None
+                pick = max(chord, key=lambda n: (0 if last is None else -abs(n["pitch"] - last), n["pitch"], n["duration"]))
+                last = pick["pitch"]
+                chosen.append((pick["duration"], pick["pitch"]))
+            yield pd.DataFrame({"song": pdf["song"], "start": pdf["start"], "duration": [d for d, _ in chosen], "pitch": [p for _, p in chosen]})
+
+    return chords.repartition("song").sortWithinPartitions("song", "start").mapInPandas(local, f"song {kind}, start bigint, duration bigint, pitch int")
+
+
+def join_overlaps(line: DataFrame, by: list[str]) -> DataFrame:
+    """A line whose neighbouring notes of one pitch are one where the later begins before the earlier ends."""
+    w = W.partitionBy(*by).orderBy("start")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    pitched = line.withColumn("end", F.col("start") + F.col("duration")).withColumn("_p", F.count_if(F.coalesce(F.col("pitch") != F.lag("pitch").over(w), F.lit(True))).over(upto))
+    inner = W.partitionBy(*by, "_p").orderBy("start")
+    reach = F.max("end").over(inner.rowsBetween(W.unboundedPreceding, -1))
+    runs = pitched.withColumn("_r", F.coalesce(F.col("start") >= reach, F.lit(True)))
+    numbered = runs.withColumn("_k", F.count_if("_r").over(inner.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "_p", "_k", "pitch").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("duration")).drop("_p", "_k")

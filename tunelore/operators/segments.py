@@ -187,3 +187,23 @@ def fill_short_gaps(track: DataFrame, most: int, within: float) -> DataFrame:
     fits = (F.col("_r.frame") - F.col("_l.frame") - 1 <= most) & (F.abs(F.col("_r.midi") - F.col("_l.midi")) <= within)
     line = F.col("_l.midi") + (F.col("_r.midi") - F.col("_l.midi")) * (F.col("frame") - F.col("_l.frame")) / (F.col("_r.frame") - F.col("_l.frame"))
     return t.withColumn("filled", F.coalesce("midi", F.when(fits, line))).drop("_l", "_r")
+
+
+def resample_time(grid: DataFrame, targets: DataFrame) -> DataFrame:
+    """Values (file_id, pitch, frame, value; frames 0.. without holes) brought linearly to each file's number of frames (file_id, frames).
+
+    First and last frames stay; a grid of one frame is repeated, and one target
+    frame is the first of the source.
+    """
+    sizes = grid.groupBy("file_id").agg((F.max("frame") + 1).alias("_n"))
+    w = W.partitionBy("file_id", "pitch").orderBy("frame")
+    rows = grid.join(sizes, "file_id").join(targets.select("file_id", F.col("frames").alias("_m")), "file_id").withColumn("_next", F.lead("value").over(w))
+    # the target frames j whose place j (n - 1) / (m - 1) lies in [frame, frame + 1)
+    n1, m1 = F.col("_n") - 1, F.greatest(F.lit(1), F.col("_m") - 1)
+    first = F.ceil(F.try_divide(F.col("frame") * m1, n1))
+    last = F.when(F.col("frame") == n1, F.col("_m") - 1).otherwise(F.ceil(F.try_divide((F.col("frame") + 1) * m1, n1)) - 1)
+    places = F.when(F.col("_n") == 1, F.sequence(F.lit(0).cast("bigint"), F.col("_m").cast("bigint") - 1)).when(F.col("_m") == 1, F.when(F.col("frame") == 0, F.array(F.lit(0).cast("bigint")))).when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint")))
+    spread = rows.filter("_m > 0").withColumn("_j", F.explode(places))
+    part = F.coalesce(F.try_divide(F.col("_j") * n1, F.col("_m") - 1), F.lit(0.0)) - F.col("frame")
+    value = F.when((F.col("_n") == 1) | F.col("_next").isNull() | (F.col("_m") == 1), F.col("value")).otherwise(F.col("value") + (F.col("_next") - F.col("value")) * part)
+    return spread.select("file_id", "pitch", F.col("_j").alias("frame"), value.alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tunelore.operators import grammar, rhythm, scales, tonic, weights
+from tunelore.operators import grammar, keys, rhythm, scales, tonic, weights
 from tunelore.operators.events import EVENT_SQL, melody_events
 from tunelore.operators.phrases import PhraseRule, detect_phrases, split_phrases
 from tunelore.staging import stage
@@ -215,6 +215,17 @@ def micro_tuning(spark: SparkSession, folder: str) -> DataFrame:
     return rhythm.micro_tuning(scaled(spark, folder)[0])
 
 
+def detected_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The key of each file by correlation with the modes' profiles."""
+    return _round(keys.detect_keys(melody_events(spark, folder)), "score")
+
+
+def scale_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes of a pentatonic scale nearest to each event."""
+    near = keys.nearest_scale_notes(F.col("source_midi"), F.col("file_id") % 12, [0, 2, 4, 7, 9], 4.5, 3)
+    return melody_events(spark, folder).select("file_id", "seq", F.posexplode(near).alias("pos", "note"))
+
+
 def corpus_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, pitch range and duration by cluster, by cluster and channel, and overall."""
     events = melody_events(spark, folder).withColumn("cluster_id", F.col("file_id") % CLUSTERS)
@@ -328,7 +339,7 @@ QUERIES = {
     for f in (
         pc_occupancy, note_events, phrase_gap_sessions, raw_phrases, phrases, phrase_summary, ending_share, root_generic, root_histogram, degree_shares, scale_candidates, core_scale, auxiliary_degrees, root_with_scale, scale_runs,
         interval_histogram, transition_counts, ngram_support, supported_ngrams, cadence_patterns, degree_weights, interval_weights, trigram_weights, preferred_phrases, cadence_weights, register_profile, duration_ratios, phrase_end_ratio,
-        rhythm_bins, micro_tuning, corpus_rollup,
+        rhythm_bins, micro_tuning, corpus_rollup, detected_keys, scale_neighbours,
     )
 } | {"transition_weights": _transitions("transition"), "ascending_weights": _transitions("ascending"), "descending_weights": _transitions("descending")}
 
@@ -387,5 +398,11 @@ SQL = {
     a as (select cluster_id, degree, c, med, median(abs(c - med)) over (partition by cluster_id, degree) as mad from c join m using (cluster_id, degree)),
     o as (select cluster_id, degree, count(*) as n, least(35, greatest(-35, median(c))) as v from a where mad <= 0 or abs(c - med) <= greatest(8, 3.5 * mad) group by all having count(*) >= 8)
     select cluster_id, degree, n, round(v, 2) as cents from o where abs(v) >= 2""",
+    "detected_keys": _EVENTS + f""", h as (select file_id, pc, sum(frames) as d from ev group by all), u as (select file_id, pc, d / sqrt(sum(d * d) over (partition by file_id)) as d from h),
+    p as (select unnest(range(12)) as i, unnest({keys.MAJOR}) as a, unnest({keys.MINOR}) as b), q as (select i, 'major' as mode, a / sqrt((select sum(a * a) from p)) as w from p union all select i, 'minor', b / sqrt((select sum(b * b) from p)) from p),
+    s as (select file_id, r.root, mode, sum(d * w) as score from u cross join (select unnest(range(12)) as root) r join q on q.i = (pc - r.root + 12) % 12 group by all)
+    select file_id, root, mode, round(score, 6) as score from (select *, row_number() over (partition by file_id order by score desc, root, mode) as k from s) where k = 1""",
+    "scale_neighbours": _EVENTS + """, c as (select file_id, seq, note, abs(note - source_midi) as away, row_number() over (partition by file_id, seq order by abs(note - source_midi), note) as k from ev cross join (select unnest(range(128)) as note) where list_contains([0, 2, 4, 7, 9], ((note - file_id % 12) % 12 + 12) % 12))
+    select file_id, seq, k - 1 as pos, note from c where k <= 3 and (away <= 4.5 or k = 1)""",
     "corpus_rollup": _EVENTS + f"select file_id % {CLUSTERS} as cluster_id, channel, count(*) as n_events, min(pitch) as least_pitch, max(pitch) as largest_pitch, sum(frames) as frames from ev group by rollup (cluster_id, channel)",
 }

@@ -9,6 +9,7 @@ from tunelore.functions import scalars as s
 from tunelore.functions.text import fold_accents, title_key
 from tunelore.operators import matching as m
 from tunelore.operators.events import EVENT_SQL, melody_events
+from tunelore.operators.keys import stem_role
 from tunelore.sources.tables import table
 
 #: Labels of file kinds and the words that show them.
@@ -114,6 +115,11 @@ def scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stem_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """The role that each source's name tells."""
+    return table(spark, folder, "sources").select("source_id", "name", stem_role(F.col("name")).alias("told"))
+
+
 def title_keys(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "corpora").select("corpus_id", title_key("name").alias("key"))
 
@@ -131,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         note_tokens, duration_tokens, pair_outer, dedupe_digest, dedupe_two_key, prefix_join, fuzzy_lookup, keep_unknown_filter, anti_join, semi_join, id_sets, unique_ids, path_labels, keyword_columns, case_conditions, scalar_functions,
-        title_keys, folded_names,
+        title_keys, folded_names, stem_roles,
     )
 }
 SQL = {
@@ -165,6 +171,7 @@ SQL = {
     c as (select file_id, unnest([coalesce(nullif(instr(t, ' mp3 '), 0), nullif(instr(t, ' ogg '), 0)), coalesce(nullif(instr(t, ' wav '), 0), nullif(instr(t, ' flac '), 0)), nullif(instr(t, ' take '), 0)]) as place, unnest(['packed', 'plain', 'take']) as label from p)
     select file_id, coalesce(arg_min(label, (place, label)) filter (place is not null), 'unknown') as label from c group by all""",
     "keyword_columns": "select source_id, name from sources where contains(replace(name, '_', ''), 'vocals') and contains(replace(name, '_', ''), 'stem')",
+    "stem_roles": "select source_id, name, case when contains(name, 'vocal') then 'vocals' when contains(name, 'drum') then 'drums' when contains(name, 'bass') then 'bass' when contains(name, 'other') then 'other' when contains(name, 'guitar') then 'guitar' when contains(name, 'piano') then 'piano' end as told from sources",
     "case_conditions": """select filename, nullif(regexp_extract(filename, '^(.+?_test)(?:_|[.]wav$)', 1), '') as "case", case when regexp_extract(filename, '^(.+?_test)(?:_|[.]wav$)', 1) = '' then null when ends_with(filename, '_test.wav') then 'original' else split_part(regexp_extract(filename, '_test_(.*)[.]wav', 1), '.', 1) end as condition
     from (select case source_id % 3 when 0 then name || '_test.wav' when 1 then name || '_test_' || role || '_v9.wav' else name || '.wav' end as filename from sources)""",
     "scalar_functions": f"""with {EVENT_SQL.strip()}, h as (select *, pitch + case when seq % 2 = 0 then 0.5 else cents / 100.0 end as half from ev)

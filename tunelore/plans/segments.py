@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunelore.operators import keys
 from tunelore.operators import segments as g
 from tunelore.operators.events import EVENT_SQL, melody_events
 from tunelore.sources.tables import table
@@ -133,6 +134,18 @@ def filled_track(spark: SparkSession, folder: str) -> DataFrame:
     return g.fill_short_gaps(_track(spark, folder), 2, 20.0).withColumn("filled", F.round("filled", 6))
 
 
+def beat_phases(spark: SparkSession, folder: str) -> DataFrame:
+    """The bar phase of each file, its events taken as beats."""
+    return keys.beat_phases(notes(spark, folder).select("file_id", (F.col("id") - 1).alias("beat"), F.col("amplitude").alias("strength"))).withColumn("score", F.round("score", 6))
+
+
+def resampled_curves(spark: SparkSession, folder: str) -> DataFrame:
+    """Each file's amplitudes brought to a number of frames of its own."""
+    curves = _dense(spark, folder).withColumn("frame", F.col("frame") - 1)
+    targets = curves.select("file_id", (F.col("file_id") % 90 + 1).alias("frames")).distinct()
+    return g.resample_time(curves, targets).withColumn("value", F.round("value", 6))
+
+
 _E = f"with {EVENT_SQL.strip()}"
 _BEATS = "b as (select user_id as file_id, user_id % 4 as phase, unnest(range(40)) as beat from (select distinct user_id from events)), bt as (select *, beat * 50 + file_id % 11 as time from b), bars as (select file_id, (beat - phase) // 4 as bar, time from bt where beat >= phase and (beat - phase) % 4 = 0), w as (select file_id, bar + 1 as segment_index, bar + 1 as start_bar, bar + 2 as end_bar, time as start, lead(time, 2) over (partition by file_id order by bar) as \"end\" from bars)"
 _QUALITY = """with n as (select distinct on (note_id) * from notes where pitch between 0 and 127 and confidence between 0 and 1 and not isnan(confidence)),
@@ -148,7 +161,7 @@ _GRID = "gr as (select file_id, pitch, frame, max(amp) as amp from (select file_
 
 QUERIES = {
     f.__name__: f
-    for f in (bar_windows, notes_in_windows, segment_quality, segment_gate, bridge_gaps, path_to_notes, covering_windows, overlap_add, posterior_fusion, onset_rises, onset_peaks, note_grid, smoothed_track, filled_track)
+    for f in (bar_windows, notes_in_windows, segment_quality, segment_gate, bridge_gaps, path_to_notes, covering_windows, overlap_add, posterior_fusion, onset_rises, onset_peaks, note_grid, smoothed_track, filled_track, beat_phases, resampled_curves)
 }
 SQL = {
     "bar_windows": f'with {_BEATS} select * from w where "end" is not null',
@@ -182,6 +195,13 @@ SQL = {
     r as (select *, case when lag(value, 2) over w is not null then greatest(0, least(value - lag(value) over w, value - lag(value, 2) over w)) else 0 end as x from c window w as (partition by file_id order by frame))
     select file_id, pitch, frame, value, round(case when max(x) over (partition by file_id) > 1e-12 then x / max(x) over (partition by file_id) else 0 end, 6) as rise from r""",
     "onset_peaks": _E + ", c as (select file_id, file_id % 2 as pitch, seq as frame, (event_id % 100) / 100.0::double as value, lag((event_id % 100) / 100.0::double) over w as a, lead((event_id % 100) / 100.0::double) over w as b from ev window w as (partition by file_id order by seq)) select file_id, pitch, frame, value from c where value >= 0.5 and value >= a and value >= b",
+    "beat_phases": _E + """, b as (select file_id, seq - 1 as beat, (event_id % 100) / 100.0::double as s, lead((event_id % 100) / 100.0::double) over (partition by file_id order by seq) as nx from ev),
+    p as (select file_id, beat % 4 as phase, avg(s) + 0.25 * coalesce(avg(s - nx), 0) as score from b group by all having count(*) >= 2)
+    select file_id, arg_max(phase, (score, -phase)) as phase, round(max(score), 6) as score from p group by file_id""",
+    "resampled_curves": _E + """, c as (select file_id, file_id % 2 as pitch, seq - 1 as frame, (event_id % 100) / 100.0::double as value from ev), z as (select file_id, max(frame) + 1 as n, file_id % 90 + 1 as m from c group by file_id),
+    j as (select *, unnest(range(m)) as j from z), x as (select *, case when m = 1 then 0 else j * (n - 1) / (m - 1) end as x from j),
+    k as (select *, floor(x + 1e-9)::bigint as lo from x)
+    select k.file_id, a.pitch, j as frame, round(a.value + coalesce(b.value - a.value, 0) * (x - lo), 6) as value from k join c a on a.file_id = k.file_id and a.frame = lo left join c b on b.file_id = k.file_id and b.frame = lo + 1""",
     "note_grid": _E + f", {_GRID.format(20)} select file_id, pitch, frame, amp as amplitude from gr",
     "smoothed_track": _E + ", t as (select file_id, seq as frame, case when event_id % 4 > 0 then midi_cents / 100.0::double end as midi from ev) select *, round(case when midi is not null then median(midi) over (partition by file_id order by frame rows between 2 preceding and 2 following) end, 6) as smooth from t",
     "filled_track": _E + """, t as (select file_id, seq as frame, case when event_id % 4 > 0 then midi_cents / 100.0::double end as midi from ev),

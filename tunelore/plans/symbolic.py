@@ -86,6 +86,17 @@ def pitch_bend_summary(spark: SparkSession, folder: str) -> DataFrame:
     return bent.groupBy("song").agg(F.count("*").alias("n_notes"), F.round(F.avg((F.abs("bend") > 0.05).cast("int")), 6).alias("bent_fraction"), F.round(F.max(F.abs("bend")), 6).alias("largest_bend"))
 
 
+def nearest_line(spark: SparkSession, folder: str) -> DataFrame:
+    """Each song's chords as the line of nearest notes."""
+    return m.nearest_line(notes(spark, folder))
+
+
+def join_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Coarse top lines with overlapping notes of one pitch joined."""
+    top = m.top_of_chords(notes(spark, folder).withColumn("pitch", F.floor(F.col("pitch") / 12)), ["song"])
+    return m.join_overlaps(top, ["song"])
+
+
 _N = f"with {EVENT_SQL.strip()}, n as (select file_id as song, channel as track, start_frame // 8 * 8 as start, frames * 2 as duration, pitch, event_id as id from ev)"
 _MONO = """, top as (select song, track, start, max(pitch) as pitch, max(duration) filter (pitch = p) as duration from (select *, max(pitch) over (partition by song, track, start) as p from n) group by all),
 mono as (select song, track, start, pitch, case when lead(start) over w < start + duration then greatest(1, lead(start) over w - start) else duration end as duration from top window w as (partition by song, track order by start))"""
@@ -98,7 +109,7 @@ sc as (
   from s join t using (song, track))"""
 _PICK = {"auto": "score desc, index", "first": "index", "most-notes": "n_notes desc, monophony desc, index", "highest": "mean_pitch desc, monophony desc, score desc, index"}
 
-QUERIES = {f.__name__: f for f in (monophonize, origin_shift, monophony_score, track_scores, select_tracks, marker_pitches, tempo_seconds, note_on_off_pairs, pitch_bend_summary)}
+QUERIES = {f.__name__: f for f in (monophonize, origin_shift, monophony_score, track_scores, select_tracks, marker_pitches, tempo_seconds, note_on_off_pairs, pitch_bend_summary, nearest_line, join_overlaps)}
 SQL = {
     "monophonize": _N + _MONO + " select * from mono",
     "origin_shift": _N + _MONO + " select song, track, start - min(start) over (partition by song, track) as start, pitch, duration from mono",
@@ -118,5 +129,17 @@ SQL = {
     b as (select *, max(lead) over (partition by song, track, pitch order by tick, is_on, id rows between unbounded preceding and 1 preceding) as top from a),
     c as (select *, row_number() over (partition by song, track, pitch, is_on order by tick, id) as r from b where is_on = 1 or lead <= greatest(0, coalesce(top, 0)))
     select song, track, pitch, x.tick as start, y.tick as "end" from c x join c y using (song, track, pitch, r) where x.is_on = 1 and y.is_on = 0 and y.tick > x.tick""",
+    "nearest_line": _N.replace("with ", "with recursive ", 1) + """, c as (select song, start, list(distinct {'p': pitch, 'd': duration}) as chord, row_number() over (partition by song order by start) as k from n group by song, start),
+    w(song, k, start, pick) as (
+      select song, k, start, list_last(list_sort(chord)) from c where k = 1
+      union all
+      select c.song, c.k, c.start, list_last(list_sort(list_transform(chord, lambda x: {'a': -abs(x.p - w.pick.p), 'p': x.p, 'd': x.d}))) from w join c on c.song = w.song and c.k = w.k + 1)
+    select song, start, pick.d as duration, pick.p as pitch from w""".replace("list_last(list_sort(chord))", "list_last(list_sort(list_transform(chord, lambda x: {'a': 0, 'p': x.p, 'd': x.d})))"),
+    "join_overlaps": _N + """, q as (select song, start, pitch // 12 as pitch, duration from n), t as (select song, start, max(pitch) as pitch, max(duration) filter (pitch = p) as duration from (select *, max(pitch) over (partition by song, start) as p from q) group by all),
+    a as (select *, start + duration as e, case when pitch = lag(pitch) over w then 0 else 1 end as f from t window w as (partition by song order by start)),
+    b as (select *, sum(f) over (partition by song order by start rows unbounded preceding) as g from a),
+    c as (select *, case when start < max(e) over (partition by song, g order by start rows between unbounded preceding and 1 preceding) then 0 else 1 end as h from b),
+    d as (select *, sum(h) over (partition by song, g order by start rows unbounded preceding) as k from c)
+    select song, pitch, min(start) as start, max(e) - min(start) as duration from d group by song, g, k, pitch""",
     "pitch_bend_summary": f"with {EVENT_SQL.strip()} select file_id as song, count(*) as n_notes, round(avg((abs(cents) / 100.0 > 0.05)::int), 6) as bent_fraction, round(max(abs(cents)) / 100.0, 6) as largest_bend from ev group by all",
 }
