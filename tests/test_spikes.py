@@ -6,12 +6,17 @@ import statistics
 
 import pytest
 
-from tunelore.operators.spikes import Field, spikes
+from tunelore.operators.spikes import Field, Measured
+from tunelore.operators.spikes import spikes as all_spikes
 
 SCHEMA = "note_id bigint, source_id bigint, t double, pitch double, field string, value int, source string"
 FIELDS = [Field("pitch", 0, 127, 4)]
 
 
+def spikes(df, source, order, ident, fields, season=None, sigmas=None):
+    return all_spikes([Measured(df, source, order, ident, fields, season)], sigmas=sigmas)
+
+
 def rows_of(seed, n=400):
     rng = random.Random(seed)
     rows = []

@@ -57,14 +57,28 @@ class TailRule:
     risk: float = 1e-6
 
 
-def readings(df: DataFrame, source: str, order: list[str], ident: str, fields: list[Field], season: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Measured:
+    """A table of measurements: its source, the columns of its time order, its id, its fields, and the season of a row."""
+
+    df: DataFrame
+    source: str
+    order: list[str]
+    ident: str
+    fields: list[Field]
+    season: Column | None = None
+
+
+def readings(table: Measured, first_field: int = 0) -> DataFrame:
     """Staged rows (field, source, season, ident, value, wild, stuck), one for each present value.
 
     wild: outside the plausible range. stuck: in a run of equal consecutive
     values of the source, missing values (null, NaN) skipped. Rows that repeat
     in source, order and ident count once. Values without a source are a source
-    of their own (null); values without order come first.
+    of their own (null); values without order come first. Fields are numbered
+    from ``first_field``.
     """
+    df, source, order, ident, fields, season = table.df, table.source, table.order, table.ident, table.fields, table.season
     spark = df.sparkSession
     chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"order_{i}" for i in range(len(order))]
@@ -96,7 +110,7 @@ def readings(df: DataFrame, source: str, order: list[str], ident: str, fields: l
             n, slot = found["n"].to_numpy()[number], found["slot"].to_numpy()[number]
             k, v, x, s = k[kept], v[kept], x[kept], s[kept]
             out = {
-                "field": np.full(len(k), i, np.int32), "source": pa.array(k, mask=k == -1 << 62), "season": s.astype(np.int32), "ident": x, "value": v,
+                "field": np.full(len(k), first_field + i, np.int32), "source": pa.array(k, mask=k == -1 << 62), "season": s.astype(np.int32), "ident": x, "value": v,
                 "wild": ~((v >= field.low) & (v <= field.high)), "stuck": n >= field.stuck,
             }
             nothing = {c: pa.nulls(len(k), t) for c, t in _run_types().items()}
@@ -106,13 +120,13 @@ def readings(df: DataFrame, source: str, order: list[str], ident: str, fields: l
             yield from pa.table(out).to_batches()
             ends = found[found["slot"] != CLOSED]
             rows = len(ends)
-            summary = {"field": pa.array(np.full(rows, i, np.int32))} | {c: pa.nulls(rows, t) for c, t in (("source", pa.int64()), ("season", pa.int32()), ("ident", pa.int64()), ("value", pa.float64()), ("wild", pa.bool_()), ("stuck", pa.bool_()))}
+            summary = {"field": pa.array(np.full(rows, first_field + i, np.int32))} | {c: pa.nulls(rows, t) for c, t in (("source", pa.int64()), ("season", pa.int32()), ("ident", pa.int64()), ("value", pa.float64()), ("wild", pa.bool_()), ("stuck", pa.bool_()))}
             summary |= {c: pa.array(ends[c].to_numpy(), _run_types()[c]) for c in run_columns} | {"chunk": pa.array(np.full(rows, chunk, np.int32)), "slot": pa.array(ends["slot"].to_numpy(np.int32))}
             yield from pa.table(summary).to_batches()
 
     table = stage(range_chunks(base, ["source", *names], "ident", chunks).mapInArrow(local, schema), "readings")
     ends = table.filter(F.col("key").isNotNull()).select("field", *(F.lit(0).cast("bigint").alias(c) if c == "end" else F.col(c) for c in RUN_COLUMNS), "chunk", "slot")
-    limits = F.element_at(F.array(*(F.lit(f.stuck) for f in fields)), F.col("field") + 1)
+    limits = F.element_at(F.array(*(F.lit(f.stuck) for f in fields)), F.col("field") + 1 - first_field)
     crossing = merge_boundaries(ends, like, chunks, ["field"]).filter((F.col("chunk_from") < F.col("chunk_to")) & (F.col("n") >= limits))
     # the ends of chunks that a long enough crossing run covers: of its first chunk the last run, of its last chunk the first one, of those between all
     spans = crossing.select("field", "chunk_from", "chunk_to", F.explode(F.sequence("chunk_from", "chunk_to")).alias("chunk")).select(
@@ -214,16 +228,19 @@ def normal_levels(freq: DataFrame, cuts: DataFrame, sigmas: float, rounds: int =
     return now
 
 
-def spikes(df: DataFrame, source: str, order: list[str], ident: str, fields: list[Field], season: Column | None = None, rule: TailRule = TailRule(), sigmas: float | None = None) -> DataFrame:
-    """Cases (field, ident, reason): reason lists ``range``, ``stuck`` and ``tail``, joined by ``+``.
+def spikes(tables: list[Measured], rule: TailRule = TailRule(), sigmas: float | None = None) -> DataFrame:
+    """Cases (field, record_id, reason): reason lists ``range``, ``stuck`` and ``tail``, joined by ``+``.
 
     A value is in the tail beyond its source's peaks-over-threshold cutoff; with
     ``sigmas``, a peak is instead in the tail if it lies more than so many
     standard deviations from the mean of its source's faultless values, an
     exact check of the peaks. Missing values are never cases; an empty table
-    has none.
+    has none. After the chunk pass, the fields of all tables are judged
+    together.
     """
-    values = readings(df, source, order, ident, fields, season)
+    fields = [f for t in tables for f in t.fields]
+    starts = [sum(len(t.fields) for t in tables[:i]) for i in range(len(tables))]
+    values = reduce(DataFrame.unionByName, (readings(t, n) for t, n in zip(tables, starts)))
     freq = frequencies(values)
     cuts = stage(cutoffs(freq, rule), "cutoffs")
     by = ["field", "source", "season"]

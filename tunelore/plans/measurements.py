@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelore.operators.spikes import Field, spikes
+from tunelore.operators.spikes import Field, Measured, spikes
 from tunelore.sources.tables import table
 
 NOTE_FIELDS = [Field("pitch", 0, 127, 10), Field("confidence", 0, 1, 10)]
@@ -14,9 +14,9 @@ SIGMAS = 6.0
 
 
 def _spikes(spark: SparkSession, folder: str, sigmas: float | None) -> DataFrame:
-    notes = spikes(table(spark, folder, "notes"), "source_id", ["candidate_id", "start_s"], "note_id", NOTE_FIELDS, sigmas=sigmas)
-    candidates = spikes(table(spark, folder, "candidates"), "source_id", ["candidate_id"], "candidate_id", CANDIDATE_FIELDS, sigmas=sigmas)
-    return notes.unionByName(candidates)
+    notes = Measured(table(spark, folder, "notes"), "source_id", ["candidate_id", "start_s"], "note_id", NOTE_FIELDS)
+    candidates = Measured(table(spark, folder, "candidates"), "source_id", ["candidate_id"], "candidate_id", CANDIDATE_FIELDS)
+    return spikes([notes, candidates], sigmas=sigmas)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
