@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelore.operators import mapping as m
+from tunelore.operators.learning import learn_profiles
 from tunelore.plans.corpus import _PHRASES, rooted
+from tunelore.plans.corpus import SQL as corpus_sql
 from tunelore.sources.profiles import SCHEMA, profile_weights, with_defaults
 from tunelore.staging import stage
 
@@ -42,10 +44,14 @@ def profile_long(spark: SparkSession, folder: str) -> DataFrame:
 
 def profile_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """The weights of profiles written as JSON and read again."""
-    from pyspark.sql.types import StructType
-
     docs = profiles(spark).select(F.to_json(F.struct("*")).alias("j"))
-    return profile_weights(with_defaults(docs.select(F.from_json("j", StructType.fromDDL(SCHEMA)).alias("p")).select("p.*")))
+    return profile_weights(with_defaults(docs.select(F.from_json("j", SCHEMA).alias("p")).select("p.*")))
+
+
+def learned_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The stand-in clusters' learned profiles, written as JSON, read with the profile schema, as rows of weights."""
+    learned = learn_profiles(rooted(spark, folder)).select(F.to_json(F.struct("*")).alias("j"))
+    return profile_weights(with_defaults(learned.select(F.from_json("j", SCHEMA).alias("p")).select("p.*")))
 
 
 def _melodies(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,12 +102,17 @@ def mapping_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SNAPPED = _PHRASES + f", sn as (select *, pitch - {SNAP}[degree + 1] as target from de)"
-QUERIES = {f.__name__: f for f in (profile_json, profile_long, profile_roundtrip, map_phrases, map_melody, learned_scores, register_shift, rhythm_rewrite, mapping_metrics)}
+QUERIES = {f.__name__: f for f in (profile_json, profile_long, profile_roundtrip, learned_profiles, map_phrases, map_melody, learned_scores, register_shift, rhythm_rewrite, mapping_metrics)}
 _LONG = " union all ".join(
     f"select '{p['id']}' as id, '{kind}' as kind, '{key}' as key, {w}::double as weight"
     for p in PROFILES[:1] for kind, held in p["grammar"].items() for key, w in (held.items() if isinstance(held, dict) else [(">".join(map(str, x["degrees"])), x["weight"]) for x in held if len(x["degrees"]) > 1])
 )
+_KINDS = {"degree_weights": ("degree_weights", "degree::varchar"), "interval_weights": ("interval_weights", '"interval"::varchar'), "trigram_weights": ("trigram_weights", "ngram"), "preferred_phrases": ("preferred_phrases", "ngram")}
+_KINDS |= {n: (q, "a || '>' || b") for q, n in (("transition_weights", "transition_weights"), ("ascending_weights", "ascending_transition_weights"), ("descending_weights", "descending_transition_weights"))}
+_LEARNED = [f"select 'cluster_' || cluster_id as id, '{k}' as kind, {key} as key, weight from ({corpus_sql[q]})" for k, (q, key) in _KINDS.items()]
+_LEARNED += [f"select 'cluster_' || cluster_id, case when n = 1 then 'cadence_degrees' else 'cadence_patterns' end, ngram, weight from ({corpus_sql['cadence_weights']})"]
 SQL = {
+    "learned_profiles": " union all ".join(_LEARNED),
     "profile_json": "select 'five' as id, 'five' as label, '0,2,4,7,9' as scale, 1.0::double as contour_penalty, 7 as candidate_count, 0.35::double as max_duration_change, true as modulates union all select 'minor', 'minor', '0,2,3,5,7,8,10', 1.0, 7, 0.35, false",
     "profile_long": _LONG,
     "profile_roundtrip": _LONG,
