@@ -205,7 +205,7 @@ def fit(texts: list[str], labels: list[str], subjects: list[str]) -> tuple[Model
     for j in range(len(subjects)):
         # nearer to the others' high scores, which new words don't raise, than to the subject's low ones, which they lower
         high, low = np.quantile(held[of != j, j], 0.995), np.quantile(held[of == j, j], 0.02)
-        thresholds[j] = high + 0.2 * max(0.0, low - high)
+        thresholds[j] = high + 0.3 * max(0.0, low - high)
     measures = {"texts": len(texts), "left_out": int(wrong.sum()), "sentences": len(rows), "accuracy": float((held.argmax(1) == of).mean()), "recall": float(np.mean(held[np.arange(len(of)), of] > thresholds[of]))}
     return Model(subjects, slots, weights, idf, float(np.log(1 + len(rows)) + 1), thresholds), measures
 
@@ -216,7 +216,8 @@ def document_subjects(documents: DataFrame, examples: DataFrame, subjects: DataF
     A document is about a subject if ``about`` of its sentences are, and these
     are at least ``share`` of all, or one in a text of one to three sentences.
     A sentence is about the subject of its best score above that subject's
-    threshold. Rows of one doc_id are one document; null and empty texts and
+    threshold, or above half of it where another sentence of the text is about
+    that subject. Rows of one doc_id are one document; null and empty texts and
     those without words have no subject. ``examples`` (example_id, text,
     subject) beyond ``most_texts`` are not used in the fit, those of the least
     hashes are; examples of unlisted subjects or without text are ignored, and
@@ -240,12 +241,14 @@ def document_subjects(documents: DataFrame, examples: DataFrame, subjects: DataF
             texts = [sentences(t) for t in b.column(1).to_pylist()]
             doc, subject, about, total = [], [], [], []
             scores = model.scores([s for t in texts for s in t])
-            best = np.where(scores.max(1) > model.thresholds[scores.argmax(1)], scores.argmax(1), -1) if len(scores) else np.zeros(0, int)
+            best = scores.argmax(1) if len(scores) else np.zeros(0, int)
+            ratio = scores[np.arange(len(best)), best] / model.thresholds[best]
             at = 0
             for i, t in enumerate(texts):
-                own = best[at : at + len(t)]
+                own, sure = best[at : at + len(t)], ratio[at : at + len(t)]
                 at += len(t)
-                counts = np.bincount(own[own >= 0], minlength=len(model.subjects))
+                clear = np.isin(own, own[sure > 1])
+                counts = np.bincount(own[clear & (sure > 0.5)], minlength=len(model.subjects))
                 for j in np.flatnonzero(counts >= (1 if len(t) <= 3 else share * len(t))):
                     if counts[j]:
                         doc.append(i), subject.append(model.subjects[j]), about.append(int(counts[j])), total.append(len(t))
