@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunelore.functions import scalars as s
-from tunelore.functions.text import decode_any, fold_accents, title_key
+from tunelore.functions.text import decode_any, fold_accents, join_url, title_key
 from tunelore.operators import clustering, grammar, matching, monophony, rhythm, scales, segments, tonic, weights
 
 
@@ -37,6 +37,8 @@ def test_text(spark):
     df = spark.createDataFrame([("Ａ b！（c）", "Zǐzhú diào"), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(title_key("a")).collect()] == ["abc", ""]
     assert [r[0] for r in df.select(fold_accents("b")).collect()] == ["zizhudiao", None]
+    urls = spark.createDataFrame([("http://a/b/c.html", " ../x y.mid#z"), ("http://a/", None)], "a string, b string")
+    assert [r[0] for r in urls.select(join_url("a", "b")).collect()] == ["http://a/x%20y.mid", None]
     raw = spark.createDataFrame([(bytearray("歌".encode("shift_jis")),), (bytearray(b"\xef\xbb\xbfx"),)], "c binary")
     assert [r[0] for r in raw.select(decode_any("c")).collect()] == ["歌", "x"]
 
@@ -139,3 +141,29 @@ def test_gates_and_windows(spark):
     assert got == [(True, ""), (False, "score<0.58;confidence<0.35;notes<3")]
     windows = segments.covering_windows(spark.createDataFrame([(1, 20), (2, 10), (3, 0)], "file_id int, duration int"), 12, 4).collect()
     assert [(r["file_id"], r["start"], r["end"], r["is_last"]) for r in windows] == [(1, 0, 12, False), (1, 8, 20, True), (2, 0, 10, True)]
+
+
+def test_bend_ranges(spark):
+    rows = [(0, None, None), (1, 6, 12), (2, 101, 0), (3, 100, 0), (4, 6, 7), (5, 38, 50), (6, 100, 1), (7, 6, 3)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "channel int, seq int, control int, value int")
+    assert [r["sensitivity"] for r in monophony.bend_ranges(df, ["channel"], ["seq"]).orderBy("seq").collect()] == [2.0, 2.0, 2.0, 2.0, 7.0, 7.5, 7.5, 7.5]
+
+
+def test_sinks(spark, tmp_path):
+    from tunelore.sources import sinks
+
+    mapped = spark.createDataFrame([("p", 1, 0, 3, 60.2, 62, 0, 5, 0, 5, "base")], "id string, file_id int, phrase int, seq int, source_midi double, target int, root int, frames int, start_frame int, end_frame int, name string")
+    report = sinks.event_report(mapped, spark.createDataFrame([("p", 2, -4.0)], "id string, degree int, cents double"))
+    assert report.columns == sinks.EVENT_COLUMNS and report.first()["target_note"] == "D4" and report.first()["tuning_cents"] == -4.0
+    sinks.write_table(report, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == sinks.EVENT_COLUMNS
+    notes = spark.createDataFrame([(1, 0.5, 1.0, 60, 0.9), (1, 0.0, 0.4, 62, 0.8)], "seg int, start_s double, end_s double, pitch int, confidence double")
+    docs = sinks.note_documents(notes, "seg")
+    sinks.write_documents(docs, str(tmp_path / "json"))
+    assert [n["pitch"] for n in docs.first()["notes"]] == [62, 60] and spark.read.json(str(tmp_path / "json")).count() == 1
+    read = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("b", None, "bad")], "path string, x int, error string")
+    counts, failures = sinks.corpus_manifest(read, "c")
+    assert counts.first()[:4] == ("c", 2, 1, 2) and [tuple(r) for r in failures.collect()] == [("b", "bad")]
+    clusters = spark.createDataFrame([(1, 0)], "file_id int, label int")
+    roots = spark.createDataFrame([(1, 2, 3.0, 0.5)], "file_id int, root int, score double, margin double")
+    assert sinks.assignments(clusters, roots, mapped).first()[1:3] == (1, "D")

@@ -44,3 +44,17 @@ def decode_any(content: pd.Series) -> pd.Series:
         return bytes(data).decode("utf-8", "replace")
 
     return content.map(read, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def join_url(base: pd.Series, href: pd.Series) -> pd.Series:
+    """A link's address on its page, without fragment, its path's blanks and non-ASCII characters escaped; null of a null side."""
+    from urllib.parse import quote, urldefrag, urljoin, urlsplit, urlunsplit
+
+    def whole(b: str | None, h: str | None) -> str | None:
+        if b is None or h is None:
+            return None
+        parts = urlsplit(urldefrag(urljoin(b, h.strip()))[0])
+        return urlunsplit(parts._replace(path=quote(parts.path, safe="/%:@!$&'()*+,;=~-._")))
+
+    return pd.Series([whole(b, h) for b, h in zip(base, href)], dtype=object)

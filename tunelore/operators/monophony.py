@@ -173,3 +173,17 @@ def join_overlaps(line: DataFrame, by: list[str]) -> DataFrame:
     runs = pitched.withColumn("_r", F.coalesce(F.col("start") >= reach, F.lit(True)))
     numbered = runs.withColumn("_k", F.count_if("_r").over(inner.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy(*by, "_p", "_k", "pitch").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("duration")).drop("_p", "_k")
+
+
+def bend_ranges(messages: DataFrame, by: list[str], order: list[str], default: float = 2.0) -> DataFrame:
+    """``messages`` with ``sensitivity``: the pitch-wheel range in semitones in force at each.
+
+    Controllers 101 and 100 choose a parameter; while it is 0/0, controller 6
+    sets semitones and controller 38 cents of the range.
+    """
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    held = lambda c: F.last(F.when(F.col("control") == c, F.col("value")), ignorenulls=True).over(w)
+    chosen = messages.withColumn("_open", (held(101) == 0) & (held(100) == 0))
+    coarse = F.last(F.when(F.col("_open") & (F.col("control") == 6), F.col("value")), ignorenulls=True).over(w)
+    fine = F.last(F.when(F.col("_open") & (F.col("control") == 38), F.col("value")), ignorenulls=True).over(w)
+    return chosen.withColumn("sensitivity", F.coalesce(coarse, F.lit(default)) + F.coalesce(fine, F.lit(0)) / 100.0).drop("_open")
