@@ -12,13 +12,13 @@ from tunelore.sources.tables import table
 EVENT_SQL = """
 ev0 as (
   select user_id as file_id, event_id, ts, event_type as channel, cast(regexp_extract(props, '[0-9]+') as integer) as k, cast(floor(value) as bigint) as whole,
-    row_number() over (partition by user_id order by ts, event_id) as seq,
+    row_number() over (partition by user_id order by ts, event_id)::integer as seq,
     (epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id)) // 2000000000 as gap
   from events),
 ev1 as (
   select file_id, event_id, seq, channel, 36 + k % 49 as pitch, event_id % 21 - 10 as cents, 4 + whole % 24 as frames, coalesce(least(60, gap), 0) as gap_frames from ev0),
 ev2 as (
-  select *, sum(frames + gap_frames) over (partition by file_id order by seq rows unbounded preceding) as end_frame from ev1),
+  select *, sum(frames + gap_frames) over (partition by file_id order by seq rows unbounded preceding)::bigint as end_frame from ev1),
 ev as (
   select file_id, event_id, seq, channel, pitch, cents, pitch * 100 + cents as midi_cents, pitch + cents / 100.0::double as source_midi, frames, gap_frames, end_frame - frames as start_frame, end_frame, pitch % 12 as pc from ev2)"""
 

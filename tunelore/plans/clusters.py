@@ -52,7 +52,7 @@ cnt as (
   union all select file_id, 'cadence', degree, count(*) from fs where is_end group by all
   union all select file_id, 'rhythm', list_position(away, list_min(away)) - 1, count(*) from fs group by all),
 shr as (select file_id, kind, place, n / sum(n) over (partition by file_id, kind) * case kind when 'degree' then 2.5 when 'interval' then 1.4 when 'signed' then 1.15 when 'cadence' then 1.6 else 0.65 end as v from cnt),
-dim as (select file_id, unnest(range(71)) as pos from (select distinct file_id from de)),
+dim as (select file_id, unnest(range(71))::integer as pos from (select distinct file_id from de)),
 flat as (
   select file_id, pos, coalesce(v, 0) as v from dim left join (select file_id, place + case kind when 'degree' then 0 when 'interval' then 12 when 'signed' then 24 when 'cadence' then 48 else 60 end as pos, v from shr) using (file_id, pos)),
 feat as (select file_id, pos, v / sqrt(sum(v * v) over (partition by file_id)) as value from flat)"""
@@ -63,6 +63,6 @@ SQL = {
     "pairwise_silhouette": _FEATURES + f""", dist as (select a.file_id, a.file_id % {CLUSTERS} as label, b.file_id % {CLUSTERS} as other, b.file_id as o, sqrt(sum((a.value - b.value) * (a.value - b.value))) as d from feat a join feat b using (pos) group by a.file_id, b.file_id),
     mean as (select file_id, label, other, case when label = other then coalesce(sum(d) / nullif(count(*) - 1, 0), 0) else avg(d) end as m from dist group by file_id, label, other),
     ab as (select file_id, label, max(m) filter (label = other) as a, min(m) filter (label <> other) as b from mean group by all)
-    select file_id, label, round((b - a) / greatest(a, b), 6) as silhouette from ab""",
-    "cluster_relabel": _PHRASES + ", z as (select root, row_number() over (order by count(*) desc, root) - 1 as label from roots group by root) select file_id, label from roots join z using (root)",
+    select file_id, label::integer as label, round((b - a) / greatest(a, b), 6) as silhouette from ab""",
+    "cluster_relabel": _PHRASES + ", z as (select root, (row_number() over (order by count(*) desc, root) - 1)::integer as label from roots group by root) select file_id, label from roots join z using (root)",
 }

@@ -243,19 +243,19 @@ cues as (
     coalesce(p_frames >= {RULE.long} * med and (start_frame - p_end > 0 or abs(midi_cents - p_cents) >= {RULE.leap}), false) as soft
   from near),
 raw(file_id, seq, held, phrase_raw) as (
-  select file_id, seq, 1, 0 from cues where seq = 1
+  select file_id, seq, 1, 0::bigint from cues where seq = 1
   union all
   select c.file_id, c.seq, case when c.hard or (r.held >= {RULE.least} and c.soft) then 1 else r.held + 1 end,
     r.phrase_raw + case when c.hard or (r.held >= {RULE.least} and c.soft) then 1 else 0 end
   from raw r join cues c on c.file_id = r.file_id and c.seq = r.seq + 1),
 sized as (select file_id, phrase_raw, count(*) as size from raw group by all),
 final as (
-  select file_id, phrase_raw, sum(case when phrase_raw = 0 or size >= {RULE.least} then 1 else 0 end) over (partition by file_id order by phrase_raw rows unbounded preceding) - 1 as phrase from sized),
+  select file_id, phrase_raw, sum(case when phrase_raw = 0 or size >= {RULE.least} then 1 else 0 end) over (partition by file_id order by phrase_raw rows unbounded preceding)::bigint - 1 as phrase from sized),
 pe as (select ev.*, final.phrase, ev.file_id % {CLUSTERS} as cluster_id from ev join raw using (file_id, seq) join final using (file_id, phrase_raw)),
 ends as (select file_id, phrase, arg_max(pc, seq) as pc, max(seq) as seq from pe group by all),
 occ as (
   select file_id, p.pc, coalesce(d, 0) as d, coalesce(n, 0) as n, coalesce(e, 0) as e
-  from (select distinct file_id from pe) cross join (select unnest(range(12)) as pc) p
+  from (select distinct file_id from pe) cross join (select unnest(range(12))::integer as pc) p
     left join (select file_id, pc, sum(greatest(1, frames)) as d, count(*) as n from pe group by all) using (file_id, pc)
     left join (select file_id, pc, count(*) as e from ends group by all) using (file_id, pc)),
 occs as (
@@ -269,10 +269,10 @@ roots as (
   from (select *, row_number() over (partition by file_id order by score, root) as rank from score) group by all),
 de as (select pe.*, root, (((pc - root) % 12) + 12) % 12 as degree from pe join roots using (file_id)),
 shares as (
-  select cluster_id, g.degree, coalesce(frames, 0) as frames, coalesce(frames, 0) / sum(coalesce(frames, 0)) over (partition by cluster_id) as share
-  from (select distinct cluster_id from de) cross join (select unnest(range(12)) as degree) g left join (select cluster_id, degree, sum(frames) as frames from de group by all) using (cluster_id, degree)),
+  select cluster_id, g.degree, coalesce(frames, 0)::bigint as frames, coalesce(frames, 0) / sum(coalesce(frames, 0)) over (partition by cluster_id) as share
+  from (select distinct cluster_id from de) cross join (select unnest(range(12))::integer as degree) g left join (select cluster_id, degree, sum(frames) as frames from de group by all) using (cluster_id, degree)),
 ranked as (
-  select cluster_id, row_number() over w + 1 as notes, share, coalesce(lead(share) over w, 0) as next_share, sum(share) over (partition by cluster_id order by share desc, degree rows unbounded preceding) as upto,
+  select cluster_id, (row_number() over w + 1)::integer as notes, share, coalesce(lead(share) over w, 0) as next_share, sum(share) over (partition by cluster_id order by share desc, degree rows unbounded preceding) as upto,
     list(degree) over (partition by cluster_id order by share desc, degree rows unbounded preceding) as degrees
   from shares where degree > 0 window w as (partition by cluster_id order by share desc, degree)),
 cand as (
@@ -318,7 +318,7 @@ def _weight(raw: str, scale: float) -> str:
 
 
 def _top(source: str, order: str, k: int, columns: str) -> str:
-    return f"select {columns}, rank from (select *, row_number() over (partition by cluster_id order by {order}) as rank from ({source}) where weight is not null) where rank <= {k}"
+    return f"select {columns}, rank from (select *, row_number() over (partition by cluster_id order by {order})::integer as rank from ({source}) where weight is not null) where rank <= {k}"
 
 
 def _transition_sql(kind: str, scale: float) -> str:
@@ -349,9 +349,9 @@ _SCORE2 = """4.00 * cov + 1.80 * a.e + 0.95 * (a.pc = final_pc)::int + 0.75 * a.
 _GRID = ", ".join(str(g) for g in rhythm.GRID)
 
 SQL = {
-    "pc_occupancy": _EVENTS + ", f as (select file_id, arg_max(pc, seq) as final_pc from ev group by 1), d as (select file_id, (((pc - final_pc) % 12) + 12) % 12 as degree, sum(greatest(1, frames)) as frames, count(*) as n_events from ev join f using (file_id) group by all) select *, round(frames / sum(frames) over (partition by file_id), 6) as share from d",
+    "pc_occupancy": _EVENTS + ", f as (select file_id, arg_max(pc, seq) as final_pc from ev group by 1), d as (select file_id, (((pc - final_pc) % 12) + 12) % 12 as degree, sum(greatest(1, frames))::bigint as frames, count(*) as n_events from ev join f using (file_id) group by all) select *, round(frames / sum(frames) over (partition by file_id), 6) as share from d",
     "note_events": _EVENTS + "select file_id, seq, channel, pitch, cents, frames, gap_frames, start_frame, end_frame, pc from ev",
-    "phrase_gap_sessions": _EVENTS + f", s as (select *, case when start_frame - lag(end_frame) over (partition by file_id order by seq) >= {RULE.gap} then 1 else 0 end as fresh from ev), n as (select *, sum(fresh) over (partition by file_id order by seq rows unbounded preceding) as session from s) select file_id, session, count(*) as n_events, min(start_frame) as start_frame, max(end_frame) as end_frame from n group by all",
+    "phrase_gap_sessions": _EVENTS + f", s as (select *, case when start_frame - lag(end_frame) over (partition by file_id order by seq) >= {RULE.gap} then 1 else 0 end as fresh from ev), n as (select *, sum(fresh) over (partition by file_id order by seq rows unbounded preceding)::bigint as session from s) select file_id, session, count(*) as n_events, min(start_frame) as start_frame, max(end_frame) as end_frame from n group by all",
     "raw_phrases": _PHRASES + "select file_id, phrase_raw, count(*) as n_events, min(start_frame) as start_frame, max(end_frame) as end_frame from raw join ev using (file_id, seq) group by all",
     "phrases": _PHRASES + "select file_id, seq, phrase from pe",
     "phrase_summary": _PHRASES + "select file_id, phrase, count(*) as n_events, min(start_frame) as start_frame, max(end_frame) as end_frame, arg_max(pc, seq) as end_pc from pe group by all",
@@ -364,7 +364,7 @@ SQL = {
     "auxiliary_degrees": _PHRASES + "select cluster_id, degree, round(share, 6) as share from shares join core using (cluster_id) where share >= 0.015 and not list_contains(scale, degree)",
     "root_with_scale": _PHRASES + f""", cover as (
       select o.file_id, o.cluster_id, scale, r.root, sum(d) as cov
-      from (select occs.*, file_id % {CLUSTERS} as cluster_id from occs) o join core using (cluster_id) cross join (select unnest(range(12)) as root) r where list_contains(scale, (((pc - r.root) % 12) + 12) % 12) group by all),
+      from (select occs.*, file_id % {CLUSTERS} as cluster_id from occs) o join core using (cluster_id) cross join (select unnest(range(12))::integer as root) r where list_contains(scale, (((pc - r.root) % 12) + 12) % 12) group by all),
     s2 as (select a.file_id, cluster_id, a.pc as root, cov, {_SCORE2} as score from occs a join occs b on b.file_id = a.file_id and b.pc = (a.pc + 7) % 12 join occs c on c.file_id = a.file_id and c.pc = (a.pc + 5) % 12 join finals f on f.file_id = a.file_id join cover on cover.file_id = a.file_id and cover.root = a.pc)
     select file_id, cluster_id, arg_max(root, rank) as root, round(max(score), 6) as score, round(max(score) - max(score) filter (rank < 12), 6) as margin, round(arg_max(cov, rank), 6) as coverage from (select *, row_number() over (partition by file_id order by score, root) as rank from s2) group by all""",
     "scale_runs": _PHRASES + "select file_id, phrase, seq, run, degree from runs",
@@ -385,7 +385,7 @@ SQL = {
     more as (select cluster_id, n, ngram, count, files, {_weight("ln((count / phrases + 1e-6) / (p_all + 1e-6))", 0.95)} as weight from base join (select cluster_id, n, ngram, count / sum(count) over (partition by cluster_id, n) as p_all from support) using (cluster_id, n, ngram) where n > 1)
     select * from one where weight is not null union all select * exclude (k) from (select *, row_number() over (partition by cluster_id order by weight desc, files desc, count desc, ngram) as k from more where weight is not null) where k <= 12""",
     "register_profile": _EVENTS + f""", e as (select *, file_id % {CLUSTERS} as cluster_id from ev), s as (select cluster_id, midi_cents as v, sum(frames) as w from e group by all), r as (select *, sum(w) over (partition by cluster_id order by v rows unbounded preceding) as c, sum(w) over (partition by cluster_id) as t from s),
-    q as (select cluster_id, {_QUANTILES} from r group by all), x as (select cluster_id, min(midi_cents) as observed_min, max(midi_cents) as observed_max, count(*) as event_count, sum(frames) as weight from e group by all)
+    q as (select cluster_id, {_QUANTILES} from r group by all), x as (select cluster_id, min(midi_cents) as observed_min, max(midi_cents) as observed_max, count(*) as event_count, sum(frames)::bigint as weight from e group by all)
     select *, q3 - q1 as iqr, p90 - p10 as preferred_range from q join x using (cluster_id)""",
     "duration_ratios": _PHRASES + "select cluster_id, degree, n, round(v, 4) as multiplier from (select cluster_id, degree, count(*) as n, least(1.5, greatest(0.7, median(ratio))) as v from ratios where in_scale group by all) where n >= 4 and abs(v - 1) >= 0.04",
     "phrase_end_ratio": _PHRASES + "select cluster_id, count(*) as n, round(least(1.8, greatest(0.8, median(ratio))), 4) as multiplier from ratios where in_scale and is_end group by all",
@@ -400,9 +400,9 @@ SQL = {
     select cluster_id, degree, n, round(v, 2) as cents from o where abs(v) >= 2""",
     "detected_keys": _EVENTS + f""", h as (select file_id, pc, sum(frames) as d from ev group by all), u as (select file_id, pc, d / sqrt(sum(d * d) over (partition by file_id)) as d from h),
     p as (select unnest(range(12)) as i, unnest({keys.MAJOR}) as a, unnest({keys.MINOR}) as b), q as (select i, 'major' as mode, a / sqrt((select sum(a * a) from p)) as w from p union all select i, 'minor', b / sqrt((select sum(b * b) from p)) from p),
-    s as (select file_id, r.root, mode, sum(d * w) as score from u cross join (select unnest(range(12)) as root) r join q on q.i = (pc - r.root + 12) % 12 group by all)
+    s as (select file_id, r.root, mode, sum(d * w) as score from u cross join (select unnest(range(12))::integer as root) r join q on q.i = (pc - r.root + 12) % 12 group by all)
     select file_id, root, mode, round(score, 6) as score from (select *, row_number() over (partition by file_id order by score desc, root, mode) as k from s) where k = 1""",
-    "scale_neighbours": _EVENTS + """, c as (select file_id, seq, note, abs(note - source_midi) as away, row_number() over (partition by file_id, seq order by abs(note - source_midi), note) as k from ev cross join (select unnest(range(128)) as note) where list_contains([0, 2, 4, 7, 9], ((note - file_id % 12) % 12 + 12) % 12))
-    select file_id, seq, k - 1 as pos, note from c where k <= 3 and (away <= 4.5 or k = 1)""",
-    "corpus_rollup": _EVENTS + f"select file_id % {CLUSTERS} as cluster_id, channel, count(*) as n_events, min(pitch) as least_pitch, max(pitch) as largest_pitch, sum(frames) as frames from ev group by rollup (cluster_id, channel)",
+    "scale_neighbours": _EVENTS + """, c as (select file_id, seq, note, abs(note - source_midi) as away, row_number() over (partition by file_id, seq order by abs(note - source_midi), note) as k from ev cross join (select unnest(range(128))::integer as note) where list_contains([0, 2, 4, 7, 9], ((note - file_id % 12) % 12 + 12) % 12))
+    select file_id, seq, (k - 1)::integer as pos, note from c where k <= 3 and (away <= 4.5 or k = 1)""",
+    "corpus_rollup": _EVENTS + f"select file_id % {CLUSTERS} as cluster_id, channel, count(*) as n_events, min(pitch) as least_pitch, max(pitch) as largest_pitch, sum(frames)::bigint as frames from ev group by rollup (cluster_id, channel)",
 }

@@ -119,7 +119,7 @@ SQL = {
     "register_shift": _SNAPPED + """, s as (select file_id, target as v, sum(frames) as w from sn group by all), r as (select *, sum(w) over (partition by file_id order by v rows unbounded preceding) as c, sum(w) over (partition by file_id) as t from s),
     q as (select file_id, min(v) filter (c >= 0.1 * t) as q10, min(v) filter (c >= 0.5 * t) as q50, min(v) filter (c >= 0.9 * t) as q90, min(v) as low, max(v) as high from r group by all),
     k as (select *, abs(q50 + s - 72) + 0.45 * greatest(0, 60 - (q10 + s)) + 0.45 * greatest(0, q90 + s - 84) + abs(s) * 1e-6 as score from q cross join (select unnest(range(-60, 61, 12)) as s) where low + s >= 0 and high + s <= 127)
-    select 'five' as id, file_id, arg_min(s, score) as shift from k group by file_id""",
+    select 'five' as id, file_id, arg_min(s, score)::integer as shift from k group by file_id""",
     "rhythm_rewrite": _SNAPPED + """, e as (select file_id, phrase, seq, frames, ((target - root) % 12 + 12) % 12 as deg, coalesce(greatest(0, lead(start_frame) over w - end_frame), 0) as gap, median(frames) over (partition by file_id, phrase) as base, lead(seq) over w is null as is_end from sn window w as (partition by file_id, phrase order by seq)),
     a as (select *, frames / base as ratio, list_transform([0.5, 1.0, 1.5, 2.0], lambda r: abs(r - frames / base)) as away from e),
     b as (select *, base * (0.6 * ratio + 0.4 * [0.5, 1.0, 1.5, 2.0][list_position(away, list_min(away))]) * case deg when 0 then 1.2 when 7 then 0.9 else 1 end as d from a),
@@ -127,7 +127,7 @@ SQL = {
     s as (select *, sum(frames + gap) over (partition by file_id, phrase) / sum(n + g) over (partition by file_id, phrase) as k from c)
     select file_id, phrase, seq, frames, gap, round(n * k, 6) as new_frames, round(g * k, 6) as new_gap from s""",
     "mapping_metrics": _SNAPPED + """, x as (select *, abs(target - source_midi) as d, source_midi - lag(source_midi) over w as a, target - lag(target) over w as b from sn window w as (partition by file_id, phrase order by seq))
-    select 'five' as id, file_id, count(*) as events, count(distinct phrase) as phrases, 0 as modulated_phrases, round(avg(d), 6) as mean_displacement, round(median(d), 6) as median_displacement, round(max(d), 6) as max_displacement,
+    select 'five' as id, file_id, count(*) as events, count(distinct phrase) as phrases, 0::bigint as modulated_phrases, round(avg(d), 6) as mean_displacement, round(median(d), 6) as median_displacement, round(max(d), 6) as max_displacement,
       round(coalesce(count(*) filter (abs(a) >= 0.5 and abs(b) >= 0.5 and sign(a) = sign(b)) / nullif(count(*) filter (abs(a) >= 0.5 and abs(b) >= 0.5), 0), 1), 6) as contour_preservation,
       min(list_contains([0, 2, 4, 7, 9], ((target - root) % 12 + 12) % 12)::int) as scale_compliance, round(exp(-avg(d) / 3), 6) as melody_preservation from x group by file_id""",
 }

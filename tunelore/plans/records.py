@@ -141,12 +141,12 @@ QUERIES = {
     )
 }
 SQL = {
-    "note_tokens": f"""with d as (select doc_id, regexp_extract_all(text, '{_TOKEN}') as l from documents), t as (select doc_id, unnest(l) as token, unnest(range(len(l))) as pos from d),
+    "note_tokens": f"""with d as (select doc_id, regexp_extract_all(text, '{_TOKEN}') as l from documents), t as (select doc_id, unnest(l) as token, unnest(range(len(l)))::integer as pos from d),
     m as (select doc_id, pos, token, 12 * (o + 1) + {{'C': 0, 'D': 2, 'E': 4, 'F': 5, 'G': 7, 'A': 9, 'B': 11}}[upper(n)] + case a when '#' then 1 when '##' then 2 when 'x' then 2 when 'b' then -1 when 'bb' then -2 else 0 end as midi from {_MIDI})
-    select doc_id, pos, token, case when midi between 0 and 127 then midi end as midi from m""".replace("{'C': 0, 'D': 2, 'E': 4, 'F': 5, 'G': 7, 'A': 9, 'B': 11}[upper(n)]", "case upper(n) when 'C' then 0 when 'D' then 2 when 'E' then 4 when 'F' then 5 when 'G' then 7 when 'A' then 9 when 'B' then 11 end"),
-    "duration_tokens": f"with d as (select doc_id, {_FRACTION} as l from documents), t as (select doc_id, unnest(l) as token, unnest(range(len(l))) as pos from d) select doc_id, pos, token, round(case when split_part(token, '/', 1)::double > 0 and split_part(token, '/', 2)::double > 0 then split_part(token, '/', 1)::double / split_part(token, '/', 2)::double end, 6) as quarters from t",
-    "pair_outer": f"""with p as (select file_id, max(len(regexp_extract_all(text, '{_TOKEN}'))) as left_size from documents where file_id is not null and len(regexp_extract_all(text, '{_TOKEN}')) >= 3 group by all),
-    q as (select file_id, max(len({_FRACTION})) as right_size from documents where file_id is not null and len({_FRACTION}) >= 3 group by all)
+    select doc_id, pos, token, case when midi between 0 and 127 then midi end::integer as midi from m""".replace("{'C': 0, 'D': 2, 'E': 4, 'F': 5, 'G': 7, 'A': 9, 'B': 11}[upper(n)]", "case upper(n) when 'C' then 0 when 'D' then 2 when 'E' then 4 when 'F' then 5 when 'G' then 7 when 'A' then 9 when 'B' then 11 end"),
+    "duration_tokens": f"with d as (select doc_id, {_FRACTION} as l from documents), t as (select doc_id, unnest(l) as token, unnest(range(len(l)))::integer as pos from d) select doc_id, pos, token, round(case when split_part(token, '/', 1)::double > 0 and split_part(token, '/', 2)::double > 0 then split_part(token, '/', 1)::double / split_part(token, '/', 2)::double end, 6) as quarters from t",
+    "pair_outer": f"""with p as (select file_id, max(len(regexp_extract_all(text, '{_TOKEN}')))::integer as left_size from documents where file_id is not null and len(regexp_extract_all(text, '{_TOKEN}')) >= 3 group by all),
+    q as (select file_id, max(len({_FRACTION}))::integer as right_size from documents where file_id is not null and len({_FRACTION}) >= 3 group by all)
     select file_id, left_size, right_size, case when left_size is null then 'missing_left' when right_size is null then 'missing_right' when left_size <> right_size then 'length_mismatch' else 'paired' end as status from p full join q using (file_id)""",
     "dedupe_digest": "with d as (select distinct doc_id, text from documents) select doc_id, sha256(text) as digest, case when text is null then doc_id else min(doc_id) over (partition by text) end as first, text is null or doc_id = min(doc_id) over (partition by text) as kept from d",
     "dedupe_two_key": """with recursive k as (select row_number() over (order by doc_id) as n, * from (select distinct doc_id, doc_id % 700 as k1, case when n_chars is not null then concat_ws(':', source, n_chars % 40) end as k2 from documents)),
@@ -175,7 +175,7 @@ SQL = {
     "case_conditions": """select filename, nullif(regexp_extract(filename, '^(.+?_test)(?:_|[.]wav$)', 1), '') as "case", case when regexp_extract(filename, '^(.+?_test)(?:_|[.]wav$)', 1) = '' then null when ends_with(filename, '_test.wav') then 'original' else split_part(regexp_extract(filename, '_test_(.*)[.]wav', 1), '.', 1) end as condition
     from (select case source_id % 3 when 0 then name || '_test.wav' when 1 then name || '_test_' || role || '_v9.wav' else name || '.wav' end as filename from sources)""",
     "scalar_functions": f"""with {EVENT_SQL.strip()}, h as (select *, pitch + case when seq % 2 = 0 then 0.5 else cents / 100.0 end as half from ev)
-    select file_id, seq, round_even(half, 0)::bigint as rounded, ((round_even(half, 0)::bigint - 7) % 12 + 12) % 12 as degree, round(cents, 6)::double as residual, round(440 * pow(2, (source_midi - 69) / 12), 6) as hz,
-      ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][pitch % 12 + 1] || (pitch // 12 - 1) as name, [6, 6, 10, null, 0][seq % 5 + 1] as root, case when frames * 12 between 30 and 240 then frames * 12.0 else 120.0 end as tempo,
+    select file_id, seq, round_even(half, 0)::bigint as rounded, (((round_even(half, 0)::bigint - 7) % 12 + 12) % 12)::integer as degree, round(cents, 6)::double as residual, round(440 * pow(2, (source_midi - 69) / 12), 6) as hz,
+      ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][pitch % 12 + 1] || (pitch // 12 - 1) as name, [6, 6, 10, null, 0][seq % 5 + 1] as root, case when frames * 12 between 30 and 240 then frames * 12.0 else 120.0 end::double as tempo,
       round(greatest(-120, 20 * log10(frames / 30)), 6) as level, round(start_frame / 480 * 60 / 90, 6) as seconds, round(exp(-frames / 3), 6) as similarity, round(least(0.85, greatest(0.12, 0.12 + 0.62 * frames / 20)), 6) as amplitude from h""",
 }

@@ -147,7 +147,7 @@ def resampled_curves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _E = f"with {EVENT_SQL.strip()}"
-_BEATS = "b as (select user_id as file_id, user_id % 4 as phase, unnest(range(40)) as beat from (select distinct user_id from events)), bt as (select *, beat * 50 + file_id % 11 as time from b), bars as (select file_id, (beat - phase) // 4 as bar, time from bt where beat >= phase and (beat - phase) % 4 = 0), w as (select file_id, bar + 1 as segment_index, bar + 1 as start_bar, bar + 2 as end_bar, time as start, lead(time, 2) over (partition by file_id order by bar) as \"end\" from bars)"
+_BEATS = "b as (select user_id as file_id, user_id % 4 as phase, unnest(range(40)) as beat from (select distinct user_id from events)), bt as (select *, beat * 50 + file_id % 11 as time from b), bars as (select file_id, (beat - phase) // 4 as bar, time from bt where beat >= phase and (beat - phase) % 4 = 0), w as (select file_id, bar + 1 as segment_index, (bar + 1)::integer as start_bar, (bar + 2)::integer as end_bar, time as start, lead(time, 2) over (partition by file_id order by bar) as \"end\" from bars)"
 _QUALITY = """with n as (select distinct on (note_id) * from notes where pitch between 0 and 127 and confidence between 0 and 1 and not isnan(confidence)),
 c as (select candidate_id, note_id, pitch, round_even(start_s * 100, 0)::bigint as s, round_even(end_s * 100, 0)::bigint as e, round_even(confidence * 10000, 0)::bigint as k from n),
 j as (select *, abs(pitch - lag(pitch) over (partition by candidate_id order by s, note_id)) as jump, greatest(0, e - s) as len from c),
@@ -184,7 +184,7 @@ SQL = {
     h as (select *, min(frame) over (partition by file_id, run) as first from r),
     n as (select file_id, min(frame) as start, max(frame) + 1 as "end", first(state) as pitch, coalesce(avg(amp) filter (amp > 0), 0) as confidence, coalesce(max(1 - amp) filter (frame < first + 5), 0) as onset from h group by file_id, run)
     select file_id, start, "end", pitch, round(confidence, 6) as confidence, round(onset, 6) as onset from n where "end" - start >= 10 or ("end" - start >= 4 and confidence >= 0.4 and onset >= 0.3)""",
-    "covering_windows": _E + f', {_WINDOWS} select file_id, win as "window", s as start, e as "end", is_first, is_last from cw',
+    "covering_windows": _E + f', {_WINDOWS} select file_id, win::integer as "window", s::integer as start, e as "end", is_first, is_last from cw',
     "overlap_add": _E + f""", {_WINDOWS}, {_GRID.format(10)}, x as (select gr.file_id, frame, pitch, amp * (1 + win / 100) as v, frame * 10 - s as o, e - s as len, {_FADE} as fade, is_first, is_last from gr join cw on gr.file_id = cw.file_id and frame * 10 >= s and frame * 10 < e),
     y as (select *, case when fade > 1 and not is_last and o >= len - fade then pow(sin(pi() / 2 * (len - 1 - o) / (fade - 1)), 2) when fade > 1 and not is_first and o < fade then pow(sin(pi() / 2 * o / (fade - 1)), 2) else 1 end as wt from x)
     select file_id, frame, pitch, round(coalesce(sum(v * wt) / nullif(sum(wt), 0), 0), 6) as value from y group by all""",
@@ -197,7 +197,7 @@ SQL = {
     "onset_peaks": _E + ", c as (select file_id, file_id % 2 as pitch, seq as frame, (event_id % 100) / 100.0::double as value, lag((event_id % 100) / 100.0::double) over w as a, lead((event_id % 100) / 100.0::double) over w as b from ev window w as (partition by file_id order by seq)) select file_id, pitch, frame, value from c where value >= 0.5 and value >= a and value >= b",
     "beat_phases": _E + """, b as (select file_id, seq - 1 as beat, (event_id % 100) / 100.0::double as s, lead((event_id % 100) / 100.0::double) over (partition by file_id order by seq) as nx from ev),
     p as (select file_id, beat % 4 as phase, avg(s) + 0.25 * coalesce(avg(s - nx), 0) as score from b group by all having count(*) >= 2)
-    select file_id, arg_max(phase, (score, -phase)) as phase, round(max(score), 6) as score from p group by file_id""",
+    select file_id, arg_max(phase, (score, -phase))::integer as phase, round(max(score), 6) as score from p group by file_id""",
     "resampled_curves": _E + """, c as (select file_id, file_id % 2 as pitch, seq - 1 as frame, (event_id % 100) / 100.0::double as value from ev), z as (select file_id, max(frame) + 1 as n, file_id % 90 + 1 as m from c group by file_id),
     j as (select *, unnest(range(m)) as j from z), x as (select *, case when m = 1 then 0 else j * (n - 1) / (m - 1) end as x from j),
     k as (select *, floor(x + 1e-9)::bigint as lo from x)

@@ -101,8 +101,8 @@ _N = f"with {EVENT_SQL.strip()}, n as (select file_id as song, channel as track,
 _MONO = """, top as (select song, track, start, max(pitch) as pitch, max(duration) filter (pitch = p) as duration from (select *, max(pitch) over (partition by song, track, start) as p from n) group by all),
 mono as (select song, track, start, pitch, case when lead(start) over w < start + duration then greatest(1, lead(start) over w - start) else duration end as duration from top window w as (partition by song, track order by start))"""
 _SCORE = """, o as (select *, coalesce(start < max(start + duration) over (partition by song, track order by start, start + duration, id rows between unbounded preceding and 1 preceding), false) as late from n),
-s as (select song, track, count(*) as n_notes, 1 - count(*) filter (late) / greatest(1, count(*) - 1) as monophony, avg(pitch) as mean_pitch, count(distinct pitch) as unique_pitches, sum(duration) as total_duration from o group by all),
-t as (select song, track, row_number() over (partition by song order by track) - 1 as index from (select distinct song, track from n)),
+s as (select song, track, count(*) as n_notes, 1 - count(*) filter (late) / greatest(1, count(*) - 1) as monophony, avg(pitch) as mean_pitch, count(distinct pitch) as unique_pitches, sum(duration)::bigint as total_duration from o group by all),
+t as (select song, track, (row_number() over (partition by song order by track) - 1)::integer as index from (select distinct song, track from n)),
 sc as (
   select song, track, index, n_notes, monophony, mean_pitch, unique_pitches, total_duration,
     1.55 * n_notes + 75 * monophony + 0.35 * unique_pitches + greatest(0, least(12, (mean_pitch - 48) * 0.35)) + [45, -35, -35, 10, 0][(index % 5) + 1] + 20 / (1 + index) as score
@@ -118,7 +118,7 @@ SQL = {
     "select_tracks": _N + _SCORE + " union all ".join(f" select song, track, index, '{k}' as strategy from (select *, row_number() over (partition by song order by {o}) as k from sc) where k = 1" for k, o in _PICK.items()),
     "marker_pitches": _N + """, c as (select song % 4 as grp, song, pitch, count(*) as n from n group by all), p as (select *, n / sum(n) over (partition by grp, song) as share, lag(pitch) over w as below, lead(pitch) over w as above from c window w as (partition by grp, song order by pitch)),
     g as (select grp, count(distinct song) as songs from c group by all),
-    f as (select grp, pitch, count(*) as songs_containing, count(*) filter (below is null or above is null) as ends, median(share) as median_share, coalesce(median(case when below is null then above - pitch when above is null then pitch - below end), 0) as median_gap, sum(n) as events_total from p group by all)
+    f as (select grp, pitch, count(*) as songs_containing, count(*) filter (below is null or above is null) as ends, median(share) as median_share, coalesce(median(case when below is null then above - pitch when above is null then pitch - below end), 0) as median_gap, sum(n)::bigint as events_total from p group by all)
     select grp, pitch, songs_containing, round(songs_containing / songs, 6) as song_fraction, round(ends / songs_containing, 6) as extreme_fraction, round(median_share, 6) as median_share, round(median_gap, 6) as median_gap, events_total,
       songs >= 4 and songs_containing / songs >= 0.85 and ends / songs_containing >= 0.9 and median_share <= 0.02 and median_gap >= 9 as marker from f join g using (grp)""",
     "tempo_seconds": _N + """, t as (select song, start as tick, arg_max(400000 + 1000 * (id % 200), id) as tempo from n where id % 10 = 0 group by all), z as (select song, 0 as tick, 500000 as tempo from (select distinct song from n) where (song, 0) not in (select (song, tick) from t) union all select * from t),
@@ -135,7 +135,7 @@ SQL = {
       union all
       select c.song, c.k, c.start, list_last(list_sort(list_transform(chord, lambda x: {'a': -abs(x.p - w.pick.p), 'p': x.p, 'd': x.d}))) from w join c on c.song = w.song and c.k = w.k + 1)
     select song, start, pick.d as duration, pick.p as pitch from w""".replace("list_last(list_sort(chord))", "list_last(list_sort(list_transform(chord, lambda x: {'a': 0, 'p': x.p, 'd': x.d})))"),
-    "join_overlaps": _N + """, q as (select song, start, pitch // 12 as pitch, duration from n), t as (select song, start, max(pitch) as pitch, max(duration) filter (pitch = p) as duration from (select *, max(pitch) over (partition by song, start) as p from q) group by all),
+    "join_overlaps": _N + """, q as (select song, start, (pitch // 12)::bigint as pitch, duration from n), t as (select song, start, max(pitch) as pitch, max(duration) filter (pitch = p) as duration from (select *, max(pitch) over (partition by song, start) as p from q) group by all),
     a as (select *, start + duration as e, case when pitch = lag(pitch) over w then 0 else 1 end as f from t window w as (partition by song order by start)),
     b as (select *, sum(f) over (partition by song order by start rows unbounded preceding) as g from a),
     c as (select *, case when start < max(e) over (partition by song, g order by start rows between unbounded preceding and 1 preceding) then 0 else 1 end as h from b),
