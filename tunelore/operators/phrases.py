@@ -119,7 +119,7 @@ def split_phrases(events: DataFrame, rule: PhraseRule = PhraseRule(), order: str
         return pd.DataFrame(out, columns=["_chunk", "_state", "_base"])
 
     wide = base.withColumns({c: F.col(c).cast("bigint") for c in ("file_id", "start_frame", "end_frame", "frames", "midi_cents")})
-    scanned = stage(range_chunks(wide, ["file_id", order], order, chunks).mapInArrow(local, schema), "scan")
+    scanned = stage(range_chunks(wide, ["file_id"], order, chunks, copies=False).mapInArrow(local, schema), "scan")
     notes = scanned.filter(F.col("_file").isNotNull()).select("_chunk", *(x.split()[0] for x in ends.split(", ")))
     # one row per chunk
     entered = notes.groupBy(F.lit("all").alias("_all")).applyInPandas(lambda pdf: fold(pdf), "_chunk int, _state int, _base bigint")

@@ -52,9 +52,16 @@ class Likeness:
             return out if self.max_gap is None else out & (start_b - end_a <= self.max_gap)
 
 
-def range_chunks(df: DataFrame, by: list[str], ident: str, partitions: int | None = None) -> DataFrame:
-    """``df`` in range partitions, each sorted by ``by`` and ``ident``; copies of a row may spread over neighbours."""
+def range_chunks(df: DataFrame, by: list[str], ident: str, partitions: int | None = None, copies: bool = True) -> DataFrame:
+    """``df`` in range partitions, each sorted by ``by`` and ``ident``; with ``copies``, those of a row may spread over neighbours.
+
+    Spreading draws a seeded random number per row, so the rows must come in
+    the same order if a task is run again, as they do from files. Rows that
+    are distinct need none.
+    """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not copies:
+        return df.repartitionByRange(n, *by, ident).sortWithinPartitions(*by, ident)
     salted = df.withColumn("_salt", F.rand(7))
     return salted.repartitionByRange(n, *by, ident, "_salt").sortWithinPartitions(*by, ident).drop("_salt")
 
