@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tunelore.operators.runs import range_chunks, whole_chunk
 from tunelore.staging import stage
 
-#: Neighbours of a record, records of a chunk or block, and rounds of the exact check.
-NEIGHBOURS, BLOCK, ROUNDS, LEVELS = 12, 2048, 3, 6
+#: Neighbours of a record, records of a chunk or block, and rounds of the exact check and levels of communities at most.
+NEIGHBOURS, BLOCK, ROUNDS, LEVELS = 12, 2048, 10, 6
 
 
 @dataclass(frozen=True)
@@ -262,12 +262,16 @@ def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims:
         first = [int(ids[near[:, j]].min()) for j in hit]
         return pd.DataFrame({"id": seed[hit], "first": np.array(first, np.int64), "n": near[:, hit].sum(0).astype(np.int64), "vec": pd.Series([x[near[:, j]].sum(0) for j in hit], dtype=object)})
 
-    seeds = records
+    seeds, before = records, None
     for _ in range(ROUNDS):
         part = against(seeds, sums, f"id bigint, first bigint, n bigint, vec array<double>, grp {kind}")
         taken = part.groupBy("grp", "id").agg(F.min("first").alias("first"), F.sum("n").alias("n"), _sum_vectors("vec", dims).alias("vec")).filter(F.col("n") >= tight.least)
         # seeds that took the same records are one
-        seeds = stage(taken.groupBy("grp", "first", "n").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("id")).select("grp", "id", "vec"), "seeds")
+        seeds = stage(taken.groupBy("grp", "first", "n").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("id")), "seeds")
+        known = before is not None and not seeds.alias("a").join(before.alias("b"), same("a", "b") & (F.col("a.first") == F.col("b.first")) & (F.col("a.n") == F.col("b.n")), "left_anti").limit(1).count()
+        before, seeds = seeds, seeds.select("grp", "id", "vec")
+        if known:
+            break
 
     def judge(ids, x, seed, c):
         cos = x @ c.T
