@@ -303,7 +303,7 @@ def neighbours_in_order(df: DataFrame, cluster: str, key: str) -> DataFrame:
         ends = sorted({0, len(key) - 1})
         yield from pa.table({"first": key[ends], "second": pa.nulls(len(ends), pa.int64()), "cluster": cluster[ends], "chunk": np.full(len(ends), chunk, np.int32)}).to_batches()
 
-    local_pairs = stage(range_chunks(rows, ["cluster", "key"], "key").mapInArrow(local, "first bigint, second bigint, cluster bigint, chunk int"), "pairs")
+    local_pairs = stage(range_chunks(rows, ["cluster"], "key", copies=False).mapInArrow(local, "first bigint, second bigint, cluster bigint, chunk int"), "pairs")
     by = W.partitionBy("cluster").orderBy("first", "chunk")
     ends = local_pairs.filter(F.col("chunk").isNotNull()).select("first", F.lead("first").over(by).alias("second"), "chunk", F.lead("chunk").over(by).alias("next"))
     return local_pairs.filter(F.col("chunk").isNull()).select("first", "second").unionByName(ends.filter(F.col("chunk") != F.col("next")).select("first", "second"))
