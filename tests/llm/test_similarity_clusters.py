@@ -71,3 +71,21 @@ def test_communities_of_two_cliques():
     label = louvain(11, *np.array(edges).T, np.ones(len(edges)))
     assert len(set(label[:5])) == 1 and len(set(label[5:10])) == 1 and len(set(label)) == 3
     assert communities(np.eye(3), 0.5)[1].tolist() == [0, 0, 0]
+
+
+def test_two_clusters_that_link_are_both_found(spark):
+    # centres at 0.82, members at 0.96 to their own: cross edges make one community of both, whose mean is near all of them
+    rng = np.random.default_rng(5)
+    rows = []
+    for side in (1, -1):
+        centre = np.zeros(DIMS)
+        centre[:2] = np.sqrt(0.91), side * np.sqrt(0.09)
+        for k in range(6):
+            off = np.zeros(DIMS)
+            off[2 + 2 * (k // 2) + (side < 0)] = (-1) ** k
+            rows.append([len(rows), 1, ((0.96 * centre + 0.28 * off) * rng.uniform(1, 5)).tolist(), "x", 1, "y"])
+    for k in range(10):
+        rows += [[len(rows) + i, 1, (np.eye(DIMS)[8 + k] + 0.01 * rng.normal(size=DIMS)).tolist(), "x", 1, "y"] for i in range(6)]
+    assert len(set(communities(np.array([np.array(r[2]) / np.linalg.norm(r[2]) for r in rows]), 0.75)[0][:12])) == 1
+    found = clusters_of(similarity_clusters(spark.createDataFrame(rows, SCHEMA), "file_id", "corpus_id", "feature", DIMS))
+    assert found == {tuple(range(at, at + 6)) for at in range(0, 72, 6)}

@@ -7,16 +7,20 @@
    modularity; communities become the next level's records, chunked along
    another projection, until the levels agree. A community's most typical
    members have the highest internal weighted degree.
-3. An exact check follows: communities' mean directions meet all records of
-   their group, in blocks; members are taken again from the whole group until
-   the means stay, and a cluster stands only if it is as tight and as separate
-   as asked.
+   A community may hold several clusters, so each chunk also tells the sets
+   that stay when the records near a mean are taken again, from every
+   community and from every record's surroundings of several widths.
+3. An exact check follows: the mean directions of the last communities and of
+   all chunks' sets meet all records of their group, in blocks; members are
+   taken again from the whole group until the means stay, and a cluster stands
+   only if it is as tight and as separate as asked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,8 @@ from tunelore.staging import stage
 
 #: Neighbours of a record, records of a chunk or block, and rounds of the exact check and levels of communities at most.
 NEIGHBOURS, BLOCK, ROUNDS, LEVELS = 12, 2048, 10, 6
+#: Cosine from which records of the first level are neighbours.
+LINK = 0.75
 
 
 @dataclass(frozen=True)
@@ -162,6 +168,34 @@ def communities(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return label, np.bincount(a[inside], w[inside], len(x)) + np.bincount(b[inside], w[inside], len(x))
 
 
+def settled_sets(x: np.ndarray, v: np.ndarray, label: np.ndarray, widths: tuple[float, ...], middle: float) -> np.ndarray:
+    """Rows of truth values: the sets of unit rows ``x`` that hold exactly those of cosine ``middle`` or more to their mean.
+
+    v: the rows' sums of unit vectors. Starts are the communities of ``label``
+    and, for each width, every row's surroundings. A set's next one has no less
+    cosine to its mean in all, so every start settles.
+    """
+    n = len(x)
+    found: dict[bytes, np.ndarray] = {}
+    names = np.unique(label)
+    starts = [x @ x.T >= w for w in widths]
+    for near in [label[None, :] == names[:, None], *starts]:
+        seen: set[bytes] = set()
+        before: list[bytes] = [b""] * len(near)
+        while len(near):
+            packed = [r.tobytes() for r in np.packbits(near, 1)]
+            for key, was, row in zip(packed, before, near):
+                if key == was:
+                    found[key] = row
+            # a set met before goes on, or has settled, in the round that met it
+            fresh = [i for i, key in enumerate(packed) if not (key in seen or seen.add(key))]
+            near, before = near[fresh], [packed[i] for i in fresh]
+            mean = near.astype(float) @ v
+            mean /= np.maximum(np.linalg.norm(mean, axis=1), 1e-300)[:, None]
+            near = mean @ x.T >= middle
+    return np.array(list(found.values()), bool).reshape(-1, n)
+
+
 def _matrix(col: pa.ChunkedArray, dims: int) -> np.ndarray:
     return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
@@ -175,13 +209,13 @@ def _sum_vectors(vector: str, dims: int) -> Column:
     return F.array(*(F.sum(F.col(vector)[i]) for i in range(dims)))
 
 
-def _grouped_communities(records: DataFrame, dims: int, level: int, block: int, least: float) -> DataFrame:
-    """Rows (grp, id, community, degree) of records (grp, id, vec): a level of chunks."""
+def _grouped_communities(records: DataFrame, dims: int, level: int, block: int, least: float, tight: Tightness) -> DataFrame:
+    """Rows (grp, id, community, degree) of records (grp, id, vec, weight), and (grp, vec) without id of the sets of two files or more that settle: a level of chunks."""
     spark = records.sparkSession
     sizes = records.groupBy("grp").agg(F.count("*").alias("n"))
     total = records.count()
     # a group that fits one chunk has one sort key, which no range boundary cuts
-    keyed = records.alias("r").join(sizes.alias("s"), F.col("r.grp").eqNullSafe(F.col("s.grp"))).select("r.grp", "r.id", "r.vec", F.when(F.col("s.n") > block, _projection("r.vec", dims, level)).otherwise(F.lit(0.0)).alias("place"))
+    keyed = records.alias("r").join(sizes.alias("s"), F.col("r.grp").eqNullSafe(F.col("s.grp"))).select("r.grp", "r.id", "r.vec", "r.weight", F.when(F.col("s.n") > block, _projection("r.vec", dims, level)).otherwise(F.lit(0.0)).alias("place"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block))
     kind = records.schema["grp"].dataType.simpleString()
 
@@ -189,20 +223,30 @@ def _grouped_communities(records: DataFrame, dims: int, level: int, block: int,
         _, table = whole_chunk(batches)
         if table is None:
             return
-        x = _matrix(table.column("vec"), dims)
-        x = x / np.linalg.norm(x, axis=1)[:, None]
+        v = _matrix(table.column("vec"), dims)
+        x = v / np.linalg.norm(v, axis=1)[:, None]
+        weight = table.column("weight").to_numpy()
         ids = table.column("id").to_numpy()
         grp = pd.factorize(table.column("grp").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy())[0]
         name, degree = np.empty(len(ids), np.int64), np.zeros(len(ids))
+        at, means = [np.zeros(0, np.int64)], [np.zeros((0, dims))]
         for g in np.unique(grp):
             rows = np.flatnonzero(grp == g)
             label, degree[rows] = communities(x[rows], least)
             first = np.full(label.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(first, label, ids[rows])
             name[rows] = first[label]
-        yield from pa.table({"grp": table.column("grp"), "id": ids, "community": name, "degree": degree}).to_batches()
+            sets = settled_sets(x[rows], v[rows], label, (LINK, 0.8, tight.outer, tight.middle), tight.middle)
+            sets = sets[sets @ weight[rows] > 1]
+            at.append(np.full(len(sets), rows[0]))
+            means.append(sets.astype(float) @ v[rows])
+        none = pa.nulls(len(ids), pa.list_(pa.float64()))
+        yield from pa.table({"grp": table.column("grp"), "id": ids, "community": name, "degree": degree, "vec": none}).to_batches()
+        at = np.concatenate(at)
+        none, vec = pa.nulls(len(at), pa.int64()), pa.array(list(np.concatenate(means)), pa.list_(pa.float64()))
+        yield from pa.table({"grp": table.column("grp").take(pa.array(at)), "id": none, "community": none, "degree": none.cast(pa.float64()), "vec": vec}).to_batches()
 
-    return keyed.repartitionByRange(parts, "grp", "place").sortWithinPartitions("grp", "place", "id").mapInArrow(local, f"grp {kind}, id bigint, community bigint, degree double")
+    return keyed.repartitionByRange(parts, "grp", "place").sortWithinPartitions("grp", "place", "id").mapInArrow(local, f"grp {kind}, id bigint, community bigint, degree double, vec array<double>")
 
 
 def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims: int, tight: Tightness = Tightness(), block: int = BLOCK) -> DataFrame:
@@ -225,17 +269,24 @@ def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims:
     copies = stage(sound.groupBy("grp", "same").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.count("*").cast("double").alias("weight")), "representatives")
 
     # levels of communities; a record's vector is the sum of its members'
-    records = copies.select("grp", "id", F.transform("vec", lambda x: x * F.col("weight")).alias("vec"))
-    degrees = None
+    records = copies.select("grp", "id", F.transform("vec", lambda x: x * F.col("weight")).alias("vec"), "weight")
+    degrees, settled = None, []
     for level in range(LEVELS):
-        found = stage(_grouped_communities(records, dims, level, block, 0.75 if level == 0 else tight.middle), "communities")
+        told = stage(_grouped_communities(records, dims, level, block, LINK if level == 0 else tight.middle, tight), "communities")
+        found = told.filter(F.col("id").isNotNull()).select("grp", "id", "community", "degree")
+        settled.append(told.filter(F.col("id").isNull()).select("grp", "vec"))
         if degrees is None:
             degrees = found.select("grp", "id", "degree")
-        merged = records.alias("r").join(found.alias("f"), F.col("r.id") == F.col("f.id")).groupBy("r.grp", "f.community").agg(_sum_vectors("r.vec", dims).alias("vec")).select("grp", F.col("community").alias("id"), "vec")
+        merged = records.alias("r").join(found.alias("f"), F.col("r.id") == F.col("f.id")).groupBy("r.grp", "f.community").agg(_sum_vectors("r.vec", dims).alias("vec"), F.sum("r.weight").alias("weight")).select("grp", F.col("community").alias("id"), "vec", "weight")
         records = stage(merged, "records")
         if level and not records.groupBy("grp").count().filter(F.col("count") > block).limit(1).count():
             break
 
+    # chunks and levels tell many sets again
+    length = F.sqrt(F.aggregate(F.col("vec"), F.lit(0.0), lambda a, x: a + x * x))
+    starts = reduce(DataFrame.unionByName, settled, records.select("grp", "vec")).withColumn("_length", length).withColumn("same", F.xxhash64(F.transform("vec", lambda x: F.round(x / F.col("_length"), 6) + 0.0)))
+    starts = stage(starts.groupBy("grp", "same").agg(F.first("vec").alias("vec")).select("grp", F.monotonically_increasing_id().alias("id"), "vec"), "starts")
+
     # the exact check: means against all records of their group, in blocks
     sizes = sound.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks"))
     same = lambda a, b: F.col(f"{a}.grp").eqNullSafe(F.col(f"{b}.grp"))
@@ -262,7 +313,7 @@ def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims:
         first = [int(ids[near[:, j]].min()) for j in hit]
         return pd.DataFrame({"id": seed[hit], "first": np.array(first, np.int64), "n": near[:, hit].sum(0).astype(np.int64), "vec": pd.Series([x[near[:, j]].sum(0) for j in hit], dtype=object)})
 
-    seeds, before = records, None
+    seeds, before = starts, None
     for _ in range(ROUNDS):
         part = against(seeds, sums, f"id bigint, first bigint, n bigint, vec array<double>, grp {kind}")
         taken = part.groupBy("grp", "id").agg(F.min("first").alias("first"), F.sum("n").alias("n"), _sum_vectors("vec", dims).alias("vec")).filter(F.col("n") >= tight.least)
