@@ -6,7 +6,7 @@ import statistics
 
 import pytest
 
-from tunelore.operators.spikes import Field, Measured
+from tunelore.operators.spikes import Field, Measured, readings
 from tunelore.operators.spikes import spikes as all_spikes
 
 SCHEMA = "note_id bigint, source_id bigint, t double, pitch double, field string, value int, source string"
@@ -92,3 +92,15 @@ def test_empty_missing_and_constant(spark):
     assert spikes(spark.createDataFrame([], SCHEMA), "source_id", ["t"], "note_id", FIELDS, sigmas=6).count() == 0
     rows = [(1, 1, None, None, None, None, None), (2, None, 1.0, math.nan, None, None, None), (3, None, 2.0, 50.0, None, None, None)]
     assert spikes(spark.createDataFrame(rows, SCHEMA), "source_id", ["t"], "note_id", FIELDS, sigmas=6).count() == 0
+
+
+@pytest.mark.parametrize("parts", [6, 40])
+def test_copies_over_many_chunks_come_out_once(spark, partitions, parts):
+    partitions(parts)
+    rng = random.Random(6)
+    rows = [(i, 1, float(i), 400.0 if i in (50, 120) else rng.gauss(60, 3), "x", 1, "y") for i in range(200)]
+    rows += [rows[50]] * 300 + [rows[60]] * 200 + [rows[120]] * 2
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = spikes(df, "source_id", ["t"], "note_id", FIELDS, sigmas=6).collect()
+    assert sorted((r["record_id"], r["reason"]) for r in out) == [(50, "range+tail"), (120, "range+tail")]
+    assert readings(Measured(df, "source_id", ["t"], "note_id", FIELDS)).count() == 200

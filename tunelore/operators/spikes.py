@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tunelore.operators.runs import CLOSED, FIRST, LAST, RUN_COLUMNS, RUN_FIELDS, WHOLE, Likeness, column, encode_runs, merge_boundaries, range_chunks, whole_chunk
@@ -86,7 +87,7 @@ def readings(table: Measured, first_field: int = 0) -> DataFrame:
         F.col(source).cast("bigint").alias("source"), *(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(n) for c, n in zip(order, names)),
         F.col(ident).cast("bigint").alias("ident"), (season if season is not None else F.lit(0)).cast("int").alias("season"), *(F.col(f.name).cast("double").alias(f"value_{i}") for i, f in enumerate(fields)),
     )
-    schema = "field int, source bigint, season int, ident bigint, value double, wild boolean, stuck boolean, " + RUN_FIELDS.replace("end bigint, n", "n", 1) + ", chunk int, slot int"
+    schema = "field int, source bigint, season int, ident bigint, value double, wild boolean, stuck boolean, " + RUN_FIELDS.replace("end bigint, n", "n", 1) + ", chunk int, slot int, head boolean"
     like = Likeness(0.0, None)
     run_columns = [c for c in RUN_COLUMNS if c != "end"]
 
@@ -116,12 +117,12 @@ def readings(table: Measured, first_field: int = 0) -> DataFrame:
             nothing = {c: pa.nulls(len(k), t) for c, t in _run_types().items()}
             # rows of a boundary run are settled when the boundaries are merged
             edge = (slot != CLOSED) & ~out["stuck"]
-            out |= nothing | {"chunk": pa.array(np.full(len(k), chunk, np.int32)), "slot": pa.array(np.where(edge, slot, CLOSED).astype(np.int32))}
+            out |= nothing | {"chunk": pa.array(np.full(len(k), chunk, np.int32)), "slot": pa.array(np.where(edge, slot, CLOSED).astype(np.int32)), "head": np.arange(len(k)) == 0}
             yield from pa.table(out).to_batches()
             ends = found[found["slot"] != CLOSED]
             rows = len(ends)
             summary = {"field": pa.array(np.full(rows, first_field + i, np.int32))} | {c: pa.nulls(rows, t) for c, t in (("source", pa.int64()), ("season", pa.int32()), ("ident", pa.int64()), ("value", pa.float64()), ("wild", pa.bool_()), ("stuck", pa.bool_()))}
-            summary |= {c: pa.array(ends[c].to_numpy(), _run_types()[c]) for c in run_columns} | {"chunk": pa.array(np.full(rows, chunk, np.int32)), "slot": pa.array(ends["slot"].to_numpy(np.int32))}
+            summary |= {c: pa.array(ends[c].to_numpy(), _run_types()[c]) for c in run_columns} | {"chunk": pa.array(np.full(rows, chunk, np.int32)), "slot": pa.array(ends["slot"].to_numpy(np.int32)), "head": pa.nulls(rows, pa.bool_())}
             yield from pa.table(summary).to_batches()
 
     table = stage(range_chunks(base, ["source", *names], "ident", chunks).mapInArrow(local, schema), "readings")
@@ -132,10 +133,16 @@ def readings(table: Measured, first_field: int = 0) -> DataFrame:
     spans = crossing.select("field", "chunk_from", "chunk_to", F.explode(F.sequence("chunk_from", "chunk_to")).alias("chunk")).select(
         "field", "chunk", F.explode(F.when(F.col("chunk") == F.col("chunk_from"), F.array(F.lit(LAST), F.lit(WHOLE))).when(F.col("chunk") == F.col("chunk_to"), F.array(F.lit(FIRST), F.lit(WHOLE))).otherwise(F.array(F.lit(WHOLE)))).alias("slot"),
     ).distinct().withColumn("_joined", F.lit(True))
-    rows = table.filter(F.col("key").isNull()).select("field", "source", "season", "ident", "value", "wild", "stuck", "chunk", "slot")
-    settled = rows.filter(F.col("slot") != CLOSED).join(spans, ["field", "chunk", "slot"], "left").withColumn("stuck", F.coalesce("_joined", F.lit(False)))
+    rows = table.filter(F.col("key").isNull()).select("field", "source", "season", "ident", "value", "wild", "stuck", "chunk", "slot", "head")
+    # a chunk's first row may be a copy of the last one before it
+    first, last = (F.struct("key", *c) for c in (("start", "first_id"), ("last_start", "last_id")))
+    tips = ends.groupBy("field", "chunk").agg(F.min_by(first, "slot").alias("first"), F.max_by(last, "slot").alias("last"))
+    again = tips.withColumn("before", F.lag("last").over(W.partitionBy("field").orderBy("chunk"))).filter(reduce(lambda x, y: x & y, (F.col(f"first.{a}") == F.col(f"before.{b}") for a, b in (("key", "key"), ("start", "last_start"), ("first_id", "last_id")))))
+    again = again.select("field", "chunk", F.lit(True).alias("head"))
+    edge = (F.col("slot") != CLOSED) | F.col("head")
+    settled = rows.filter(edge).join(again, ["field", "chunk", "head"], "left_anti").join(spans, ["field", "chunk", "slot"], "left").withColumn("stuck", F.coalesce("_joined", "stuck"))
     columns = ["field", "source", "season", "ident", "value", "wild", "stuck"]
-    return rows.filter(F.col("slot") == CLOSED).select(*columns).unionByName(settled.select(*columns))
+    return rows.filter(~edge).select(*columns).unionByName(settled.select(*columns))
 
 
 def _run_types() -> dict[str, pa.DataType]:
