@@ -1,8 +1,9 @@
-"""Runs of consecutive like events, as associative summaries of range-sorted chunks.
+"""Runs of consecutive like values, as associative summaries of range-sorted chunks.
 
 Rows are range-partitioned by (sequence, position), so that a sequence that
-holds a third of all rows spreads over many tasks. Each chunk encodes its runs
-by itself and summarises its ends by a first and a last run; ``join_runs`` is
+holds a third of all rows spreads over many tasks. Each chunk reads its rows
+in pieces of bounded size, carries the run that a piece leaves open into the
+next, and summarises its ends by a first and a last run; ``join_runs`` is
 associative, so a tree of merges over those summaries (two per chunk) finds
 the runs that cross chunk boundaries. A random last sort key lets even the
 copies of one row spread; a copy beside its original counts once, in a chunk
@@ -26,6 +27,8 @@ from tunelore.staging import stage
 #: Slots of a run in its chunk: complete, the chunk's first, its last, or all of it.
 CLOSED, FIRST, LAST, WHOLE = -1, 0, 1, 2
 FAN = 512
+#: Bytes of input to a chunk, rows of it that a task holds at once, and the size from which an estimate says nothing.
+CHUNK_BYTES, PIECE_ROWS, UNKNOWN_BYTES = 128 << 20, 1 << 17, 1 << 50
 
 RUN_FIELDS = "key bigint, start bigint, end bigint, n bigint, first_value double, last_value double, last_start bigint, last_end bigint, first_id bigint, last_id bigint, chunk_from int, chunk_to int"
 RUN_COLUMNS = [x.split()[0] for x in RUN_FIELDS.split(", ")]
@@ -52,6 +55,20 @@ class Likeness:
             return out if self.max_gap is None else out & (start_b - end_a <= self.max_gap)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of a table's size, or that of its inputs if less (as of a join); of one it knows nothing about, counted rows times their width."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    guess = min(int(str(plan.stats().sizeInBytes())), sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
+    return guess if guess < UNKNOWN_BYTES else df.count() * (16 + 16 * len(df.columns))
+
+
+def chunk_count(df: DataFrame, least: int | None = None) -> int:
+    """How many chunks ``df`` is cut into: the session's shuffle partitions, or as many more as CHUNK_BYTES a chunk needs."""
+    least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-estimated_bytes(df) // CHUNK_BYTES))
+
+
 def range_chunks(df: DataFrame, by: list[str], ident: str, partitions: int | None = None, copies: bool = True) -> DataFrame:
     """``df`` in range partitions, each sorted by ``by`` and ``ident``; with ``copies``, those of a row may spread over neighbours.
 
@@ -59,13 +76,35 @@ def range_chunks(df: DataFrame, by: list[str], ident: str, partitions: int | Non
     the same order if a task is run again, as they do from files. Rows that
     are distinct need none.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or chunk_count(df)
     if not copies:
         return df.repartitionByRange(n, *by, ident).sortWithinPartitions(*by, ident)
     salted = df.withColumn("_salt", F.rand(7))
     return salted.repartitionByRange(n, *by, ident, "_salt").sortWithinPartitions(*by, ident).drop("_salt")
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.Table]:
+    """A task's rows in order, as tables of PIECE_ROWS rows or little more; no empty ones."""
+    rows = rows or PIECE_ROWS
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def chunk_number() -> int:
+    """This task's partition number."""
+    return TaskContext.get().partitionId()
+
+
 def whole_chunk(batches: Iterable[pa.RecordBatch]) -> tuple[int, pa.Table | None]:
     """This task's partition number and its rows."""
     parts = [b for b in batches if b.num_rows]
@@ -115,6 +154,35 @@ def join_runs(like: Likeness, a: dict, b: dict) -> dict | None:
     return a | {"end": max(a["end"], b["end"]), "n": a["n"] + b["n"] - copies, "chunk_to": b["chunk_to"]} | {k: b[k] for k in ("last_value", "last_start", "last_end", "last_id")}
 
 
+class OpenRun:
+    """The run that a chunk's pieces leave open, carried from each to the next; tells which run is the chunk's first."""
+
+    def __init__(self, like: Likeness):
+        self.like, self.run, self.first = like, None, True
+
+    def take(self, found: pd.DataFrame) -> tuple[pd.DataFrame, bool]:
+        """The runs that are complete after a piece whose runs are ``found``, and whether the open run went on in it.
+
+        The last one stays open. Of those returned, only the chunk's first has the slot FIRST.
+        """
+        joined = join_runs(self.like, self.run, found.iloc[:1].to_dict("records")[0]) if self.run else None
+        if joined:
+            for c, v in joined.items():
+                found.loc[0, c] = v
+        elif self.run:
+            found = pd.concat([pd.DataFrame([self.run], columns=found.columns).astype(found.dtypes), found], ignore_index=True)
+        done, self.run = found.iloc[:-1].copy(), found.iloc[-1:].to_dict("records")[0]
+        done["slot"] = np.int32(CLOSED)
+        if self.first and len(done):
+            done.loc[0, "slot"] = FIRST
+            self.first = False
+        return done, joined is not None
+
+    def close(self) -> pd.DataFrame:
+        """The run left open at the chunk's end, with its slot; no row if the chunk was empty."""
+        return pd.DataFrame([self.run | {"slot": WHOLE if self.first else LAST}] if self.run else [])
+
+
 def merge_ends(like: Likeness, ends: list[dict]) -> list[dict]:
     """Runs of several neighbouring chunks from their first and last ones, in order; slots are those of the whole stretch."""
     out: list[dict] = []
