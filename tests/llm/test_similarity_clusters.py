@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tunelore.llm.similarity_clusters import communities, describe, louvain, neighbour_descent, neighbours_in_order, similarity_clusters
+from tunelore.llm.similarity_clusters import Tightness, communities, describe, louvain, neighbour_descent, neighbour_graph, neighbours_in_order, similarity_clusters, tight_sets, unit_vectors
 
 SCHEMA = "file_id bigint, corpus_id bigint, feature array<double>, vec string, block int, id string"
 DIMS = 24
@@ -70,7 +70,7 @@ def test_communities_of_two_cliques():
     edges = [(a, b) for g in (range(5), range(5, 10)) for a in g for b in g if a < b] + [(4, 5)]
     label = louvain(11, *np.array(edges).T, np.ones(len(edges)))
     assert len(set(label[:5])) == 1 and len(set(label[5:10])) == 1 and len(set(label)) == 3
-    assert communities(np.eye(3), 0.5)[1].tolist() == [0, 0, 0]
+    assert communities(np.eye(3), 0.5).tolist() == [0, 1, 2]
 
 
 def test_two_clusters_that_link_are_both_found(spark):
@@ -86,6 +86,76 @@ def test_two_clusters_that_link_are_both_found(spark):
             rows.append([len(rows), 1, ((0.96 * centre + 0.28 * off) * rng.uniform(1, 5)).tolist(), "x", 1, "y"])
     for k in range(10):
         rows += [[len(rows) + i, 1, (np.eye(DIMS)[8 + k] + 0.01 * rng.normal(size=DIMS)).tolist(), "x", 1, "y"] for i in range(6)]
-    assert len(set(communities(np.array([np.array(r[2]) / np.linalg.norm(r[2]) for r in rows]), 0.75)[0][:12])) == 1
+    assert len(set(communities(np.array([np.array(r[2]) / np.linalg.norm(r[2]) for r in rows]), 0.75)[:12])) == 1
     found = clusters_of(similarity_clusters(spark.createDataFrame(rows, SCHEMA), "file_id", "corpus_id", "feature", DIMS))
     assert found == {tuple(range(at, at + 6)) for at in range(0, 72, 6)}
+
+
+def large_group(n, dims=71, seed=11):
+    """One group: clusters of 3 to 400 records, one of a tenth of all, and noise."""
+    rng = np.random.default_rng(seed)
+    parts, left = [], n
+    for size in [n // 10, *([3, 5, 8, 20, 60, 400] * 99)]:
+        if left - size < n // 2:
+            break
+        parts.append(rng.normal(size=dims) + rng.normal(size=(size, dims)) * rng.uniform(0.1, 0.25))
+        left -= size
+    parts.append(rng.normal(size=(left, dims)))
+    x = np.concatenate(parts)
+    return x[rng.permutation(n)]
+
+
+def test_recall_in_a_large_cut_group(spark, partitions):
+    partitions(8)
+    n = 20_000
+    x = large_group(n)
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "file_id bigint, corpus_id bigint, feature array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found = clusters_of(similarity_clusters(df, "file_id", "corpus_id", "feature", 71))
+    # brute force: every record's surroundings, taken again over the whole group until they stay
+    true, seen = set(), np.zeros(n, bool)
+    for i in range(n):
+        near = np.flatnonzero(x @ x[i] >= 0.8)
+        if len(near) < 3 or seen[i]:
+            continue
+        before = None
+        while before is None or len(near) != len(before) or (near != before).any():
+            mean = x[near].sum(0)
+            before, near = near, np.flatnonzero(x @ mean / np.linalg.norm(mean) >= Tightness().middle)
+        cos = x @ mean / np.linalg.norm(mean)
+        seen[near] = True
+        if len(near) >= 3 and cos[near].min() >= 0.92 and (np.delete(cos, near) < 0.85).all():
+            true.add(tuple(near.tolist()))
+    assert len(true) > 60 and max(map(len, true)) >= 2000
+    assert found <= true and len(found & true) >= 0.98 * len(true)
+    # the graph's links over all chunks
+    reps = unit_vectors(df, "file_id", "corpus_id", "feature", 71).selectExpr("1L as g", "id", "vec")
+    sides = {}
+    for r in neighbour_graph(reps, 71).collect():
+        sides.setdefault(r["a"], {})[r["b"]] = r["cos"]
+    kept = total = 0
+    for i in range(0, n, 10):
+        s = x @ x[i]
+        s[i] = -2
+        best = [j for j in np.argsort(-s, kind="stable")[:12] if s[j] >= 0.75]
+        total += len(best)
+        kept += sum(j in sides.get(i, {}) for j in best)
+    assert total > 5000 and kept >= 0.9 * total
+
+
+def test_the_graph_decides(spark, monkeypatch):
+    rows, clusters = planted(4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    x = np.array([r[2] for r in rows if r[1] == 0])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert len(list(tight_sets(x, np.ones(len(x)), Tightness()))) == 3
+    import tunelore.llm.similarity_clusters as m
+
+    monkeypatch.setattr(m, "links_of", lambda x: (np.zeros(0, int), np.zeros(0, int), np.zeros(0)))
+    assert not list(tight_sets(x, np.ones(len(x)), Tightness()))
+
+
+def test_no_links_at_all_in_a_cut_group(spark):
+    rows = [(i, None, v) for i, v in enumerate(np.eye(40).tolist())]
+    df = spark.createDataFrame(rows, "file_id bigint, corpus_id bigint, feature array<double>")
+    assert similarity_clusters(df, "file_id", "corpus_id", "feature", 40, block=10).count() == 0

@@ -119,6 +119,21 @@ with s as (select distinct on (file_id) * from cluster_stats),
   m as (select *, case when file_count <= 2 then 'rare' when file_count > 0.6 * corpus_files then 'common' end mark from a join c using (corpus_id))
 """
 
+def _p2_sql(rounds: int = 4) -> str:
+    """Every file's surroundings of two widths, taken again ``rounds`` times; those that stand."""
+    again = ",".join(f"""
+  m{i} as (select corpus_id, s, list(x order by d) mean from (select n.corpus_id, n.s, d, sum(f.v[d]) x from n{i} n join f using (file_id), range(1, 72) t(d) group by all) group by all),
+  n{i + 1} as (select m.corpus_id, m.s, f.file_id, list_cosine_similarity(f.v, m.mean) cos from m{i} m join f using (corpus_id) where cos >= {0.885 if i < rounds - 1 else 0.85})""" for i in range(rounds))
+    return f"""
+with u as (select distinct on (file_id) file_id, corpus_id, feature from files where len(feature) = 71 and len(list_filter(feature, lambda y: y is null or isnan(y) or isinf(y))) = 0 and len(list_filter(feature, lambda y: y <> 0)) > 0),
+  f as (select file_id, corpus_id, list_transform(feature, lambda y: y / sqrt(list_inner_product(feature, feature))) v from u),
+  n0 as (select a.corpus_id, a.file_id * 2 + w.i s, b.file_id from f a join f b using (corpus_id), (values (0, 0.885), (1, 0.8)) w(i, w) where list_inner_product(a.v, b.v) >= w.w qualify count(*) over (partition by s) >= 3),{again},
+  c as (select corpus_id, s, list(file_id order by file_id) ids, min(cos) least_cosine from n{rounds} group by all having count(*) >= 3 and count(*) filter (cos < 0.92) = 0),
+  k as (select corpus_id, ids, ids[1] cluster_id, len(ids) cluster_size, min(s) s, round(min(least_cosine), 6) least_cosine from c group by corpus_id, ids),
+  m as (select k.corpus_id, k.cluster_id, k.cluster_size, k.least_cosine, n.file_id, n.cos from k join n{rounds} n using (s))
+"""
+
+
 _P4 = """
 with e as (select distinct event_id, file_id, start_frame, end_frame, source_midi from note_events),
   l as (
@@ -157,6 +172,10 @@ QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2
 SQL = {
     "p1_found": _P1 + "select corpus_id, kind, term, mark from m where mark is not null",
     "p1_terms": _P1 + "select corpus_id, kind, term, total_count, file_count, corpus_files, mark from m",
+    "p2_found": _p2_sql() + "select * from (select file_id file_id_a, lead(file_id) over (partition by cluster_id order by file_id) file_id_b from m) where file_id_b is not null",
+    "p2_members": _p2_sql() + "select corpus_id, cluster_id, file_id, round(cos, 6) cosine from m",
+    # a member's cosine to the mean ranks as the sum of its cosines to the others
+    "p2_clusters": _p2_sql() + "select corpus_id, cluster_id, cluster_size::bigint cluster_size, least_cosine, list(file_id order by round(cos, 9) desc, file_id)[:3] typical from m group by all",
     "p4_found": _P4 + "select file_id, start_frame, end_frame from g where n_events > 1",
     "p4_events": _P4 + "select *, end_frame - start_frame frames from g",
     "p5_found": _p5_sql() + "select corpus_id, ngram from a join c using (corpus_id) where ngram_file_support >= 0.3 * corpus_files",

@@ -1,19 +1,20 @@
 """Clusters of records with mutually similar feature vectors.
 
 1. Exact copies of a direction become one weighted representative.
-2. Representatives lie in chunks of bounded size: small groups whole, large
-   ones cut along a random projection. Each chunk builds its approximate
-   nearest-neighbour graph by neighbour descent and detects communities by
-   modularity; communities become the next level's records, chunked along
-   another projection, until the levels agree. A community's most typical
-   members have the highest internal weighted degree.
-   A community may hold several clusters, so each chunk also tells the sets
-   that stay when the records near a mean are taken again, from every
-   community and from every record's surroundings of several widths.
-3. An exact check follows: the mean directions of the last communities and of
-   all chunks' sets meet all records of their group, in blocks; members are
-   taken again from the whole group until the means stay, and a cluster stands
-   only if it is as tight and as separate as asked.
+2. A nearest-neighbour graph is built by neighbour descent: a group of up to
+   ``block`` representatives in one task; a larger one in overlapping leaves
+   of several random-hyperplane trees, whose lists are merged and then
+   descended over the whole group, neighbours of neighbours being tried until
+   few lists change. A link cut in one tree is found in another or by descent.
+3. Communities of the graph's links by modularity, for several least cosines
+   of a link, since a community of weak links may hold several clusters. In a
+   large group, chunks of the graph merge their nodes by modularity, over
+   levels of other chunks, until every tree's chunks leave them as they are.
+4. Communities of enough files are the candidates. The files near a
+   candidate's mean are taken again until they stay, and the set stands only
+   if it is as tight and as separate as asked. In a group of one task every
+   file of the group is looked at; in a larger one the files linked to the set.
+   A cluster's most typical members have the highest internal weighted degree.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tunelore.operators.runs import range_chunks, whole_chunk
-from tunelore.staging import stage
+from tunelore.operators.runs import chunk_number, pieces, range_chunks
+from tunelore.staging import drop, stage
 
-#: Neighbours of a record, records of a chunk or block, and rounds of the exact check and levels of communities at most.
-NEIGHBOURS, BLOCK, ROUNDS, LEVELS = 12, 2048, 10, 6
-#: Cosine from which records of the first level are neighbours.
-LINK = 0.75
+#: Neighbours of a record; representatives of a group that one task takes, and of a leaf of a larger group's trees; the trees.
+NEIGHBOURS, BLOCK, TREES = 12, 2048, 6
+#: Least cosines of links, one for each pass of communities; that of the weakest neighbours that are kept.
+LINKS, FLOOR = (0.75, 0.8, 0.85, 0.885), 0.6
+#: Rows that neighbour descent starts from exactly, and the share of lists that may still change at its end.
+LEAF, SETTLED = 64, 0.001
 
 
 @dataclass(frozen=True)
@@ -51,63 +54,92 @@ class Tightness:
         return (self.inner + self.outer) / 2
 
 
-def usable(vector: str, dims: int) -> Column:
-    """Whether a vector has ``dims`` finite numbers, not all zero."""
-    v = F.col(vector)
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return F.coalesce((F.size(v) == dims) & sound, F.lit(False))
+def merge_lists(n: int, k: int, a: np.ndarray, b: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of ``n`` rows the ``k`` best of its candidates (a, b, cosine), best first; -1 and -9 where there are fewer."""
+    order = np.lexsort((b, -cos, a))
+    a, b, cos = a[order], b[order], cos[order]
+    key = np.unique(a * n + b, return_index=True)[1]
+    once = np.zeros(len(a), bool)
+    once[key] = True
+    a, b, cos = a[once], b[once], cos[once]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    near = rank < k
+    ids, out = np.full((n, k), -1), np.full((n, k), -9.0)
+    ids[a[near], rank[near]], out[a[near], rank[near]] = b[near], cos[near]
+    return ids, out
 
 
-def neighbour_descent(x: np.ndarray, k: int = NEIGHBOURS, seed: int = 1, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
+def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int = 1 << 15) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", x[a[i : i + rows]], x[b[i : i + rows]]) for i in range(0, len(a), rows)] or [np.zeros(0)])
+
+
+def neighbour_descent(x: np.ndarray, k: int = NEIGHBOURS, seed: int = 1, trees: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Approximate k nearest neighbours by cosine of unit rows: ids and cosines, best first.
 
-    Starts from random neighbours; each round joins every record's neighbours,
-    reverse neighbours and their neighbours, and keeps the best, until few
-    lists change.
+    Starts from the exact neighbours in the leaves of random trees. Each round
+    tries all pairs of a record's neighbours and reverse neighbours of which
+    one is new, and keeps the best, until few lists change.
     """
     n = len(x)
     k = min(k, n - 1)
     if k <= 0:
         return np.zeros((n, 0), int), np.zeros((n, 0))
     rng = np.random.default_rng(seed)
-    ids = (rng.integers(1, n, (n, k)) + np.arange(n)[:, None]) % n
-    ids, cos = _best(x, ids, k)
-    for _ in range(rounds):
-        back = np.full((n, k), -1)
+    parts = []
+    for _ in range(trees if n > LEAF else 1):
+        todo = [np.arange(n)]
+        while todo:
+            rows = todo.pop()
+            if len(rows) > max(LEAF, k + 1):
+                side = x[rows] @ (x[rng.choice(rows)] - x[rng.choice(rows)])
+                order = np.argsort(side, kind="stable")
+                todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+                continue
+            s = x[rows] @ x[rows].T
+            np.fill_diagonal(s, -9)
+            best = np.argsort(-s, 1, kind="stable")[:, :k]
+            parts.append((np.repeat(rows, best.shape[1]), rows[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
+    ids, cos = merge_lists(n, k, *(np.concatenate(p) for p in zip(*parts)))
+    new = ids >= 0
+    one, two = np.triu_indices(2 * k, 1)
+    while n > LEAF and new.sum() > SETTLED * n * k:
+        to, frm, fresh = ids.ravel(), np.repeat(np.arange(n), k), new.ravel()
         order = rng.permutation(n * k)
-        to, frm = ids.ravel()[order], np.repeat(np.arange(n), k)[order]
-        by = np.argsort(to, kind="stable")
-        to, frm = to[by], frm[by]
+        order = order[to[order] >= 0]
+        order = order[np.argsort(to[order], kind="stable")]
+        to, frm, fresh = to[order], frm[order], fresh[order]
         rank = np.arange(len(to)) - np.searchsorted(to, to)
         near = rank < k
-        back[to[near], rank[near]] = frm[near]
-        both = np.concatenate([ids, np.where(back < 0, ids, back)], 1)
-        pool = np.concatenate([both, both[ids].reshape(n, -1), rng.integers(0, n, (n, 2))], 1)
-        new, cos = _best(x, pool, k)
-        changed = (new != ids).sum()
-        ids = new
-        if changed <= 0.001 * n * k:
-            break
+        back, back_new = np.full((n, k), -1), np.zeros((n, k), bool)
+        back[to[near], rank[near]], back_new[to[near], rank[near]] = frm[near], fresh[near]
+        both, flag = np.concatenate([ids, back], 1), np.concatenate([new, back_new], 1)
+        pairs = []
+        for at in range(0, n, 512):
+            a, b = both[at : at + 512, one], both[at : at + 512, two]
+            use = (a >= 0) & (b >= 0) & (a != b) & (flag[at : at + 512, one] | flag[at : at + 512, two])
+            a, b = a[use], b[use]
+            pairs.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)))
+        key = np.unique(np.concatenate(pairs))
+        a, b = key // n, key % n
+        s = _dots(x, a, b)
+        a, b, s = np.append(a, b), np.append(b, a), np.append(s, s)
+        better = s > cos[a, -1]
+        row = np.repeat(np.arange(n), k)
+        held = ids.ravel() >= 0
+        before = ids
+        ids, cos = merge_lists(n, k, np.append(row[held], a[better]), np.append(ids.ravel()[held], b[better]), np.append(cos.ravel()[held], s[better]))
+        new = (ids >= 0) & ~(ids[:, :, None] == before[:, None, :]).any(2)
     return ids, cos
 
 
-def _best(x: np.ndarray, pool: np.ndarray, k: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row's candidates, without itself and repeats, the k of the highest cosine."""
-    n = len(x)
-    ids, cos = np.empty((n, k), int), np.empty((n, k))
-    for at in range(0, n, rows):
-        c = np.sort(pool[at : at + rows], 1)
-        s = np.einsum("rcd,rd->rc", x[c], x[at : at + rows])
-        s[c == np.arange(at, at + len(c))[:, None]] = -9
-        s[:, 1:][c[:, 1:] == c[:, :-1]] = -9
-        best = np.argsort(-s, 1, kind="stable")[:, :k]
-        ids[at : at + rows], cos[at : at + rows] = np.take_along_axis(c, best, 1), np.take_along_axis(s, best, 1)
-    return ids, cos
-
+def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, outside: np.ndarray | None = None, total: float | None = None) -> np.ndarray:
+    """Communities of highest modularity found by local moves and aggregation; edges a-b of weight w, each once.
 
-def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Communities of highest modularity found by local moves and aggregation; edges a-b of weight w, each once."""
+    outside: weight of a node's edges that are not given, which counts for its
+    degree; total: the degree of the whole graph, if these nodes are a part.
+    """
     label = np.arange(n)
+    outside = np.zeros(n) if outside is None else outside
     while True:
         links: list[dict[int, float]] = [{} for _ in range(n)]
         loops = np.zeros(n)
@@ -117,14 +149,14 @@ def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
             else:
                 links[i][j] = links[i].get(j, 0) + v
                 links[j][i] = links[j].get(i, 0) + v
-        degree = [sum(m.values()) + 2 * loop for m, loop in zip(links, loops.tolist())]
-        total = sum(degree)
-        if not total:
+        degree = [sum(m.values()) + 2 * loop + o for m, loop, o in zip(links, loops.tolist(), outside.tolist())]
+        whole = total or sum(degree)
+        if not whole:
             return label
         own = list(range(n))
         volume = list(degree)
-        moved_any = False
-        for _ in range(20):
+        moved_any, moved = False, 1
+        while moved:
             moved = 0
             for i in range(n):
                 if not links[i]:
@@ -134,119 +166,129 @@ def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
                     to[own[j]] = to.get(own[j], 0) + v
                 old, d = own[i], degree[i]
                 volume[old] -= d
-                best, gain = old, to.get(old, 0) - d * volume[old] / total
+                best, gain = old, to.get(old, 0) - d * volume[old] / whole
                 for c, v in to.items():
-                    g = v - d * volume[c] / total
-                    if g > gain + 1e-12:
+                    g = v - d * volume[c] / whole
+                    if g > gain + 1e-9:
                         best, gain = c, g
                 volume[best] += d
                 if best != old:
                     own[i] = best
                     moved += 1
             moved_any |= moved > 0
-            if not moved:
-                break
         names, new = np.unique(own, return_inverse=True)
         label = new[label]
         if not moved_any:
             return label
         ends = np.sort(np.stack([new[a], new[b]], 1), 1)
         key, where = np.unique(ends[:, 0] * len(names) + ends[:, 1], return_inverse=True)
+        outside = np.bincount(new, outside, len(names))
         a, b, w, n = key // len(names), key % len(names), np.bincount(where, w), len(names)
 
 
-def communities(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Community of each unit row, and its internal weighted degree; neighbours below the cosine ``least`` are none."""
+def links_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b, cosine) of the unit rows' neighbour graph, each once."""
     ids, cos = neighbour_descent(x)
+    n = max(len(x), 1)
     i, j, w = np.repeat(np.arange(len(x)), ids.shape[1]), ids.ravel(), cos.ravel()
-    near = w >= least
+    near = (j >= 0) & (w >= FLOOR)
     pairs = np.sort(np.stack([i[near], j[near]], 1), 1)
-    key, first = np.unique(pairs[:, 0] * max(len(x), 1) + pairs[:, 1], return_index=True)
-    a, b, w = key // max(len(x), 1), key % max(len(x), 1), w[near][first]
-    label = louvain(len(x), a, b, w)
-    inside = label[a] == label[b]
-    return label, np.bincount(a[inside], w[inside], len(x)) + np.bincount(b[inside], w[inside], len(x))
+    key, first = np.unique(pairs[:, 0] * n + pairs[:, 1], return_index=True)
+    return key // n, key % n, w[near][first]
 
 
-def settled_sets(x: np.ndarray, v: np.ndarray, label: np.ndarray, widths: tuple[float, ...], middle: float) -> np.ndarray:
-    """Rows of truth values: the sets of unit rows ``x`` that hold exactly those of cosine ``middle`` or more to their mean.
+def communities(x: np.ndarray, least: float, edges: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Community of each unit row, named by its first row; neighbours below the cosine ``least`` are none."""
+    a, b, w = links_of(x) if edges is None else edges
+    near = w >= least
+    a, b, w = a[near], b[near], w[near]
+    # records without any link are alone
+    linked = np.unique(np.append(a, b))
+    label = np.arange(len(x))
+    if len(linked):
+        _, first, own = np.unique(louvain(len(linked), np.searchsorted(linked, a), np.searchsorted(linked, b), w), return_index=True, return_inverse=True)
+        label[linked] = linked[first][own]
+    return label
+
 
-    v: the rows' sums of unit vectors. Starts are the communities of ``label``
-    and, for each width, every row's surroundings. A set's next one has no less
-    cosine to its mean in all, so every start settles.
+def settled_sets(x: np.ndarray, wx: np.ndarray, starts: np.ndarray, middle: float) -> np.ndarray:
+    """Rows of truth values: the sets, met from ``starts``, that hold exactly the unit rows ``x`` of cosine ``middle`` or more to their mean.
+
+    wx: the rows by their weights. A set's next one has no less cosine to its
+    mean in all, and none is met twice, so every start settles.
     """
-    n = len(x)
     found: dict[bytes, np.ndarray] = {}
-    names = np.unique(label)
-    starts = [x @ x.T >= w for w in widths]
-    for near in [label[None, :] == names[:, None], *starts]:
-        seen: set[bytes] = set()
-        before: list[bytes] = [b""] * len(near)
-        while len(near):
-            packed = [r.tobytes() for r in np.packbits(near, 1)]
-            for key, was, row in zip(packed, before, near):
-                if key == was:
-                    found[key] = row
-            # a set met before goes on, or has settled, in the round that met it
-            fresh = [i for i, key in enumerate(packed) if not (key in seen or seen.add(key))]
-            near, before = near[fresh], [packed[i] for i in fresh]
-            mean = near.astype(float) @ v
-            mean /= np.maximum(np.linalg.norm(mean, axis=1), 1e-300)[:, None]
-            near = mean @ x.T >= middle
-    return np.array(list(found.values()), bool).reshape(-1, n)
-
-
-def _matrix(col: pa.ChunkedArray, dims: int) -> np.ndarray:
-    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-
-
-def _projection(vector: str, dims: int, seed: int) -> Column:
-    line = np.random.default_rng(seed).normal(size=dims).round(4)
-    return F.aggregate(F.zip_with(F.col(vector), F.array(*(F.lit(float(v)) for v in line)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-
-
-def _sum_vectors(vector: str, dims: int) -> Column:
-    return F.array(*(F.sum(F.col(vector)[i]) for i in range(dims)))
-
-
-def _grouped_communities(records: DataFrame, dims: int, level: int, block: int, least: float, tight: Tightness) -> DataFrame:
-    """Rows (grp, id, community, degree) of records (grp, id, vec, weight), and (grp, vec) without id of the sets of two files or more that settle: a level of chunks."""
-    spark = records.sparkSession
-    sizes = records.groupBy("grp").agg(F.count("*").alias("n"))
-    total = records.count()
-    # a group that fits one chunk has one sort key, which no range boundary cuts
-    keyed = records.alias("r").join(sizes.alias("s"), F.col("r.grp").eqNullSafe(F.col("s.grp"))).select("r.grp", "r.id", "r.vec", "r.weight", F.when(F.col("s.n") > block, _projection("r.vec", dims, level)).otherwise(F.lit(0.0)).alias("place"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block))
-    kind = records.schema["grp"].dataType.simpleString()
+    seen: set[bytes] = set()
+    while len(starts):
+        mean = starts.astype(float) @ wx
+        near = mean / np.maximum(np.linalg.norm(mean, axis=1), 1e-300)[:, None] @ x.T >= middle
+        keys = [r.tobytes() for r in np.packbits(near, 1)]
+        same = (near == starts).all(1)
+        for key, stays, row in zip(keys, same, near):
+            if stays:
+                found[key] = row
+        starts = near[[i for i, key in enumerate(keys) if not same[i] and not (key in seen or seen.add(key))]]
+    return np.array(list(found.values()), bool).reshape(-1, len(x))
+
+
+def tight_sets(x: np.ndarray, weight: np.ndarray, tight: Tightness) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each cluster of weighted unit rows: its rows, their cosines to the mean, and their internal weighted degrees.
+
+    The degree of a file is the sum of its cosines to all other files of its cluster.
+    """
+    edges = links_of(x)
+    starts: dict[bytes, np.ndarray] = {}
+    for link in LINKS:
+        label = communities(x, link, edges)
+        for name in np.flatnonzero(np.bincount(label, weight, len(x)) >= tight.least):
+            row = label == name
+            starts[np.packbits(row).tobytes()] = row
+    if not starts:
+        return
+    wx = x * weight[:, None]
+    for row in settled_sets(x, wx, np.array(list(starts.values())), tight.middle):
+        total = wx[row].sum(0)
+        length = np.linalg.norm(total)
+        cos = x @ total / max(length, 1e-300)
+        if weight[row].sum() >= tight.least and cos[row].min() >= tight.inner and (cos[~row] < tight.outer).all():
+            yield np.flatnonzero(row), cos[row], length * cos[row] - 1
+
+
+def _matrix(col: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def unit_vectors(df: DataFrame, key: str, group: str, vector: str, dims: int) -> DataFrame:
+    """Rows (grp, id, same, vec) of usable vectors: unit vectors, and a number that copies of a direction share.
+
+    Usable are vectors of ``dims`` finite numbers, not all zero, of rows with a key.
+    """
+    base = df.select(F.col(group).alias("grp"), F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    odd = np.random.default_rng(3).integers(1, 1 << 62, dims) * 2 + 1
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = whole_chunk(batches)
-        if table is None:
-            return
-        v = _matrix(table.column("vec"), dims)
-        x = v / np.linalg.norm(v, axis=1)[:, None]
-        weight = table.column("weight").to_numpy()
-        ids = table.column("id").to_numpy()
-        grp = pd.factorize(table.column("grp").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy())[0]
-        name, degree = np.empty(len(ids), np.int64), np.zeros(len(ids))
-        at, means = [np.zeros(0, np.int64)], [np.zeros((0, dims))]
-        for g in np.unique(grp):
-            rows = np.flatnonzero(grp == g)
-            label, degree[rows] = communities(x[rows], least)
-            first = np.full(label.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, label, ids[rows])
-            name[rows] = first[label]
-            sets = settled_sets(x[rows], v[rows], label, (LINK, 0.8, tight.outer, tight.middle), tight.middle)
-            sets = sets[sets @ weight[rows] > 1]
-            at.append(np.full(len(sets), rows[0]))
-            means.append(sets.astype(float) @ v[rows])
-        none = pa.nulls(len(ids), pa.list_(pa.float64()))
-        yield from pa.table({"grp": table.column("grp"), "id": ids, "community": name, "degree": degree, "vec": none}).to_batches()
-        at = np.concatenate(at)
-        none, vec = pa.nulls(len(at), pa.int64()), pa.array(list(np.concatenate(means)), pa.list_(pa.float64()))
-        yield from pa.table({"grp": table.column("grp").take(pa.array(at)), "id": none, "community": none, "degree": none.cast(pa.float64()), "vec": vec}).to_batches()
-
-    return keyed.repartitionByRange(parts, "grp", "place").sortWithinPartitions("grp", "place", "id").mapInArrow(local, f"grp {kind}, id bigint, community bigint, degree double, vec array<double>")
+        for b in batches:
+            vec = b.column("vec")
+            fits = pa.compute.and_(pa.compute.equal(pa.compute.fill_null(pa.compute.list_value_length(vec), -1), dims), b.column("id").is_valid())
+            b = b.filter(fits)
+            v = _matrix(b.column("vec"), dims).astype(float)
+            # divided by the largest first, so that no square overflows or vanishes
+            top = np.abs(v).max(1, initial=0.0)
+            sound = np.isfinite(top) & (top > 0)
+            b, v, top = b.filter(pa.array(sound)), v[sound], top[sound]
+            v = v / top[:, None]
+            v /= np.linalg.norm(v, axis=1)[:, None]
+            same = (np.rint(v * 1e6).astype(np.int64) * odd).sum(1)
+            ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * dims)
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("id"), pa.array(same), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], ["grp", "id", "same", "vec"])
+
+    return base.mapInArrow(local, f"grp {_type(base, 'grp')}, id bigint, same bigint, vec array<double>")
 
 
 def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims: int, tight: Tightness = Tightness(), block: int = BLOCK) -> DataFrame:
@@ -255,87 +297,225 @@ def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims:
     A cluster is a set of at least ``tight.least`` records of one group whose
     members' cosines to the mean of their unit vectors are at least
     ``tight.inner``, every other record of the group being below
-    ``tight.outer``. Rows of one key are one record; a vector that is null, of
-    another length, all zero or holds a null, NaN or infinity is in no
-    cluster, nor is a row without key; null groups are a group. Copies and
-    scaled copies of a vector are records like others.
+    ``tight.outer``. degree is the sum of a member's cosines to the others.
+    Rows of one key are one record; a vector that is null, of another length,
+    all zero or holds a null, NaN or infinity is in no cluster, nor is a row
+    without key; null groups are a group. Copies and scaled copies of a vector
+    are records like others.
     """
-    unit = F.sqrt(F.aggregate(F.col("vec"), F.lit(0.0), lambda a, x: a + x * x))
-    # divided by the largest first, so that no square overflows or vanishes
-    top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
-    sound = df.filter(usable(vector, dims)).select(F.col(group).alias("grp"), F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec")).dropna(subset=["id"]).dropDuplicates(["id"])
-    sound = sound.withColumn("_top", top).withColumn("vec", F.transform("vec", lambda x: x / F.col("_top"))).withColumn("_norm", unit).select("grp", "id", F.transform("vec", lambda x: x / F.col("_norm")).alias("vec"))
-    sound = stage(sound.withColumn("same", F.xxhash64(F.transform("vec", lambda x: F.round(x, 6) + 0.0))), "vectors")
-    copies = stage(sound.groupBy("grp", "same").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.count("*").cast("double").alias("weight")), "representatives")
-
-    # levels of communities; a record's vector is the sum of its members'
-    records = copies.select("grp", "id", F.transform("vec", lambda x: x * F.col("weight")).alias("vec"), "weight")
-    degrees, settled = None, []
-    for level in range(LEVELS):
-        told = stage(_grouped_communities(records, dims, level, block, LINK if level == 0 else tight.middle, tight), "communities")
-        found = told.filter(F.col("id").isNotNull()).select("grp", "id", "community", "degree")
-        settled.append(told.filter(F.col("id").isNull()).select("grp", "vec"))
-        if degrees is None:
-            degrees = found.select("grp", "id", "degree")
-        merged = records.alias("r").join(found.alias("f"), F.col("r.id") == F.col("f.id")).groupBy("r.grp", "f.community").agg(_sum_vectors("r.vec", dims).alias("vec"), F.sum("r.weight").alias("weight")).select("grp", F.col("community").alias("id"), "vec", "weight")
-        records = stage(merged, "records")
-        if level and not records.groupBy("grp").count().filter(F.col("count") > block).limit(1).count():
-            break
+    sound = unit_vectors(df, key, group, vector, dims)
+    kind = _type(sound, "grp")
+    # a key's rows are copies; of contradicting ones the least counts
+    files = stage(sound.groupBy("id").agg(F.min(F.struct("grp", "same")).alias("of")).select("id", "of.*"), "files")
+    weights = files.groupBy("grp", "same").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("weight"))
+    vectors = sound.groupBy("grp", "same").agg(F.first("vec").alias("vec"))
+    both = lambda a, b: F.col(f"{a}.grp").eqNullSafe(F.col(f"{b}.grp")) & (F.col(f"{a}.same") == F.col(f"{b}.same"))
+    reps = stage(weights.alias("w").join(vectors.alias("v"), both("w", "v")).select("w.grp", "w.same", "w.id", "w.weight", "v.vec"), "representatives")
+    large = stage(reps.groupBy("grp").count().filter(F.col("count") > block), "large")
+    schema = f"grp {kind}, same bigint, cluster_id bigint, cosine double, degree double, cluster_size bigint"
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        x, weight, out = np.stack(pdf["vec"]), pdf["weight"].to_numpy(), []
+        for rows, cos, degree in tight_sets(x, weight, tight):
+            size = int(weight[rows].sum())
+            out.append(pd.DataFrame({"grp": pdf["grp"].iloc[rows], "same": pdf["same"].iloc[rows], "cluster_id": pdf["id"].iloc[rows[0]], "cosine": cos, "degree": degree, "cluster_size": size}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=[c.split()[0] for c in schema.split(", ")])
+
+    within = lambda how: reps.alias("r").join(large.alias("l"), F.col("r.grp").eqNullSafe(F.col("l.grp")), how).select("r.*")
+    members = within("left_anti").groupBy("grp").applyInPandas(whole, schema)
+    if large.limit(1).count():
+        members = members.unionByName(_large_groups(stage(within("left_semi"), "large"), dims, tight, block))
+    found = members.alias("m").join(files.alias("w"), both("m", "w"))
+    return found.select(F.col("m.grp").alias(group), "m.cluster_id", F.col("w.id").alias(key), "m.cosine", "m.degree", "m.cluster_size")
+
+
+def _places(reps: DataFrame, dims: int, tree: int, bits: int, keep: list[str]) -> DataFrame:
+    """``keep`` columns with the leaf (signs beside random hyperplanes) and the place in it (a projection) of each vector, in a tree."""
+    planes = np.random.default_rng(1000 + tree).normal(size=(dims, bits + 1))
+    power = 1 << np.arange(bits, dtype=np.int64)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = _matrix(b.column("vec"), dims) @ planes
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array((s[:, :bits] > 0) @ power), pa.array(s[:, bits])], [*keep, "leaf", "along"])
+
+    return reps.select(*dict.fromkeys([*keep, "vec"])).mapInArrow(local, ", ".join([f"{c} {_type(reps, c)}" for c in keep] + ["leaf bigint, along double"]))
 
-    # chunks and levels tell many sets again
-    length = F.sqrt(F.aggregate(F.col("vec"), F.lit(0.0), lambda a, x: a + x * x))
-    starts = reduce(DataFrame.unionByName, settled, records.select("grp", "vec")).withColumn("_length", length).withColumn("same", F.xxhash64(F.transform("vec", lambda x: F.round(x / F.col("_length"), 6) + 0.0)))
-    starts = stage(starts.groupBy("grp", "same").agg(F.first("vec").alias("vec")).select("grp", F.monotonically_increasing_id().alias("id"), "vec"), "starts")
-
-    # the exact check: means against all records of their group, in blocks
-    sizes = sound.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    same = lambda a, b: F.col(f"{a}.grp").eqNullSafe(F.col(f"{b}.grp"))
-    blocks = stage(sound.alias("v").join(sizes.alias("s"), same("v", "s")).select("v.grp", "v.id", "v.vec", F.pmod(F.xxhash64("v.id"), "s.blocks").cast("int").alias("block")), "blocks")
-    kind = blocks.schema["grp"].dataType.simpleString()
-
-    def against(seeds: DataFrame, visit, schema: str) -> DataFrame:
-        """``visit(ids, unit vectors, seed ids, unit seeds)`` over each block and its group's seeds."""
-
-        def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return visit(np.zeros(0, np.int64), np.zeros((0, dims)), np.zeros(0, np.int64), np.zeros((0, dims))).assign(grp=None)
-            x, c = np.stack(left["vec"]), np.stack(right["vec"])
-            out = visit(left["id"].to_numpy(), x, right["id"].to_numpy(), c / np.linalg.norm(c, axis=1)[:, None])
-            return out.assign(grp=left["grp"].iloc[0])
-
-        spread = seeds.alias("c").join(sizes.alias("s"), same("c", "s")).select("c.grp", "c.id", "c.vec", F.explode(F.sequence(F.lit(0), F.col("s.blocks").cast("int") - 1)).alias("block"))
-        return blocks.groupBy("grp", "block").cogroup(spread.groupBy("grp", "block")).applyInPandas(local, schema)
-
-    def sums(ids, x, seed, c):
-        cos = x @ c.T
-        near = cos >= tight.middle
-        hit = np.flatnonzero(near.any(0))
-        first = [int(ids[near[:, j]].min()) for j in hit]
-        return pd.DataFrame({"id": seed[hit], "first": np.array(first, np.int64), "n": near[:, hit].sum(0).astype(np.int64), "vec": pd.Series([x[near[:, j]].sum(0) for j in hit], dtype=object)})
-
-    seeds, before = starts, None
-    for _ in range(ROUNDS):
-        part = against(seeds, sums, f"id bigint, first bigint, n bigint, vec array<double>, grp {kind}")
-        taken = part.groupBy("grp", "id").agg(F.min("first").alias("first"), F.sum("n").alias("n"), _sum_vectors("vec", dims).alias("vec")).filter(F.col("n") >= tight.least)
-        # seeds that took the same records are one
-        seeds = stage(taken.groupBy("grp", "first", "n").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("id")), "seeds")
-        known = before is not None and not seeds.alias("a").join(before.alias("b"), same("a", "b") & (F.col("a.first") == F.col("b.first")) & (F.col("a.n") == F.col("b.n")), "left_anti").limit(1).count()
-        before, seeds = seeds, seeds.select("grp", "id", "vec")
-        if known:
-            break
 
-    def judge(ids, x, seed, c):
-        cos = x @ c.T
-        i, j = np.nonzero(cos >= tight.outer)
-        return pd.DataFrame({"seed": seed[j], "id": ids[i], "cosine": cos[i, j]})
+def _with_group(reps: DataFrame) -> DataFrame:
+    """``reps`` with g, a number of the group."""
+    return reps.withColumn("g", F.xxhash64(F.coalesce(F.col("grp").cast("string"), F.lit("null")), F.col("grp").isNull()))
 
-    close = stage(against(seeds, judge, f"seed bigint, id bigint, cosine double, grp {kind}"), "close")
-    stands = close.groupBy("grp", "seed").agg(F.count_if(F.col("cosine") < tight.inner).alias("between"), F.min("id").alias("cluster_id"), F.count("*").alias("cluster_size")).filter((F.col("between") == 0) & (F.col("cluster_size") >= tight.least))
-    stands = stands.groupBy("grp", "cluster_id", "cluster_size").agg(F.min("seed").alias("seed"))
-    member = close.alias("m").join(stands.alias("k"), same("m", "k") & (F.col("m.seed") == F.col("k.seed"))).select("m.grp", "k.cluster_id", "m.id", "m.cosine", "k.cluster_size")
-    typical = sound.alias("v").join(copies.alias("p"), same("v", "p") & (F.col("v.same") == F.col("p.same"))).select("v.id", F.col("p.id").alias("standin"))
-    degree = typical.join(degrees.select(F.col("id").alias("standin"), "degree"), "standin").select("id", "degree")
-    return member.join(degree, "id").select(F.col("grp").alias(group), "cluster_id", F.col("id").alias(key), "cosine", "degree", "cluster_size")
+
+def _bits(n: int, block: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, n / block)))) + 1)
+
+
+def _nearest(edges: DataFrame, name: str) -> DataFrame:
+    """Staged edges (a, b, cos, new): of each record the best NEIGHBOURS, an edge told twice once."""
+    once = edges.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
+    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("cos"), "b"))
+    return stage(once.withColumn("_rank", rank).filter(F.col("_rank") <= NEIGHBOURS).drop("_rank"), name)
+
+
+def neighbour_graph(reps: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b, cos) to the nearest records of cosine FLOOR or more of unit vectors (g, id, vec), within each g, over chunks.
+
+    Every tree's leaves are taken in chunks of about ``block`` rows, however
+    unequal the leaves are; the lists of all trees are merged, and neighbour
+    descent goes on over all records.
+    """
+    n = reps.count()
+    bits = _bits(n, block)
+    placed = reduce(DataFrame.unionByName, (_places(reps, dims, t, bits, ["g", "id", "vec"]).withColumn("tree", F.lit(t)) for t in range(TREES)))
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * TREES * 4 // (block * 3)))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in pieces(batches, 2 * block):
+            x, ids, g, tree = _matrix(table.column("vec"), dims), *(table.column(c).to_numpy() for c in ("id", "g", "tree"))
+            cut = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (tree[1:] != tree[:-1])))
+            for start, end in zip(cut, np.append(cut[1:], len(g))):
+                a, b, w = links_of(x[start:end])
+                own = ids[start:end]
+                yield from pa.table({"a": np.append(own[a], own[b]), "b": np.append(own[b], own[a]), "cos": np.append(w, w), "new": np.ones(2 * len(a), bool)}).to_batches()
+
+    leaves = placed.repartitionByRange(parts, "tree", "g", "leaf", "along").sortWithinPartitions("tree", "g", "leaf", "along")
+    lists = _nearest(leaves.mapInArrow(local, "a bigint, b bigint, cos double, new boolean"), "neighbours")
+    while lists.filter("new").count() > SETTLED * n * NEIGHBOURS:
+        both = lists.select(F.col("a").alias("u"), F.col("b").alias("v"), "new").unionByName(lists.select(F.col("b").alias("u"), F.col("a").alias("v"), "new")).groupBy("u", "v").agg(F.max("new").alias("new"))
+        some = F.row_number().over(W.partitionBy("u").orderBy(F.xxhash64("v", "u")))
+        both = both.withColumn("_rank", some).filter(F.col("_rank") <= 2 * NEIGHBOURS)
+        tried = both.alias("x").join(both.alias("y"), (F.col("x.u") == F.col("y.u")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.new") | F.col("y.new"))).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
+        near = dots(tried, reps.select(F.col("id").alias("a"), F.col("vec").alias("x")), reps.select(F.col("id").alias("b"), F.col("vec").alias("y")), dims).filter(F.col("cos") >= FLOOR)
+        old = lists.withColumn("new", F.lit(False))
+        more = _nearest(reduce(DataFrame.unionByName, [old, *(near.select(F.col(p).alias("a"), F.col(q).alias("b"), "cos", F.lit(True).alias("new")) for p, q in ("ab", "ba"))]), "neighbours")
+        drop(lists)
+        lists = more
+    return lists.drop("new")
+
+
+def dots(pairs: DataFrame, left: DataFrame, right: DataFrame, dims: int) -> DataFrame:
+    """``pairs`` (a, b) with cos, the product of the vectors x of ``left`` (a, x) and y of ``right`` (b, y)."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            cos = np.einsum("ij,ij->i", _matrix(t.column("x"), dims), _matrix(t.column("y"), dims))
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(cos)], ["a", "b", "cos"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(local, "a bigint, b bigint, cos double")
+
+
+def graph_communities(reps: DataFrame, edges: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
+    """Rows (link, id, community) of the records with links, for each least cosine of LINKS: modularity over a graph of any size.
+
+    Nodes lie in chunks by their leaves in a tree; each chunk moves its nodes
+    by the gain in the whole graph's modularity, what they have in common
+    becomes a node, and the next level's chunks follow another tree, until one
+    chunk holds all or no tree's chunks join anything.
+    """
+    bits = _bits(reps.count(), block)
+    group = reps.select(F.col("id").alias("a"), "g")
+    once = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cos").groupBy("a", "b").agg(F.max("cos").alias("w")).join(group, "a")
+    now = stage(once.withColumn("link", F.explode(F.array(*map(F.lit, LINKS)))).filter(F.col("w") >= F.col("link")).select("link", "g", "a", "b", "w"), "links")
+    ends = lambda e: e.select("link", "g", F.col("a").alias("node")).unionByName(e.select("link", "g", F.col("b").alias("node"))).distinct()
+    label = stage(ends(now).select("link", F.col("node").alias("id"), F.col("node").alias("community")), "labels")
+    total = stage(now.groupBy("link", "g").agg((2 * F.sum("w")).alias("total")), "totals")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("link"), b.column("node"), pa.array(np.full(b.num_rows, chunk_number(), np.int32))], ["link", "node", "chunk"])
+
+    def move(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (link, _), part in pdf.groupby(["link", "g"]):
+            names = np.unique(np.append(part["a"], part["b"].dropna().astype("int64")))
+            a, inside = np.searchsorted(names, part["a"]), part["b"].notna().to_numpy()
+            b, w = np.searchsorted(names, part["b"].fillna(0).astype("int64")), part["w"].to_numpy()
+            own = louvain(len(names), a[inside], b[inside], w[inside], np.bincount(a[~inside], w[~inside], len(names)), float(part["total"].iloc[0]))
+            first = np.unique(own, return_index=True)[1]
+            out.append(pd.DataFrame({"link": link, "node": names, "into": names[first][own]}))
+        return pd.concat(out)
+
+    level, quiet = 0, 0
+    while quiet < TREES:
+        nodes = stage(ends(now), "nodes")
+        parts = -(-nodes.count() // (4 * block))
+        placed = nodes.join(_places(reps, dims, level % TREES, bits, ["id"]).withColumnRenamed("id", "node"), "node")
+        chunks = stage(placed.repartitionByRange(max(1, parts), "link", "g", "leaf", "along").select("link", "node").mapInArrow(number, "link double, node bigint, chunk int"), "chunks")
+        named = lambda c: chunks.select("link", F.col("node").alias(c), F.col("chunk").alias(f"chunk_{c}"))
+        cut = now.join(named("a"), ["link", "a"]).join(named("b"), ["link", "b"]).join(total, ["link", "g"])
+        apart = F.col("chunk_a") != F.col("chunk_b")
+        side = lambda p, other, chunk: cut.filter(apart if other is None else ~apart).select(F.col(chunk).alias("chunk"), "link", "g", F.col(p).alias("a"), (F.lit(None).cast("bigint") if other is None else F.col(other)).alias("b"), "w", "total")
+        rows = reduce(DataFrame.unionByName, [side("a", "b", "chunk_a"), side("a", None, "chunk_a"), side("b", None, "chunk_b")])
+        joined = stage(rows.groupBy("chunk").applyInPandas(move, "link double, node bigint, into bigint").filter(F.col("node") != F.col("into")), "moves")
+        quiet = 0 if joined.limit(1).count() else quiet + 1
+        if not quiet:
+            into = lambda c: joined.select("link", F.col("node").alias(c), F.col("into").alias(f"into_{c}"))
+            merged = now.join(into("a"), ["link", "a"], "left").join(into("b"), ["link", "b"], "left").select("link", "g", F.coalesce("into_a", "a").alias("p"), F.coalesce("into_b", "b").alias("q"), "w")
+            after = stage(merged.groupBy("link", "g", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("w").alias("w")), "links")
+            relabelled = stage(label.join(into("community"), ["link", "community"], "left").select("link", "id", F.coalesce("into_community", "community").alias("community")), "labels")
+            for old in (now, label):
+                drop(old)
+            now, label = after, relabelled
+        for old in (nodes, chunks, joined):
+            drop(old)
+        if parts <= 1:
+            break
+        level += 1
+    return label
+
+
+def _large_groups(reps: DataFrame, dims: int, tight: Tightness, block: int) -> DataFrame:
+    """The members of clusters in groups that no single task takes: grp, same, cluster_id, cosine, degree, cluster_size."""
+    reps = stage(_with_group(reps), "vectors")
+    edges = neighbour_graph(reps, dims, block)
+    label = graph_communities(reps, edges, dims, block)
+    linked = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "adjacent")
+    weight = reps.select("id", "weight")
+    # a set's mark: sets with one mark are one
+    mark = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).cast("string").alias("mark"), F.count("*").alias("n"), F.min("id").alias("first")]
+    by_mark = ["mark", "n", "first"]
+
+    def distinct_sets(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
+        """Rows (s, id) of sets of enough files, each once and none of ``seen``; s is new."""
+        sets = rows.join(weight, "id").groupBy("s").agg(*mark, F.sum("weight").alias("files")).filter(F.col("files") >= tight.least)
+        kept = sets.groupBy(*by_mark).agg(F.min("s").alias("s"))
+        kept = kept if seen is None else kept.join(seen, by_mark, "left_anti")
+        return rows.join(kept.select("s"), "s")
+
+    alone = reps.filter(F.col("weight") >= tight.least).select(F.xxhash64(F.lit(-1), "id").alias("s"), "id")
+    sets = stage(distinct_sets(label.select(F.xxhash64("link", "community").alias("s"), "id").unionByName(alone), None), "sets")
+    seen = stage(sets.groupBy("s").agg(*mark).select(*by_mark), "seen")
+    done: list[DataFrame] = []
+
+    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            mean = _matrix(t.column("mean"), dims)
+            length = np.linalg.norm(mean, axis=1)
+            cos = np.einsum("ij,ij->i", _matrix(t.column("vec"), dims), mean) / np.maximum(length, 1e-300)
+            yield pa.RecordBatch.from_arrays([t.column("s"), t.column("id"), t.column("weight"), pa.array(cos), pa.array(length)], ["s", "id", "weight", "cosine", "length"])
+
+    while sets.limit(1).count():
+        own = sets.join(reps.select("id", "vec", "weight"), "id")
+        means = own.groupBy("s").agg(F.array(*(F.sum(F.col("vec")[i] * F.col("weight")) for i in range(dims))).alias("mean"))
+        pool = sets.select("s", "id").unionByName(sets.join(linked, sets["id"] == linked["a"]).select("s", F.col("b").alias("id"))).distinct()
+        scored = stage(pool.join(reps.select("id", "vec", "weight"), "id").join(means, "s").select("s", "id", "weight", "vec", "mean").mapInArrow(dot, "s bigint, id bigint, weight double, cosine double, length double").filter(F.col("cosine") >= tight.outer), "scored")
+        taken = scored.filter(F.col("cosine") >= tight.middle).select("s", "id")
+        after, before = (x.groupBy("s").agg(*mark) for x in (taken, sets))
+        still = stage(after.join(before, ["s", *by_mark]).groupBy(*by_mark).agg(F.min("s").alias("s")).select("s"), "still")
+        done.append(scored.join(still, "s"))
+        moved = after.join(before, ["s", *by_mark], "left_anti").select("s")
+        old, sets = sets, stage(distinct_sets(taken.join(moved, "s"), seen), "sets")
+        more = stage(seen.unionByName(sets.groupBy("s").agg(*mark).select(*by_mark)), "seen")
+        drop(old)
+        drop(seen)
+        seen = more
+    if not done:
+        done = [reps.select(F.lit(0).cast("bigint").alias("s"), "id", "weight", F.lit(0.0).alias("cosine"), F.lit(0.0).alias("length")).limit(0)]
+    close = reduce(DataFrame.unionByName, done)
+    stands = close.groupBy("s").agg(F.count_if(F.col("cosine") < tight.inner).alias("between"), F.min("id").alias("cluster_id"), F.sum("weight").cast("bigint").alias("cluster_size")).filter((F.col("between") == 0) & (F.col("cluster_size") >= tight.least))
+    return close.join(stands, "s").join(reps.select("id", "grp", "same"), "id").select("grp", "same", "cluster_id", "cosine", (F.col("length") * F.col("cosine") - 1).alias("degree"), "cluster_size")
 
 
 def neighbours_in_order(df: DataFrame, cluster: str, key: str) -> DataFrame:
@@ -343,16 +523,21 @@ def neighbours_in_order(df: DataFrame, cluster: str, key: str) -> DataFrame:
     rows = df.select(F.col(cluster).cast("bigint").alias("cluster"), F.col(key).cast("bigint").alias("key"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, table = whole_chunk(batches)
-        if table is None:
-            return
-        cluster, key = table.column("cluster").to_numpy(), table.column("key").to_numpy()
-        together = cluster[1:] == cluster[:-1]
-        first, second = key[:-1][together], key[1:][together]
-        n = len(first)
-        yield from pa.table({"first": first, "second": second, "cluster": pa.nulls(n, pa.int64()), "chunk": pa.nulls(n, pa.int32())}).to_batches()
-        ends = sorted({0, len(key) - 1})
-        yield from pa.table({"first": key[ends], "second": pa.nulls(len(ends), pa.int64()), "cluster": cluster[ends], "chunk": np.full(len(ends), chunk, np.int32)}).to_batches()
+        chunk, last = chunk_number(), None
+        mark = lambda at, of: pa.table({"first": [at], "second": pa.nulls(1, pa.int64()), "cluster": [of], "chunk": pa.array([chunk], pa.int32())}).to_batches()
+        for table in pieces(batches):
+            cluster, key = table.column("cluster").to_numpy(), table.column("key").to_numpy()
+            if last is None:
+                yield from mark(int(key[0]), int(cluster[0]))
+            else:
+                cluster, key = np.append(last[0], cluster), np.append(last[1], key)
+            together = cluster[1:] == cluster[:-1]
+            first, second = key[:-1][together], key[1:][together]
+            n = len(first)
+            yield from pa.table({"first": first, "second": second, "cluster": pa.nulls(n, pa.int64()), "chunk": pa.nulls(n, pa.int32())}).to_batches()
+            last = cluster[-1], key[-1]
+        if last is not None:
+            yield from mark(int(last[1]), int(last[0]))
 
     local_pairs = stage(range_chunks(rows, ["cluster"], "key", copies=False).mapInArrow(local, "first bigint, second bigint, cluster bigint, chunk int"), "pairs")
     by = W.partitionBy("cluster").orderBy("first", "chunk")
@@ -361,8 +546,8 @@ def neighbours_in_order(df: DataFrame, cluster: str, key: str) -> DataFrame:
 
 
 def describe(members: DataFrame, group: str, key: str, typical: int = 3) -> DataFrame:
-    """Of each cluster: group, cluster_id, cluster_size, least_cosine, and ``typical``: the keys of highest internal degree."""
-    rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("degree"), key))
+    """Of each cluster: group, cluster_id, cluster_size, least_cosine, and ``typical``: the keys of highest internal degree, ties by key."""
+    rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc(F.round("degree", 6)), key))
     top = members.select("cluster_id", key, rank.alias("rank"), "degree").filter(F.col("rank") <= typical)
     top = top.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(key).alias("k")))), lambda x: x["k"]).alias("typical"))
     return members.groupBy(group, "cluster_id", "cluster_size").agg(F.round(F.min("cosine"), 6).alias("least_cosine")).join(top, "cluster_id")
