@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from tunelore.llm.packing import best_fit, container_fill, pack, pack_documents
+from tunelore.llm.packing import best_fit, container_fill, pack, pack_documents, plan_sizes
 
 SCHEMA = "doc_id bigint, n bigint, bin string, part int, fill string"
 
@@ -54,3 +55,25 @@ def test_documents(spark):
     rows = pack_documents(df, 2048).collect()
     assert sorted({(r["doc_id"], r["n_pieces"]) for r in rows}) == [(1, 3), (2, 1), (3, 1), (4, 1)] and len(rows) == 6
     assert sum(r["used"] for r in container_fill(pack_documents(df, 2048)).collect()) == sum(r["n_tokens"] for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_a_plan_gives_every_bin_one_container(seed):
+    rng = random.Random(seed)
+    counts = {rng.randint(0, 99): rng.choice([1, 2, 7, 1000]) for _ in range(30)}
+    plan = plan_sizes(counts, 100)
+    fill = np.repeat(list(counts), list(counts.values()))
+    rank = np.concatenate([np.arange(n) for n in counts.values()])
+    used = np.bincount(plan.containers(fill, rank), fill)
+    assert used.max() <= 100 and used.sum() == fill.sum()
+    # as full as taking the bins one by one
+    assert len(used) <= len(best_fit(sorted(fill.tolist(), reverse=True), 100)[1]) * 1.02 + 1
+    assert len(plan_sizes({}, 100).size) == 0
+
+
+def test_half_full_bins_of_many_partitions_are_all_combined(spark, partitions):
+    partitions(64)
+    rng = random.Random(1)
+    rows = pack(spark.createDataFrame([(i, rng.choice([45, 55]), "x", 1, "y") for i in range(20_000)], SCHEMA), "doc_id", "n", 100).collect()
+    fill, items = check(rows, 100)
+    assert len(items) == 20_000 and len(fill) <= 1.01 * -(-sum(items.values()) // 100)

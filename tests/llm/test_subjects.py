@@ -1,6 +1,6 @@
 import random
 
-from tunelore.llm.subjects import document_subjects, fit, plain, repair, sentences
+from tunelore.llm.subjects import document_subjects, features, fit, labelled_sentences, plain, repair, sentences
 
 DOCS = "doc_id bigint, text string, subject string, about int"
 EXAMPLES = "example_id bigint, text string, lang string, subject string"
@@ -28,7 +28,9 @@ def labelled(seed=1, n=40):
 
 def test_held_out_accuracy():
     rows = labelled()
-    model, measures = fit([r[1] for r in rows], [r[3] for r in rows], ["farm", "law", "sea"])
+    told = [(features(x), r[0], r[3]) for r in rows for x in sentences(r[1])]
+    model, measures = fit(*map(list, zip(*told)))
+    assert model.subjects == ["farm", "law", "sea"]
     assert measures["accuracy"] > 0.98 and measures["left_out"] >= 2
     rng = random.Random(5)
     for j, s in enumerate(("farm", "law", "sea")):
@@ -51,3 +53,17 @@ def test_quarter_of_the_sentences(spark):
     assert got == {(1, "sea"), (1, "farm"), (2, "sea"), (3, "law"), (8, "sea")}
     assert document_subjects(df.limit(0), ex, subjects).count() == 0
     assert document_subjects(df, ex.limit(0), subjects).count() == 0
+
+
+def test_subjects_without_examples_and_bound(spark):
+    rng = random.Random(8)
+    rows = [r for r in labelled() if r[3] != "law"] + [(9000, None, "en", "law"), (9001, "!!", "en", "law"), (9002, texts(rng, "law", 2), "en", "cooking")]
+    ex = spark.createDataFrame(rows, EXAMPLES)
+    subjects = spark.createDataFrame([("sea", ""), ("farm", ""), ("law", ""), (None, "")], "subject string, about string")
+    df = spark.createDataFrame([(1, texts(rng, "sea", 3), None, None), (2, texts(rng, "law", 3), None, None), (None, texts(rng, "farm", 2), None, None)], DOCS)
+    assert {(r["doc_id"], r["subject"]) for r in document_subjects(df, ex, subjects).collect()} == {(1, "sea"), (None, "farm")}
+    one = spark.createDataFrame([("sea", "")], "subject string, about string")
+    assert {r["doc_id"] for r in document_subjects(df, ex, one).collect()} >= {1}
+    long = spark.createDataFrame([(1, texts(rng, "sea", 500), "en", "sea"), (2, texts(rng, "farm", 20), "en", "farm")], EXAMPLES)
+    some = labelled_sentences(long, subjects, 100).collect()
+    assert len(some) == 100 and {r["example_id"] for r in some} == {1, 2}

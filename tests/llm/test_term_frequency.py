@@ -6,13 +6,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tunelore.llm.term_frequency import MELODY_TERMS, degree, interval, melody_terms, pack_ids, trigram, union, unpack_ids
+from tunelore.llm.term_frequency import MELODY_TERMS, degree, interval, melody_terms, pack_counts, pack_ids, trigram, union, unpack_ids
 
 SCHEMA = "file_id bigint, corpus_id bigint, degree_count map<string,bigint>, interval_count map<string,bigint>, trigram_count map<string,bigint>, kind string, ids binary, grp int"
 
 
 def test_forms():
-    assert [degree(x) for x in ("03", "15", "-9", "7.0", "x")] == ["3", "3", "3", "7", None]
+    assert [degree(x) for x in ("03", "15", "-9", "7.0", "x", "2.5", "-2.5")] == ["3", "3", "3", "7", None, "3", "9"]
     assert [interval(x) for x in ("+3", "19", "12.0", "0", "")] == ["3", "12", "12", None, None]
     assert [trigram(x) for x in ("0 > 4 > 7", "(00, 04, 19)", "0-4-7", "1,2")] == ["0>4>7", "0>4>7", "0>4>7", None]
 
@@ -21,9 +21,10 @@ def test_forms():
 @given(st.sets(st.integers(0, 65535), max_size=60), st.sets(st.integers(0, 65535), max_size=60), st.booleans())
 def test_union_of_containers(a, b, dense):
     a |= set(range(5000)) if dense else set()
-    pack = lambda s: (pack_ids(np.array(sorted(s), np.int64)), np.full(len(s), 2, "<i8").tobytes())
-    assert unpack_ids(pack(a)[0]).tolist() == sorted(a)
-    assert union([pack(a), pack(b)]) == (len(a | b), 2 * len(a | b))
+    for count in (2, 300, 70_000, 1 << 40):
+        pack = lambda s: (pack_ids(np.array(sorted(s), np.int64)), pack_counts(np.full(len(s), count)) if s else b"")  # noqa: B023, E731
+        assert unpack_ids(pack(a)[0]).tolist() == sorted(a)
+        assert union([pack(a), pack(b)]) == (len(a | b), count * len(a | b))
 
 
 def some(seed, n=150):
@@ -60,3 +61,11 @@ def test_equals_plain_counts(spark, partitions, parts):
 
 def test_empty(spark):
     assert melody_terms(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 9])
+def test_one_record_in_two_groups(spark, partitions, parts):
+    partitions(parts)
+    rows = [(f, g, {"1": n}, None, None, "k", b"", 1) for f, g, n in [(1, 1, 2), (5, 1, 3), (4, 2, 2000), (5, 2, 3), (9, 2, 1), (5, 2, 3), (5, 1, 3)]]
+    got = {r["corpus_id"]: (r["total_count"], r["file_count"], r["corpus_files"]) for r in melody_terms(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (5, 2, 2), 2: (2004, 3, 3)}

@@ -50,3 +50,18 @@ def test_split_characters_and_empty(spark):
     assert "�" in tokens.decode_ids(tokens.BYTE_BPE, ids[:1])
     assert tokens.encode(spark.createDataFrame([], SCHEMA)).count() == 0
     assert len(tokens.byte_of_character()) == 256 == len(set(tokens.byte_of_character().values()))
+
+
+def test_rows_without_key_stay_apart(spark):
+    rows = [(None, "one two", "x", 1), (None, "three", "x", 1), (None, "three", "x", 1), (None, None, "x", 1), (5, "four", "x", 1), (5, "four", "x", 1), (6, "four", "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in tokens.decode(tokens.encode(df)).collect())
+    assert got == [(0, ""), (0, "one two"), (0, "three"), (5, "four"), (6, "four")]
+    assert tokens.encode(df.limit(0)).count() == 0
+
+
+def test_texts_of_single_keys_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, f"text {i}", "x", 1) for i in range(20)], SCHEMA)
+    plan = tokens.encode(df.filter("doc_id is not null"))._jdf.queryExecution().executedPlan().toString()
+    single = plan.split("Union")[1].split("MapInArrow")[0]
+    assert "BroadcastHashJoin" in single

@@ -25,8 +25,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_terms(spark, folder).filter(F.col("mark").isNotNull()).select("corpus_id", "kind", "term", "mark")
 
 
-#: Numbers of a file's feature.
-FEATURE_DIMS = 71
+#: Numbers of a file's feature; tokens of a container.
+FEATURE_DIMS, CAPACITY = 71, 2048
 
 
 def p2_members(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,17 +77,27 @@ def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_assigned(spark: SparkSession, folder: str) -> DataFrame:
     """All documents' pieces in containers."""
-    return pack_documents(table(spark, folder, "documents"))
+    return pack_documents(table(spark, folder, "documents"), CAPACITY)
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The containers' fills."""
-    return container_fill(p7_assigned(spark, folder))
+    return container_fill(p7_assigned(spark, folder), CAPACITY)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents that are split."""
-    return p7_assigned(spark, folder).filter((F.col("piece") == 0) & (F.col("n_pieces") > 1)).select("doc_id")
+    """The documents that are split: those that lie in more than one container."""
+    cut = p7_assigned(spark, folder).filter(F.col("n_pieces") > 1)
+    return cut.groupBy("doc_id").agg(F.countDistinct("container_id").alias("n")).filter(F.col("n") > 1).select("doc_id")
+
+
+def p7_sound(spark: SparkSession, folder: str) -> DataFrame:
+    """One row of what every packing must be: documents, lost (without a container), torn (short, but in several containers), overfull containers, and whether no 2 % more containers than the tokens need are used."""
+    pieces = p7_assigned(spark, folder)
+    of = pieces.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("container_id").alias("containers"), F.count_if(F.col("container_id").isNull()).alias("missing"))
+    per = of.agg(F.count("*").alias("documents"), F.count_if(F.col("missing") > 0).alias("lost"), F.count_if((F.col("tokens") <= CAPACITY) & (F.col("containers") > 1)).alias("torn"))
+    fill = container_fill(pieces, CAPACITY).agg(F.count_if(F.col("unused") < 0).alias("overfull"), (F.count("*") <= F.ceil(F.sum("used") / CAPACITY) * 1.02 + 1).alias("tight"))
+    return per.withColumn("_row", F.lit(1)).join(fill.withColumn("_row", F.lit(1)), "_row").drop("_row")
 
 
 def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +115,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _P1 = """
-with s as (select distinct on (file_id) * from cluster_stats),
+with s as (select distinct on (corpus_id, file_id) * from cluster_stats),
   e as (
     select file_id, corpus_id, 'degree' kind, unnest(map_entries(degree_count)) x from s
     union all select file_id, corpus_id, 'interval', unnest(map_entries(interval_count)) from s
@@ -167,7 +177,7 @@ with f as (select distinct file_id, corpus_id, root_pc from files),
 """
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_members": p2_members, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found, "p5_patterns": p5_patterns, "p6_ids": p6_ids, "p6_texts": p6_texts, "p7_found": p7_found, "p7_assigned": p7_assigned, "p7_containers": p7_containers, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_members": p2_members, "p2_clusters": p2_clusters, "p4_found": p4_found, "p4_events": p4_events, "p5_found": p5_found, "p5_patterns": p5_patterns, "p6_ids": p6_ids, "p6_texts": p6_texts, "p7_found": p7_found, "p7_assigned": p7_assigned, "p7_sound": p7_sound, "p7_containers": p7_containers, "p8_found": p8_found, "p8_subjects": p8_subjects, "p8_composition": p8_composition}
 
 SQL = {
     "p1_found": _P1 + "select corpus_id, kind, term, mark from m where mark is not null",
@@ -180,5 +190,6 @@ SQL = {
     "p4_events": _P4 + "select *, end_frame - start_frame frames from g",
     "p5_found": _p5_sql() + "select corpus_id, ngram from a join c using (corpus_id) where ngram_file_support >= 0.3 * corpus_files",
     "p5_patterns": _p5_sql() + "select a.*, corpus_files from a join c using (corpus_id) where ngram_file_support >= 0.3 * corpus_files",
+    "p7_sound": "select count(distinct doc_id) documents, 0::bigint lost, 0::bigint torn, 0::bigint overfull, true tight from documents",
     "p6_texts": "select distinct doc_id, coalesce(text, '') as text from documents",
 }

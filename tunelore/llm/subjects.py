@@ -24,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash space of the features, and labelled texts used at most (a bound on the model's fit; see ``fit``).
-DIMENSIONS, MOST_TEXTS = 1 << 18, 4000
-RIDGE = 0.3
+from tunelore.llm.tokens import distinct_texts
+
+#: Hash space of the features, and sentences of labelled texts used at most, those of the least hashes: the bound of the fit, whose memory is 24 bytes times its square.
+DIMENSIONS, MOST_SENTENCES = 1 << 18, 4000
+#: Weight of the squared weights; features of a block; the least threshold of a subject.
+RIDGE, FEATURE_BLOCK, LEAST_THRESHOLD = 0.3, 4096, 0.05
 
 _TAGS = re.compile(r"</?(?:p|br|div|li|ul|ol|h\d|span|b|i|em|strong|td|tr|table)\b[^>]*>", re.I)
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -155,85 +158,113 @@ class Model:
 
 
 def _fit(rows: list[list[int]], y: np.ndarray, groups: np.ndarray):
-    """Weights, idf and leave-one-out scores of least squares on the given feature rows."""
+    """Weights, idf and leave-one-out scores of least squares on the given feature rows; features are taken in blocks."""
     seen = np.unique(np.concatenate([np.array(r, np.int64) for r in rows]))
     slots = np.full(DIMENSIONS, -1, np.int32)
     slots[seen] = np.arange(len(seen))
-    at = [slots[r] for r in rows]
-    df = np.bincount(np.concatenate(at), minlength=len(seen))
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    at = slots[np.concatenate([np.array(r, np.int64) for r in rows])]
+    df = np.bincount(at, minlength=len(seen))
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    x = np.zeros((len(rows), len(seen)), np.float32)
-    for i, a in enumerate(at):
-        w = idf[a]
-        x[i, a] = w / np.sqrt((w * w).sum())
-    inverse = np.linalg.inv((x @ x.T).astype(float) + RIDGE * np.eye(len(rows)))
+    value = idf[at] / np.sqrt(np.bincount(of, idf[at] ** 2, len(rows)))[of]
+
+    def blocks() -> Iterator[tuple[int, np.ndarray]]:
+        for start in range(0, len(seen), FEATURE_BLOCK):
+            x = np.zeros((len(rows), min(FEATURE_BLOCK, len(seen) - start)), np.float32)
+            own = (at >= start) & (at < start + FEATURE_BLOCK)
+            x[of[own], at[own] - start] = value[own]
+            yield start, x
+
+    kernel = RIDGE * np.eye(len(rows))
+    for _, x in blocks():
+        kernel += x @ x.T
+    inverse = np.linalg.inv(kernel)
+    del kernel
     alpha = inverse @ y
     # the held-out scores of a text leave out all of its sentences
     held = np.zeros_like(y)
     for g in np.unique(groups):
         i = np.flatnonzero(groups == g)
         held[i] = y[i] - np.linalg.solve(inverse[np.ix_(i, i)], alpha[i])
-    return slots, (x.T @ alpha).astype(np.float32), idf, held
+    weights = np.zeros((len(seen), y.shape[1]), np.float32)
+    for start, x in blocks():
+        weights[start : start + x.shape[1]] = x.T @ alpha
+    return slots, weights, idf, held
 
 
-def fit(texts: list[str], labels: list[str], subjects: list[str]) -> tuple[Model, dict]:
-    """A model from labelled texts, of which each is about one subject; a few labels may be wrong.
+def fit(rows: list[list[int]], groups: list[int], labels: list[str]) -> tuple[Model, dict]:
+    """A model from the features of sentences of labelled texts (``groups``), each about one subject; a few labels may be wrong.
 
-    Texts whose held-out scores clearly favour another subject are left out of
-    the second fit. Thresholds lie where a subject's held-out scores are best
-    told from the others'. Also returns measures of the held-out scores.
+    The subjects are those of the labels. Texts whose held-out scores clearly
+    favour another subject are left out of the second fit, unless nothing of
+    their subject is left then. Thresholds lie where a subject's held-out
+    scores are best told from the others'. Also returns measures of the
+    held-out scores.
     """
-    place = {s: i for i, s in enumerate(subjects)}
-    rows, groups, of = [], [], []
-    for g, (text, label) in enumerate(zip(texts, labels)):
-        if label in place:
-            for s in sentences(text):
-                if f := features(s):
-                    rows.append(f), groups.append(g), of.append(place[label])
-    groups, of = np.array(groups), np.array(of)
-    y = np.eye(len(subjects))[of]
-    *_, held = _fit(rows, y, groups)
+    subjects = sorted(set(labels))
+    of = np.array([subjects.index(x) for x in labels])
+    groups = np.unique(groups, return_inverse=True)[1]
+    *_, held = _fit(rows, np.eye(len(subjects))[of], groups)
     total = np.zeros((groups.max() + 1, len(subjects)))
     np.add.at(total, groups, held)
     own = np.zeros(len(total), int)
     own[groups] = of
     wrong = total.argmax(1) != own
+    wrong &= np.isin(own, own[~wrong])
     kept = ~wrong[groups]
     rows, groups, of = [r for r, k in zip(rows, kept) if k], groups[kept], of[kept]
     slots, weights, idf, held = _fit(rows, np.eye(len(subjects))[of], groups)
     thresholds = np.zeros(len(subjects))
     for j in range(len(subjects)):
         # nearer to the others' high scores, which new words don't raise, than to the subject's low ones, which they lower
-        high, low = np.quantile(held[of != j, j], 0.995), np.quantile(held[of == j, j], 0.02)
-        thresholds[j] = high + 0.3 * max(0.0, low - high)
-    measures = {"texts": len(texts), "left_out": int(wrong.sum()), "sentences": len(rows), "accuracy": float((held.argmax(1) == of).mean()), "recall": float(np.mean(held[np.arange(len(of)), of] > thresholds[of]))}
+        others = held[of != j, j]
+        high, low = np.quantile(others, 0.995) if len(others) else 0.0, np.quantile(held[of == j, j], 0.02)
+        thresholds[j] = max(LEAST_THRESHOLD, high + 0.3 * max(0.0, low - high))
+    measures = {"texts": len(total), "left_out": int(wrong.sum()), "sentences": len(rows), "accuracy": float((held.argmax(1) == of).mean()), "recall": float(np.mean(held[np.arange(len(of)), of] > thresholds[of]))}
     return Model(subjects, slots, weights, idf, float(np.log(1 + len(rows)) + 1), thresholds), measures
 
 
-def document_subjects(documents: DataFrame, examples: DataFrame, subjects: DataFrame, share: float = 0.25, most_texts: int = MOST_TEXTS) -> DataFrame:
+def labelled_sentences(examples: DataFrame, subjects: DataFrame, most: int) -> DataFrame:
+    """Rows (example_id, subject, n, features) of the sentences of usable examples, ``most`` of them at most: those of the least hashes."""
+    kind = examples.schema["example_id"].dataType.simpleString()
+    usable = examples.select("example_id", "text", "subject").dropna().dropDuplicates(["example_id"]).join(subjects.select("subject").distinct(), "subject", "left_semi")
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n, held = [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                for k, sentence in enumerate(sentences(text)):
+                    if f := features(sentence):
+                        at.append(i), n.append(k), held.append(f)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("example_id").take(rows), b.column("subject").take(rows), pa.array(n, pa.int32()), pa.array(held, pa.list_(pa.int32()))], ["example_id", "subject", "n", "features"])
+
+    told = usable.select("example_id", "subject", "text").mapInArrow(local, f"example_id {kind}, subject string, n int, features array<int>")
+    return told.orderBy(F.xxhash64("example_id", "n"), "example_id", "n").limit(most)
+
+
+def document_subjects(documents: DataFrame, examples: DataFrame, subjects: DataFrame, share: float = 0.25, most_sentences: int = MOST_SENTENCES) -> DataFrame:
     """One row (doc_id, subject, about, n_sentences) for each subject of each document.
 
     A document is about a subject if ``about`` of its sentences are, and these
     are at least ``share`` of all, or one in a text of one to three sentences.
-    A sentence is about the subject of its best score above that subject's
-    threshold, or above half of it where another sentence of the text is about
-    that subject. Rows of one doc_id are one document; null and empty texts and
-    those without words have no subject. ``examples`` (example_id, text,
-    subject) beyond ``most_texts`` are not used in the fit, those of the least
-    hashes are; examples of unlisted subjects or without text are ignored, and
-    without any usable example no document has a subject.
+    A sentence is about each subject whose score is above its threshold, and
+    about that of its best score if this is above half of its threshold and
+    another sentence of the text is about that subject. Rows of one doc_id are one
+    document, a row without doc_id is one of its own; null and empty texts and
+    those without words have no subject. The model is fitted to at most
+    ``most_sentences`` sentences of ``examples`` (example_id, text, subject),
+    those of the least hashes; examples of unlisted subjects or without text
+    are ignored, a subject without any usable example is no document's, and
+    without any usable example at all no document has a subject.
     """
     sc = documents.sparkSession.sparkContext
-    names = sorted(r[0] for r in subjects.select("subject").dropna().distinct().limit(most_texts).collect())
-    labelled = examples.select("example_id", "text", "subject").dropna().dropDuplicates(["example_id"]).orderBy(F.xxhash64("example_id"), "example_id").limit(most_texts).collect()
-    labelled.sort(key=lambda r: r["example_id"])
-    usable = [(r["text"], r["subject"]) for r in labelled if r["subject"] in set(names) and any(map(features, sentences(r["text"])))]
+    labelled = sorted(labelled_sentences(examples, subjects, most_sentences).collect(), key=lambda r: (r["example_id"], r["n"]))
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, subject string, about int, n_sentences int"
-    once = documents.select("doc_id", "text").dropDuplicates(["doc_id"])
-    if not usable:
+    if not labelled:
         return documents.sparkSession.createDataFrame([], schema)
-    held = sc.broadcast(fit([t for t, _ in usable], [s for _, s in usable], names)[0])
+    held = sc.broadcast(fit([list(r["features"]) for r in labelled], [r["example_id"] for r in labelled], [r["subject"] for r in labelled])[0])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -241,20 +272,22 @@ def document_subjects(documents: DataFrame, examples: DataFrame, subjects: DataF
             texts = [sentences(t) for t in b.column(1).to_pylist()]
             doc, subject, about, total = [], [], [], []
             scores = model.scores([s for t in texts for s in t])
-            best = scores.argmax(1) if len(scores) else np.zeros(0, int)
-            ratio = scores[np.arange(len(best)), best] / model.thresholds[best]
+            ratio = scores / model.thresholds
+            best = np.zeros(ratio.shape, bool)
+            best[np.arange(len(best)), scores.argmax(1) if len(best) else []] = True
+            sure = ratio > 1
             at = 0
             for i, t in enumerate(texts):
-                own, sure = best[at : at + len(t)], ratio[at : at + len(t)]
+                own = slice(at, at + len(t))
                 at += len(t)
-                clear = np.isin(own, own[sure > 1])
-                counts = np.bincount(own[clear & (sure > 0.5)], minlength=len(model.subjects))
+                clear = sure[own].any(0)
+                counts = (clear & (sure[own] | (best[own] & (ratio[own] > 0.5)))).sum(0)
                 for j in np.flatnonzero(counts >= (1 if len(t) <= 3 else share * len(t))):
                     if counts[j]:
                         doc.append(i), subject.append(model.subjects[j]), about.append(int(counts[j])), total.append(len(t))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc, pa.int64())), pa.array(subject, pa.string()), pa.array(about, pa.int32()), pa.array(total, pa.int32())], ["doc_id", "subject", "about", "n_sentences"])
 
-    return once.mapInArrow(local, schema)
+    return distinct_texts(documents, "doc_id", "text").mapInArrow(local, schema)
 
 
 def composition(found: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelore.operators.runs import column, range_chunks, whole_chunk
+from tunelore.operators.runs import chunk_number, column, pieces, range_chunks
 from tunelore.staging import stage
 
 #: The alphabet is pitch classes; a byte also says whether a phrase begins there.
@@ -55,15 +55,20 @@ def phrases(events: DataFrame, max_gap: int, halo: int) -> DataFrame:
     are -1.
     """
     base = events.select(F.col("file_id").cast("bigint"), F.col("start_frame").cast("bigint"), F.col("end_frame").cast("bigint"), F.col("source_midi").cast("double"), F.coalesce(F.col("event_id").cast("bigint"), F.lit(-1)).alias("event_id")).dropna(subset=["file_id", "start_frame", "end_frame"])
-    schema = "file_id bigint, seq binary, edge boolean, chunk int, head binary, tail binary, first_start bigint, last_end bigint, first_missing boolean, last_missing boolean"
+    schema = "file_id bigint, seq binary, edge boolean, chunk bigint, head binary, tail binary, first_start bigint, last_end bigint, first_missing boolean, last_missing boolean"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, table = whole_chunk(batches)
-        if table is None:
-            return
-        file, start, end, midi, ident = (column(table, c) for c in ("file_id", "start_frame", "end_frame", "source_midi", "event_id"))
-        keep = np.append(True, (file[1:] != file[:-1]) | (start[1:] != start[:-1]) | (ident[1:] != ident[:-1]))
-        file, start, end, midi = file[keep], start[keep], end[keep], midi[keep]
+        # each piece of a task's rows is a chunk of its own, numbered in order
+        last = None
+        for i, table in enumerate(pieces(batches)):
+            columns = [column(table, c) for c in ("file_id", "start_frame", "event_id", "end_frame", "source_midi")]
+            place = np.stack(columns[:3], 1)
+            keep = np.append(last is None or (place[0] != last).any(), (place[1:] != place[:-1]).any(1))
+            last = place[-1]
+            if keep.any():
+                yield from encode(*(c[keep] for c in columns), (chunk_number() << 24) + i)
+
+    def encode(file: np.ndarray, start: np.ndarray, _: np.ndarray, end: np.ndarray, midi: np.ndarray, chunk: int) -> Iterator[pa.RecordBatch]:
         other = np.append(True, file[1:] != file[:-1])
         missing = ~np.isfinite(midi)
         fresh = other | missing
@@ -82,7 +87,7 @@ def phrases(events: DataFrame, max_gap: int, halo: int) -> DataFrame:
         edge[0] = edge[-1] = True
         yield from pa.table(
             {
-                "file_id": file[begin], "seq": pa.array(seq, pa.binary()), "edge": edge, "chunk": np.full(len(begin), chunk, np.int32),
+                "file_id": file[begin], "seq": pa.array(seq, pa.binary()), "edge": edge, "chunk": np.full(len(begin), chunk, np.int64),
                 "head": pa.array([s[:halo] if e else b"" for s, e in zip(seq, edge)], pa.binary()), "tail": pa.array([s[-halo:] if e else b"" for s, e in zip(seq, edge)], pa.binary()),
                 "first_start": start[begin], "last_end": end[stop - 1], "first_missing": missing[begin], "last_missing": missing[stop - 1],
             }
@@ -172,7 +177,7 @@ def pattern_text(code: str, steps: int):
     return F.concat_ws(">", *(F.pmod(F.floor(F.col(code) / ALPHABET**i), F.lit(ALPHABET)).cast("string") for i in range(steps - 1, -1, -1)))
 
 
-def frequent_patterns(note_events: DataFrame, files: DataFrame, pattern: Pattern = Pattern(), max_gap: int = 30, bucket_files: int = 2048, long_file: int = 200_000) -> DataFrame:
+def frequent_patterns(note_events: DataFrame, files: DataFrame, pattern: Pattern = Pattern(), max_gap: int = 30, bucket_files: int = 2048, bucket_steps: int = 1_000_000, long_file: int = 200_000) -> DataFrame:
     """Patterns of exactly ``pattern.steps`` degrees in at least ``pattern.share`` of a corpus's files.
 
     corpus_id, ngram (``0>4>2``), ngram_count (end positions of occurrences),
@@ -185,17 +190,20 @@ def frequent_patterns(note_events: DataFrame, files: DataFrame, pattern: Pattern
     ``files``, are in none; null corpora are a corpus.
     """
     width = f"corpus_id {files.schema['corpus_id'].dataType.simpleString()}"
-    known = stage(files.select(F.col("file_id").cast("bigint"), "corpus_id", F.col("root_pc").cast("int").alias("root")).dropna(subset=["file_id"]).dropDuplicates(["file_id"]), "files")
-    sizes = known.groupBy("corpus_id").agg(F.count("*").alias("corpus_files"))
-    pieces = phrases(note_events, max_gap, pattern.halo)
-    lengths = pieces.groupBy("file_id").agg(F.sum(F.length("seq")).alias("steps"))
-    placed = known.join(lengths, "file_id", "left").alias("k").join(sizes.alias("s"), F.col("k.corpus_id").eqNullSafe(F.col("s.corpus_id"))).select("k.file_id", "k.corpus_id", "k.root", "s.corpus_files", (F.coalesce("k.steps", F.lit(0)) > long_file).alias("long"))
-    # bucket -1 holds the long files
-    bucket = F.when(F.col("long"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("file_id"), F.ceil(F.col("corpus_files") / bucket_files)))
-    placed = stage(placed.withColumn("bucket", bucket.cast("int")), "placed")
+    # tables by file grow with the data and are never broadcast
+    known = files.select(F.col("file_id").cast("bigint"), "corpus_id", F.col("root_pc").cast("int").alias("root")).dropna(subset=["file_id"]).dropDuplicates(["file_id"])
+    found = phrases(note_events, max_gap, pattern.halo)
+    lengths = found.groupBy("file_id").agg(F.sum(F.length("seq")).alias("steps"))
+    known = stage(known.hint("merge").join(lengths, "file_id", "left").select("file_id", "corpus_id", "root", F.coalesce("steps", F.lit(0)).alias("steps")), "files")
+    sizes = known.groupBy("corpus_id").agg(F.count("*").alias("corpus_files"), F.sum(F.when(F.col("steps") <= long_file, F.col("steps")).otherwise(0)).alias("corpus_steps"))
+    # bucket -1 holds the long files; the others have no more than about so many files and steps each
+    many = F.ceil(F.greatest(F.col("corpus_files") / bucket_files, F.col("corpus_steps") / bucket_steps, F.lit(1)))
+    bucket = F.when(F.col("k.steps") > long_file, F.lit(-1)).otherwise(F.pmod(F.xxhash64("file_id"), many))
+    placed = known.alias("k").join(sizes.alias("s"), F.col("k.corpus_id").eqNullSafe(F.col("s.corpus_id")))
+    placed = stage(placed.select("k.file_id", "k.corpus_id", "k.root", "s.corpus_files", bucket.cast("int").alias("bucket")), "placed")
     buckets = stage(placed.groupBy("corpus_id", "bucket").agg(F.count("*").alias("bucket_files"), F.first("corpus_files").alias("corpus_files")), "buckets")
     split = stage(buckets.groupBy("corpus_id").agg(((F.count("*") > 1) | (F.min("bucket") < 0)).alias("split"), F.first("corpus_files").alias("corpus_files")), "corpora")
-    table = placed.alias("p").join(pieces.alias("x"), "file_id").join(buckets.alias("b"), F.col("p.corpus_id").eqNullSafe(F.col("b.corpus_id")) & (F.col("p.bucket") == F.col("b.bucket")))
+    table = placed.alias("p").hint("merge").join(found.alias("x"), "file_id").join(buckets.alias("b"), F.col("p.corpus_id").eqNullSafe(F.col("b.corpus_id")) & (F.col("p.bucket") == F.col("b.bucket")))
     table = stage(table.filter(F.col("p.root").isNotNull()).select("file_id", "p.corpus_id", "p.root", "p.bucket", "b.bucket_files", "x.seq", "x.lead", "x.split"), "pieces")
     schema = f"{width}, bucket int, code bigint, support bigint, n bigint"
 

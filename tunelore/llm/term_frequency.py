@@ -2,7 +2,8 @@
 
 Vertical layout: for each term, containers of the records that hold it. A
 container covers 65,536 record ids: the low 16 bits of the ids, as a sorted
-array or (from 4,096 ids) as a bitset, beside the ids' occurrence counters.
+array or (from 4,096 ids) as a bitset, beside the ids' occurrence counters, in
+as few bytes as the largest of them needs.
 Records arrive in id ranges, so that partial containers of a term are few and
 seldom overlap; they are merged by union, in which the copies of a record fall
 together, and a term's record frequency is the cardinality of its containers.
@@ -10,6 +11,7 @@ together, and a term's record frequency is the cardinality of its containers.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -18,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelore.operators.runs import range_chunks, whole_chunk
+from tunelore.operators.runs import pieces, range_chunks
 from tunelore.staging import stage
 
 ARRAY_IDS = 4096
 PART = "grp bigint, kind string, term string, high bigint, ids binary, counts binary, held bigint, total bigint"
 #: A kind that holds every record of a group once.
 RECORDS = ""
+#: Records that a task holds at once; stands for the null group.
+PIECE_RECORDS, NO_GROUP = 1 << 14, -1 << 62
 
 
 def pack_ids(low: np.ndarray) -> bytes:
@@ -40,10 +44,17 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8))) if len(data) == 2 * ARRAY_IDS else np.frombuffer(data, "<u2").astype(np.int64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Positive counters in 1, 2, 4 or 8 bytes each."""
+    top = int(counts.max())
+    return counts.astype(f"<u{next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)}").tobytes()
+
+
 def union(parts: list[tuple[bytes, bytes]]) -> tuple[int, int]:
     """Cardinality and total of the union of containers; a record in several of them counts once."""
-    ids = np.concatenate([unpack_ids(i) for i, _ in parts])
-    counts = np.concatenate([np.frombuffer(c, "<i8") for _, c in parts])
+    lists = [unpack_ids(i) for i, _ in parts]
+    ids = np.concatenate(lists)
+    counts = np.concatenate([np.frombuffer(c, f"<u{len(c) // len(i) if len(i) else 1}").astype(np.int64) for i, (_, c) in zip(lists, parts)])
     _, at = np.unique(ids, return_index=True)
     return len(at), int(counts[at].sum())
 
@@ -54,21 +65,31 @@ def _binary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[memo
     return [whole[a * width : b * width] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
+def _counters(counts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes | memoryview]:
+    """The counters of each stretch, packed."""
+    out = _binary(counts.astype(np.uint8), starts, ends)
+    for n in np.flatnonzero(np.maximum.reduceat(counts, starts) > 255):
+        out[n] = pack_counts(counts[starts[n] : ends[n]])
+    return out
+
+
 def term_containers(df: DataFrame, record: str, group: str, maps: dict[str, str], normalise: dict[str, Callable[[str], str | None]]) -> DataFrame:
     """Partial containers (PART) of every term, and of every record under kind RECORDS. maps: kind -> map column."""
     base = df.select(F.col(record).cast("bigint").alias("record"), F.col(group).cast("bigint").alias("grp"), *(F.col(c).alias(f"map_{i}") for i, c in enumerate(maps.values()))).dropna(subset=["record"])
     kinds = list(maps)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = whole_chunk(batches)
-        if table is None:
-            return
-        record = table.column("record").to_numpy()
-        first = np.append(True, record[1:] != record[:-1])
-        table, record = table.filter(pa.array(first)), record[first]
-        grp = table.column("grp").combine_chunks()
-        groups, grp = np.unique(grp.fill_null(-1 << 62).to_numpy(), return_inverse=True)
-        label = [None if g == -1 << 62 else int(g) for g in groups.tolist()]
+        last = None
+        for table in pieces(batches, PIECE_RECORDS):
+            record, grp = table.column("record").to_numpy(), table.column("grp").combine_chunks().fill_null(NO_GROUP).to_numpy()
+            first = np.append((grp[0], record[0]) != last, (record[1:] != record[:-1]) | (grp[1:] != grp[:-1]))
+            last = grp[-1], record[-1]
+            if first.any():
+                yield from containers(table.filter(pa.array(first)), record[first], grp[first])
+
+    def containers(table: pa.Table, record: np.ndarray, grp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        groups, grp = np.unique(grp, return_inverse=True)
+        label = [None if g == NO_GROUP else int(g) for g in groups.tolist()]
         for i, kind in enumerate([*kinds, RECORDS]):
             if kind == RECORDS:
                 terms, at, code, count = [""], np.arange(len(record)), np.zeros(len(record), np.int64), np.ones(len(record), np.int64)
@@ -106,7 +127,7 @@ def term_containers(df: DataFrame, record: str, group: str, maps: dict[str, str]
             out = pa.table(
                 {
                     "grp": pa.array([label[g] for g in grp[at[start]].tolist()], pa.int64()), "kind": pa.array([kind] * len(start)), "term": pa.array([terms[c] for c in code[start].tolist()]),
-                    "high": high[start], "ids": pa.array(ids, pa.binary()), "counts": pa.array(_binary(count.astype("<i8"), start, end), pa.binary()), "held": end - start, "total": np.add.reduceat(count, start),
+                    "high": high[start], "ids": pa.array(ids, pa.binary()), "counts": pa.array(_counters(count, start, end), pa.binary()), "held": end - start, "total": np.add.reduceat(count, start),
                 }
             )
             yield from out.to_batches(max_chunksize=10_000)
@@ -120,7 +141,8 @@ def term_frequencies(df: DataFrame, record: str, group: str, maps: dict[str, str
     Columns grp, kind, term, total_count, n_records, group_records, mark. mark
     is ``rare`` for a term of at most ``rare`` records, else ``common`` for one
     of more than the share ``common`` of the group's records, else null (a term
-    that is both is rare). Rows with the same record id are one record. Null
+    that is both is rare). Rows with the same group and record id are one
+    record; an id that occurs in two groups is a record of each. Null
     maps, null or non-positive totals and keys in which ``normalise`` finds no
     term (None) add nothing; rows without record id are left out; null groups
     form a group.
@@ -151,16 +173,22 @@ def term_frequencies(df: DataFrame, record: str, group: str, maps: dict[str, str
     return terms.join(records, F.col("t.grp").eqNullSafe(F.col("g.grp"))).select("t.grp", "t.kind", "t.term", "t.total_count", "t.n_records", F.col("g.n_records").alias("group_records"), mark.alias("mark"))
 
 
+def nearest(number: str) -> int:
+    """The whole number nearest to one in digits; halves go away from zero."""
+    x = float(number)
+    return int(math.copysign(math.floor(abs(x) + 0.5), x))
+
+
 def degree(key: str) -> str | None:
     """The number in a key, modulo 12."""
     m = re.search(r"[+-]?\d+(?:\.\d+)?", key)
-    return str(round(float(m[0])) % 12) if m else None
+    return str(nearest(m[0]) % 12) if m else None
 
 
 def interval(key: str) -> str | None:
     """The size of the number in a key; what is larger than 12 is 12, and 0 is none."""
     m = re.search(r"\d+(?:\.\d+)?", key)
-    n = min(12, round(float(m[0]))) if m else 0
+    n = min(12, nearest(m[0])) if m else 0
     return str(n) if n else None
 
 

@@ -11,16 +11,37 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunelore.staging import stage
+
 #: Where the public tokenizers lie; every operator takes another path.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters given to the library at once.
 SLICE_CHARS = 2_000_000
+#: Keys of several rows are broadcast up to this many (8 bytes each).
+BROADCAST_KEYS = 1_000_000
+
+
+def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, text), one for each key; rows without key are told apart by their texts.
+
+    The keys alone are counted. Texts of keys that occur once stay where they
+    are; only those of repeated keys, and of none, are shuffled.
+    """
+    rows = df.select(key, text)
+    again = stage(rows.groupBy(key).count().filter((F.col("count") > 1) & F.col(key).isNotNull()).select(key), "repeated")
+    few = again.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    single = rows.filter(F.col(key).isNotNull()).join(F.broadcast(again) if few else again, key, "left_anti")
+    marked = rows.join((F.broadcast(again) if few else again).withColumn("_again", F.lit(True)), key, "left").filter(F.col(key).isNull() | F.col("_again"))
+    # texts of 128 equal bits are one text
+    told = F.when(F.col(key).isNull(), F.concat_ws("-", F.xxhash64(text), F.md5(F.col(text))))
+    return single.unionByName(marked.withColumn("_text_of", told).dropDuplicates([key, "_text_of"]).select(key, text))
 
 
 @functools.lru_cache(maxsize=4)
@@ -66,23 +87,24 @@ def _over_texts(df: DataFrame, keep: list[str], text: str, fields: str, fill: Ca
 
 def _lists(parts: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)
-    flat = np.fromiter((x for p in parts for x in p), np.int32, int(ends[-1]))
+    flat = np.fromiter(chain.from_iterable(parts), np.int32, int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = BYTE_BPE) -> DataFrame:
     """One row (key, ids) for each distinct key; ids of its text without special tokens.
 
-    Rows of the same key are one document, of which any text counts. An empty
-    or null text has an empty list, never null; a null key is a key.
+    Rows of the same key are one document, of which any text counts; a row
+    without key is a document of its own, unless its text is that of another
+    one. An empty or null text has an empty list, never null.
     """
-    once = df.select(key, text).dropDuplicates([key])
+    once = distinct_texts(df, key, text)
     return _over_texts(once, [key], text, "ids array<int>", lambda texts: [_lists([e.ids for e in encodings(tokenizer, texts)])])
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = BYTE_BPE) -> DataFrame:
     """One row (key, n_tokens) for each distinct key; a null or empty text has none."""
-    once = df.select(key, text).dropDuplicates([key])
+    once = distinct_texts(df, key, text)
     return _over_texts(once, [key], text, "n_tokens bigint", lambda texts: [pa.array([len(e.ids) for e in encodings(tokenizer, texts)], pa.int64())])
 
 
@@ -148,5 +170,5 @@ def spans(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
         places = [character_spans(tokenizer, x) for x in ids]
         return [_lists(ids), _lists([p[:, 0].tolist() for p in places]), _lists([p[:, 1].tolist() for p in places])]
 
-    once = df.select(key, text).dropDuplicates([key])
+    once = distinct_texts(df, key, text)
     return _over_texts(once, [key], text, "ids array<int>, starts array<int>, ends array<int>", fill)
