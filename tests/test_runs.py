@@ -1,78 +1,11 @@
-"""Runs of like events against a plain loop, for any cut into chunks."""
+"""Merging the runs of chunks, for any cut into chunks and pieces."""
 
-import random
-
-import pytest
+import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tunelore.operators.runs import CLOSED, FIRST, LAST, WHOLE, Likeness, join_runs, merge_ends, runs
-
-SCHEMA = "file_id bigint, start_frame bigint, end_frame bigint, source_midi double, event_id bigint, key string, chunk int"
-LIKE = Likeness(0.5, 15)
-
-
-def plain_runs(rows, like=LIKE, least=1):
-    events = sorted({r[:5] for r in rows if None not in r[:3]}, key=lambda r: (r[0], r[1], r[4]))
-    out = []
-    for f, s, e, v, _ in events:
-        v = None if v is None or v != v else v
-        last = out[-1] if out else None
-        near = last and last[0] == f and v is not None and last[5] is not None and (abs(v - last[5]) < like.tolerance if like.tolerance else v == last[5])
-        if near and (like.max_gap is None or s - last[4] <= like.max_gap):
-            last[2], last[3], last[4], last[5] = max(last[2], e), last[3] + 1, e, v
-        else:
-            out.append([f, s, e, 1, e, v])
-    return sorted((f, s, e, n) for f, s, e, n, _, _ in out if n >= least)
-
-
-def some_rows(seed, n, files=3, copies=0.2):
-    rng = random.Random(seed)
-    rows = []
-    for f in range(files):
-        at = 0
-        for _ in range(n):
-            at += rng.choice([0, 5, 15, 16, 30]) + 1
-            end = at + rng.randint(1, 20)
-            rows.append((f, at, end, rng.choice([60.0, 60.2, 60.4, 61.0, None, float("nan")]), len(rows), "x", 7))
-            if rng.random() < 0.7:
-                at = end
-    return rows + [r for r in rows if rng.random() < copies]
-
-
-def found(spark, rows, **kw):
-    df = spark.createDataFrame(rows, SCHEMA)
-    out = runs(df, "file_id", "start_frame", "end_frame", "source_midi", "event_id", LIKE, **kw).collect()
-    return sorted((r["key"], r["start"], r["end"], r["n"]) for r in out)
-
-
-@pytest.mark.parametrize("parts", [1, 4, 60])
-def test_equals_a_loop(spark, partitions, parts):
-    partitions(parts)
-    rows = some_rows(parts, 60)
-    random.Random(1).shuffle(rows)
-    assert found(spark, rows) == plain_runs(rows)
-    assert found(spark, rows, min_count=2) == plain_runs(rows, least=2)
-
-
-def test_one_run_over_all_chunks_and_copies_of_one_row(spark, partitions):
-    partitions(20)
-    long = [(1, i, i + 1, 60.0, i, "x", 0) for i in range(400)]
-    copies = [(2, 5, 9, 61.0, 1000, "x", 0)] * 400
-    assert found(spark, long + copies) == [(1, 0, 400, 400), (2, 5, 9, 1)]
-
-
-def test_nulls_and_empty(spark):
-    rows = [(None, 1, 2, 60.0, 1, None, None), (1, None, 2, 60.0, 2, None, None), (1, 1, None, 60.0, 3, None, None), (1, 1, 2, None, None, None, None), (1, 3, 4, 60.0, None, None, None)]
-    assert found(spark, rows) == [(1, 1, 2, 1), (1, 3, 4, 1)]
-    assert found(spark, []) == []
-
-
-def test_merging_over_several_levels(spark, partitions, monkeypatch):
-    monkeypatch.setattr("tunelore.operators.runs.FAN", 3)
-    partitions(30)
-    rows = some_rows(9, 80, files=2)
-    assert found(spark, rows) == plain_runs(rows)
+from tunelore.operators.runs import CLOSED, FIRST, LAST, WHOLE, Likeness, OpenRun, chunk_count, encode_runs, join_runs, merge_ends, pieces
 
 
 @settings(max_examples=60, deadline=None)
@@ -101,3 +34,40 @@ def test_merge_is_associative(values, data):
     key = lambda r: (r["first_id"], r["last_id"], r["n"])
     assert sorted(map(key, tree + closed)) == sorted(map(key, flat))
     assert join_runs(like, flat[0], flat[0] | {"key": 2, "first_id": 99, "start": 1}) is None
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 3)), min_size=1, max_size=40), st.data())
+def test_pieces_of_a_chunk_give_its_runs(values, data):
+    """Runs carried from piece to piece are those of the whole chunk; a copy at a cut counts once."""
+    like = Likeness(0.0, None)
+    v = np.array([x for x, _ in values], float)
+    key, at, ident = np.array([k for _, k in values]), np.arange(len(v)), np.arange(len(v))
+    order = np.argsort(key, kind="stable")
+    key, v = key[order], v[order]
+    whole, _, _ = encode_runs(like, key, at, at, v, ident, 3)
+    carried, parts, start = OpenRun(like), [], 0
+    while start < len(v):
+        end = min(len(v), start + data.draw(st.integers(1, 9)))
+        again = max(0, start - data.draw(st.integers(0, 1)))
+        found, _, _ = encode_runs(like, *(x[again:end] for x in (key, at, at, v, ident)), 3)
+        parts.append(carried.take(found)[0])
+        start = end
+    parts.append(carried.close())
+    got = pd.concat(parts, ignore_index=True)
+    columns = ["key", "start", "end", "n", "first_value", "last_id", "slot"]
+    assert got[columns].astype(float).to_numpy().tolist() == whole[columns].astype(float).to_numpy().tolist()
+
+
+def test_chunks_follow_the_size(spark, tmp_path, monkeypatch):
+    df = spark.range(1000)
+    df.write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert chunk_count(table) == 5
+    monkeypatch.setattr("tunelore.operators.runs.CHUNK_BYTES", 500)
+    assert chunk_count(table) > 5 and chunk_count(spark.createDataFrame([(i,) for i in range(900)], "a bigint")) > 5
+    import pyarrow as pa
+
+    batches = pa.table({"a": list(range(100))}).to_batches(max_chunksize=7)
+    cut = list(pieces(batches, 20))
+    assert [len(t) for t in cut] == [21] * 4 + [16] and not list(pieces([]))

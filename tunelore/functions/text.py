@@ -14,6 +14,12 @@ _TITLE_MARKS = re.compile("[‐‑‒–—―ー_\\-・･:：!！?？'\"“”
 _SPACE = re.compile(r"\s+")
 
 
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """A text in Unicode's compatibility form (NFKC)."""
+    return text.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def title_key(text: pd.Series) -> pd.Series:
     """A title without case, width, space and punctuation; null is empty."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelore.operators.runs import whole_chunk
+from tunelore.operators.runs import pieces
 from tunelore.operators.segments import REST
 
 #: The path decoder's rewards and costs.
@@ -253,18 +253,22 @@ def clean_notes(notes: DataFrame, by: str, longest: float = 0.07, confidence: fl
 
     # groups are small and many: a sorted partition is walked through rather than handed over group by group
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table = whole_chunk(batches)
-        if table is None:
-            return
-        key = table.column(by).to_pylist()
-        rows = list(zip(*(table.column(c).to_pylist() for c in names[1:])))
-        at, out = 0, []
-        for group, held in groupby(key):
-            n = sum(1 for _ in held)
-            out += [(group, *r) for r in clean_fragments(rows[at : at + n], longest, confidence, near)]
-            at += n
-        types = [table.schema.field(by).type, pa.float64(), pa.float64(), pa.int32(), pa.float64()]
-        yield from pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names).to_batches()
+        types = None
+
+        def rows() -> Iterator[tuple]:
+            nonlocal types
+            for table in pieces(batches):
+                types = [table.schema.field(by).type, pa.float64(), pa.float64(), pa.int32(), pa.float64()]
+                yield from zip(*(table.column(c).to_pylist() for c in names))
+
+        out: list[tuple] = []
+        for group, held in groupby(rows(), key=lambda r: r[0]):
+            out += [(group, *r) for r in clean_fragments([r[1:] for r in held], longest, confidence, near)]
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     sorted_notes = notes.select(by, *(F.col(c).cast("double") for c in names[1:3]), F.col("pitch").cast("int"), F.col("confidence").cast("double")).repartition(by).sortWithinPartitions(*names[:4])
     return sorted_notes.mapInArrow(local, f"{by} {kind}, start_s double, end_s double, pitch int, confidence double")

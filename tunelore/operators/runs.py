@@ -105,12 +105,6 @@ def chunk_number() -> int:
     return TaskContext.get().partitionId()
 
 
-def whole_chunk(batches: Iterable[pa.RecordBatch]) -> tuple[int, pa.Table | None]:
-    """This task's partition number and its rows."""
-    parts = [b for b in batches if b.num_rows]
-    return TaskContext.get().partitionId(), pa.Table.from_batches(parts) if parts else None
-
-
 def column(table: pa.Table, name: str) -> np.ndarray:
     """A column as NumPy numbers; missing floats are NaN."""
     x = table.column(name).combine_chunks()
@@ -228,32 +222,3 @@ def merge_boundaries(ends: DataFrame, like: Likeness, chunks: int, by: list[str]
     for more in done[1:]:
         out = out.unionByName(more)
     return out.drop("chunk", "slot")
-
-
-def runs(df: DataFrame, key: str, start: str, end: str, value: str, ident: str, like: Likeness, min_count: int = 1) -> DataFrame:
-    """Each longest chain of like neighbours as one row: key, start, end, n, first_value, last_value.
-
-    start is the first event's, end the largest; events without key, start or
-    end have no place in a sequence and come in no run; an event without value
-    (null, NaN) is a run of its own. Rows of the same key, start and ident are
-    one event. Chains of fewer than ``min_count`` events are left out.
-    """
-    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    events = df.select(
-        F.col(key).cast("bigint").alias("key"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"), F.col(value).cast("double").alias("value"), F.col(ident).cast("bigint").alias("ident")
-    ).dropna(subset=["key", "start", "end"]).withColumn("ident", F.coalesce("ident", F.lit(-1)))
-    schema = RUN_FIELDS + ", chunk int, slot int"
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, table = whole_chunk(batches)
-        if table is None:
-            return
-        found, _, _ = encode_runs(like, *(column(table, c) for c in ("key", "start", "end", "value", "ident")), chunk)
-        found = found[(found["slot"] != CLOSED) | (found["n"] >= min_count)]
-        found.insert(len(RUN_COLUMNS), "chunk", np.int32(chunk))
-        yield from pa.Table.from_pandas(found, preserve_index=False).to_batches()
-
-    encoded = stage(range_chunks(events, ["key", "start"], "ident", chunks).mapInArrow(local, schema), "runs")
-    inner = encoded.filter(F.col("slot") == CLOSED).drop("chunk", "slot")
-    crossing = merge_boundaries(encoded.filter(F.col("slot") != CLOSED), like, chunks)
-    return inner.unionByName(crossing).filter(F.col("n") >= min_count).select("key", "start", "end", "n", "first_value", "last_value")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tunelore.operators import grammar, keys, rhythm, scales, tonic, weights
 from tunelore.operators.events import EVENT_SQL, melody_events
 from tunelore.operators.phrases import PhraseRule, detect_phrases, split_phrases
-from tunelore.staging import stage
+from tunelore.staging import stage, stage_once
 
 #: Stand-in for learned clusters: files by id.
 CLUSTERS = 3
@@ -26,20 +26,24 @@ RULE = PhraseRule()
 
 def phrased(spark: SparkSession, folder: str) -> DataFrame:
     """Note events with their phrase and stand-in cluster."""
-    return stage(detect_phrases(melody_events(spark, folder), RULE), "phrased").withColumn("cluster_id", F.col("file_id") % CLUSTERS)
+    return stage_once(spark, f"{folder}/events.parquet", "phrased", lambda: detect_phrases(melody_events(spark, folder), RULE)).withColumn("cluster_id", F.col("file_id") % CLUSTERS)
 
 
 def rooted(spark: SparkSession, folder: str) -> DataFrame:
     """Phrased events with the file's root and each event's degree."""
     events = phrased(spark, folder)
-    roots = tonic.root_generic(events).select("file_id", "root")
-    return events.join(roots, "file_id").withColumn("degree", F.pmod(F.col("pc") - F.col("root"), F.lit(12)))
+
+    def joined() -> DataFrame:
+        roots = tonic.root_generic(events).select("file_id", "root")
+        return events.join(roots, "file_id").withColumn("degree", F.pmod(F.col("pc") - F.col("root"), F.lit(12)))
+
+    return stage_once(spark, f"{folder}/events.parquet", "rooted", joined)
 
 
 def scaled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Rooted events with in_scale, and the clusters' core scales."""
-    events = stage(rooted(spark, folder), "rooted")
-    core = stage(scales.core_scale(scales.degree_shares(events)), "scales")
+    events = rooted(spark, folder)
+    core = stage_once(spark, f"{folder}/events.parquet", "scales", lambda: scales.core_scale(scales.degree_shares(events)))
     return events.join(core.select("cluster_id", "scale"), "cluster_id").withColumn("in_scale", F.array_contains("scale", F.col("degree"))).drop("scale"), core
 
 

@@ -128,7 +128,7 @@ def folded_names(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "corpora").select("corpus_id", fold_accents("tradition").alias("folded"))
 
 
-_TOKEN = "(?i)rest|[A-G](?:#{1,2}|b{1,2}|x|♯|♭)?-?[0-9]+"
+_TOKEN = "(?i)([a-g](##?|bb?|[x♯♭])?-?[0-9]+|rest)"
 _FRACTION = r"regexp_extract_all(text, '\b[0-9]+/[0-9]+\b')"
 _MIDI = """(select *, regexp_extract(plain, '(?i)^([A-G])(#{1,2}|b{1,2}|x)?(-?[0-9]+)$', 1) as n, lower(regexp_extract(plain, '(?i)^([A-G])(#{1,2}|b{1,2}|x)?(-?[0-9]+)$', 2)) as a, try_cast(regexp_extract(plain, '(?i)^([A-G])(#{1,2}|b{1,2}|x)?(-?[0-9]+)$', 3) as bigint) as o from (select *, replace(replace(token, '♯', '#'), '♭', 'b') as plain from t))"""
 _MATCH = "(contains(s.name, w.name) or contains(w.name, s.name))"
@@ -172,8 +172,8 @@ SQL = {
     select file_id, coalesce(arg_min(label, (place, label)) filter (place is not null), 'unknown') as label from c group by all""",
     "keyword_columns": "select source_id, name from sources where contains(replace(name, '_', ''), 'vocals') and contains(replace(name, '_', ''), 'stem')",
     "stem_roles": "select source_id, name, case when contains(name, 'vocal') then 'vocals' when contains(name, 'drum') then 'drums' when contains(name, 'bass') then 'bass' when contains(name, 'other') then 'other' when contains(name, 'guitar') then 'guitar' when contains(name, 'piano') then 'piano' end as told from sources",
-    "case_conditions": """select filename, nullif(regexp_extract(filename, '^(.+?_test)(?:_|[.]wav$)', 1), '') as "case", case when regexp_extract(filename, '^(.+?_test)(?:_|[.]wav$)', 1) = '' then null when ends_with(filename, '_test.wav') then 'original' else split_part(regexp_extract(filename, '_test_(.*)[.]wav', 1), '.', 1) end as condition
-    from (select case source_id % 3 when 0 then name || '_test.wav' when 1 then name || '_test_' || role || '_v9.wav' else name || '.wav' end as filename from sources)""",
+    "case_conditions": """select filename, case when found then split_part(filename, '_test', 1) || '_test' end as "case", case when ends_with(filename, '_test.wav') then 'original' when found then replace(substr(filename, instr(filename, '_test_') + 6), '.wav', '') end as condition
+    from (select *, contains(replace(filename, '.wav', '_'), '_test_') as found from (select case source_id % 3 when 0 then name || '_test.wav' when 1 then name || '_test_' || role || '_v9.wav' else name || '.wav' end as filename from sources))""",
     "scalar_functions": f"""with {EVENT_SQL.strip()}, h as (select *, pitch + case when seq % 2 = 0 then 0.5 else cents / 100.0 end as half from ev)
     select file_id, seq, round_even(half, 0)::bigint as rounded, (((round_even(half, 0)::bigint - 7) % 12 + 12) % 12)::integer as degree, round(cents, 6)::double as residual, round(440 * pow(2, (source_midi - 69) / 12), 6) as hz,
       ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][pitch % 12 + 1] || (pitch // 12 - 1) as name, [6, 6, 10, null, 0][seq % 5 + 1] as root, case when frames * 12 between 30 and 240 then frames * 12.0 else 120.0 end::double as tempo,

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import uuid
 import wave
 import xml.etree.ElementTree as ET
 import zipfile
@@ -19,9 +20,10 @@ from pathlib import PurePosixPath
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Rows = Iterator[tuple]
-NOTE = "format string, track int, track_name string, resolution int, start bigint, duration bigint, pitch int, lyric string"
+NOTE = "format string, track int, track_name string, resolution int, start bigint, duration bigint, pitch int, lyric string, tempo double"
 MESSAGE = "track int, seq int, tick bigint, type string, channel int, note int, velocity int, control int, value int, tempo int, name string, ticks_per_beat int"
 SCORE = "start_q double, duration_q double, midi int, tie_start boolean, tie_stop boolean, tempo double"
 SAMPLES = "rate int, channels int, first bigint, samples array<float>"
@@ -29,6 +31,8 @@ SAMPLES = "rate int, channels int, first bigint, samples array<float>"
 REST_LYRICS = {"r", "rest", "pau", "sil"}
 UST_CODES = ("utf-8-sig", "cp932", "shift_jis", "utf-16", "latin-1")
 TICKS = 480
+#: Quarters of a metronome's beat, and the tempo of a score that tells none.
+BEATS, FALLBACK_TEMPO = {"whole": 4.0, "half": 2.0, "quarter": 1.0, "eighth": 0.5, "16th": 0.25}, 120.0
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 
 
@@ -150,7 +154,7 @@ def parse_vsqx(data: bytes) -> Rows:
             for note in (e for e in part if _tag(e) == "note"):
                 length, pitch = _number(_value(note, {"dur", "durTick"}), 0), _number(_value(note, {"n", "noteNum"}), -1)
                 if length > 0 and 0 <= pitch <= 127:
-                    yield ("vsqx", index, name, resolution, offset + _number(_value(note, {"t", "posTick"}), 0), length, pitch, _value(note, {"y", "lyric"}, ""))
+                    yield ("vsqx", index, name, resolution, offset + _number(_value(note, {"t", "posTick"}), 0), length, pitch, _value(note, {"y", "lyric"}, ""), None)
 
 
 def parse_ustx(data: bytes) -> Rows:
@@ -168,7 +172,7 @@ def parse_ustx(data: bytes) -> Rows:
         for note in filter(lambda n: isinstance(n, dict), part.get("notes") or []):
             length, pitch = int(note.get("duration") or 0), int(note.get("tone") or -1)
             if length > 0 and 0 <= pitch <= 127:
-                yield ("ustx", index, str(name), resolution, offset + int(note.get("position") or 0), length, pitch, str(note.get("lyric") or ""))
+                yield ("ustx", index, str(name), resolution, offset + int(note.get("position") or 0), length, pitch, str(note.get("lyric") or ""), float(project["bpm"]) if project.get("bpm") else None)
 
 
 def decode(data: bytes, codes: tuple[str, ...] = UST_CODES) -> str:
@@ -181,28 +185,47 @@ def decode(data: bytes, codes: tuple[str, ...] = UST_CODES) -> str:
 
 
 def parse_ust(data: bytes) -> Rows:
-    """Notes of an INI-like project: lengths add up, rests only move on."""
-    cursor = 0
+    """Notes of an INI-like project: lengths add up, rests only move on; a note has the last tempo stated before it."""
+    cursor, tempo = 0, None
     for section in re.split(r"(?m)^(?=\[#)", decode(data)):
         head = re.match(r"\[#(\d{4})\]", section)
-        values = dict(line.split("=", 1) for line in section.splitlines() if "=" in line)
+        values = {k.strip(): v.strip() for k, v in (line.split("=", 1) for line in section.splitlines() if "=" in line)}
+        try:
+            tempo = float(values["Tempo"])
+        except (KeyError, ValueError):
+            pass
         length = _number(values.get("Length"), 0)
         if head and length > 0:
             pitch, lyric = _number(values.get("NoteNum"), -1), values.get("Lyric", "")
             if lyric.strip().lower() not in REST_LYRICS and 0 <= pitch <= 127:
-                yield ("ust", 0, "", TICKS, cursor, length, pitch, lyric)
+                yield ("ust", 0, "", TICKS, cursor, length, pitch, lyric, tempo)
             cursor += length
 
 
 # MusicXML
 
 
+def _metronome(e: ET.Element) -> float | None:
+    """Quarters a minute of a metronome mark."""
+    if _tag(e) != "metronome":
+        return None
+    try:
+        beat = BEATS.get(_value(e, {"beat-unit"}, "quarter"), 1.0) * (1.5 if _value(e, {"beat-unit-dot"}) is not None else 1.0)
+        return float(_value(e, {"per-minute"})) * beat or None
+    except (TypeError, ValueError):
+        return None
+
+
 def parse_musicxml(data: bytes) -> Rows:
-    """Notes of the first part, in quarters; rests have no pitch, grace notes take no time, chords share an onset."""
+    """Notes of the first part, in quarters; rests have no pitch, grace notes take no time, chords share an onset.
+
+    The tempo is the first sound element's, else the first metronome mark's, its
+    beat taken in quarters, else FALLBACK_TEMPO.
+    """
     if data[:2] == b"PK":
         data = next(content for name, content in zip_members(data) if name.endswith((".xml", ".musicxml")) and not name.startswith("META-INF"))
     root = ET.fromstring(data)
-    tempo = next((float(e.attrib["tempo"]) for e in root.iter() if _tag(e) == "sound" and "tempo" in e.attrib), None)
+    tempo = next((float(e.attrib["tempo"]) for e in root.iter() if _tag(e) == "sound" and "tempo" in e.attrib), None) or next(filter(None, map(_metronome, root.iter())), FALLBACK_TEMPO)
     part = next((e for e in root if _tag(e) == "part"), None)
     if part is None:
         raise ValueError("no part")
@@ -300,20 +323,35 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return read_files(spark, path, "*.zip", zip_members, "member string, content binary")
 
 
-def write_wav(notes: DataFrame, folder: str) -> int:
-    """Write one file per row of (name, rate, samples) under a shared folder; the number written."""
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write one file per row of (path, content) under a folder of any file system Arrow knows; the number written.
+
+    A plain path is one that all executors share. Files appear whole: each is
+    written beside its place and moved there.
+    """
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
+        from pyarrow import fs
 
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         for pdf in batches:
-            for name, rate, samples in zip(pdf["name"], pdf["rate"], pdf["samples"]):
-                at = Path(folder) / f"{name}.wav"
-                part = at.with_suffix(".part")
-                part.write_bytes(wav_bytes(np.asarray(samples, np.float32), int(rate)))
-                part.replace(at)
+            for path, content in zip(pdf["path"], pdf["content"]):
+                at = f"{root.rstrip('/')}/{path}"
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                part = f"{at}.part-{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                system.move(part, at)
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    from pyspark.sql import functions as F
+    return files.select("path", "content").mapInPandas(local, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def write_wav(notes: DataFrame, folder: str) -> int:
+    """Write one sound file per row of (name, rate, samples) under a folder; the number written."""
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["name"] + ".wav", "content": [wav_bytes(np.asarray(x, np.float32), int(r)) for x, r in zip(pdf["samples"], pdf["rate"])]})
 
-    return notes.select("name", "rate", "samples").mapInPandas(local, "n bigint").agg(F.sum("n")).first()[0] or 0
+    return write_files(notes.select("name", "rate", "samples").mapInPandas(local, "path string, content binary"), folder)

@@ -3,9 +3,9 @@
 A multi-pass operator writes what it reads again as Parquet under the
 session's ``spark.checkpoint.dir``: the lineage ends there, a lost executor
 costs only the tasks it ran, and later passes read columns instead of
-repeating shuffles. Where the setting is absent (local tests), a temporary
-folder serves. Tables are removed when the Python driver ends, or earlier by
-``drop``.
+repeating shuffles. Where the setting is absent, a temporary folder serves a
+local session; a cluster's has none that all executors share, and fails.
+Tables are removed when the Python driver ends, or earlier by ``drop``.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[str] = []
+_ONCE: dict[tuple, DataFrame] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "at" not in _LOCAL:
         _LOCAL["at"] = "file://" + tempfile.mkdtemp(prefix="tunelore-")
     return _LOCAL["at"]
@@ -43,6 +47,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table staged before under ``name`` from the file or folder ``source`` as it is now, or ``make()``, staged."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    mark = (spark.sparkContext.applicationId, source, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime(), name)
+    if mark not in _ONCE:
+        _ONCE[mark] = stage(make(), name)
+    return _ONCE[mark]
+
+
 def drop(df: DataFrame) -> None:
     """Remove a staged table whose readers have ended."""
     path = getattr(df, "_tunelore_path", None)
