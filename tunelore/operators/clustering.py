@@ -39,20 +39,21 @@ def silhouettes(points: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
     blocks = -(-total // block)
     placed = points.withColumn("_b", F.pmod(F.xxhash64("file_id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = placed.withColumn("_o", every), placed.withColumn("_o", F.col("_b")).withColumn("_b", every)
+    # the other side's columns have names of their own, so that the two are never taken for one
+    left, right = placed.withColumn("_o", every), placed.select(F.col("file_id").alias("id2"), F.col("feature").alias("feature2"), F.col("label").alias("label2"), F.col("_b").alias("_o2"), every.alias("_b2"))
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"file_id": [], "own": [], "label": [], "away": [], "n": []})
-        x, y = np.stack(a["feature"]), np.stack(b["feature"])
+        x, y = np.stack(a["feature"]), np.stack(b["feature2"])
         square = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
-        square[a["file_id"].to_numpy()[:, None] == b["file_id"].to_numpy()[None]] = 0
-        names, where = np.unique(b["label"], return_inverse=True)
+        square[a["file_id"].to_numpy()[:, None] == b["id2"].to_numpy()[None]] = 0
+        names, where = np.unique(b["label2"], return_inverse=True)
         away = np.sqrt(square) @ np.eye(len(names))[where]
         n = np.bincount(where)
         return pd.DataFrame({"file_id": np.repeat(a["file_id"], len(names)), "own": np.repeat(a["label"], len(names)), "label": np.tile(names, len(a)), "away": away.ravel(), "n": np.tile(n, len(a))})
 
-    parts = left.groupBy("_b", "_o").cogroup(right.groupBy("_b", "_o")).applyInPandas(sums, "file_id bigint, own int, label int, away double, n bigint")
+    parts = left.groupBy("_b", "_o").cogroup(right.groupBy("_b2", "_o2")).applyInPandas(sums, "file_id bigint, own int, label int, away double, n bigint")
     means = parts.groupBy("file_id", "own", "label").agg(F.sum("away").alias("away"), F.sum("n").alias("n"))
     means = means.withColumn("mean", F.when(F.col("own") == F.col("label"), F.coalesce(F.try_divide("away", F.col("n") - 1), F.lit(0.0))).otherwise(F.col("away") / F.col("n")))
     ab = means.groupBy("file_id", F.col("own").alias("label")).agg(F.max(F.when(F.col("own") == F.col("label"), F.col("mean"))).alias("a"), F.min(F.when(F.col("own") != F.col("label"), F.col("mean"))).alias("b"))

@@ -23,6 +23,17 @@ ev as (
   select file_id, event_id, seq, channel, pitch, cents, pitch * 100 + cents as midi_cents, pitch + cents / 100.0::double as source_midi, frames, gap_frames, end_frame - frames as start_frame, end_frame, pitch % 12 as pc from ev2)"""
 
 
+def file_sizes(phrased: DataFrame, least_events: int = 3, least_phrases: int = 1) -> DataFrame:
+    """file_id, n_events, n_phrases, and the reason to leave the file out: ``few_events``, ``no_phrase`` or null."""
+    sizes = phrased.groupBy("file_id").agg(F.count("*").alias("n_events"), F.countDistinct("phrase").alias("n_phrases"))
+    return sizes.withColumn("reason", F.when(F.col("n_events") < least_events, "few_events").when(F.col("n_phrases") < least_phrases, "no_phrase"))
+
+
+def large_enough(phrased: DataFrame, least_events: int = 3, least_phrases: int = 1) -> DataFrame:
+    """``phrased`` events of the files that ``file_sizes`` gives no reason to leave out."""
+    return phrased.join(file_sizes(phrased, least_events, least_phrases).filter("reason is null").select("file_id"), "file_id", "left_semi")
+
+
 def melody_events(spark: SparkSession, folder: str) -> DataFrame:
     """The ``events`` table as note events: one user is one file, integer frames.
 

@@ -279,25 +279,50 @@ def mapping_metrics(mapped: DataFrame) -> DataFrame:
     return out.withColumn("melody_preservation", F.exp(-F.col("mean_displacement") / 3.0))
 
 
-def grammar_rewards(mapped: DataFrame, weights: DataFrame) -> DataFrame:
-    """Of each (id, file_id): mean rewards of intervals, transitions and trigrams of the targets over the profile's largest.
-
-    weights: the long form (id, kind, key, weight) of profiles.
+def grammar_rewards(mapped: DataFrame, weights: DataFrame, longest: int = 8) -> DataFrame:
+    """Of each (id, file_id), how well the targets follow the profile's grammar: five scores in 0..1, and phrase_hits.
+
+    interval, transition, trigram and cadence scores are mean rewards over the
+    profile's largest of that kind; grammar_score is their mean. Each place at
+    which a preferred phrase ends is a hit and counts among the trigrams with
+    its weight. A phrase's cadence is its last degree's weight and those of
+    the patterns with which it ends. weights: the long form (id, kind, key,
+    weight) of profiles, patterns of at most ``longest`` degrees.
     """
     by = W.partitionBy("id", "file_id", "phrase").orderBy("seq")
+    whole = W.partitionBy("id", "file_id", "phrase")
     d = F.pmod(F.col("target") - F.col("root"), F.lit(12)).cast("string")
+    # the degrees that end at a note: one, two, .. of them
+    tails = [F.when(F.lag("_deg", n - 1).over(by).isNotNull(), F.concat_ws(">", *(F.lag("_deg", i).over(by) for i in range(n - 1, 0, -1)), "_deg")) for n in range(1, longest + 1)]
     rows = mapped.withColumn("_deg", d).select(
-        "id", "file_id", F.least(F.lit(12), F.abs(F.col("target") - F.lag("target").over(by))).cast("string").alias("_iv"), F.lag("_deg").over(by).alias("_p"), F.lag("_deg", 2).over(by).alias("_pp"), "_deg", (F.col("source_midi") - F.lag("source_midi").over(by)).alias("_delta")
+        "id", "file_id", F.least(F.lit(12), F.abs(F.col("target") - F.lag("target").over(by))).cast("string").alias("_iv"), F.array(*tails).alias("_tails"), (F.col("source_midi") - F.lag("source_midi").over(by)).alias("_delta"), (F.col("seq") == F.max("seq").over(whole)).alias("_last")
     )
-    maps = weights.groupBy("id").agg(*(F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("key", "weight")))).alias(k) for k in ("interval_weights", "transition_weights", "ascending_transition_weights", "descending_transition_weights", "trigram_weights")))
+    kinds = ("interval_weights", "transition_weights", "ascending_transition_weights", "descending_transition_weights", "trigram_weights", "preferred_phrases", "cadence_degrees", "cadence_patterns")
+    maps = weights.groupBy("id").agg(*(F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("key", "weight")))).alias(k) for k in kinds))
     w = rows.join(maps, "id", "left")
     get = lambda m, k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(0.0))
-    pair = F.concat_ws(">", "_p", "_deg")
+    one, pair, three = (F.col("_tails")[i] for i in range(3))
     step = get("transition_weights", pair) + F.when(F.col("_delta") > 0.35, get("ascending_transition_weights", pair)).when(F.col("_delta") < -0.35, get("descending_transition_weights", pair)).otherwise(0.0)
     top = lambda *ms: F.greatest(F.lit(0.0), *(F.coalesce(F.array_max(F.map_values(m)), F.lit(0.0)) for m in ms))
+    held = lambda m: F.filter(F.transform("_tails", lambda t: F.try_element_at(F.col(m), t)), lambda x: x.isNotNull())
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     w = w.select(
-        "id", "file_id", F.when(F.col("_p").isNotNull(), get("interval_weights", F.col("_iv"))).alias("i"), F.when(F.col("_p").isNotNull(), step).alias("t"), F.when(F.col("_pp").isNotNull(), get("trigram_weights", F.concat_ws(">", "_pp", "_p", "_deg"))).alias("g"),
-        top("interval_weights").alias("mi"), top("transition_weights", "ascending_transition_weights", "descending_transition_weights").alias("mt"), top("trigram_weights").alias("mg"),
+        "id", "file_id", F.when(pair.isNotNull(), get("interval_weights", F.col("_iv"))).alias("i"), F.when(pair.isNotNull(), step).alias("t"), F.when(three.isNotNull(), get("trigram_weights", three)).alias("g"), F.coalesce(held("preferred_phrases"), F.array().cast("array<double>")).alias("_hits"),
+        F.when(F.col("_last"), get("cadence_degrees", one) + F.coalesce(total(held("cadence_patterns")), F.lit(0.0))).alias("c"),
+        top("interval_weights").alias("mi"), top("transition_weights", "ascending_transition_weights", "descending_transition_weights").alias("mt"), top("trigram_weights", "preferred_phrases").alias("mg"), top("cadence_degrees", "cadence_patterns").alias("mc"),
+    )
+    share = lambda mean, m: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(mean, F.max(m)), F.lit(0.0))))
+    hits = F.sum(F.size("_hits"))
+    out = w.groupBy("id", "file_id").agg(
+        share(F.avg("i"), "mi").alias("interval_score"), share(F.avg("t"), "mt").alias("transition_score"), share(F.try_divide(F.coalesce(F.sum("g"), F.lit(0.0)) + F.sum(total(F.col("_hits"))), F.count("g") + hits), "mg").alias("trigram_score"), share(F.avg("c"), "mc").alias("cadence_score"), hits.alias("phrase_hits"),
     )
-    share = lambda c, m: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.avg(c), F.max(m)), F.lit(0.0))))
-    return w.groupBy("id", "file_id").agg(share("i", "mi").alias("interval_score"), share("t", "mt").alias("transition_score"), share("g", "mg").alias("trigram_score"))
+    return out.withColumn("grammar_score", (F.col("interval_score") + F.col("transition_score") + F.col("trigram_score") + F.col("cadence_score")) / 4)
+
+
+def duration_metrics(rewritten: DataFrame, by: list[str], seconds_per_frame: float = 0.01) -> DataFrame:
+    """Of each ``by``: the mean relative change of the notes' durations, and the output's duration in seconds.
+
+    rewritten: frames, new_frames, new_gap of the notes; a gap follows its note.
+    """
+    change = F.abs(F.col("new_frames") - F.col("frames")) / F.greatest(F.col("frames").cast("double"), F.lit(1e-6))
+    return rewritten.groupBy(*by).agg(F.avg(change).alias("mean_relative_duration_change"), (F.sum(F.col("new_frames") + F.col("new_gap")) * seconds_per_frame).alias("output_duration_s"))

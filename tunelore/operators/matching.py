@@ -113,3 +113,12 @@ def unique_slugs(df: DataFrame, text: str, order: str) -> DataFrame:
         # from a clash on, the numbers of that base move up by one
         first = clash.groupBy("base").agg(F.min("_at").alias("_at"))
         rows = named.join(first, "base", "left").withColumn("n", F.when(F.col("n") >= F.col("_at"), F.col("n") + 1).otherwise(F.col("n"))).drop("_at", "slug")
+
+
+def choose_records(records: DataFrame, group: str, kind: str, size: str, path: str, priority: dict[str, int]) -> DataFrame:
+    """``records`` with ``chosen``: of each group the one of the kind of highest priority (0 if unlisted), the larger, the first path."""
+    from tunelore.functions.scalars import lookup
+
+    rank = F.coalesce(lookup(priority)[F.lower(kind)], F.lit(0))
+    best = records.groupBy(group).agg(F.min(F.struct((-rank).alias("a"), (-F.col(size)).alias("b"), F.col(path).alias("path"))).alias("_best"))
+    return records.alias("r").join(best.alias("b"), F.col(f"r.{group}").eqNullSafe(F.col(f"b.{group}"))).select("r.*", (F.col(f"r.{path}") == F.col("b._best.path")).alias("chosen"))

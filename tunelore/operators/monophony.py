@@ -13,11 +13,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words in a track's name that speak for and against a melody.
-LEAD_WORDS = ["main", "melody", "lead", "vocal", "voice"]
-BACK_WORDS = ["harm", "harmony", "chorus", "back", "backing", "sub", "guide", "bass", "chord", "accomp"]
+LEAD_WORDS = ["main", "melody", "lead", "vocal", "voice", "miku", "rin", "len", "kaito", "meiko", "gumi", "メロ", "メロディ", "ボーカル", "ヴォーカル", "ミク", "歌"]
+BACK_WORDS = ["harm", "harmony", "chorus", "back", "backing", "sub", "guide", "bass", "chord", "accomp", "伴奏", "コード", "ベース", "ドラム"]
+#: Fixed value: the channel of drums, counted from 0.
 DRUM_CHANNEL = 9
 
 
+def without_drums(messages: DataFrame, channel: str = "channel") -> DataFrame:
+    """``messages`` or notes but those on the drum channel; those without channel stay."""
+    return messages.filter(~F.col(channel).eqNullSafe(F.lit(DRUM_CHANNEL)))
+
+
 def pair_messages(messages: DataFrame, by: list[str], order: list[str], on: str = "is_on", tick: str = "tick") -> DataFrame:
     """Notes of note-on and note-off messages: ``by``, start, end.
 

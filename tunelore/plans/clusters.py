@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelore.operators import clustering, features
+from tunelore.operators.events import large_enough
 from tunelore.operators.rhythm import GRID
 from tunelore.plans.corpus import _PHRASES, CLUSTERS, phrased, rooted
 from tunelore.staging import stage
 
 
 def _points(spark: SparkSession, folder: str) -> DataFrame:
-    return features.file_features(rooted(spark, folder))
+    return features.file_features(large_enough(rooted(spark, folder)))
 
 
 def feature_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from tunelore.operators import grammar, keys, rhythm, scales, tonic, weights
 from tunelore.operators.events import EVENT_SQL, melody_events
+from tunelore.operators.events import file_sizes as sizes_of
 from tunelore.operators.phrases import PhraseRule, detect_phrases, split_phrases
+from tunelore.sources.tables import table
 from tunelore.staging import stage, stage_once
 
+#: Makes the note events of a folder.
+Events = Callable[[SparkSession, str], DataFrame]
 #: Stand-in for learned clusters: files by id.
 CLUSTERS = 3
 RULE = PhraseRule()
@@ -24,33 +28,33 @@ RULE = PhraseRule()
 # the timeline, phrases, roots and scales that the queries share
 
 
-def phrased(spark: SparkSession, folder: str) -> DataFrame:
+def phrased(spark: SparkSession, folder: str, events: Events = melody_events) -> DataFrame:
     """Note events with their phrase and stand-in cluster."""
-    return stage_once(spark, f"{folder}/events.parquet", "phrased", lambda: detect_phrases(melody_events(spark, folder), RULE)).withColumn("cluster_id", F.col("file_id") % CLUSTERS)
+    return stage_once(spark, f"{folder}/events.parquet", f"phrased-{events.__name__}", lambda: detect_phrases(events(spark, folder), RULE)).withColumn("cluster_id", F.col("file_id") % CLUSTERS)
 
 
-def rooted(spark: SparkSession, folder: str) -> DataFrame:
+def rooted(spark: SparkSession, folder: str, events: Events = melody_events) -> DataFrame:
     """Phrased events with the file's root and each event's degree."""
-    events = phrased(spark, folder)
+    told = phrased(spark, folder, events)
 
     def joined() -> DataFrame:
-        roots = tonic.root_generic(events).select("file_id", "root")
-        return events.join(roots, "file_id").withColumn("degree", F.pmod(F.col("pc") - F.col("root"), F.lit(12)))
+        roots = tonic.root_generic(told).select("file_id", "root")
+        return told.join(roots, "file_id").withColumn("degree", F.pmod(F.col("pc") - F.col("root"), F.lit(12)))
 
-    return stage_once(spark, f"{folder}/events.parquet", "rooted", joined)
+    return stage_once(spark, f"{folder}/events.parquet", f"rooted-{events.__name__}", joined)
 
 
-def scaled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def scaled(spark: SparkSession, folder: str, events: Events = melody_events) -> tuple[DataFrame, DataFrame]:
     """Rooted events with in_scale, and the clusters' core scales."""
-    events = rooted(spark, folder)
-    core = stage_once(spark, f"{folder}/events.parquet", "scales", lambda: scales.core_scale(scales.degree_shares(events)))
-    return events.join(core.select("cluster_id", "scale"), "cluster_id").withColumn("in_scale", F.array_contains("scale", F.col("degree"))).drop("scale"), core
+    told = rooted(spark, folder, events)
+    core = stage_once(spark, f"{folder}/events.parquet", f"scales-{events.__name__}", lambda: scales.core_scale(scales.degree_shares(told)))
+    return told.join(core.select("cluster_id", "scale"), "cluster_id").withColumn("in_scale", F.array_contains("scale", F.col("degree"))).drop("scale"), core
 
 
-def runs_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def runs_of(spark: SparkSession, folder: str, events: Events = melody_events) -> tuple[DataFrame, DataFrame, DataFrame]:
     """In-scale runs, the scaled events and the scales."""
-    events, core = scaled(spark, folder)
-    return grammar.scale_runs(events), events, core
+    told, core = scaled(spark, folder, events)
+    return grammar.scale_runs(told), told, core
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -134,7 +138,8 @@ def auxiliary_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 def root_with_scale(spark: SparkSession, folder: str) -> DataFrame:
     events, core = scaled(spark, folder)
-    return _round(tonic.root_with_scale(events, core), "score", "margin", "coverage")
+    found = tonic.root_with_scale(events, core)
+    return found.withColumns({c: F.round(c, 9) for c in ("score", "margin", "coverage")})
 
 
 def scale_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,8 +155,8 @@ def transition_counts(spark: SparkSession, folder: str) -> DataFrame:
     return grammar.transition_counts(grammar.interval_steps(runs_of(spark, folder)[0]))
 
 
-def _support(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    runs, events, _ = runs_of(spark, folder)
+def _support(spark: SparkSession, folder: str, source: Events = melody_events) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    runs, events, _ = runs_of(spark, folder, source)
     degrees = events.filter("in_scale").groupBy("cluster_id", "degree").agg(F.count("*").alias("n"))
     files = events.groupBy("cluster_id").agg(F.countDistinct("file_id").alias("n_files"))
     return grammar.ngram_support(grammar.run_ngrams(runs)), degrees, files, grammar.cadences(events, runs)
@@ -194,6 +199,52 @@ def preferred_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return weights.preferred_phrases(support, degrees, files)
 
 
+#: A known tune, in C major: its pitches, line by line, each line's last note twice as long as the others.
+TUNE = [[60, 60, 67, 67, 69, 69, 67], [65, 65, 64, 64, 62, 62, 60], [67, 67, 65, 65, 64, 64, 62], [67, 67, 65, 65, 64, 64, 62], [60, 60, 67, 67, 69, 69, 67], [65, 65, 64, 64, 62, 62, 60]]
+#: Frames of a beat and of the pause after a line, and the cents by which every singer is off on the third degree.
+BEAT, PAUSE, OFF = 12, 20, 14
+
+
+def tune_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The tune as sung by every user of the ``events`` table, higher or lower by up to a fourth, in the adapter's columns."""
+    notes = [(i * 7 + j + 1, p, BEAT * (2 if j == 6 else 1), PAUSE if i and not j else 0, OFF if p == 64 else 0) for i, line in enumerate(TUNE) for j, p in enumerate(line)]
+    sung = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("seq", "pitch", "frames", "gap_frames", "cents"), x))) for x in notes))).alias("n")
+    rows = table(spark, folder, "events").select(F.col("user_id").alias("file_id")).distinct().select("file_id", sung).select("file_id", "n.*").withColumn("pitch", (F.col("pitch") + F.col("file_id") % 11 - 5).cast("int"))
+    seen = W.partitionBy("file_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("end_frame", F.sum(F.col("frames") + F.col("gap_frames")).over(seen)).select(
+        "file_id", (F.col("file_id") * 100 + F.col("seq")).alias("event_id"), "seq", F.lit("sung").alias("channel"), "pitch", "cents", (F.col("pitch") * 100 + F.col("cents")).alias("midi_cents"), (F.col("pitch") + F.col("cents") / 100.0).alias("source_midi"), "frames", "gap_frames",
+        (F.col("end_frame") - F.col("frames")).alias("start_frame"), "end_frame", (F.col("pitch") % 12).alias("pc"),
+    )
+
+
+def tune_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The preferred phrases of the tune's singers."""
+    support, degrees, files, _ = _support(spark, folder, tune_events)
+    return weights.preferred_phrases(support, degrees, files)
+
+
+def tune_tuning(spark: SparkSession, folder: str) -> DataFrame:
+    """The micro-tuning of the tune's singers."""
+    return rhythm.micro_tuning(scaled(spark, folder, tune_events)[0])
+
+
+def tune_roots(spark: SparkSession, folder: str) -> DataFrame:
+    """The roots of the sung tunes."""
+    return _round(tonic.root_generic(phrased(spark, folder, tune_events)), "score", "margin")
+
+
+def tune_cadences(spark: SparkSession, folder: str) -> DataFrame:
+    """The cadence weights of the tune's singers."""
+    support, degrees, files, found = _support(spark, folder, tune_events)
+    return weights.cadence_weights(found, support, degrees, files)
+
+
+def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """The files' events and phrases, and the reason to leave out those of few; of every third file two events are kept."""
+    events = phrased(spark, folder).filter((F.col("file_id") % 3 > 0) | (F.col("seq") <= 2))
+    return sizes_of(events)
+
+
 def cadence_weights(spark: SparkSession, folder: str) -> DataFrame:
     support, degrees, files, found = _support(spark, folder)
     return weights.cadence_weights(found, support, degrees, files)
@@ -343,7 +394,7 @@ QUERIES = {
     for f in (
         pc_occupancy, note_events, phrase_gap_sessions, raw_phrases, phrases, phrase_summary, ending_share, root_generic, root_histogram, degree_shares, scale_candidates, core_scale, auxiliary_degrees, root_with_scale, scale_runs,
         interval_histogram, transition_counts, ngram_support, supported_ngrams, cadence_patterns, degree_weights, interval_weights, trigram_weights, preferred_phrases, cadence_weights, register_profile, duration_ratios, phrase_end_ratio,
-        rhythm_bins, micro_tuning, corpus_rollup, detected_keys, scale_neighbours,
+        rhythm_bins, micro_tuning, tune_phrases, tune_tuning, tune_roots, tune_cadences, file_sizes, corpus_rollup, detected_keys, scale_neighbours,
     )
 } | {"transition_weights": _transitions("transition"), "ascending_weights": _transitions("ascending"), "descending_weights": _transitions("descending")}
 
@@ -370,7 +421,7 @@ SQL = {
       select o.file_id, o.cluster_id, scale, r.root, sum(d) as cov
       from (select occs.*, file_id % {CLUSTERS} as cluster_id from occs) o join core using (cluster_id) cross join (select unnest(range(12))::integer as root) r where list_contains(scale, (((pc - r.root) % 12) + 12) % 12) group by all),
     s2 as (select a.file_id, cluster_id, a.pc as root, cov, {_SCORE2} as score from occs a join occs b on b.file_id = a.file_id and b.pc = (a.pc + 7) % 12 join occs c on c.file_id = a.file_id and c.pc = (a.pc + 5) % 12 join finals f on f.file_id = a.file_id join cover on cover.file_id = a.file_id and cover.root = a.pc)
-    select file_id, cluster_id, arg_max(root, rank) as root, round(max(score), 6) as score, round(max(score) - max(score) filter (rank < 12), 6) as margin, round(arg_max(cov, rank), 6) as coverage from (select *, row_number() over (partition by file_id order by score, root) as rank from s2) group by all""",
+    select file_id, cluster_id, arg_max(root, rank) as root, round(max(score), 9) as score, round(max(score) - max(score) filter (rank < 12), 9) as margin, round(arg_max(cov, rank), 9) as coverage from (select *, row_number() over (partition by file_id order by score, root) as rank from s2) group by all""",
     "scale_runs": _PHRASES + "select file_id, phrase, seq, run, degree from runs",
     "interval_histogram": _PHRASES + 'select cluster_id, "interval", n from hist',
     "transition_counts": _PHRASES + "select * from trans",
@@ -410,3 +461,11 @@ SQL = {
     select file_id, seq, (k - 1)::integer as pos, note from c where k <= 3 and (away <= 4.5 or k = 1)""",
     "corpus_rollup": _EVENTS + f"select file_id % {CLUSTERS} as cluster_id, channel, count(*) as n_events, min(pitch) as least_pitch, max(pitch) as largest_pitch, sum(frames)::bigint as frames from ev group by rollup (cluster_id, channel)",
 }
+_TUNE_SQL = f"""ev as (
+  select *, pitch * 100 + cents as midi_cents, pitch + cents / 100.0::double as source_midi, upto - frames as start_frame, upto as end_frame, pitch % 12 as pc
+  from (select *, sum(frames + gap_frames) over (partition by file_id order by seq rows unbounded preceding)::bigint as upto
+    from (select user_id as file_id, user_id * 100 + i + 1 as event_id, (i + 1)::integer as seq, 'sung' as channel, (p + user_id % 11 - 5)::integer as pitch, case when p = 64 then {OFF} else 0 end as cents,
+        case when i % 7 = 6 then {2 * BEAT} else {BEAT} end as frames, case when i % 7 = 0 and i > 0 then {PAUSE} else 0 end as gap_frames
+      from (select distinct user_id from events), (select unnest(range(42)) as i, unnest({[p for line in TUNE for p in line]}) as p))))"""
+SQL |= {name: SQL[of].replace(EVENT_SQL.strip(), _TUNE_SQL) for name, of in (("tune_phrases", "preferred_phrases"), ("tune_tuning", "micro_tuning"), ("tune_roots", "root_generic"), ("tune_cadences", "cadence_weights"))}
+SQL["file_sizes"] = _PHRASES + "select file_id, count(*) as n_events, count(distinct phrase) as n_phrases, case when count(*) < 3 then 'few_events' end as reason from pe where file_id % 3 > 0 or seq <= 2 group by file_id"

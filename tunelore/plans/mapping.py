@@ -96,13 +96,26 @@ def rhythm_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     return new.withColumns({"new_frames": F.round("new_frames", 6), "new_gap": F.round("new_gap", 6)})
 
 
+def grammar_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the stand-in targets follow the grammar of their profile."""
+    found = m.grammar_rewards(_snapped(spark, folder), profile_weights(profiles(spark)))
+    return found.withColumns({c: F.round(c, 9) for c in found.columns if c.endswith("_score")})
+
+
+def duration_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The change of durations under the rhythm rule."""
+    new = m.rhythm_rewrite(_snapped(spark, folder).withColumn("degree", F.pmod(F.col("target") - F.col("root"), F.lit(12))), RHYTHM)
+    found = m.duration_metrics(new, ["file_id"])
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_relative_duration_change", "output_duration_s")})
+
+
 def mapping_metrics(spark: SparkSession, folder: str) -> DataFrame:
     found = m.mapping_metrics(_snapped(spark, folder))
     return found.withColumns({c: F.round(c, 6) for c in ("mean_displacement", "median_displacement", "max_displacement", "contour_preservation", "melody_preservation")})
 
 
 _SNAPPED = _PHRASES + f", sn as (select *, pitch - {SNAP}[degree + 1] as target from de)"
-QUERIES = {f.__name__: f for f in (profile_json, profile_long, profile_roundtrip, learned_profiles, map_phrases, map_melody, learned_scores, register_shift, rhythm_rewrite, mapping_metrics)}
+QUERIES = {f.__name__: f for f in (profile_json, profile_long, profile_roundtrip, learned_profiles, map_phrases, map_melody, learned_scores, register_shift, rhythm_rewrite, mapping_metrics, grammar_scores, duration_metrics)}
 _LONG = " union all ".join(
     f"select '{p['id']}' as id, '{kind}' as kind, '{key}' as key, {w}::double as weight"
     for p in PROFILES[:1] for kind, held in p["grammar"].items() for key, w in (held.items() if isinstance(held, dict) else [(">".join(map(str, x["degrees"])), x["weight"]) for x in held if len(x["degrees"]) > 1])
@@ -131,3 +144,15 @@ SQL = {
       round(coalesce(count(*) filter (abs(a) >= 0.5 and abs(b) >= 0.5 and sign(a) = sign(b)) / nullif(count(*) filter (abs(a) >= 0.5 and abs(b) >= 0.5), 0), 1), 6) as contour_preservation,
       min(list_contains([0, 2, 4, 7, 9], ((target - root) % 12 + 12) % 12)::int) as scale_compliance, round(exp(-avg(d) / 3), 6) as melody_preservation from x group by file_id""",
 }
+_TAILS = ", ".join(f"case when lag(deg, {n - 1}) over w is not null then concat_ws('>', {', '.join([f'lag(deg, {i}) over w' for i in range(n - 1, 0, -1)] + ['deg'])}) end" for n in range(1, 9))
+SQL["grammar_scores"] = _SNAPPED + f""", wt as ({_LONG}), mx as (select coalesce(max(weight) filter (kind = 'interval_weights'), 0) mi, coalesce(max(weight) filter (kind like '%transition_weights'), 0) mt, coalesce(max(weight) filter (kind in ('trigram_weights', 'preferred_phrases')), 0) mg, coalesce(max(weight) filter (kind like 'cadence%'), 0) mc from wt),
+    dg as (select *, (((target - root) % 12 + 12) % 12)::varchar as deg from sn),
+    x as (select file_id, phrase, seq, [{_TAILS}] as tails, least(12, abs(target - lag(target) over w))::varchar as iv, source_midi - lag(source_midi) over w as delta, seq = max(seq) over (partition by file_id, phrase) as final from dg window w as (partition by file_id, phrase order by seq)),
+    h as (select file_id, phrase, seq, kind, sum(weight) as s, count(*) as k from (select file_id, phrase, seq, unnest(tails) as key from x) join wt using (key) where kind in ('preferred_phrases', 'cadence_patterns') group by all),
+    y as (select x.*, iw.weight as i, coalesce(tw.weight, 0) + case when delta > 0.35 then coalesce(aw.weight, 0) when delta < -0.35 then coalesce(dw.weight, 0) else 0 end as t, gw.weight as g, p.s as ps, p.k as pk, coalesce(cw.weight, 0) + coalesce(c.s, 0) as c
+      from x left join wt iw on iw.kind = 'interval_weights' and iw.key = iv left join wt tw on tw.kind = 'transition_weights' and tw.key = tails[2] left join wt aw on aw.kind = 'ascending_transition_weights' and aw.key = tails[2] left join wt dw on dw.kind = 'descending_transition_weights' and dw.key = tails[2]
+      left join wt gw on gw.kind = 'trigram_weights' and gw.key = tails[3] left join wt cw on cw.kind = 'cadence_degrees' and cw.key = tails[1] left join h p on p.file_id = x.file_id and p.phrase = x.phrase and p.seq = x.seq and p.kind = 'preferred_phrases' left join h c on c.file_id = x.file_id and c.phrase = x.phrase and c.seq = x.seq and c.kind = 'cadence_patterns'),
+    z as (select file_id, coalesce(avg(coalesce(i, 0)) filter (tails[2] is not null), 0) as i, coalesce(avg(t) filter (tails[2] is not null), 0) as t, coalesce((coalesce(sum(g), 0) + coalesce(sum(ps), 0)) / nullif(count(*) filter (tails[3] is not null) + coalesce(sum(pk), 0), 0), 0) as g, avg(c) filter (final) as c, coalesce(sum(pk), 0)::bigint as phrase_hits from y group by file_id),
+    q as (select file_id, phrase_hits, least(1, greatest(0, i / mi)) as i, least(1, greatest(0, t / mt)) as t, least(1, greatest(0, g / mg)) as g, least(1, greatest(0, c / mc)) as c from z cross join mx)
+    select 'five' as id, file_id, phrase_hits, round(i, 9) as interval_score, round(t, 9) as transition_score, round(g, 9) as trigram_score, round(c, 9) as cadence_score, round((i + t + g + c) / 4, 9) as grammar_score from q"""
+SQL["duration_metrics"] = SQL["rhythm_rewrite"].replace("select file_id, phrase, seq, frames, gap, round(n * k, 6) as new_frames, round(g * k, 6) as new_gap from s", "select file_id, round(avg(abs(n * k - frames) / frames), 6) as mean_relative_duration_change, round(sum(n * k + g * k) * 0.01, 6) as output_duration_s from s group by file_id")

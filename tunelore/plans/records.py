@@ -115,6 +115,17 @@ def scalar_functions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Kinds of files in order of preference.
+PRIORITY = {"wav": 4, "flac": 3, "ogg": 2, "mp3": 1}
+
+
+def record_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each corpus's files with one root, the one to keep: by its kind, its rate, its path."""
+    files = table(spark, folder, "files").select("file_id", F.concat_ws("-", "corpus_id", "root_pc").alias("grp"), "path", "sr").distinct()
+    kind = F.regexp_extract("path", r"\.([^.]*)$", 1)
+    return m.choose_records(files.withColumn("kind", kind), "grp", "kind", "sr", "path", PRIORITY).select("file_id", "grp", "chosen")
+
+
 def stem_roles(spark: SparkSession, folder: str) -> DataFrame:
     """The role that each source's name tells."""
     return table(spark, folder, "sources").select("source_id", "name", stem_role(F.col("name")).alias("told"))
@@ -137,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         note_tokens, duration_tokens, pair_outer, dedupe_digest, dedupe_two_key, prefix_join, fuzzy_lookup, keep_unknown_filter, anti_join, semi_join, id_sets, unique_ids, path_labels, keyword_columns, case_conditions, scalar_functions,
-        title_keys, folded_names, stem_roles,
+        title_keys, folded_names, stem_roles, record_choice,
     )
 }
 SQL = {
@@ -163,6 +174,10 @@ SQL = {
     e as (select w.name, min(source_id) as ident from w join sources s on s.name = w.name group by all), c as (select w.name, min(source_id) as ident from w join sources s on {_MATCH} where w.name not in (select name from e) group by all)
     select *, 'exact' as how from e union all select *, 'contains' from c""",
     "keep_unknown_filter": "select distinct doc_id, lang from documents where lang is null or lang not in ('de', 'es')",
+    "record_choice": f"""with f as (select distinct file_id, corpus_id || '-' || root_pc as grp, path, sr, case lower(regexp_extract(path, '[.]([^.]*)$', 1)) {" ".join(f"when '{k}' then {v}" for k, v in PRIORITY.items())} else 0 end as p from files)
+    select file_id, grp, path = first_value(path) over (partition by grp order by p desc, sr desc, path) as chosen from f""",
+    "title_keys": "select corpus_id, lower(regexp_replace(nfc_normalize(coalesce(name, '')), '[[:space:]_:!?()\\-]+', '', 'g')) as key from corpora",
+    "folded_names": "select corpus_id, lower(regexp_replace(strip_accents(tradition), '[^A-Za-z0-9]+', '', 'g')) as folded from corpora",
     "anti_join": "select distinct file_id from files where file_id not in (select file_id from documents where file_id is not null)",
     "semi_join": "select distinct file_id from files where file_id in (select file_id from cluster_stats)",
     "id_sets": "with a as (select distinct file_id from files where file_id is not null), b as (select distinct file_id from documents where file_id is not null) select count(*) as n, 'union' as part from (select * from a union select * from b) union all select count(*), 'intersection' from (select * from a intersect select * from b) union all select count(*), 'difference' from (select * from a except select * from b)",

@@ -10,7 +10,7 @@ from tunelore.operators import monophony as m
 from tunelore.operators.events import EVENT_SQL, melody_events
 
 #: Names given to the tracks in turn.
-NAMES = ["Lead vocal", "Harmony", "Bass", "Main melody chorus", "Strings"]
+NAMES = ["Lead vocal", "Harmony", "Bass", "Main melody chorus", "Strings", "ミク", "KAITO と伴奏"]
 
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +105,7 @@ s as (select song, track, count(*) as n_notes, 1 - count(*) filter (late) / grea
 t as (select song, track, (row_number() over (partition by song order by track) - 1)::integer as index from (select distinct song, track from n)),
 sc as (
   select song, track, index, n_notes, monophony, mean_pitch, unique_pitches, total_duration,
-    1.55 * n_notes + 75 * monophony + 0.35 * unique_pitches + greatest(0, least(12, (mean_pitch - 48) * 0.35)) + [45, -35, -35, 10, 0][(index % 5) + 1] + 20 / (1 + index) as score
+    1.55 * n_notes + 75 * monophony + 0.35 * unique_pitches + greatest(0, least(12, (mean_pitch - 48) * 0.35)) + [45, -35, -35, 10, 45, 45, 10][(index % 7) + 1] + 20 / (1 + index) as score
   from s join t using (song, track))"""
 _PICK = {"auto": "score desc, index", "first": "index", "most-notes": "n_notes desc, monophony desc, index", "highest": "mean_pitch desc, monophony desc, score desc, index"}
 

@@ -52,4 +52,4 @@ def blind_pack(items: DataFrame, case: str, name: str, seed: int) -> DataFrame:
 
     order = W.partitionBy(case).orderBy(F.xxhash64(F.lit(seed), F.col(name)), name)
     numbered = items.withColumn("blind_id", F.row_number().over(order))
-    return numbered.select(F.col(case).alias("case"), "blind_id", F.concat(F.col(case), F.lit("_"), F.lpad(F.col("blind_id").cast("string"), 2, "0"), F.lit(".wav")).alias("blind_filename"), F.col(name).alias("original"))
+    return numbered.select(F.col(case).alias("case"), "blind_id", F.concat(F.col(case), F.lit("_"), F.format_string("%02d", "blind_id"), F.lit(".wav")).alias("blind_filename"), F.col(name).alias("original"))

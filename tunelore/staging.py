@@ -38,15 +38,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back, with its rows as written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tunelore-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_remove_all)
-    _WRITTEN.append(path)
+    df.write.parquet(temporary(path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tunelore_path = path
     return out
 
 
+def temporary(path: str) -> str:
+    """``path``, a folder that is removed with the staged tables."""
+    if not _WRITTEN:
+        atexit.register(_remove_all)
+    _WRITTEN.append(path)
+    return path
+
+
 def stage_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table staged before under ``name`` from the file or folder ``source`` as it is now, or ``make()``, staged."""
     jvm = spark.sparkContext._jvm
