@@ -1,6 +1,6 @@
 import random
 
-from tunelore.llm.subjects import document_subjects, features, fit, labelled_sentences, plain, repair, sentences
+from tunelore.llm.subjects import document_subjects, features, fit, labelled_sentences, plain, repair, sentences, told
 
 DOCS = "doc_id bigint, text string, subject string, about int"
 EXAMPLES = "example_id bigint, text string, lang string, subject string"
@@ -28,15 +28,15 @@ def labelled(seed=1, n=40):
 
 def test_held_out_accuracy():
     rows = labelled()
-    told = [(features(x), r[0], r[3]) for r in rows for x in sentences(r[1])]
-    model, measures = fit(*map(list, zip(*told)))
+    known = [(features(w), r[0], r[3]) for r in rows for _, w in told(r[1])]
+    model, measures = fit(*map(list, zip(*known)))
     assert model.subjects == ["farm", "law", "sea"]
     assert measures["accuracy"] > 0.98 and measures["left_out"] >= 2
     rng = random.Random(5)
     for j, s in enumerate(("farm", "law", "sea")):
-        scores = model.scores(sentences(texts(rng, s, 50)))
+        scores = model.scores([w for _, w in told(texts(rng, s, 50))])
         assert (scores.argmax(1) == j).mean() > 0.95
-    assert model.scores(["Zzz qqq xxx."]).max() < model.thresholds.min()
+    assert model.scores([["Zzz", "qqq", "xxx"]]).max() < model.thresholds.min()
     assert model.scores([]).shape == (0, 3)
 
 

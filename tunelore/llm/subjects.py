@@ -18,6 +18,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _LINE_MARK = re.compile(r"^\s*(?:[-*•>#|]+\s+|\d+[.)]\s+|\[\d+:\d+(?::\d+)?\]\s*)+")
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}")
+_OPEN, _DIGIT = re.compile(r"[(\[{]"), re.compile(r"\d")
 _DASH = re.compile(r"\s+(?:[–—]|--?)\s+.*$", re.S)
 #: Abbreviations before which and after which no sentence ends.
 _SHORT = {"cf", "no", "nr", "vgl", "n", "nº", "bzw", "ca", "st", "dr", "mr", "mrs", "op", "vol", "p", "pp", "art", "abs", "núm"}
@@ -94,20 +96,31 @@ def _strings(held) -> Iterator[str]:
             todo.extend(reversed(list(x.values()) if isinstance(x, dict) else x))
 
 
-def sentences(text: str | None) -> list[str]:
-    """The sentences of a text, remarks in brackets and after a dash taken out; those without a word are none."""
-    out = []
+def words(sentence: str) -> list[str]:
+    """The words of a sentence; notes with their octave are none."""
+    return _WORD.findall(_NOTE.sub(" ", sentence) if _DIGIT.search(sentence) else sentence)
+
+
+def told(text: str | None) -> Iterator[tuple[str, list[str]]]:
+    """The sentences of a text and their words, remarks in brackets and after a dash taken out; those of fewer than two words are none."""
     for line in plain(text or "").splitlines():
         line = _LINE_MARK.sub("", line).strip()
         at = 0
         for end in [*(m.end() for m in _ENDS.finditer(line) if not _abbreviated(line, m.start())), len(line)]:
-            sentence = line[at:end].strip()
+            kept = line[at:end].strip()
             at = end
-            kept = _BRACKETS.sub(" ", sentence)
-            kept = _DASH.sub("", kept) if _WORD.search(_DASH.sub("", kept)) else kept
-            if len(_WORD.findall(_NOTE.sub(" ", kept))) >= 2:
-                out.append(kept)
-    return out
+            if _OPEN.search(kept):
+                kept = _BRACKETS.sub(" ", kept)
+            if _DASH.search(kept) and _WORD.search(bare := _DASH.sub("", kept)):
+                kept = bare
+            held = words(kept)
+            if len(held) >= 2:
+                yield kept, held
+
+
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text, as ``told`` has them."""
+    return [s for s, _ in told(text)]
 
 
 def _abbreviated(line: str, end: int) -> bool:
@@ -117,7 +130,8 @@ def _abbreviated(line: str, end: int) -> bool:
 
 @functools.lru_cache(maxsize=200_000)
 def _word(word: str) -> tuple[bytes, int, tuple[int, ...]]:
-    """A word after a blank as bytes, its checksum, and the hashes of it, its beginning and its ending."""
+    """A word after a blank as bytes, its checksum, and the hashes of it, its beginning and its ending, without case."""
+    word = word.casefold()
     own = zlib.crc32(word.encode())
     parts = [own]
     if len(word) > 5:
@@ -127,11 +141,16 @@ def _word(word: str) -> tuple[bytes, int, tuple[int, ...]]:
     return f" {word}".encode(), own, tuple(h % DIMENSIONS for h in parts)
 
 
-def features(sentence: str) -> list[int]:
-    """Hashed words, word pairs, and beginnings and endings of longer words."""
-    words = [_word(w) for w in _WORD.findall(_NOTE.sub(" ", sentence).casefold())]
-    pairs = {zlib.crc32(b[0], a[1]) % DIMENSIONS for a, b in zip(words, words[1:])}
-    return sorted(pairs.union(*(w[2] for w in words)))
+def features(held: list[str]) -> list[int]:
+    """Hashed words, word pairs, and beginnings and endings of longer words, each once."""
+    out: set[int] = set()
+    before = None
+    for w in map(_word, held):
+        out.update(w[2])
+        if before is not None:
+            out.add(zlib.crc32(w[0], before) % DIMENSIONS)
+        before = w[1]
+    return list(out)
 
 
 @dataclass
@@ -145,11 +164,11 @@ class Model:
     unseen: float
     thresholds: np.ndarray
 
-    def scores(self, sentence_list: list[str]) -> np.ndarray:
-        """A row of scores, one per subject, for each sentence; one without known features has zeros."""
-        rows = [features(s) for s in sentence_list]
+    def scores(self, held: list[list[str]]) -> np.ndarray:
+        """A row of scores, one per subject, for each sentence, given as its words; one without known features has zeros."""
+        rows = [features(w) for w in held]
         of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        slots = self.slots[np.fromiter((x for r in rows for x in r), np.int64, len(of))]
+        slots = self.slots[np.fromiter(chain.from_iterable(rows), np.int64, len(of))]
         idf = np.where(slots >= 0, self.idf[slots], self.unseen)
         norm = np.sqrt(np.bincount(of, idf * idf, len(rows)))
         known = slots >= 0
@@ -233,14 +252,13 @@ def labelled_sentences(examples: DataFrame, subjects: DataFrame, most: int) -> D
         for b in batches:
             at, n, held = [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                for k, sentence in enumerate(sentences(text)):
-                    if f := features(sentence):
-                        at.append(i), n.append(k), held.append(f)
+                for k, (_, own) in enumerate(told(text)):
+                    at.append(i), n.append(k), held.append(features(own))
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("example_id").take(rows), b.column("subject").take(rows), pa.array(n, pa.int32()), pa.array(held, pa.list_(pa.int32()))], ["example_id", "subject", "n", "features"])
 
-    told = usable.select("example_id", "subject", "text").mapInArrow(local, f"example_id {kind}, subject string, n int, features array<int>")
-    return told.orderBy(F.xxhash64("example_id", "n"), "example_id", "n").limit(most)
+    rows = usable.select("example_id", "subject", "text").mapInArrow(local, f"example_id {kind}, subject string, n int, features array<int>")
+    return rows.orderBy(F.xxhash64("example_id", "n"), "example_id", "n").limit(most)
 
 
 def document_subjects(documents: DataFrame, examples: DataFrame, subjects: DataFrame, share: float = 0.25, most_sentences: int = MOST_SENTENCES) -> DataFrame:
@@ -248,10 +266,11 @@ def document_subjects(documents: DataFrame, examples: DataFrame, subjects: DataF
 
     A document is about a subject if ``about`` of its sentences are, and these
     are at least ``share`` of all, or one in a text of one to three sentences.
-    A sentence is about each subject whose score is above its threshold, and
-    about that of its best score if this is above half of its threshold and
-    another sentence of the text is about that subject. Rows of one doc_id are one
-    document, a row without doc_id is one of its own; null and empty texts and
+    A sentence is about the subject of its best score above that subject's
+    threshold, or above half of it where another sentence of the text is about
+    that subject: what a sentence about something else says besides is a
+    remark. Rows of one doc_id are one document, a row without doc_id is one
+    of its own; null and empty texts and
     those without words have no subject. The model is fitted to at most
     ``most_sentences`` sentences of ``examples`` (example_id, text, subject),
     those of the least hashes; examples of unlisted subjects or without text
@@ -269,19 +288,19 @@ def document_subjects(documents: DataFrame, examples: DataFrame, subjects: DataF
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            texts = [sentences(t) for t in b.column(1).to_pylist()]
+            texts = [[w for _, w in told(t)] for t in b.column(1).to_pylist()]
             doc, subject, about, total = [], [], [], []
-            scores = model.scores([s for t in texts for s in t])
+            scores = model.scores(list(chain.from_iterable(texts)))
             ratio = scores / model.thresholds
             best = np.zeros(ratio.shape, bool)
             best[np.arange(len(best)), scores.argmax(1) if len(best) else []] = True
-            sure = ratio > 1
+            sure = best & (ratio > 1)
             at = 0
             for i, t in enumerate(texts):
                 own = slice(at, at + len(t))
                 at += len(t)
                 clear = sure[own].any(0)
-                counts = (clear & (sure[own] | (best[own] & (ratio[own] > 0.5)))).sum(0)
+                counts = (clear & best[own] & (ratio[own] > 0.5)).sum(0)
                 for j in np.flatnonzero(counts >= (1 if len(t) <= 3 else share * len(t))):
                     if counts[j]:
                         doc.append(i), subject.append(model.subjects[j]), about.append(int(counts[j])), total.append(len(t))
