@@ -238,7 +238,8 @@ def tight_sets(x: np.ndarray, weight: np.ndarray, tight: Tightness) -> Iterator[
     """
     edges = links_of(x)
     starts: dict[bytes, np.ndarray] = {}
-    for link in LINKS:
+    # passes that keep the same links have the same communities
+    for link in dict(zip([int((edges[2] >= x).sum()) for x in reversed(LINKS)], reversed(LINKS))).values():
         label = communities(x, link, edges)
         for name in np.flatnonzero(np.bincount(label, weight, len(x)) >= tight.least):
             row = label == name
