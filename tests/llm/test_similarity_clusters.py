@@ -129,7 +129,7 @@ def test_recall_in_a_large_cut_group(spark, partitions):
     assert len(true) > 60 and max(map(len, true)) >= 2000
     assert found <= true and len(found & true) >= 0.98 * len(true)
     # the graph's links over all chunks
-    reps = unit_vectors(df, "file_id", "corpus_id", "feature", 71).selectExpr("1L as g", "id", "vec")
+    reps = unit_vectors(df.selectExpr("1L as g", "file_id as id", "feature as vec"), 71)
     sides = {}
     for r in neighbour_graph(reps, 71).collect():
         sides.setdefault(r["a"], {})[r["b"]] = r["cos"]

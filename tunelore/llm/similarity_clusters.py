@@ -1,6 +1,6 @@
 """Clusters of records with mutually similar feature vectors.
 
-1. Exact copies of a direction become one weighted representative.
+1. Exact copies of a vector become one weighted representative.
 2. A nearest-neighbour graph is built by neighbour descent: a group of up to
    ``block`` representatives in one task; a larger one in overlapping leaves
    of several random-hyperplane trees, whose lists are merged and then
@@ -265,31 +265,27 @@ def _type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def unit_vectors(df: DataFrame, key: str, group: str, vector: str, dims: int) -> DataFrame:
-    """Rows (grp, id, same, vec) of usable vectors: unit vectors, and a number that copies of a direction share.
+def unit_rows(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vectors of the usable rows, and which these are: all finite and not all zero."""
+    # divided by the largest first, so that no square overflows or vanishes
+    top = np.abs(v).max(1, initial=0.0)
+    sound = np.isfinite(v).all(1) & (top > 0)
+    v = v[sound] / top[sound, None]
+    return v / np.linalg.norm(v, axis=1)[:, None], sound
 
-    Usable are vectors of ``dims`` finite numbers, not all zero, of rows with a key.
-    """
-    base = df.select(F.col(group).alias("grp"), F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-    odd = np.random.default_rng(3).integers(1, 1 << 62, dims) * 2 + 1
+
+def unit_vectors(df: DataFrame, dims: int) -> DataFrame:
+    """Rows whose ``vec``, of ``dims`` numbers, is usable, with the unit vector in its place."""
+    names = df.columns
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vec = b.column("vec")
-            fits = pa.compute.and_(pa.compute.equal(pa.compute.fill_null(pa.compute.list_value_length(vec), -1), dims), b.column("id").is_valid())
-            b = b.filter(fits)
-            v = _matrix(b.column("vec"), dims).astype(float)
-            # divided by the largest first, so that no square overflows or vanishes
-            top = np.abs(v).max(1, initial=0.0)
-            sound = np.isfinite(top) & (top > 0)
-            b, v, top = b.filter(pa.array(sound)), v[sound], top[sound]
-            v = v / top[:, None]
-            v /= np.linalg.norm(v, axis=1)[:, None]
-            same = (np.rint(v * 1e6).astype(np.int64) * odd).sum(1)
-            ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * dims)
-            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("id"), pa.array(same), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], ["grp", "id", "same", "vec"])
-
-    return base.mapInArrow(local, f"grp {_type(base, 'grp')}, id bigint, same bigint, vec array<double>")
+            x, sound = unit_rows(_matrix(b.column("vec"), dims).astype(float))
+            b = b.filter(pa.array(sound))
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dims), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([vec if c == "vec" else b.column(c) for c in names], names)
+
+    return df.mapInArrow(local, df.schema)
 
 
 def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims: int, tight: Tightness = Tightness(), block: int = BLOCK) -> DataFrame:
@@ -304,20 +300,24 @@ def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims:
     without key; null groups are a group. Copies and scaled copies of a vector
     are records like others.
     """
-    sound = unit_vectors(df, key, group, vector, dims)
+    whole_length = F.col(vector).isNotNull() & (F.size(vector) == dims)
+    sound = df.filter(whole_length).select(F.col(group).alias("grp"), F.col(key).cast("bigint").alias("id"), F.xxhash64(F.col(vector).cast("array<double>")).alias("same"), F.col(vector).cast("array<double>").alias("vec")).dropna(subset=["id"])
     kind = _type(sound, "grp")
     # a key's rows are copies; of contradicting ones the least counts
     files = stage(sound.groupBy("id").agg(F.min(F.struct("grp", "same")).alias("of")).select("id", "of.*"), "files")
     weights = files.groupBy("grp", "same").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("weight"))
     vectors = sound.groupBy("grp", "same").agg(F.first("vec").alias("vec"))
     both = lambda a, b: F.col(f"{a}.grp").eqNullSafe(F.col(f"{b}.grp")) & (F.col(f"{a}.same") == F.col(f"{b}.same"))
-    reps = stage(weights.alias("w").join(vectors.alias("v"), both("w", "v")).select("w.grp", "w.same", "w.id", "w.weight", "v.vec"), "representatives")
-    large = stage(reps.groupBy("grp").count().filter(F.col("count") > block), "large")
+    reps = weights.alias("w").join(vectors.alias("v"), both("w", "v")).select("w.grp", "w.same", "w.id", "w.weight", "v.vec")
+    large = stage(weights.groupBy("grp").count().filter(F.col("count") > block), "large")
     schema = f"grp {kind}, same bigint, cluster_id bigint, cosine double, degree double, cluster_size bigint"
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        x, weight, out = np.stack(pdf["vec"]), pdf["weight"].to_numpy(), []
+        x, usable = unit_rows(np.stack(pdf["vec"]).astype(float))
+        pdf = pdf[usable]
+        order = np.argsort(pdf["id"].to_numpy())
+        pdf, x, out = pdf.iloc[order], x[order], []
+        weight = pdf["weight"].to_numpy()
         for rows, cos, degree in tight_sets(x, weight, tight):
             size = int(weight[rows].sum())
             out.append(pd.DataFrame({"grp": pdf["grp"].iloc[rows], "same": pdf["same"].iloc[rows], "cluster_id": pdf["id"].iloc[rows[0]], "cosine": cos, "degree": degree, "cluster_size": size}))
@@ -326,7 +326,7 @@ def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims:
     within = lambda how: reps.alias("r").join(large.alias("l"), F.col("r.grp").eqNullSafe(F.col("l.grp")), how).select("r.*")
     members = within("left_anti").groupBy("grp").applyInPandas(whole, schema)
     if large.limit(1).count():
-        members = members.unionByName(_large_groups(stage(within("left_semi"), "large"), dims, tight, block))
+        members = members.unionByName(_large_groups(unit_vectors(within("left_semi"), dims), dims, tight, block))
     found = members.alias("m").join(files.alias("w"), both("m", "w"))
     return found.select(F.col("m.grp").alias(group), "m.cluster_id", F.col("w.id").alias(key), "m.cosine", "m.degree", "m.cluster_size")
 
