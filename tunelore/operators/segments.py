@@ -207,3 +207,22 @@ def resample_time(grid: DataFrame, targets: DataFrame) -> DataFrame:
     part = F.coalesce(F.try_divide(F.col("_j") * n1, F.col("_m") - 1), F.lit(0.0)) - F.col("frame")
     value = F.when((F.col("_n") == 1) | F.col("_next").isNull() | (F.col("_m") == 1), F.col("value")).otherwise(F.col("value") + (F.col("_next") - F.col("value")) * part)
     return spread.select("file_id", "pitch", F.col("_j").alias("frame"), value.alias("value"))
+
+
+#: Shares of note, contour and onset posteriors in a salience; of the onset posterior in an onset's evidence; the salience that lets an attack count in full; the largest share of attacks.
+SALIENCE_SHARES, ONSET_SHARE, FULL_GATE, MOST_ATTACK = (0.82, 0.18, 0.04), 0.55, 0.18, 0.40
+
+
+def mixed_posteriors(cells: DataFrame, low: int, high: int, attack_share: float) -> DataFrame:
+    """file_id, frame, pitch, salience, onset of posterior cells, of the pitches ``low`` to ``high``.
+
+    cells: note, onset, contour (an array of a semitone's parts, or null), rise
+    and attack, in 0..1. Salience mixes notes, contour and onsets; an onset's
+    evidence mixes onsets, rises and attacks, these as far as the pitch is salient.
+    """
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    share = max(0.0, min(MOST_ATTACK, attack_share))
+    parts = (unit(F.coalesce("note", F.lit(0.0))), unit(F.coalesce(F.array_max("contour"), F.lit(0.0))), unit(F.coalesce("onset", F.lit(0.0))))
+    mixed = cells.filter(F.col("pitch").between(low, high)).withColumn("_onset", parts[2]).withColumn("salience", unit(sum((s * p for s, p in zip(SALIENCE_SHARES, parts)), F.lit(0.0))))
+    evidence = ONSET_SHARE * F.col("_onset") + max(0.0, 1 - ONSET_SHARE - share) * F.coalesce("rise", F.lit(0.0)) + share * F.coalesce("attack", F.lit(0.0)) * unit(F.col("salience") / FULL_GATE)
+    return mixed.select("file_id", "frame", "pitch", "salience", unit(evidence).alias("onset"))
