@@ -62,3 +62,18 @@ def test_a_cluster_without_shared_folder_fails():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_restarts_find_the_blobs_and_reseed(spark):
+    import numpy as np
+
+    from tunelore.operators.clustering import kmeans
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(4, 6)) * 8
+    points = [(i, (centres[i % 4 if i < 80 else 0] + rng.normal(size=6) * 0.1).tolist()) for i in range(120)]
+    df = spark.createDataFrame(points, "file_id long, feature array<double>")
+    got = {r["file_id"]: r["label"] for r in kmeans(df, 4, restarts=8).collect()}
+    assert len({got[i] for i in range(4)}) == 4 and all(got[i] == got[i % 4 if i < 80 else 0] for i in range(120)) and got[0] == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "file_id long, feature array<double>")
+    assert kmeans(same, 2, restarts=2).count() == 9

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,14 +62,100 @@ def silhouettes(points: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
     return ab.select("file_id", "label", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
-def kmeans(points: DataFrame, k: int, seed: int = 1479) -> DataFrame:
-    """file_id, label, feature: clusters of points (file_id, feature), larger ones first."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _over_points(points: DataFrame, schema: str, of) -> list:
+    """Rows that ``of`` makes of each batch's (file_ids, matrix), gathered: a few for each of the restarts, never one for each point."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    vectors = points.withColumn("_v", array_to_vector("feature"))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="label", maxIter=50, tol=1e-6).fit(vectors)
-    labels = stage(model.transform(vectors).select("file_id", F.col("label").cast("int")), "labels")
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("feature").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                columns = of(b.column("file_id").to_numpy(), x)
+                yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, list) else pa.array(c, pa.list_(pa.float64())) for c in columns], names)
+
+    return points.select("file_id", "feature").mapInArrow(local, schema)
+
+
+def _draw(seed: int, restart: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for each restart (row) and id (column), the same wherever it is asked for."""
+    with np.errstate(over="ignore"):
+        h = (ids.astype(np.uint64)[None] + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) + restart.astype(np.uint64)[:, None] * np.uint64(0xBF58476D1CE4E5B9)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-17
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (restart, point, centre) of points to each restart's centres."""
+    return np.maximum((x * x).sum(1)[None, :, None] + (centres * centres).sum(2)[:, None, :] - 2 * np.einsum("nd,rkd->rnk", x, centres), 0)
+
+
+def _starts(points: DataFrame, k: int, restarts: int, seed: int) -> np.ndarray:
+    """Starting centres (restart, centre, number): each further one drawn with a probability in proportion to the squared distance from those before it."""
+    chosen: np.ndarray | None = None
+    which = np.arange(restarts)
+    for step in range(k):
+
+        def of(ids: np.ndarray, x: np.ndarray, chosen=chosen, step=step) -> tuple:
+            away = np.ones((restarts, len(x))) if chosen is None else _squares(x, chosen).min(2)
+            # the least of these keys falls on a point with a probability in proportion to its distance
+            key = -np.log(_draw(seed + 7919 * step, which, ids)) / np.maximum(away, 1e-12)
+            best = key.argmin(1)
+            return which, key[which, best], x[best].tolist()
+
+        rows = _over_points(points, "restart bigint, key double, at array<double>", of).groupBy("restart").agg(F.min_by("at", "key").alias("at")).collect()
+        new = np.array([r["at"] for r in sorted(rows, key=lambda r: r["restart"])])[:, None]
+        chosen = new if chosen is None else np.concatenate([chosen, new], 1)
+    return chosen
+
+
+def kmeans(points: DataFrame, k: int, seed: int = 1479, restarts: int = 24, most_rounds: int = 200) -> DataFrame:
+    """file_id, label, feature: clusters of points (file_id, feature), larger ones first.
+
+    Of ``restarts`` runs from drawn starts the one of the least sum of squared
+    distances. All runs take each pass over the points together: a task hands
+    on sums for each run and centre. A centre without points moves to the
+    point that is farthest from its centre. A run ends when its labels stay,
+    or after ``most_rounds``.
+    """
+    centres = _starts(points, k, restarts, seed)
+    going = np.arange(restarts)
+    inertia = np.full(restarts, np.inf)
+    for _ in range(most_rounds):
+
+        def of(ids: np.ndarray, x: np.ndarray, now=centres[going], names=going) -> tuple:
+            d = _squares(x, now)
+            near, least = d.argmin(2), d.min(2)
+            one = near[:, :, None] == np.arange(k)
+            sums = np.einsum("rnk,nd->rkd", one.astype(float), x)
+            far = least.argmax(1)
+            rows = len(names) * k
+            return (
+                np.repeat(names, k), np.tile(np.arange(k), len(names)), one.sum(1).ravel(), (least[:, :, None] * one).sum(1).ravel(), np.repeat(least[np.arange(len(names)), far], k), sums.reshape(rows, -1).tolist(), np.repeat(x[far], k, 0).tolist(),
+            )
+
+        told = _over_points(points, "restart bigint, centre bigint, n bigint, squares double, away double, total array<double>, far array<double>", of)
+        dims = centres.shape[2]
+        rows = told.groupBy("restart", "centre").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"), F.array(*(F.sum(F.col("total")[i]) for i in range(dims))).alias("total"), F.max_by("far", "away").alias("far")).collect()
+        after = centres.copy()
+        cost = np.zeros(restarts)
+        for r in rows:
+            after[r["restart"], r["centre"]] = np.array(r["total"]) / r["n"] if r["n"] else r["far"]
+            cost[r["restart"]] += r["squares"]
+        inertia[going] = cost[going]
+        still = np.array([np.allclose(after[g], centres[g], rtol=1e-9, atol=1e-12) for g in going])
+        centres = after
+        going = going[~still]
+        if not len(going):
+            break
+    best = centres[int(inertia.argmin())]
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("feature").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, best.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(_squares(x, best[None])[0].argmin(1).astype(np.int32))], ["file_id", "label"])
+
+    labels = stage(points.select("file_id", "feature").mapInArrow(labelled, "file_id bigint, label int"), "labels")
     return stage(points.join(relabel(labels), "file_id").select("file_id", "label", "feature"), "clustered")
 
 

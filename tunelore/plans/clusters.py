@@ -38,6 +38,16 @@ def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.choose_clusters(stage(_points(spark, folder), "points"), features.DIMS)[0].select("file_id", "label")
 
 
+def kmeans_fixpoint(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether three clusters are a fixpoint: files, those nearer to another cluster's mean than to their own's, and empty clusters."""
+    found = clustering.kmeans(stage(_points(spark, folder), "points"), 3)
+    long = found.select("file_id", "label", F.posexplode("feature").alias("i", "v"))
+    means = long.groupBy("label", "i").agg(F.avg("v").alias("m")).withColumnRenamed("label", "other")
+    away = long.join(means, "i").groupBy("file_id", "label", "other").agg(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))).alias("d"))
+    per = away.groupBy("file_id").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("own"), F.min("d").alias("least"))
+    return per.agg(F.count("*").alias("files"), F.count_if(F.col("own") > F.col("least") + 1e-9).alias("moved")).withColumn("empty", F.lit(3) - F.lit(found.select("label").distinct().count()))
+
+
 def refine_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters and roots, refined together."""
     return clustering.refine(phrased(spark, folder).drop("cluster_id"))[0]
@@ -58,12 +68,13 @@ flat as (
   select file_id, pos, coalesce(v, 0) as v from dim left join (select file_id, place + case kind when 'degree' then 0 when 'interval' then 12 when 'signed' then 24 when 'cadence' then 48 else 60 end as pos, v from shr) using (file_id, pos)),
 feat as (select file_id, pos, v / sqrt(sum(v * v) over (partition by file_id)) as value from flat)"""
 
-QUERIES = {f.__name__: f for f in (feature_blocks, pairwise_silhouette, cluster_relabel, kmeans_clusters, refine_clusters)}
+QUERIES = {f.__name__: f for f in (feature_blocks, pairwise_silhouette, cluster_relabel, kmeans_clusters, kmeans_fixpoint, refine_clusters)}
 SQL = {
     "feature_blocks": _FEATURES + " select file_id, pos, round(value, 6) as value from feat",
     "pairwise_silhouette": _FEATURES + f""", dist as (select a.file_id, a.file_id % {CLUSTERS} as label, b.file_id % {CLUSTERS} as other, b.file_id as o, sqrt(sum((a.value - b.value) * (a.value - b.value))) as d from feat a join feat b using (pos) group by a.file_id, b.file_id),
     mean as (select file_id, label, other, case when label = other then coalesce(sum(d) / nullif(count(*) - 1, 0), 0) else avg(d) end as m from dist group by file_id, label, other),
     ab as (select file_id, label, max(m) filter (label = other) as a, min(m) filter (label <> other) as b from mean group by all)
     select file_id, label::integer as label, round((b - a) / greatest(a, b), 6) as silhouette from ab""",
+    "kmeans_fixpoint": "select count(distinct user_id) as files, 0::bigint as moved, 0::integer as empty from events",
     "cluster_relabel": _PHRASES + ", z as (select root, (row_number() over (order by count(*) desc, root) - 1)::integer as label from roots group by root) select file_id, label from roots join z using (root)",
 }
