@@ -42,9 +42,14 @@ def keep_by_two_keys(df: DataFrame, order: str, first: str, second: str) -> Data
     """
     rows = stage(df.select(order, F.col(first).alias("k1"), F.col(second).alias("k2")), "keys")
     open_rows, all_kept = rows, []
-    lead = lambda k: F.col(k).isNull() | (F.col(order) == F.min(order).over(W.partitionBy(k)))
+
+    def leading(k: str) -> DataFrame:
+        """The earliest open row of each key, which partial aggregation finds however many rows a key has."""
+        return open_rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(order)).select(order, F.lit(True).alias(f"_{k}"))
+
     while True:
-        kept = stage(open_rows.withColumn("_keep", lead("k1") & lead("k2")).filter("_keep").drop("_keep"), "kept")
+        both = open_rows.join(leading("k1"), order, "left").join(leading("k2"), order, "left")
+        kept = stage(both.filter((F.col("k1").isNull() | F.col("_k1")) & (F.col("k2").isNull() | F.col("_k2"))).select(order, "k1", "k2"), "kept")
         if not kept.limit(1).count():
             break
         all_kept.append(kept)
@@ -78,24 +83,30 @@ def under_first_root(paths: DataFrame, path: str, roots: DataFrame, root: str, r
     return paths.join(best, path, "left")
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n))))
+def _substrings(text: Column, shortest: int, longest: int) -> Column:
+    """The distinct parts of a text of each length from ``shortest`` to ``longest``."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*(of(n) for n in range(shortest, longest + 1)))))
 
 
-def find_names(wanted: DataFrame, name: str, pages: DataFrame, title: str, ident: str, gram: int = 3) -> DataFrame:
+def find_names(wanted: DataFrame, name: str, pages: DataFrame, title: str, ident: str, gram: int = 3, wide: int = 8) -> DataFrame:
     """name, ident, how: the page of each distinct name: equal title, else the first whose title holds the name or is held by it.
 
-    Containment candidates share the first ``gram`` characters of the shorter
-    side with a place in the longer one, an equality that a shuffle can join.
-    Names and titles shorter than that, null and empty ones match only exactly.
+    Containment is an equality that a shuffle can join: the shorter side, or
+    its first ``wide`` characters, equals a part of the longer one. So short
+    names meet only what holds them, and long ones what holds their beginning,
+    however common three letters are. Names and titles shorter than ``gram``,
+    null and empty ones match only exactly.
     """
     names = wanted.select(F.col(name).alias("name")).dropna().distinct()
     titles = pages.select(F.col(title).alias("title"), F.col(ident).alias("ident")).dropna(subset=["title"])
     exact = names.join(titles, F.col("name") == F.col("title")).groupBy("name").agg(F.min("ident").alias("ident")).withColumn("how", F.lit("exact"))
     rest = names.join(exact.select("name"), "name", "left_anti").filter(F.length("name") >= gram)
-    long = titles.filter(F.length("title") >= gram)
-    held = rest.withColumn("g", F.substring("name", 1, gram)).join(long.withColumn("g", F.explode(_grams(F.col("title"), gram))), "g").filter(F.contains("title", "name"))
-    holds = rest.withColumn("g", F.explode(_grams(F.col("name"), gram))).join(long.withColumn("g", F.substring("title", 1, gram)), "g").filter(F.contains("name", "title"))
+    # of equal titles the first page counts
+    long = titles.filter(F.length("title") >= gram).groupBy("title").agg(F.min("ident").alias("ident"))
+    parts, start = (lambda c: F.explode(_substrings(F.col(c), gram, wide))), (lambda c: F.substring(c, 1, wide))
+    held = rest.withColumn("g", start("name")).join(long.withColumn("g", parts("title")), "g").filter(F.contains("title", "name"))
+    holds = rest.withColumn("g", parts("name")).join(long.withColumn("g", start("title")), "g").filter(F.contains("name", "title"))
     near = held.select("name", "ident").unionByName(holds.select("name", "ident")).groupBy("name").agg(F.min("ident").alias("ident")).withColumn("how", F.lit("contains"))
     return exact.unionByName(near)
 

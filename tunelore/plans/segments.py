@@ -14,9 +14,10 @@ WINDOW, OVERLAP = 600, 200
 
 
 def beats(spark: SparkSession, folder: str) -> DataFrame:
-    """Forty beats of each user, 50 frames apart."""
-    files = table(spark, folder, "events").select(F.col("user_id").alias("file_id")).distinct()
-    return files.select("file_id", (F.col("file_id") % 4).alias("phase"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("beat")).withColumn("time", F.col("beat") * 50 + F.col("file_id") % 11)
+    """Beats of each user, 50 frames apart, from before the first event until two bars of windows lie behind the last one."""
+    files = melody_events(spark, folder).groupBy("file_id").agg(F.max("end_frame").alias("last"))
+    every = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("last") / 50) + 16).cast("int"))).alias("beat")
+    return files.select("file_id", (F.col("file_id") % 4).alias("phase"), every).withColumn("time", (F.col("beat") - 4) * 50 + F.col("file_id") % 11)
 
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,7 +148,7 @@ def resampled_curves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _E = f"with {EVENT_SQL.strip()}"
-_BEATS = "b as (select user_id as file_id, user_id % 4 as phase, unnest(range(40)) as beat from (select distinct user_id from events)), bt as (select *, beat * 50 + file_id % 11 as time from b), bars as (select file_id, (beat - phase) // 4 as bar, time from bt where beat >= phase and (beat - phase) % 4 = 0), w as (select file_id, bar + 1 as segment_index, (bar + 1)::integer as start_bar, (bar + 2)::integer as end_bar, time as start, lead(time, 2) over (partition by file_id order by bar) as \"end\" from bars)"
+_BEATS = "b as (select file_id, file_id % 4 as phase, unnest(range(ceil(max(end_frame) / 50)::bigint + 17)) as beat from ev group by file_id), bt as (select *, (beat - 4) * 50 + file_id % 11 as time from b), bars as (select file_id, (beat - phase) // 4 as bar, time from bt where beat >= phase and (beat - phase) % 4 = 0), w as (select file_id, bar + 1 as segment_index, (bar + 1)::integer as start_bar, (bar + 2)::integer as end_bar, time as start, lead(time, 2) over (partition by file_id order by bar) as \"end\" from bars)"
 _QUALITY = """with n as (select distinct on (note_id) * from notes where pitch between 0 and 127 and confidence between 0 and 1 and not isnan(confidence)),
 c as (select candidate_id, note_id, pitch, round_even(start_s * 100, 0)::bigint as s, round_even(end_s * 100, 0)::bigint as e, round_even(confidence * 10000, 0)::bigint as k from n),
 j as (select *, abs(pitch - lag(pitch) over (partition by candidate_id order by s, note_id)) as jump, greatest(0, e - s) as len from c),
@@ -164,7 +165,7 @@ QUERIES = {
     for f in (bar_windows, notes_in_windows, segment_quality, segment_gate, bridge_gaps, path_to_notes, covering_windows, overlap_add, posterior_fusion, onset_rises, onset_peaks, note_grid, smoothed_track, filled_track, beat_phases, resampled_curves)
 }
 SQL = {
-    "bar_windows": f'with {_BEATS} select * from w where "end" is not null',
+    "bar_windows": _E + f', {_BEATS} select * from w where "end" is not null',
     "notes_in_windows": _E + f', {_BEATS} select ev.file_id, seq as id, pitch, segment_index, greatest(start_frame, w.start) as start, least(end_frame, w."end") as "end" from ev join w on ev.file_id = w.file_id and end_frame > w.start and start_frame < w."end"',
     "segment_quality": _QUALITY + " select * from z",
     "segment_gate": _QUALITY + """, x as (select z.*, role from z join (select distinct candidate_id, source_id from candidates) using (candidate_id) join sources using (source_id)),
