@@ -159,3 +159,12 @@ def test_no_links_at_all_in_a_cut_group(spark):
     rows = [(i, None, v) for i, v in enumerate(np.eye(40).tolist())]
     df = spark.createDataFrame(rows, "file_id bigint, corpus_id bigint, feature array<double>")
     assert similarity_clusters(df, "file_id", "corpus_id", "feature", 40, block=10).count() == 0
+
+
+def test_null_group_and_groups_of_unusable_vectors(spark):
+    v = [1.0] + [0.01] * (DIMS - 1)
+    near = [[i, None, [x * (1 + i) + 0.001 * i * (j == 3) for j, x in enumerate(v)], "x", 1, "y"] for i in range(4)]
+    bad = [[10, 5, [float("nan")] * DIMS, "x", 1, "y"], [11, 5, [0.0] * DIMS, "x", 1, "y"], [12, 6, [None] * DIMS, "x", 1, "y"], [13, 7, [1e200] * DIMS, "x", 1, "y"], [14, 7, [1e-200] * DIMS, "x", 1, "y"], [15, 7, [-1.0] * DIMS, "x", 1, "y"], [16, 7, [3.0] * DIMS, "x", 1, "y"]]
+    found = similarity_clusters(spark.createDataFrame(near + bad, SCHEMA), "file_id", "corpus_id", "feature", DIMS)
+    assert clusters_of(found) == {(0, 1, 2, 3), (13, 14, 16)}
+    assert {r["corpus_id"] for r in found.collect()} == {None, 7}
