@@ -5,7 +5,7 @@ import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tunelore.operators.runs import CLOSED, FIRST, LAST, WHOLE, Likeness, OpenRun, chunk_count, encode_runs, join_runs, merge_ends, pieces
+from tunelore.operators.runs import CLOSED, FIRST, LAST, WHOLE, Likeness, OpenRun, chunk_count, encode_runs, join_runs, merge_ends, numbered, pieces
 
 
 @settings(max_examples=60, deadline=None)
@@ -71,3 +71,15 @@ def test_chunks_follow_the_size(spark, tmp_path, monkeypatch):
     batches = pa.table({"a": list(range(100))}).to_batches(max_chunksize=7)
     cut = list(pieces(batches, 20))
     assert [len(t) for t in cut] == [21] * 4 + [16] and not list(pieces([]))
+
+
+def test_numbers_in_groups_over_many_chunks(spark, partitions):
+    partitions(9)
+    rows = [(("a", "b", None, "c")[i % 4 if i % 3 else 0], i, i % 2) for i in range(400)]
+    got = {(r["k"], r["o"]): r["n"] for r in numbered(spark.createDataFrame(rows, "k string, o long, extra int"), "k", "o").collect()}
+    expected, seen = {}, {}
+    for k, o, _ in rows:
+        seen[k] = seen.get(k, 0) + 1
+        expected[k, o] = seen[k]
+    assert got == expected
+    assert numbered(spark.createDataFrame([], "k string, o long"), "k", "o").count() == 0

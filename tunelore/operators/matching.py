@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tunelore.functions.scalars import slug
+from tunelore.operators.runs import numbered
 from tunelore.staging import stage
 
 
@@ -113,9 +113,8 @@ def find_names(wanted: DataFrame, name: str, pages: DataFrame, title: str, ident
 
 def unique_slugs(df: DataFrame, text: str, order: str) -> DataFrame:
     """order, slug: each row's slug, the later of equals numbered from ``_2``; a number that another slug already spells is passed over."""
-    base = stage(df.select(order, slug(F.col(text)).alias("base")), "slugs")
-    rows = base.withColumn("n", F.row_number().over(W.partitionBy("base").orderBy(order)))
-    spelled = base.select(F.col("base").alias("slug")).distinct()
+    rows = stage(numbered(df.select(order, slug(F.col(text)).alias("base")), "base", order), "slugs")
+    spelled = rows.select(F.col("base").alias("slug")).distinct()
     while True:
         named = stage(rows.withColumn("slug", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))), "named")
         clash = named.filter("n > 1").join(spelled, "slug", "left_semi").select("base", F.col("n").alias("_at"))
