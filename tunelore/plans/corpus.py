@@ -194,11 +194,6 @@ def trigram_weights(spark: SparkSession, folder: str) -> DataFrame:
     return weights.trigram_weights(support, degrees)
 
 
-def preferred_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    support, degrees, files, _ = _support(spark, folder)
-    return weights.preferred_phrases(support, degrees, files)
-
-
 #: A known tune, in C major: its pitches, line by line, each line's last note twice as long as the others.
 TUNE = [[60, 60, 67, 67, 69, 69, 67], [65, 65, 64, 64, 62, 62, 60], [67, 67, 65, 65, 64, 64, 62], [67, 67, 65, 65, 64, 64, 62], [60, 60, 67, 67, 69, 69, 67], [65, 65, 64, 64, 62, 62, 60]]
 #: Frames of a beat and of the pause after a line, and the cents by which every singer is off on the third degree.
@@ -217,13 +212,13 @@ def tune_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def tune_phrases(spark: SparkSession, folder: str) -> DataFrame:
+def preferred_phrases(spark: SparkSession, folder: str) -> DataFrame:
     """The preferred phrases of the tune's singers."""
     support, degrees, files, _ = _support(spark, folder, tune_events)
     return weights.preferred_phrases(support, degrees, files)
 
 
-def tune_tuning(spark: SparkSession, folder: str) -> DataFrame:
+def micro_tuning(spark: SparkSession, folder: str) -> DataFrame:
     """The micro-tuning of the tune's singers."""
     return rhythm.micro_tuning(scaled(spark, folder, tune_events)[0])
 
@@ -266,10 +261,6 @@ def rhythm_bins(spark: SparkSession, folder: str) -> DataFrame:
     return rhythm.rhythm_bins(rhythm.phrase_ratios(scaled(spark, folder)[0]))
 
 
-def micro_tuning(spark: SparkSession, folder: str) -> DataFrame:
-    return rhythm.micro_tuning(scaled(spark, folder)[0])
-
-
 def detected_keys(spark: SparkSession, folder: str) -> DataFrame:
     """The key of each file by correlation with the modes' profiles."""
     return _round(keys.detect_keys(melody_events(spark, folder)), "score")
@@ -393,10 +384,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         pc_occupancy, note_events, phrase_gap_sessions, raw_phrases, phrases, phrase_summary, ending_share, root_generic, root_histogram, degree_shares, scale_candidates, core_scale, auxiliary_degrees, root_with_scale, scale_runs,
-        interval_histogram, transition_counts, ngram_support, supported_ngrams, cadence_patterns, degree_weights, interval_weights, trigram_weights, preferred_phrases, cadence_weights, register_profile, duration_ratios, phrase_end_ratio,
-        rhythm_bins, micro_tuning, tune_phrases, tune_tuning, tune_roots, tune_cadences, file_sizes, corpus_rollup, detected_keys, scale_neighbours,
+        interval_histogram, transition_counts, ngram_support, supported_ngrams, cadence_patterns, degree_weights, interval_weights, trigram_weights, cadence_weights, register_profile, duration_ratios, phrase_end_ratio,
+        rhythm_bins, tune_roots, tune_cadences, file_sizes, corpus_rollup, detected_keys, scale_neighbours,
     )
-} | {"transition_weights": _transitions("transition"), "ascending_weights": _transitions("ascending"), "descending_weights": _transitions("descending")}
+} | {"preferred_phrases": preferred_phrases, "micro_tuning": micro_tuning, "transition_weights": _transitions("transition"), "ascending_weights": _transitions("ascending"), "descending_weights": _transitions("descending")}
 
 _EVENTS = f"with {EVENT_SQL.strip()} "
 _QUANTILES = ", ".join(f"min(v) filter (c >= {q} * t) as {n}" for n, q in rhythm.QUANTILES.items())
@@ -467,5 +458,7 @@ _TUNE_SQL = f"""ev as (
     from (select user_id as file_id, user_id * 100 + i + 1 as event_id, (i + 1)::integer as seq, 'sung' as channel, (p + user_id % 11 - 5)::integer as pitch, case when p = 64 then {OFF} else 0 end as cents,
         case when i % 7 = 6 then {2 * BEAT} else {BEAT} end as frames, case when i % 7 = 0 and i > 0 then {PAUSE} else 0 end as gap_frames
       from (select distinct user_id from events), (select unnest(range(42)) as i, unnest({[p for line in TUNE for p in line]}) as p))))"""
-SQL |= {name: SQL[of].replace(EVENT_SQL.strip(), _TUNE_SQL) for name, of in (("tune_phrases", "preferred_phrases"), ("tune_tuning", "micro_tuning"), ("tune_roots", "root_generic"), ("tune_cadences", "cadence_weights"))}
+#: The same queries on the adapter's events, whose random pitches have no phrase that is preferred.
+ADAPTER_SQL = dict(SQL)
+SQL |= {name: SQL[of].replace(EVENT_SQL.strip(), _TUNE_SQL) for name, of in (("preferred_phrases", "preferred_phrases"), ("micro_tuning", "micro_tuning"), ("tune_roots", "root_generic"), ("tune_cadences", "cadence_weights"))}
 SQL["file_sizes"] = _PHRASES + "select file_id, count(*) as n_events, count(distinct phrase) as n_phrases, case when count(*) < 3 then 'few_events' end as reason from pe where file_id % 3 > 0 or seq <= 2 group by file_id"

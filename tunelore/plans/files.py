@@ -150,7 +150,7 @@ def assignment_table(spark: SparkSession, folder: str) -> DataFrame:
     labels = events.select("file_id", (F.col("file_id") % CLUSTERS).cast("int").alias("label")).distinct()
     rows = sinks.assignments(labels, tonic.root_generic(events).select("file_id", "root", "score", "margin"), events)
     at = _folder(spark, "assignments")
-    sinks.write_table(rows, at)
+    sinks.write_table(rows, at, mark=True)
     return spark.read.schema(rows.schema).csv(at, header=True)
 
 
@@ -196,6 +196,25 @@ def blind_packs(spark: SparkSession, folder: str) -> DataFrame:
     return pack.groupBy("case").agg(F.count("*").alias("files"), F.countDistinct("original").alias("originals"), F.countDistinct("blind_filename").alias("names"), F.max("blind_id").alias("last"), F.max_by("blind_filename", "blind_id").alias("last_name"))
 
 
+def blind_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of every blind pack's archive, written and read again; a file's bytes are its path's."""
+    items = table(spark, folder, "files").select(F.concat(F.lit("c"), "corpus_id").alias("case"), "path").distinct()
+    archives = lists.blind_archives(lists.blind_pack(items, "case", "path", 7), items.select("path", F.encode("path", "utf-8").alias("content")), "path")
+    at = _folder(spark, "blind")
+    scores.write_files(archives, at)
+    members = scores.read_archives(spark, at)
+    return members.select(F.regexp_extract("path", r"([^/]*)\.zip$", 1).alias("case"), F.col("content").cast("string").alias("original"), F.regexp_extract("member", r"_(\d+)\.wav$", 1).cast("int").between(1, 100_000).alias("numbered"), "error")
+
+
+def bend_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The pitch-wheel range in force at each message, of controllers made of the adapter's events."""
+    ev = melody_events(spark, folder)
+    control = F.element_at(F.array(*map(F.lit, [101, 100, 6, 38, 7])), (F.col("event_id") % 5 + 1).cast("int"))
+    value = F.when(F.col("event_id") % 5 < 2, (F.col("event_id") % 3 == 2).cast("int")).otherwise((F.col("event_id") % 24).cast("int"))
+    found = m.bend_ranges(ev.select("file_id", "seq", control.alias("control"), value.alias("value")), ["file_id"], ["seq"])
+    return found.select("file_id", "seq", F.round("sensitivity", 6).alias("sensitivity"))
+
+
 _E = f"with {EVENT_SQL.strip()}, n as (select file_id as song, start_frame * {FRAME} as start, frames * {FRAME} as duration, pitch, [{', '.join(repr(x) for x in SYLLABLES)}][seq % {len(SYLLABLES)} + 1] as lyric from ev) "
 _NOTES = "(select distinct on (note_id) * from notes where pitch between 0 and 127 and confidence between 0 and 1)"
 
@@ -203,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         midi_files, without_drums, musicxml_files, wav_files, archive_files, broken_files, decoded_names, manifest_rows, page_links, midi_links, joined_urls, packed_paths, yes_or_no, profile_files, assignment_table, event_table, note_lists,
-        split_candidates, corpus_reports, blind_packs,
+        split_candidates, corpus_reports, blind_packs, blind_archives, bend_ranges,
     )
 } | {"vsqx_files": _project(renderers.vsqx, "vsqx"), "ustx_files": _project(renderers.ustx, "ustx"), "ust_files": _project(renderers.ust, "ust")}
 
@@ -238,5 +257,9 @@ SQL = {
     "note_lists": f'select candidate_id, count(*) over (partition by candidate_id) as note_count, round(start_s, 4) as start, round(end_s, 4) as "end", pitch, round(confidence, 4) as confidence from {_NOTES}',
     "split_candidates": "select distinct candidate_id, note_count, case when note_count < 5 then 'few notes' when voiced_ratio < 0.5 then 'unvoiced' end as reason from candidates",
     "corpus_reports": "select corpus_id, count(*)::integer as files, min(file_id) as first_file, sum(root_pc)::bigint as roots from (select distinct corpus_id, file_id, root_pc from files) group by all",
+    "blind_archives": """select distinct 'c' || corpus_id as "case", path as original, true as numbered, null::varchar as error from files""",
+    "bend_ranges": _E + """, k as (select file_id, seq, [101, 100, 6, 38, 7][event_id % 5 + 1] as control, case when event_id % 5 < 2 then (event_id % 3 = 2)::int else event_id % 24 end as value from ev),
+    o as (select *, coalesce(last_value(case when control = 101 then value end ignore nulls) over w = 0 and last_value(case when control = 100 then value end ignore nulls) over w = 0, false) as opened from k window w as (partition by file_id order by seq rows unbounded preceding))
+    select file_id, seq, round(coalesce(last_value(case when opened and control = 6 then value end ignore nulls) over w, 2) + coalesce(last_value(case when opened and control = 38 then value end ignore nulls) over w, 0) / 100, 6) as sensitivity from o window w as (partition by file_id order by seq rows unbounded preceding)""",
     "blind_packs": """select "case", files, files as originals, files as names, files::integer as last, "case" || '_' || case when files < 10 then '0' else '' end || files || '.wav' as last_name from (select 'c' || corpus_id as "case", count(distinct path) as files from files group by all)""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tunelore.operators import mapping as m
 from tunelore.operators.learning import learn_profiles
 from tunelore.plans.corpus import _PHRASES, rooted
-from tunelore.plans.corpus import SQL as corpus_sql
+from tunelore.plans.corpus import ADAPTER_SQL as corpus_sql
 from tunelore.sources.profiles import SCHEMA, profile_weights, with_defaults
 from tunelore.staging import stage
 

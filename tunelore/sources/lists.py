@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,24 @@ def write_report(rows: DataFrame, by: str, folder: str) -> None:
     rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows")).write.json(folder, mode="errorifexists")
 
 
+def blind_archives(pack: DataFrame, contents: DataFrame, name: str, content: str = "content") -> DataFrame:
+    """case, path, content: of each case of ``pack`` (as ``blind_pack`` gives it) an archive of its files under their blind names.
+
+    contents has each original's ``name`` and bytes. An archive is a document:
+    the files of a case are in memory while it is made.
+    """
+    files = pack.join(contents.select(F.col(name).alias("original"), F.col(content).alias("content")), "original").select("case", "blind_id", "blind_filename", "content")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for row in pdf.sort_values("blind_id").itertuples(index=False):
+                z.writestr(zipfile.ZipInfo(row.blind_filename, (1980, 1, 1, 0, 0, 0)), bytes(row.content))
+        return pd.DataFrame({"case": pdf["case"].iloc[:1], "path": [f"{pdf['case'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    return files.groupBy("case").applyInPandas(one, "case string, path string, content binary")
+
+
 def blind_pack(items: DataFrame, case: str, name: str, seed: int) -> DataFrame:
     """case, blind_id, blind_filename, original: a seeded shuffle of each case's files, numbered from 1."""
     from pyspark.sql import Window as W

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 EVENT_COLUMNS = ["id", "file_id", "phrase", "event", "source_start_frame", "source_end_frame", "source_midi", "target_midi", "target_note", "root", "degree", "modulation", "source_frames", "tuning_cents"]
 
 
-def write_table(df: DataFrame, folder: str, by: str | None = None) -> None:
-    """A CSV table with a header, its lines sorted within each file; one folder per value of ``by``."""
+def write_table(df: DataFrame, folder: str, by: str | None = None, mark: bool = False) -> None:
+    """A CSV table with a header; one folder per value of ``by``. With ``mark``, files begin with the byte-order mark some spreadsheets want."""
+    if mark:
+        # the header is a file's first line
+        first = next(c for c in df.columns if c != by)
+        df = df.withColumnRenamed(first, f"\ufeff{first}")
     writer = df.write.option("header", True).option("escape", '"')
     (writer.partitionBy(by) if by else writer).csv(folder)
 
