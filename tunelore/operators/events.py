@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tunelore.operators.ordered import Running, ordered
 from tunelore.sources.tables import table
+from tunelore.staging import stage_once
 
 #: Columns: file_id, seq, pitch, cents, source_midi, frames, gap_frames, start_frame, end_frame, channel, pc.
 EVENT_SQL = """
@@ -40,14 +41,16 @@ def melody_events(spark: SparkSession, folder: str) -> DataFrame:
     file_id, event_id, seq, channel, pitch, cents, midi_cents (pitch in cents),
     source_midi, frames, gap_frames, start_frame, end_frame, pc.
     """
-    raw = table(spark, folder, "events")
-    by = W.partitionBy("file_id").orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = F.floor((us - F.lag(us).over(by)) / F.lit(2_000_000_000))
-    events = raw.select(F.col("user_id").alias("file_id"), "event_id", "ts", F.col("event_type").alias("channel"), F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"), F.floor("value").alias("whole")).select(
-        "file_id", "event_id", F.row_number().over(by).alias("seq"), "channel", (36 + F.col("k") % 49).alias("pitch"), (F.col("event_id") % 21 - 10).alias("cents"), (4 + F.col("whole") % 24).alias("frames"), F.coalesce(F.least(F.lit(60), gap), F.lit(0)).alias("gap_frames"),
-    )
-    seen = W.partitionBy("file_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumn("end_frame", F.sum(F.col("frames") + F.col("gap_frames")).over(seen)).select(
+    return stage_once(spark, f"{folder}/events.parquet", "events", lambda: _melody_events(table(spark, folder, "events")))
+
+
+def _melody_events(raw: DataFrame) -> DataFrame:
+    timed = raw.select(F.col("user_id").alias("file_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_type").alias("channel"), F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"), F.floor("value").alias("whole"))
+    numbered = ordered(timed, ["file_id"], ["us", "event_id"], Running("seq", lags={"before": "us"}))
+    gap = F.floor((F.col("us") - F.col("before")) / F.lit(2_000_000_000))
+    events = numbered.select(
+        "file_id", "event_id", F.col("seq").cast("int").alias("seq"), "channel", (36 + F.col("k") % 49).alias("pitch"), (F.col("event_id") % 21 - 10).alias("cents"), (4 + F.col("whole") % 24).alias("frames"), F.coalesce(F.least(F.lit(60), gap), F.lit(0)).alias("gap_frames"),
+    ).withColumn("_length", F.col("frames") + F.col("gap_frames"))
+    return ordered(events, ["file_id"], ["seq"], Running("_n", sums={"end_frame": "_length"})).select(
         "file_id", "event_id", "seq", "channel", "pitch", "cents", (F.col("pitch") * 100 + F.col("cents")).alias("midi_cents"), (F.col("pitch") + F.col("cents") / 100.0).alias("source_midi"), "frames", "gap_frames", (F.col("end_frame") - F.col("frames")).alias("start_frame"), "end_frame", (F.col("pitch") % 12).alias("pc"),
     )

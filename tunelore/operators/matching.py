@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelore.functions.scalars import slug
-from tunelore.operators.runs import numbered
+from tunelore.operators.ordered import Running, ordered
 from tunelore.staging import stage
 
 
@@ -113,7 +113,7 @@ def find_names(wanted: DataFrame, name: str, pages: DataFrame, title: str, ident
 
 def unique_slugs(df: DataFrame, text: str, order: str) -> DataFrame:
     """order, slug: each row's slug, the later of equals numbered from ``_2``; a number that another slug already spells is passed over."""
-    rows = stage(numbered(df.select(order, slug(F.col(text)).alias("base")), "base", order), "slugs")
+    rows = stage(ordered(df.select(order, slug(F.col(text)).alias("base")), ["base"], [order], Running("n")), "slugs")
     spelled = rows.select(F.col("base").alias("slug")).distinct()
     while True:
         named = stage(rows.withColumn("slug", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))), "named")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tunelore.operators.ordered import Running, ordered
+
 #: Words in a track's name that speak for and against a melody.
 LEAD_WORDS = ["main", "melody", "lead", "vocal", "voice", "miku", "rin", "len", "kaito", "meiko", "gumi", "メロ", "メロディ", "ボーカル", "ヴォーカル", "ミク", "歌"]
 BACK_WORDS = ["harm", "harmony", "chorus", "back", "backing", "sub", "guide", "bass", "chord", "accomp", "伴奏", "コード", "ベース", "ドラム"]
@@ -65,8 +67,7 @@ def top_of_chords(notes: DataFrame, by: list[str]) -> DataFrame:
 
 def monophonize(notes: DataFrame, by: list[str]) -> DataFrame:
     """One line: the top of each chord, each note cut at the next onset, none shorter than 1."""
-    onset = F.lead("start").over(W.partitionBy(*by).orderBy("start"))
-    line = top_of_chords(notes, by).withColumn("_next", onset)
+    line = ordered(top_of_chords(notes, by), by, ["start"], Running("_n", leads={"_next": "start"})).drop("_n")
     return line.withColumn("duration", F.when(F.col("_next") < F.col("start") + F.col("duration"), F.greatest(F.lit(1), F.col("_next") - F.col("start"))).otherwise(F.col("duration"))).filter("duration > 0").drop("_next")
 
 
@@ -76,15 +77,10 @@ def from_zero(notes: DataFrame, by: list[str]) -> DataFrame:
     return notes.join(first, by).withColumn("start", F.col("start") - F.col("_first")).drop("_first")
 
 
-def overlaps(by: list[str]) -> Column:
-    """Whether a note begins before the end of any note before it."""
-    w = W.partitionBy(*by).orderBy("start", "end", "id").rowsBetween(W.unboundedPreceding, -1)
-    return F.coalesce(F.col("start") < F.max("end").over(w), F.lit(False))
-
-
 def monophony_scores(notes: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, n_notes, monophony: 1 less the share of notes that overlap an earlier one."""
-    marked = notes.withColumn("end", F.col("start") + F.col("duration")).withColumn("_over", overlaps(by))
+    """``by``, n_notes, monophony: 1 less the share of notes that begin before the end of any note before them."""
+    ends = notes.select(*by, "start", (F.col("start") + F.col("duration")).alias("end"), "id")
+    marked = ordered(ends, by, ["start", "end", "id"], Running("_n", maxes={"_latest": "end"})).withColumn("_over", F.coalesce(F.col("start") < F.col("_latest"), F.lit(False)))
     return marked.groupBy(*by).agg(F.count("*").alias("n_notes"), (1 - F.count_if("_over") / F.greatest(F.lit(1), F.count("*") - 1)).alias("monophony"))
 
 

@@ -20,7 +20,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tunelore.staging import stage
@@ -223,31 +222,3 @@ def merge_boundaries(ends: DataFrame, like: Likeness, chunks: int, by: list[str]
     for more in done[1:]:
         out = out.unionByName(more)
     return out.drop("chunk", "slot")
-
-
-def numbered(df: DataFrame, by: str, order: str, name: str = "n") -> DataFrame:
-    """``df``, staged, with each row's number from 1 among the rows of its ``by`` (nulls are one), by ``order``, which is distinct.
-
-    Chunks count by themselves; a group that spans several adds what those
-    before hold of it, so that no group is ever in one task.
-    """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    columns = df.columns
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, last, count = chunk_number(), None, 0
-        for table in pieces(batches):
-            key = table.column(by).combine_chunks().dictionary_encode(null_encoding="encode")
-            code = key.indices.to_numpy(zero_copy_only=False)
-            start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            number = np.arange(len(code)) - np.repeat(start, np.diff(np.append(start, len(code)))) + 1
-            first = (key.dictionary[int(code[0])].as_py(),)
-            if first == last:
-                number[: start[1] if len(start) > 1 else len(code)] += count
-            last, count = (key.dictionary[int(code[-1])].as_py(),), int(number[-1])
-            yield from table.append_column("_chunk", pa.array(np.full(len(code), chunk, np.int32))).append_column(name, pa.array(number)).to_batches()
-
-    told = stage(range_chunks(df, [by], order, copies=False).mapInArrow(local, f"{kinds}, _chunk int, `{name}` bigint"), "numbered")
-    held = told.groupBy(by, "_chunk").agg(F.max(name).alias("_held"))
-    before = held.select(F.col(by).alias("_by"), F.col("_chunk").alias("_at"), (F.sum("_held").over(W.partitionBy(by).orderBy("_chunk")) - F.col("_held")).alias("_before")).filter("_before > 0")
-    return told.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_chunk") == F.col("_at")), "left").select(*columns, (F.col(name) + F.coalesce("_before", F.lit(0))).alias(name))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tunelore.operators import grammar, keys, rhythm, scales, tonic, weights
 from tunelore.operators.events import EVENT_SQL, melody_events
 from tunelore.operators.events import file_sizes as sizes_of
+from tunelore.operators.ordered import Running, ordered
 from tunelore.operators.phrases import PhraseRule, detect_phrases, split_phrases
 from tunelore.sources.tables import table
 from tunelore.staging import stage, stage_once
@@ -80,9 +81,9 @@ def note_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def phrase_gap_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions between gaps of at least the phrase gap."""
-    by = W.partitionBy("file_id").orderBy("seq")
-    events = melody_events(spark, folder).withColumn("_new", F.coalesce(F.col("start_frame") - F.lag("end_frame").over(by) >= RULE.gap, F.lit(False)))
-    numbered = events.withColumn("session", F.count_if("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    events = ordered(melody_events(spark, folder).select("file_id", "seq", "start_frame", "end_frame"), ["file_id"], ["seq"], Running("_n", lags={"_before": "end_frame"}))
+    marked = events.drop("_n").withColumn("_new", F.coalesce((F.col("start_frame") - F.col("_before") >= RULE.gap).cast("int"), F.lit(0)))
+    numbered = ordered(marked, ["file_id"], ["seq"], Running("_n", sums={"session": "_new"}))
     return numbered.groupBy("file_id", "session").agg(F.count("*").alias("n_events"), F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"))
 
 
