@@ -323,19 +323,21 @@ def spikes(tables: list[Measured], rule: TailRule | None = None, sigmas: float |
     while True:
         cuts = stage(cutoffs(good, rule), "cutoffs")
         if sigmas is None:
+            bounds = cuts.select(*by, F.col("cut_low").alias("low"), F.col("cut_high").alias("high"))
             break
         level, good = confirmed(freq, cuts, sigmas)
-        now = good.agg(F.sum("n")).first()[0] or 0
-        # a fit without more faults than the last one changes nothing
+        low, high = F.col("l.mean") - sigmas * F.col("l.sd"), F.col("l.mean") + sigmas * F.col("l.sd")
+        bounds = stage(cuts.alias("c").join(level.alias("l"), _same("c", "l", by[:2])).select(
+            *(F.col(f"c.{c}").alias(c) for c in by), F.least("c.cut_low", low).alias("low"), F.greatest("c.cut_high", high).alias("high"), ((F.col("c.cut_low") < low) | (F.col("c.cut_high") > high)).alias("farther"),
+        ), "bounds")
+        # where no cutoff is farther out than the check, nearer ones would change nothing
+        if not bounds.filter("farther").limit(1).count():
+            break
+        now = good.agg(F.sum("n")).first()[0]
+        # nor does a fit that has no more faults than the last one
         if size is not None and now >= size:
             break
         size = now
-    bounds = cuts.select(*by, F.col("cut_low").alias("low"), F.col("cut_high").alias("high"))
-    if sigmas is not None:
-        bounds = cuts.alias("c").join(level.alias("l"), _same("c", "l", by[:2])).select(
-            *(F.col(f"c.{c}").alias(c) for c in by), F.least("c.cut_low", F.col("l.mean") - sigmas * F.col("l.sd")).alias("low"), F.greatest("c.cut_high", F.col("l.mean") + sigmas * F.col("l.sd")).alias("high"),
-        )
-    bounds = stage(bounds, "bounds")
     small = bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = [x.select("field", "ident", "wild", "stuck", F.lit(False).alias("tail")) for x in faulty]
     for t, first in zip(tables, starts):
