@@ -37,7 +37,7 @@ _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _LINE_MARK = re.compile(r"^\s*(?:[-*•>#|]+\s+|\d+[.)]\s+|\[\d+:\d+(?::\d+)?\]\s*)+")
 _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}")
-_OPEN, _DIGIT = re.compile(r"[(\[{]"), re.compile(r"\d")
+_DIGIT = re.compile(r"\d")
 _DASH = re.compile(r"\s+(?:[–—]|--?)\s+.*$", re.S)
 #: Abbreviations before which and after which no sentence ends.
 _SHORT = {"cf", "no", "nr", "vgl", "n", "nº", "bzw", "ca", "st", "dr", "mr", "mrs", "op", "vol", "p", "pp", "art", "abs", "núm"}
@@ -109,9 +109,9 @@ def told(text: str | None) -> Iterator[tuple[str, list[str]]]:
         for end in [*(m.end() for m in _ENDS.finditer(line) if not _abbreviated(line, m.start())), len(line)]:
             kept = line[at:end].strip()
             at = end
-            if _OPEN.search(kept):
+            if "(" in kept or "[" in kept or "{" in kept:
                 kept = _BRACKETS.sub(" ", kept)
-            if _DASH.search(kept) and _WORD.search(bare := _DASH.sub("", kept)):
+            if ("-" in kept or "–" in kept or "—" in kept) and _DASH.search(kept) and _WORD.search(bare := _DASH.sub("", kept)):
                 kept = bare
             held = words(kept)
             if len(held) >= 2:
