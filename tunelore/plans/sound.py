@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelore.operators import kernels as k
 from tunelore.operators import segments, sound
 from tunelore.operators.events import EVENT_SQL, melody_events
 
@@ -39,29 +38,11 @@ def mixed_posteriors(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.withColumns({c: F.round(c, 6) for c in ("salience", "onset")})
 
 
-def track_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of a track of the adapter's whole pitches, with an onset at every third event."""
-    ev = melody_events(spark, folder)
-    frames = ev.select("file_id", "pitch", "start_frame", "event_id", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame"))
-    return k.events_of_tracks(frames.select("file_id", "frame", F.col("pitch").cast("double").alias("midi"), ((F.col("frame") == F.col("start_frame")) & (F.col("event_id") % 3 == 0)).alias("onset")))
-
-
-def absorbed_fragments(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes without fragments: of every event, one fragment stands inside a note or ends it."""
-    ev = melody_events(spark, folder).select("file_id", "event_id", "seq", (40 + F.col("seq") % 5 * 4).cast("int").alias("p"))
-    piece = lambda a, b, p, c: F.struct((F.col("seq") * 4 + a).cast("double").alias("start_s"), (F.col("seq") * 4 + b).cast("double").alias("end_s"), p.cast("int").alias("pitch"), F.lit(c).alias("confidence"))
-    inside = F.array(piece(0.0, 1.0, F.col("p"), 0.9), piece(1.0, 1.0625, F.col("p") + 1, 0.3), piece(1.0625, 2.0, F.col("p"), 0.5))
-    ended = F.array(piece(0.0, 1.0, F.col("p"), 0.9), piece(1.0, 1.0625, F.col("p"), 0.3))
-    notes = ev.select("file_id", F.explode(F.when(F.col("event_id") % 2 == 0, inside).otherwise(ended)).alias("n")).select("file_id", "n.*")
-    found = k.clean_notes(notes, "file_id")
-    return found.withColumn("confidence", F.round("confidence", 9))
-
-
 _E = f"with {EVENT_SQL.strip()} "
 _TONE = f"""{_E}, t as (select file_id, start_frame, greatest(1, round_even(frames * {FRAME_S} * {RATE}, 0))::integer as n, 440 * 2 ^ ((source_midi - 69) / 12) as hz, (event_id % 5 + 1) / 6.0::double as amp from ev),
 x as (select *, unnest(range(n)) as i, 2 * pi() * hz / {RATE} as step, least(n, {int(sound.RISE * RATE)}) as rise, least(n, {int(sound.FALL * RATE)}) as fall from t),
 w as (select file_id, start_frame, n, i, amp * ({" + ".join(f"{s} * sin({j + 1} * step * (i + 1))" for j, s in enumerate(sound.PARTIALS["flute"]))}) * case when i < rise and rise > 1 then i / rise else 1 end * case when i >= n - fall and fall > 1 then 1 - (i - (n - fall)) / (fall - 1) else 1 end as v from x) """
-QUERIES = {f.__name__: f for f in (note_tones, song_levels, mixed_posteriors, track_events, absorbed_fragments)}
+QUERIES = {f.__name__: f for f in (note_tones, song_levels, mixed_posteriors)}
 SQL = {
     "note_tones": _TONE + "select file_id as id, start_frame as first, any_value(n) as samples, round(sum(v * v), 6) as energy from w group by all",
     "song_levels": _TONE + f"""select file_id as id, round(peak, 6) as peak, round(rms, 6) as rms, round(least(0.1 / rms, 0.98 / peak), 6) as gain from (
@@ -69,9 +50,4 @@ SQL = {
     "mixed_posteriors": _E + """, c as (select file_id, seq as frame, pitch, (event_id % 7) / 7 as note, least(1, (event_id % 5) / 5 * 1.5) as ons, greatest((event_id % 3) / 3, (event_id % 4) / 4, (event_id % 11) / 11) as contour, (event_id % 9) / 9 as rise, (event_id % 2) / 2 as attack from ev where pitch between 40 and 76),
     s as (select *, least(1, 0.82 * note + 0.18 * contour + 0.04 * ons) as salience from c)
     select file_id, frame, pitch, round(salience, 6) as salience, round(least(1, 0.55 * ons + 0.15 * rise + 0.3 * attack * least(1, salience / 0.18)), 6) as onset from s""",
-    "track_events": _E + """, m as (select *, case when pitch = lag(pitch) over w and start_frame = lag(end_frame) over w and event_id % 3 <> 0 then 0 else 1 end as fresh from ev window w as (partition by file_id order by seq)),
-    g as (select *, sum(fresh) over (partition by file_id order by seq rows unbounded preceding) as run from m)
-    select file_id, min(start_frame) as start_frame, max(end_frame) as end_frame, any_value(pitch)::double as source_midi from g group by file_id, run""",
-    "absorbed_fragments": _E + """select file_id, seq * 4.0::double as start_s, case when event_id % 2 = 0 then seq * 4 + 2.0 else seq * 4 + 1.0625 end::double as end_s, (40 + seq % 5 * 4)::integer as pitch,
-      round(case when event_id % 2 = 0 then (0.9 * 1 + 0.5 * 0.9375) / 1.9375 else (0.9 * 1 + 0.3 * 0.0625) / 1.0625 end, 9)::double as confidence from ev""",
 }
