@@ -100,6 +100,12 @@ def large_group(n, dims=71, seed=11):
             break
         parts.append(rng.normal(size=dims) + rng.normal(size=(size, dims)) * rng.uniform(0.1, 0.25))
         left -= size
+    # pairs of large clusters near each other: not separate, and without a link between them
+    for _ in range(6):
+        one, other = (c / np.linalg.norm(c) for c in rng.normal(size=(2, dims)))
+        for centre in (one, 0.885 * one + 0.465 * other):
+            parts.append(centre * 8 + rng.normal(size=(40, dims)) * 0.15)
+            left -= 40
     parts.append(rng.normal(size=(left, dims)))
     x = np.concatenate(parts)
     return x[rng.permutation(n)]

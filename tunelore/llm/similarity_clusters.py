@@ -13,7 +13,8 @@
 4. Communities of enough files are the candidates. The files near a
    candidate's mean are taken again until they stay, and the set stands only
    if it is as tight and as separate as asked. In a group of one task every
-   file of the group is looked at; in a larger one the files linked to the set.
+   file of the group is looked at; in a larger one the files linked to the
+   set, and once these stay, all files, in blocks.
    A cluster's most typical members have the highest internal weighted degree.
 """
 
@@ -37,6 +38,8 @@ from tunelore.staging import drop, stage
 NEIGHBOURS, BLOCK, TREES = 12, 2048, 6
 #: Least cosines of links, one for each pass of communities; that of the weakest neighbours that are kept.
 LINKS, FLOOR = (0.75, 0.8, 0.85, 0.885), 0.6
+#: Means that a pass over the records of large groups takes.
+MEANS = 16_000
 #: Rows that neighbour descent starts from exactly, and the share of lists that may still change at its end.
 LEAF, SETTLED = 64, 0.001
 
@@ -493,30 +496,88 @@ def _large_groups(reps: DataFrame, dims: int, tight: Tightness, block: int) -> D
     def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             mean = _matrix(t.column("mean"), dims)
-            length = np.linalg.norm(mean, axis=1)
-            cos = np.einsum("ij,ij->i", _matrix(t.column("vec"), dims), mean) / np.maximum(length, 1e-300)
-            yield pa.RecordBatch.from_arrays([t.column("s"), t.column("id"), t.column("weight"), pa.array(cos), pa.array(length)], ["s", "id", "weight", "cosine", "length"])
-
-    while sets.limit(1).count():
-        own = sets.join(reps.select("id", "vec", "weight"), "id")
-        means = own.groupBy("s").agg(F.array(*(F.sum(F.col("vec")[i] * F.col("weight")) for i in range(dims))).alias("mean"))
-        pool = sets.select("s", "id").unionByName(sets.join(linked, sets["id"] == linked["a"]).select("s", F.col("b").alias("id"))).distinct()
-        scored = stage(pool.join(reps.select("id", "vec", "weight"), "id").join(means, "s").select("s", "id", "weight", "vec", "mean").mapInArrow(dot, "s bigint, id bigint, weight double, cosine double, length double").filter(F.col("cosine") >= tight.outer), "scored")
-        taken = scored.filter(F.col("cosine") >= tight.middle).select("s", "id")
-        after, before = (x.groupBy("s").agg(*mark) for x in (taken, sets))
-        still = stage(after.join(before, ["s", *by_mark]).groupBy(*by_mark).agg(F.min("s").alias("s")).select("s"), "still")
-        done.append(scored.join(still, "s"))
-        moved = after.join(before, ["s", *by_mark], "left_anti").select("s")
-        old, sets = sets, stage(distinct_sets(taken.join(moved, "s"), seen), "sets")
-        more = stage(seen.unionByName(sets.groupBy("s").agg(*mark).select(*by_mark)), "seen")
-        drop(old)
+            cos = np.einsum("ij,ij->i", _matrix(t.column("vec"), dims), mean) / np.maximum(np.linalg.norm(mean, axis=1), 1e-300)
+            yield pa.RecordBatch.from_arrays([t.column("s"), t.column("id"), pa.array(cos)], ["s", "id", "cosine"])
+
+    def means_of(rows: DataFrame) -> DataFrame:
+        own = rows.join(reps.select("id", "g", "vec", "weight"), "id")
+        return own.groupBy("s", "g").agg(F.array(*(F.sum(F.col("vec")[i] * F.col("weight")) for i in range(dims))).alias("mean"))
+
+    def split(taken: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The s of sets that stay what they were, one for each mark, and of those that changed."""
+        new, old = (x.groupBy("s").agg(*mark) for x in (taken, before))
+        still = stage(new.join(old, ["s", *by_mark]).groupBy(*by_mark).agg(F.min("s").alias("s")).select("s"), "still")
+        return still, new.join(old, ["s", *by_mark], "left_anti").select("s")
+
+    def unmet(rows: DataFrame) -> DataFrame:
+        """Staged sets of ``rows`` that were never met before; they are from now on."""
+        nonlocal seen
+        fresh = stage(distinct_sets(rows, seen), "sets")
+        more = stage(seen.unionByName(fresh.groupBy("s").agg(*mark).select(*by_mark)), "seen")
         drop(seen)
         seen = more
+        return fresh
+
+    while sets.limit(1).count():
+        settled = []
+        while sets.limit(1).count():
+            # first among the records linked to a set
+            pool = sets.select("s", "id").unionByName(sets.join(linked, sets["id"] == linked["a"]).select("s", F.col("b").alias("id"))).distinct()
+            scored = pool.join(reps.select("id", "vec"), "id").join(means_of(sets).drop("g"), "s").select("s", "id", "vec", "mean").mapInArrow(dot, "s bigint, id bigint, cosine double")
+            taken = stage(scored.filter(F.col("cosine") >= tight.middle).select("s", "id"), "taken")
+            still, moved = split(taken, sets)
+            settled.append(taken.join(still, "s"))
+            old, sets = sets, unmet(taken.join(moved, "s"))
+            drop(old)
+        # then among all records of the group: what stays there is settled
+        before = stage(reduce(DataFrame.unionByName, settled), "settled")
+        near = stage(_near(reps, stage(means_of(before), "means"), dims, tight.outer), "near")
+        still, moved = split(near.filter(F.col("cosine") >= tight.middle).select("s", "id"), before)
+        done.append(near.join(still, "s"))
+        sets = unmet(near.filter(F.col("cosine") >= tight.middle).select("s", "id").join(moved, "s"))
     if not done:
-        done = [reps.select(F.lit(0).cast("bigint").alias("s"), "id", "weight", F.lit(0.0).alias("cosine"), F.lit(0.0).alias("length")).limit(0)]
-    close = reduce(DataFrame.unionByName, done)
+        done = [reps.select(F.lit(0).cast("bigint").alias("s"), "id", F.lit(0.0).alias("cosine"), F.lit(0.0).alias("length")).limit(0)]
+    close = stage(reduce(DataFrame.unionByName, done).join(reps.select("id", "grp", "same", "weight"), "id"), "close")
     stands = close.groupBy("s").agg(F.count_if(F.col("cosine") < tight.inner).alias("between"), F.min("id").alias("cluster_id"), F.sum("weight").cast("bigint").alias("cluster_size")).filter((F.col("between") == 0) & (F.col("cluster_size") >= tight.least))
-    return close.join(stands, "s").join(reps.select("id", "grp", "same"), "id").select("grp", "same", "cluster_id", "cosine", (F.col("length") * F.col("cosine") - 1).alias("degree"), "cluster_size")
+    # sets that settled in different rounds may be one
+    marks = close.groupBy("s").agg(*mark).join(stands, "s").groupBy(*by_mark).agg(F.min_by(F.struct("s", "cluster_id", "cluster_size"), "s").alias("of")).select("of.*")
+    return close.join(marks, "s").select("grp", "same", "cluster_id", "cosine", (F.col("length") * F.col("cosine") - 1).alias("degree"), "cluster_size")
+
+
+def _near(reps: DataFrame, means: DataFrame, dims: int, outer: float) -> DataFrame:
+    """Rows (s, id, cosine, length) of the records of a set's group with the cosine ``outer`` or more to its mean (s, g, mean), ``length`` the mean's.
+
+    The means, a stated set of queries, meet all records in blocks of about
+    MEANS of them: each is a pass over the records without a shuffle.
+    """
+    sc = reps.sparkSession.sparkContext
+    blocks = max(1, -(-means.count() // MEANS))
+    found = []
+    for block in range(blocks):
+        rows = means.filter(F.pmod(F.xxhash64("s"), F.lit(blocks)) == block).select("s", "g", "mean").collect()
+        groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for g in {r["g"] for r in rows}:
+            m = np.array([r["mean"] for r in rows if r["g"] == g]).reshape(-1, dims)
+            length = np.linalg.norm(m, axis=1)
+            groups[g] = np.array([r["s"] for r in rows if r["g"] == g]), m / length[:, None], length
+        held = sc.broadcast(groups)
+
+        def local(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, g, ids = _matrix(b.column("vec"), dims), b.column("g").to_numpy(), b.column("id").to_numpy()
+                for name in np.unique(g):
+                    if name not in held.value:
+                        continue
+                    s, m, length = held.value[name]
+                    own = np.flatnonzero(g == name)
+                    for at in range(0, len(own), 1024):
+                        rows = own[at : at + 1024]
+                        cos = x[rows] @ m.T
+                        i, j = np.nonzero(cos >= outer)
+                        yield pa.RecordBatch.from_arrays([pa.array(s[j]), pa.array(ids[rows[i]]), pa.array(cos[i, j]), pa.array(length[j])], ["s", "id", "cosine", "length"])
+
+        found.append(reps.select("g", "id", "vec").mapInArrow(local, "s bigint, id bigint, cosine double, length double"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def neighbours_in_order(df: DataFrame, cluster: str, key: str) -> DataFrame:
