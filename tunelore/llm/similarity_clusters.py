@@ -331,7 +331,8 @@ def similarity_clusters(df: DataFrame, key: str, group: str, vector: str, dims:
     if large.limit(1).count():
         members = members.unionByName(_large_groups(unit_vectors(within("left_semi"), dims), dims, tight, block))
     found = members.alias("m").join(files.alias("w"), both("m", "w"))
-    return found.select(F.col("m.grp").alias(group), "m.cluster_id", F.col("w.id").alias(key), "m.cosine", "m.degree", "m.cluster_size")
+    # staged, since what sorts the members reads them twice
+    return stage(found.select(F.col("m.grp").alias(group), "m.cluster_id", F.col("w.id").alias(key), "m.cosine", "m.degree", "m.cluster_size"), "clusters")
 
 
 def _places(reps: DataFrame, dims: int, tree: int, bits: int, keep: list[str]) -> DataFrame:
