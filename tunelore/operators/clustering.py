@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ from tunelore.staging import stage
 
 #: Records of a block of the silhouette's distances.
 BLOCK = 2048
+#: Bytes of the points that a task may hold whole; more are passed over in batches.
+MOST_HELD = 64 << 20
+#: Runs of k-means from drawn starts, and rounds of each at most.
+RESTARTS, MOST_ROUNDS = 24, 200
+#: Restarts that one task runs, and records of a block that its passes and distances take at once.
+RUNS, ROWS = 4, 1024
 #: The penalty of each further cluster, and the least silhouette that more than one needs.
 CLUSTER_PENALTY, LEAST_SILHOUETTE = 0.015, 0.08
 
@@ -109,15 +117,167 @@ def _starts(points: DataFrame, k: int, restarts: int, seed: int) -> np.ndarray:
     return chosen
 
 
-def kmeans(points: DataFrame, k: int, seed: int = 1479, restarts: int = 24, most_rounds: int = 200) -> DataFrame:
+@dataclass(frozen=True)
+class Held:
+    """Points that every task may hold: their numbers as rows of a matrix, by file_id, and the same as a broadcast."""
+
+    spark: SparkSession
+    ids: np.ndarray
+    x: np.ndarray
+    sent: Broadcast
+
+
+def hold(points: DataFrame, most: int | None = None) -> Held | None:
+    """``points`` (file_id, feature) as a matrix, if they are no more than ``most`` bytes."""
+    most = MOST_HELD if most is None else most
+    size = points.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("feature")), F.lit(0)).alias("dims")).first()
+    if not size["n"] or size["n"] * (size["dims"] + 1) * 8 > most:
+        return None
+    told = points.select("file_id", "feature").toArrow().combine_chunks()
+    ids = told.column("file_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in told.column("feature").chunks]).reshape(len(ids), -1)[order]
+    ids = ids[order]
+    return Held(points.sparkSession, ids, x, points.sparkSession.sparkContext.broadcast((ids, x)))
+
+
+def _lloyd(ids: np.ndarray, x: np.ndarray, k: int, which: np.ndarray, seed: int, most_rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and centres (restart, centre, number) of the restarts ``which``, from drawn starts: what the passes of ``kmeans`` come to, over one matrix."""
+    square = (x * x).sum(1)
+    starts = np.empty((len(which), k, x.shape[1]))
+    away = np.ones((len(which), len(x)))
+    for step in range(k):
+        at = (-np.log(_draw(seed + 7919 * step, which, ids)) / np.maximum(away, 1e-12)).argmin(1)
+        starts[:, step] = x[at]
+        near = np.maximum(square[None] + (starts[:, step] ** 2).sum(1)[:, None] - 2 * starts[:, step] @ x.T, 0)
+        away = near if step == 0 else np.minimum(away, near)
+    centres, inertia, going = starts, np.full(len(which), np.inf), np.arange(len(which))
+    for _ in range(most_rounds):
+        now = centres[going]
+        flat, runs = now.reshape(-1, x.shape[1]), len(going)
+        own = (flat * flat).sum(1)
+        sums, n, cost = np.zeros_like(flat), np.zeros(len(flat)), np.zeros(runs)
+        furthest, far = np.full(runs, -1.0), np.zeros(runs, np.int64)
+        first = np.arange(runs) * k
+        for low in range(0, len(x), ROWS):
+            some = x[low : low + ROWS]
+            d = np.maximum((square[low : low + ROWS, None] + own[None] - 2 * some @ flat.T), 0).reshape(len(some), runs, k)
+            at = d.argmin(2)
+            least = np.take_along_axis(d, at[:, :, None], 2)[:, :, 0]
+            one = np.zeros((len(some), len(flat)))
+            np.put_along_axis(one, at + first, 1.0, 1)
+            sums += one.T @ some
+            n += one.sum(0)
+            cost += least.sum(0)
+            most = least.argmax(0)
+            beyond = least[most, np.arange(runs)] > furthest
+            furthest[beyond], far[beyond] = least[most, np.arange(runs)][beyond], low + most[beyond]
+        after = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], np.repeat(x[far], k, 0)).reshape(now.shape)
+        inertia[going] = cost
+        still = np.array([np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(after, now)])
+        centres[going] = after
+        going = going[~still]
+        if not len(going):
+            break
+    return inertia, centres
+
+
+def _best_of_held(held: Held, tries: list[tuple[int, int]], restarts: int, most_rounds: int) -> list[np.ndarray]:
+    """The centres of the best restart for each (k, seed): a task runs a few restarts to their end, so all take one job."""
+    jobs = [(i, which) for i in sorted(range(len(tries)), key=lambda i: -tries[i][0]) for which in np.array_split(np.arange(restarts), -(-restarts // RUNS))]
+    sent = held.sent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = sent.value
+        for b in batches:
+            for j in b.column("id").to_pylist():
+                i, which = jobs[j]
+                inertia, centres = _lloyd(ids, x, tries[i][0], which, tries[i][1], most_rounds)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(which), pa.int64()), pa.array(which, pa.int64()), pa.array(inertia), pa.array(centres.reshape(len(which), -1).tolist(), pa.list_(pa.float64()))], ["i", "restart", "squares", "centres"])
+
+    rows = held.spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "i bigint, restart bigint, squares double, centres array<double>").groupBy("i").agg(F.min_by("centres", F.struct("squares", "restart")).alias("centres")).collect()
+    return [np.array(r["centres"]).reshape(tries[r["i"]][0], -1) for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def _labels(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squares(x[low : low + ROWS], centres[None])[0].argmin(1) for low in range(0, len(x), ROWS)])
+
+
+def _ranks(labels: np.ndarray, k: int) -> np.ndarray:
+    """New numbers of k labels by size, as ``relabel`` gives them; labels without records come last."""
+    out = np.empty(k, np.int64)
+    out[np.lexsort((np.arange(k), -np.bincount(labels, minlength=k)))] = np.arange(k)
+    return out
+
+
+def _mean_silhouettes(held: Held, labelings: list[np.ndarray]) -> list[float]:
+    """Mean silhouettes of several labelings, whose distances are taken once: blocks of records against all."""
+    n = len(held.ids)
+    widths = [int(x.max()) + 1 for x in labelings]
+    tall = [low for low in range(0, n, ROWS)]
+    tasks = min(len(tall), 96)
+    sent, labels = held.sent, held.spark.sparkContext.broadcast(np.stack(labelings).astype(np.int16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, named = sent.value[1], labels.value
+        square = (x * x).sum(1)
+        one = np.concatenate([np.eye(w)[l] for l, w in zip(named, widths)], 1)
+        sizes = one.sum(0)
+        for b in batches:
+            for low in (tall[i] for t in b.column("id").to_pylist() for i in range(t, len(tall), tasks)):
+                some = x[low : low + ROWS]
+                away = np.zeros((len(some), one.shape[1]))
+                for at in range(0, n, ROWS):
+                    d = some @ x[at : at + ROWS].T
+                    d *= -2
+                    d += square[low : low + ROWS, None]
+                    d += square[None, at : at + ROWS]
+                    np.maximum(d, 0, out=d)
+                    if at == low:
+                        np.fill_diagonal(d, 0)
+                    away += np.sqrt(d, out=d) @ one[at : at + ROWS]
+                first = 0
+                for i, w in enumerate(widths):
+                    total, n_of, own = away[:, first : first + w], sizes[first : first + w], named[i, low : low + ROWS]
+                    each = np.arange(len(some))
+                    a = np.where(n_of[own] > 1, total[each, own] / np.maximum(n_of[own] - 1, 1), 0)
+                    other = total / n_of
+                    other[each, own] = np.inf
+                    b_ = other.min(1)
+                    top = np.maximum(a, b_)
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([float(np.where(top > 0, (b_ - a) / np.where(top > 0, top, 1), 0).sum())])], ["i", "total"])
+                    first += w
+
+    rows = held.spark.range(0, tasks, 1, tasks).mapInArrow(run, "i bigint, total double").groupBy("i").agg(F.sum("total").alias("total")).collect()
+    labels.destroy()
+    return [r["total"] / n for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def _clustered(points: DataFrame, centres: np.ndarray, ranks: np.ndarray) -> DataFrame:
+    """file_id, label, feature: points with the number of their nearest centre."""
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("feature").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, centres.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(ranks[_labels(x, centres)].astype(np.int32)) if len(x) else pa.array([], pa.int32()), b.column("feature")], ["file_id", "label", "feature"])
+
+    return stage(points.select("file_id", "feature").mapInArrow(labelled, "file_id bigint, label int, feature array<double>"), "clustered")
+
+
+def kmeans(points: DataFrame, k: int, seed: int = 1479, restarts: int = RESTARTS, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """file_id, label, feature: clusters of points (file_id, feature), larger ones first.
 
     Of ``restarts`` runs from drawn starts the one of the least sum of squared
-    distances. All runs take each pass over the points together: a task hands
-    on sums for each run and centre. A centre without points moves to the
-    point that is farthest from its centre. A run ends when its labels stay,
-    or after ``most_rounds``.
+    distances. A centre without points moves to the point that is farthest from
+    its centre. A run ends when its labels stay, or after ``most_rounds``.
+    Points that a task can hold are sent to tasks of a few runs each. Of more
+    points all runs take each pass together: a task hands on sums for each run
+    and centre.
     """
+    if held := hold(points):
+        best = _best_of_held(held, [(k, seed)], restarts, most_rounds)[0]
+        held.sent.destroy()
+        return _clustered(points, best, _ranks(_labels(held.x, best), k))
     centres = _starts(points, k, restarts, seed)
     going = np.arange(restarts)
     inertia = np.full(restarts, np.inf)
@@ -169,7 +329,10 @@ def choose_clusters(points: DataFrame, dims: int, most: int = 5, least_files: in
     """
     total = points.count()
     tried, best = [], None
-    for k in range(2, min(most, total // max(1, least_files)) + 1):
+    ks = range(2, min(most, total // max(1, least_files)) + 1)
+    if ks and (held := hold(points)):
+        return _choose_of_held(points, held, ks, least_files, seed)
+    for k in ks:
         found = kmeans(points, k, seed)
         smallest = found.groupBy("label").count().agg(F.min("count")).first()[0]
         if smallest < least_files:
@@ -184,6 +347,25 @@ def choose_clusters(points: DataFrame, dims: int, most: int = 5, least_files: in
     return best[2], tried
 
 
+def _choose_of_held(points: DataFrame, held: Held, ks: range, least_files: int, seed: int) -> tuple[DataFrame, list[dict]]:
+    """``choose_clusters`` of points that a task can hold: the runs of every k in one job, the silhouettes of every k in another."""
+    found = dict(zip(ks, _best_of_held(held, [(k, seed) for k in ks], RESTARTS, MOST_ROUNDS)))
+    named = {k: _labels(held.x, c) for k, c in found.items()}
+    # clusters without records are none, as where rows are counted
+    right = [k for k in ks if min(n for n in np.bincount(named[k]) if n) >= least_files]
+    dense = [np.unique(named[k], return_inverse=True)[1] for k in right]
+    many = [i for i, x in enumerate(dense) if 1 < x.max() + 1 < len(x)]
+    scores = dict.fromkeys(right, -1.0) | ({right[i]: s for i, s in zip(many, _mean_silhouettes(held, [dense[i] for i in many]))} if many else {})
+    held.sent.destroy()
+    tried = [{"k": k, "rejected": False, "silhouette": scores[k], "adjusted": scores[k] - CLUSTER_PENALTY * (k - 2)} if k in scores else {"k": k, "rejected": True} for k in ks]
+    kept = [t for t in tried if not t["rejected"]]
+    best = max(kept, key=lambda t: t["adjusted"]) if kept else None
+    if best is None or best["silhouette"] < LEAST_SILHOUETTE:
+        return points.withColumn("label", F.lit(0)).select("file_id", "label", "feature"), tried
+    k = best["k"]
+    return _clustered(points, found[k], _ranks(named[k], k)), tried
+
+
 def align(before: DataFrame, after: DataFrame, k: int) -> DataFrame:
     """``after`` (file_id, label) renamed so that most files keep their label of ``before``; a k x k table is all that is gathered."""
     table = np.zeros((k, k), int)
