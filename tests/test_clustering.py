@@ -52,3 +52,34 @@ def test_held_silhouettes(spark, points):
 def test_points_beyond_the_bound_are_not_held(points):
     assert clustering.hold(points, 90 * 7 * 8 - 1) is None and len(clustering.hold(points, 90 * 7 * 8).ids) == 90
     assert clustering.hold(points.filter("file_id < 0")) is None
+
+
+def test_refining_reads_events_once_and_equals_the_plain_rounds(spark):
+    from tunelore.operators import features, scales, tonic
+    from tunelore.operators.phrases import detect_phrases
+
+    rng = np.random.default_rng(11)
+    rows, sets = [], ([0, 2, 4, 5, 7, 9, 11], [2, 3, 5, 8, 10, 1])
+    for file in range(14):
+        end = 0
+        for seq in range(1, 31):
+            pc, length, gap = int(rng.choice(sets[file % 2])), int(rng.integers(4, 20)), int(rng.choice([0, 0, 0, 0, 20]))
+            rows.append((file, seq, pc, (60 + pc) * 100, length, end + gap, end + gap + length))
+            end += gap + length
+    schema = "file_id bigint, seq int, pc int, midi_cents bigint, frames bigint, start_frame bigint, end_frame bigint"
+    events = clustering.stage(detect_phrases(spark.createDataFrame(rows, schema)), "events")
+    (found, history), jobs = jobs_of(spark, "refine", lambda: clustering.refine(events, iterations=2))
+    assert jobs <= 120
+
+    def with_root(roots):
+        return events.join(roots.select("file_id", "root"), "file_id").selectExpr("*", "pmod(pc - root, 12) as degree")
+
+    roots = tonic.root_generic(events)
+    labels = clustering.choose_clusters(features.file_features(with_root(roots)), features.DIMS)[0].select("file_id", "label")
+    k = labels.agg({"label": "max"}).first()[0] + 1
+    for i in range(len(history) - len([h for h in history if "k" in h])):
+        known = with_root(roots).join(labels.withColumnRenamed("label", "cluster_id"), "file_id")
+        roots = clustering.stage(tonic.root_with_scale(known, scales.core_scale(scales.degree_shares(known))).select("file_id", "root"), "plain")
+        points = clustering.stage(features.file_features(with_root(roots)), "plain")
+        labels = labels if k == 1 else clustering.stage(clustering.align(labels, clustering.kmeans(points, k, 1479 + 7919 * (i + 1)).select("file_id", "label"), k), "plain")
+    assert sorted(map(tuple, found.collect())) == sorted((r["file_id"], r["label"], r["root"]) for r in labels.join(roots, "file_id").collect())

@@ -382,29 +382,33 @@ def refine(events: DataFrame, iterations: int = 6, most: int = 5, least_files: i
 
     events: phrased events with pc. Roots begin as the generic estimate, the
     number of clusters is chosen once; each iteration infers the clusters'
-    scales, estimates roots with them, and clusters the new features. The
-    state between iterations is one staged row per file.
+    scales, estimates roots with them, and clusters the new features. Events
+    are read once, for each file's histograms over pitch classes, which a root
+    only turns; the state between iterations is one staged row per file.
     """
+    counts = features.file_counts(events, "pc").withColumnsRenamed({"degree": "by_pc", "cadence": "ends_by_pc"})
+    files = stage(counts.join(tonic.occupancy(events), "file_id"), "counts")
 
-    def with_root(roots: DataFrame) -> DataFrame:
-        return events.join(roots.select("file_id", "root"), "file_id").withColumn("degree", F.pmod(F.col("pc") - F.col("root"), F.lit(12)))
+    def with_features(roots: DataFrame) -> DataFrame:
+        """file_id, root, feature."""
+        known = files.join(roots.select("file_id", "root"), "file_id").withColumns({"degree": features.turned("by_pc", F.col("root")), "cadence": features.turned("ends_by_pc", F.col("root"))})
+        return stage(known.select("file_id", "root").join(features.vectors(known), "file_id"), "features")
 
-    roots = stage(tonic.root_generic(events), "roots")
-    points = stage(features.file_features(with_root(roots)), "features")
-    found, history = choose_clusters(points, features.DIMS, most, least_files, seed)
+    state = with_features(tonic.generic_roots_of(files))
+    found, history = choose_clusters(state.select("file_id", "feature"), features.DIMS, most, least_files, seed)
     labels = stage(found.select("file_id", "label"), "labels")
     k = labels.agg(F.max("label")).first()[0]
     k = 1 if k is None else k + 1
     for i in range(iterations):
-        known = with_root(roots).join(labels.withColumnRenamed("label", "cluster_id"), "file_id")
-        core = stage(scales.core_scale(scales.degree_shares(known)), "scales")
-        new_roots = stage(tonic.root_with_scale(known, core).select("file_id", "root"), "roots")
-        points = stage(features.file_features(with_root(new_roots)), "features")
-        new = labels if k == 1 else stage(align(labels, kmeans(points, k, seed + 7919 * (i + 1)).select("file_id", "label"), k), "labels")
-        moved = new.alias("a").join(labels.alias("b"), "file_id").filter("a.label <> b.label").count()
-        turned = new_roots.alias("a").join(roots.alias("b"), "file_id").filter("a.root <> b.root").count()
+        known = files.join(state.select("file_id", "root"), "file_id").join(labels.withColumnRenamed("label", "cluster_id"), "file_id").withColumn("degree", features.turned("by_pc", F.col("root")))
+        sums = known.groupBy("cluster_id").agg(*(F.sum(F.col("degree")[d]).alias(f"d{d}") for d in range(12)))
+        core = stage(scales.core_scale(scales.shares_of(stage(sums, "sums"))), "scales")
+        new_state = with_features(tonic.roots_of(known, core))
+        new = labels if k == 1 else stage(align(labels, kmeans(new_state.select("file_id", "feature"), k, seed + 7919 * (i + 1)).select("file_id", "label"), k), "labels")
+        both = new.alias("a").join(labels.alias("b"), "file_id").join(new_state.select("file_id", F.col("root").alias("new_root")), "file_id").join(state.select("file_id", "root"), "file_id")
+        moved, turned = both.agg(F.count_if(F.expr("a.label <> b.label")), F.count_if(F.col("new_root") != F.col("root"))).first()
         history.append({"iteration": i + 1, "labels_changed": moved, "roots_changed": turned})
-        roots, labels = new_roots, new
+        state, labels = new_state, new
         if not moved and not turned:
             break
-    return labels.join(roots.select("file_id", "root"), "file_id"), history
+    return labels.join(state.select("file_id", "root"), "file_id"), history

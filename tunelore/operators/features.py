@@ -29,15 +29,29 @@ def file_features(events: DataFrame) -> DataFrame:
     """file_id, feature: of events with phrase, seq, degree, frames and midi_cents.
 
     A file without any step between different notes has zeros in the interval
-    blocks. One aggregation over events and one window serve all five blocks.
+    blocks.
     """
+    return vectors(file_counts(events))
+
+
+def file_counts(events: DataFrame, degree: str = "degree") -> DataFrame:
+    """file_id and its five histograms. One aggregation over events and one window serve all five blocks."""
     by = W.partitionBy("file_id", "phrase").orderBy("seq")
     delta = F.col("midi_cents") - F.lag("midi_cents").over(by)
     size = F.when(delta.isNotNull(), F.least(F.lit(12), F.rint(F.abs(delta) / 100.0).cast("int")))
-    rows = phrase_ratios(events).withColumn("_size", size).withColumn("_signed", F.when(delta > 0, F.col("_size")).otherwise(-F.col("_size"))).withColumn("_bin", nearest_bin(F.col("ratio"))).withColumn("_end", F.when(F.col("is_end"), F.col("degree")))
-    sums = rows.groupBy("file_id").agg(
-        _histogram("degree", list(range(12)), F.col("frames")).alias("degree"), _histogram("_size", list(range(1, 13))).alias("interval"), _histogram("_signed", STEPS).alias("signed"), _histogram("_end", list(range(12))).alias("cadence"), _histogram("_bin", list(range(len(GRID)))).alias("rhythm"),
+    rows = phrase_ratios(events).withColumn("_size", size).withColumn("_signed", F.when(delta > 0, F.col("_size")).otherwise(-F.col("_size"))).withColumn("_bin", nearest_bin(F.col("ratio"))).withColumn("_end", F.when(F.col("is_end"), F.col(degree)))
+    return rows.groupBy("file_id").agg(
+        _histogram(degree, list(range(12)), F.col("frames")).alias("degree"), _histogram("_size", list(range(1, 13))).alias("interval"), _histogram("_signed", STEPS).alias("signed"), _histogram("_end", list(range(12))).alias("cadence"), _histogram("_bin", list(range(len(GRID)))).alias("rhythm"),
     )
-    raw = sums.select("file_id", F.concat(*(_share(F.col(b), w) for b, w in BLOCK_WEIGHTS.items())).alias("raw"))
+
+
+def turned(histogram: str, root: Column) -> Column:
+    """A histogram over pitch classes as one over the degrees of ``root``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda d: F.element_at(F.col(histogram), (F.pmod(root + d, F.lit(12)) + 1).cast("int")))
+
+
+def vectors(counts: DataFrame) -> DataFrame:
+    """file_id, feature: the weighted shares of ``file_counts``, of unit length."""
+    raw = counts.select("file_id", F.concat(*(_share(F.col(b), w) for b, w in BLOCK_WEIGHTS.items())).alias("raw"))
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x * x))
     return raw.withColumn("_norm", norm).select("file_id", F.when(F.col("_norm") > 0, F.transform("raw", lambda x: x / F.col("_norm"))).otherwise(F.col("raw")).alias("feature"))

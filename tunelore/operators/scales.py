@@ -30,6 +30,11 @@ def degree_shares(events: DataFrame) -> DataFrame:
     Needs cluster_id, degree and frames. A cluster without duration has shares of 0.
     """
     sums = events.groupBy("cluster_id").agg(*(F.sum(F.when(F.col("degree") == d, F.col("frames")).otherwise(0)).alias(f"d{d}") for d in range(12)))
+    return shares_of(sums)
+
+
+def shares_of(sums: DataFrame) -> DataFrame:
+    """``degree_shares`` from the sums of each cluster's degrees: cluster_id, d0..d11."""
     total = sum((F.col(f"d{d}") for d in range(12)), F.lit(0))
     rows = F.explode(F.array(*(F.struct(F.lit(d).alias("degree"), F.col(f"d{d}").alias("frames")) for d in range(12))))
     return sums.withColumn("_total", total).select("cluster_id", "_total", rows.alias("x")).select("cluster_id", "x.degree", "x.frames", F.coalesce(F.try_divide("x.frames", "_total"), F.lit(0.0)).alias("share"))

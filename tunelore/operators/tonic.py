@@ -43,7 +43,12 @@ def _best(occ: DataFrame, score) -> DataFrame:
 
 def root_generic(phrased: DataFrame) -> DataFrame:
     """file_id, root, score, margin: the tonic from phrase endings, the final note and occupancy."""
-    occ = occupancy(phrased).withColumns({c: _shares(F.col(c)) for c in ("duration", "count", "ending")})
+    return generic_roots_of(occupancy(phrased))
+
+
+def generic_roots_of(occupied: DataFrame) -> DataFrame:
+    """``root_generic`` from the files' ``occupancy``."""
+    occ = occupied.withColumns({c: _shares(F.col(c)) for c in ("duration", "count", "ending")})
     w = GENERIC
 
     def score(r: Column) -> Column:
@@ -61,7 +66,12 @@ def root_with_scale(phrased: DataFrame, scales: DataFrame) -> DataFrame:
     ``phrased`` has cluster_id; ``scales`` has cluster_id and scale (array of degrees).
     """
     clusters = phrased.groupBy("file_id").agg(F.first("cluster_id").alias("cluster_id"))
-    occ = occupancy(phrased).withColumns({c: _shares(F.col(c)) for c in ("duration", "count", "ending")}).join(clusters, "file_id").join(scales.select("cluster_id", "scale"), "cluster_id")
+    return roots_of(occupancy(phrased).join(clusters, "file_id"), scales)
+
+
+def roots_of(occupied: DataFrame, scales: DataFrame) -> DataFrame:
+    """``root_with_scale`` from the files' ``occupancy`` with their cluster_id."""
+    occ = occupied.withColumns({c: _shares(F.col(c)) for c in ("duration", "count", "ending")}).join(scales.select("cluster_id", "scale"), "cluster_id")
     w = SCALE_AWARE
 
     def coverage(r: Column) -> Column:
