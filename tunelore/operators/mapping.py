@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from tunelore.staging import stage
 
 #: Profiles that one mapping takes at most.
 MOST_PROFILES = 1000
+#: Numbers that a step over several phrases takes at once, and those that its choices keep.
+STATES, CHOICES = 1 << 17, 1 << 24
 
 @dataclass
 class Grammar:
@@ -136,36 +140,163 @@ def map_phrase(pitches: list[float], root: int, scale: tuple[int, ...], g: Gramm
     return [int(s[i]) for s, i in zip(sets, path)], best
 
 
+def _candidate_table(pitches: np.ndarray, roots: np.ndarray, scale: tuple[int, ...], shift: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``candidates`` of many (pitch, root): the notes of each as a row, the rest of it 0, and how many they are."""
+    found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for root in np.unique(roots):
+        at = np.flatnonzero(roots == root)
+        pitch, back = np.unique(pitches[at], return_inverse=True)
+        notes = np.array([n for n in range(128) if (n - root) % 12 in scale])
+        width = min(max(1, most), len(notes))
+        table, count = np.zeros((len(pitch), width), np.int64), np.zeros(len(pitch), np.int64)
+        for low in range(0, len(pitch), 4096):
+            away = np.abs(notes[None] - pitch[low : low + 4096, None])
+            order = np.argsort(away, axis=1, kind="stable")[:, :width]
+            near = np.take_along_axis(away, order, 1) <= shift
+            count[low : low + 4096], table[low : low + 4096] = np.maximum(1, near.sum(1)), notes[order]
+        found[int(root)] = at, table[back], count[back]
+    counts = np.zeros(len(pitches), np.int64)
+    out = np.zeros((len(pitches), max((x[1].shape[1] for x in found.values()), default=1)), np.int64)
+    for at, table, count in found.values():
+        out[at, : table.shape[1]], counts[at] = table, count
+    return out, counts
+
+
+def map_together(pitches: np.ndarray, notes: np.ndarray, counts: np.ndarray, roots: np.ndarray, g: Grammar, amount: float) -> tuple[np.ndarray, np.ndarray]:
+    """``map_phrase`` of phrases of one length: targets (phrase, event) and costs.
+
+    pitches (phrase, event); notes (phrase, event, candidate), of which the
+    first ``counts`` (phrase, event) are candidates; roots (phrase). The same
+    sums in the same order as ``map_phrase``, with the phrases as the last axis
+    of every array; what is no candidate costs infinity.
+    """
+    v = g.values
+    many, length = pitches.shape
+    width = int(counts.max())
+    c, x = np.ascontiguousarray(notes[:, :, :width].transpose(1, 2, 0)), np.ascontiguousarray(pitches.T)  # (event, candidate, phrase), (event, phrase)
+    d = (c - roots) % 12
+    own = v["pitch_deviation_weight"] * np.abs(c - x[:, None]) - amount * g.degree[d]
+    own[np.arange(width)[None, :, None] >= counts.T[:, None]] = np.inf
+    keep = min(4, max(3, *(n - 1 for n, t in g.patterns.items() if np.any(t)), 0))
+    tables = [(n, amount * t) for n, t in g.patterns.items() if np.any(t)]
+
+    def spread(n: int, table: np.ndarray, last: int, rank: int) -> np.ndarray:
+        """A pattern table at the degrees of the last n events, shaped to broadcast over ``rank`` axes and the phrases."""
+        at = d[last - n + 1].reshape(-1, *(1,) * (n - 1), many)
+        for i in range(1, n):
+            at = at * 12 + d[last - n + 1 + i].reshape(*(1,) * i, -1, *(1,) * (n - 1 - i), many)
+        return table.ravel()[at].reshape(*(1,) * (rank - n), *at.shape)
+
+    cost = own[0]
+    choices: list[np.ndarray | None] = [None]
+    for t in range(1, length):
+        move = x[t] - x[t - 1]
+        out = c[t][None] - c[t - 1][:, None].astype(float)
+        leap = np.abs(out)
+        pair = v["motion_preservation_weight"] * np.abs(out - move)
+        pair += v["contour_penalty"] * ((np.abs(move) >= 0.5) & (leap >= 0.5) & (np.sign(out) != np.sign(move)))
+        pair += v["leap_penalty"] * np.maximum(0, leap - v["max_preferred_leap"])
+        pair -= amount * g.interval[np.minimum(12, np.rint(leap).astype(int))]
+        before, now = d[t - 1][:, None], d[t][None]
+        pair -= amount * (g.step[before, now] + np.where(move > 0.35, g.up[before, now], np.where(move < -0.35, g.down[before, now], 0)))
+        rank = cost.ndim
+        full = cost[..., None, :] + own[t]
+        full += pair
+        for n, table in tables:
+            if n <= rank:
+                full -= spread(n, table, t, rank)
+        if rank > keep:
+            cost, chosen = full[0].copy(), np.zeros(full.shape[1:], np.int8)
+            for i in range(1, len(full)):
+                chosen[full[i] < cost] = i
+                np.minimum(cost, full[i], out=cost)
+            choices.append(chosen)
+        else:
+            cost = full
+            choices.append(None)
+    end = cost
+    for n, table in g.cadences.items():
+        if n <= cost.ndim - 1 and np.any(table):
+            end = end - spread(n, amount * table, length - 1, cost.ndim - 1)
+    flat = end.reshape(-1, many)
+    at = flat.argmin(0)
+    each = np.arange(many)
+    path = list(np.unravel_index(at, end.shape[:-1]))
+    for t in range(length - 1, -1, -1):
+        if choices[t] is not None:
+            path.insert(0, choices[t][(*path[:keep], each)].astype(np.int64))
+    return np.stack([c[t, i, each] for t, i in enumerate(path)], 1), flat[at, each]
+
+
+def _map_all(pitches: np.ndarray, offsets: np.ndarray, roots: np.ndarray, scale: tuple[int, ...], g: Grammar, amount: float) -> tuple[np.ndarray, np.ndarray]:
+    """The targets of phrases laid end to end, and each phrase's cost: phrases of one length and number of candidates are mapped together."""
+    lengths = np.diff(offsets)
+    notes, counts = _candidate_table(pitches, np.repeat(roots, lengths), scale, g.values["candidate_shift_semitones"], g.values["candidate_count"])
+    widest = np.maximum.reduceat(counts, offsets[:-1])
+    targets, costs = np.empty(len(pitches), np.int32), np.empty(len(lengths))
+    order = np.lexsort((widest, lengths))
+    changes = np.flatnonzero(np.diff(lengths[order]) | np.diff(widest[order])) + 1
+    for like in np.split(order, changes):
+        n, width = int(lengths[like[0]]), int(widest[like[0]])
+        keep = min(4, max(3, *(m - 1 for m, t in g.patterns.items() if np.any(t)), 0))
+        some = max(1, min(STATES // width ** min(n, keep + 1), CHOICES // (n * width ** min(n, keep))))
+        for low in range(0, len(like), some):
+            these = like[low : low + some]
+            at = offsets[these][:, None] + np.arange(n)
+            targets[at], costs[these] = map_together(pitches[at], notes[at], counts[at], roots[these], g, amount)
+    return targets, costs
+
+
 def map_phrases(phrased: DataFrame, profiles: DataFrame, amount: float = 1.0) -> DataFrame:
     """Every phrase mapped under every option of every profile: id, file_id, phrase, option (0: the base), name, root, scale, targets, cost.
 
-    phrased: file_id, phrase, seq, source_midi, root. One phrase is one group
-    of the kernel; modulation's dependence on the phrase before is left to
-    ``choose_options``, so all options of all phrases are mapped in parallel.
-    Profiles are a stated set of at most MOST_PROFILES documents, which the
-    kernel holds; events are not multiplied by them.
+    phrased: file_id, phrase, seq, source_midi, root. One phrase is one row
+    to the kernel, which maps a batch's phrases of one length together;
+    modulation's dependence on the phrase before is left to ``choose_options``,
+    so all options of all phrases are mapped in parallel. Profiles are a stated
+    set of at most MOST_PROFILES documents, which the kernel holds; events are
+    not multiplied by them.
     """
     held = [(r["id"], r["profile"]) for r in profiles.select("id", F.to_json(F.struct("scale", "grammar", "modulation")).alias("profile")).orderBy("id").limit(MOST_PROFILES + 1).collect()]
     if len(held) > MOST_PROFILES:
         raise ValueError(f"more than {MOST_PROFILES} profiles")
     schema = "id string, file_id bigint, phrase bigint, first_seq bigint, option int, name string, root int, scale array<int>, targets array<int>, cost double, switch_penalty double, n_events int"
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        pitches, root = pdf["source_midi"].tolist(), int(pdf["root"].iloc[0])
-        out = []
-        for name_of, document in held:
-            g = grammar_of(document)
-            tries = [(0, "base", root, g.scale, 0.0, 0.0)]
-            for i, o in enumerate(g.options, 1):
-                if len(pitches) >= o["min_phrase_events"]:
-                    tries.append((i, o["name"], (root + o["root_offset"]) % 12, tuple(o["scale"]) or g.scale, -amount * o["activation_bonus"], o["switch_penalty"]))
-            for i, name, r, scale, extra, penalty in tries:
-                targets, cost = map_phrase(pitches, r, scale, g, amount)
-                out.append((name_of, pdf["file_id"].iloc[0], pdf["phrase"].iloc[0], pdf["seq"].iloc[0], i, name, r, list(scale), targets, cost + extra, penalty, len(pitches)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return phrased.select("file_id", "phrase", "seq", "source_midi", "root").groupBy("file_id", "phrase").applyInPandas(kernel, schema)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            notes = b.column("notes")
+            pitches = notes.flatten().field("source_midi").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            bounds = np.append(0, np.cumsum(notes.value_lengths().to_numpy())).astype(np.int64)
+            lengths, roots = np.diff(bounds), b.column("root").to_numpy().astype(np.int64)
+            for name_of, document in held:
+                g = grammar_of(document)
+                tries = [(0, "base", 0, g.scale, 0.0, 0.0, 0)]
+                tries += [(i, o["name"], o["root_offset"], tuple(o["scale"]) or g.scale, -amount * o["activation_bonus"], o["switch_penalty"], o["min_phrase_events"]) for i, o in enumerate(g.options, 1)]
+                for i, name, offset, scale, extra, penalty, least in tries:
+                    rows = np.flatnonzero(lengths >= least)
+                    if not len(rows):
+                        continue
+                    n = lengths[rows]
+                    ends = np.append(0, np.cumsum(n)).astype(np.int64)
+                    mine = pitches[np.repeat(bounds[:-1][rows] - ends[:-1], n) + np.arange(ends[-1])]
+                    r = (roots[rows] + offset) % 12 if i else roots[rows]
+                    targets, cost = _map_all(mine, ends, r, scale, g, amount)
+                    take = lambda c, rows=rows: b.column(c).take(pa.array(rows))
+                    same = lambda x, kind, many=len(rows): pa.repeat(pa.scalar(x, kind), many)
+                    scales = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(scale), pa.int32()), pa.array(np.tile(np.array(scale, np.int32), len(rows))))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            same(name_of, pa.string()), take("file_id"), take("phrase"), take("first_seq"), same(i, pa.int32()), same(name, pa.string()), pa.array(r.astype(np.int32)), scales,
+                            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(targets)), pa.array(cost + extra), same(float(penalty), pa.float64()), pa.array(n.astype(np.int32)),
+                        ], names,
+                    )
+
+    notes = F.sort_array(F.collect_list(F.struct("seq", F.col("source_midi").cast("double").alias("source_midi"))))
+    grouped = phrased.groupBy("file_id", "phrase").agg(F.min_by("root", "seq").cast("int").alias("root"), F.min("seq").cast("bigint").alias("first_seq"), notes.alias("notes"))
+    return grouped.select(F.col("file_id").cast("bigint"), F.col("phrase").cast("bigint"), "root", "first_seq", "notes").mapInArrow(kernel, schema)
 
 
 def choose_options(mapped: DataFrame) -> DataFrame:
