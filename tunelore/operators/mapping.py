@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -304,21 +303,33 @@ def choose_options(mapped: DataFrame) -> DataFrame:
 
     Only options' costs, a few numbers a phrase, are walked through by file.
     """
-    slim = mapped.select("id", "file_id", "phrase", "option", "root", "cost", "switch_penalty")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["phrase", "option"])
-        before, rows = None, []
-        for phrase, p in pdf.groupby("phrase", sort=True):
-            roots, cost = p["root"].to_numpy(), p["cost"].to_numpy().copy()
-            before = roots[0] if before is None else before
-            cost[1:] += np.where(roots[1:] != before, p["switch_penalty"].to_numpy()[1:], 0.0)
-            i = int(cost.argmin())
-            rows.append((p["id"].iloc[0], p["file_id"].iloc[0], phrase, int(p["option"].iloc[i]), float(cost[i])))
-            before = roots[i]
-        return pd.DataFrame(rows, columns=["id", "file_id", "phrase", "option", "total"])
-
-    chosen = slim.groupBy("id", "file_id").applyInPandas(walk, "id string, file_id bigint, phrase bigint, option int, total double")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("options")
+            lengths = lists.value_lengths().to_numpy()
+            phrases, options, roots, costs, penalties = (lists.flatten().field(c).to_pylist() for c in ("phrase", "option", "root", "cost", "switch_penalty"))
+            kept, totals, at = [], [], 0
+            for n in lengths.tolist():
+                end, before = at + n, roots[at] if n else None
+                while at < end:
+                    phrase, best, total = phrases[at], at, costs[at]
+                    i = at + 1
+                    while i < end and phrases[i] == phrase:
+                        cost = costs[i] + (penalties[i] if roots[i] != before else 0.0)
+                        # as argmin has it, a missing number is the least
+                        if cost < total or (cost != cost and total == total):
+                            best, total = i, cost
+                        i += 1
+                    kept.append(best)
+                    totals.append(total)
+                    before, at = roots[best], i
+            whose = np.repeat(np.arange(b.num_rows), lengths)[kept] if kept else np.empty(0, np.int64)
+            pick = lambda x, kind: pa.array([x[i] for i in kept], kind)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(whose)), b.column("file_id").take(pa.array(whose)), pick(phrases, pa.int64()), pick(options, pa.int32()), pa.array(totals, pa.float64())], ["id", "file_id", "phrase", "option", "total"])
+
+    slim = mapped.groupBy("id", "file_id").agg(F.sort_array(F.collect_list(F.struct("phrase", "option", "root", "cost", "switch_penalty"))).alias("options"))
+    chosen = slim.mapInArrow(walk, "id string, file_id bigint, phrase bigint, option int, total double")
     return mapped.join(chosen, ["id", "file_id", "phrase", "option"]).withColumn("cost", F.col("total")).drop("total", "switch_penalty")
 
 
