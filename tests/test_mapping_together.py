@@ -67,3 +67,12 @@ def test_rows_and_options_equal_a_walk(spark):
     assert {k: (r["root"], r["scale"], r["targets"], r["cost"], r["n_events"], r["first_seq"]) for k, r in got.items()} == expected
     chosen = mapping.choose_options(mapped).collect()
     assert {(r["id"], r["file_id"], r["phrase"]): (r["option"], r["cost"]) for r in chosen} == walked and len(chosen) == len(walked) and len({x[0] for x in walked.values()}) > 1
+
+
+def test_each_earlier_degree_is_looked_up_once(spark):
+    from tunelore.sources.profiles import profile_weights
+
+    mapped = spark.createDataFrame([("five", 1, 0, s, 60 + s, 60.0 + s, 0, [0], "base") for s in range(3)], "id string, file_id bigint, phrase bigint, seq int, target int, source_midi double, root int, scale array<int>, name string")
+    plan = mapping.grammar_rewards(mapped, profile_weights(profiles(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and sum(line.count("lag(") for line in windows) <= 9

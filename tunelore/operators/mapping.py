@@ -435,8 +435,10 @@ def grammar_rewards(mapped: DataFrame, weights: DataFrame, longest: int = 8) ->
     whole = W.partitionBy("id", "file_id", "phrase")
     d = F.pmod(F.col("target") - F.col("root"), F.lit(12)).cast("string")
     # the degrees that end at a note: one, two, .. of them
-    tails = [F.when(F.lag("_deg", n - 1).over(by).isNotNull(), F.concat_ws(">", *(F.lag("_deg", i).over(by) for i in range(n - 1, 0, -1)), "_deg")) for n in range(1, longest + 1)]
-    rows = mapped.withColumn("_deg", d).select(
+    tails = [F.when(F.col(f"_deg{n - 1}").isNotNull(), F.concat_ws(">", *(f"_deg{i}" for i in range(n - 1, -1, -1)))) for n in range(1, longest + 1)]
+    # each earlier degree is looked up once, however many tails it is in
+    before = {f"_deg{i}": F.lag("_deg0", i).over(by) for i in range(1, longest)}
+    rows = mapped.withColumn("_deg0", d).withColumns(before).select(
         "id", "file_id", F.least(F.lit(12), F.abs(F.col("target") - F.lag("target").over(by))).cast("string").alias("_iv"), F.array(*tails).alias("_tails"), (F.col("source_midi") - F.lag("source_midi").over(by)).alias("_delta"), (F.col("seq") == F.max("seq").over(whole)).alias("_last")
     )
     kinds = ("interval_weights", "transition_weights", "ascending_transition_weights", "descending_transition_weights", "trigram_weights", "preferred_phrases", "cadence_degrees", "cadence_patterns")
